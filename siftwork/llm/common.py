@@ -70,3 +70,11 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: in
 def checked_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
     """Broadcasts df only if its counted rows are within most; else Spark shuffles."""
     return F.broadcast(df) if rows <= most else df
+
+
+def small_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
+    """Bounds an Arrow batch by rows and bytes, as texts may be long."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)):
+        now = spark.conf.get(key, None)
+        if now is None or not str(now).rstrip("bB").lstrip("-").isdigit() or not 0 < int(str(now).rstrip("bB")) <= most:
+            spark.conf.set(key, str(most))
