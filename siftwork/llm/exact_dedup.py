@@ -164,7 +164,7 @@ def _same_bytes(docs: DataFrame, both: DataFrame) -> DataFrame:
     """The digests whose two representatives have the same bytes."""
     ids = both.select("digest", F.explode(F.array(F.struct(F.lit(True).alias("old"), F.col("old_keep").alias("doc_id")), F.struct(F.lit(False).alias("old"), F.col("keep").alias("doc_id")))).alias("r")).select("digest", "r.old", "r.doc_id")
     texts = docs.select(F.col("doc_id"), normalised().alias("bytes"))
-    wanted = ids.filter("doc_id IS NOT NULL").join(texts, "doc_id").filter(F.unhex(F.sha2("bytes", 256)) == F.col("digest"))
+    wanted = ids.filter("doc_id IS NOT NULL").hint("merge").join(texts, "doc_id").filter(F.unhex(F.sha2("bytes", 256)) == F.col("digest"))
     # rows without an id have no representative to look up: their digest decides
     bare = both.filter("keep IS NULL OR old_keep IS NULL").select("digest")
     left = wanted.filter("old").select("digest", F.col("bytes").alias("a"))
