@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding, token_counts
+from . import exact_dedup, mixing, secrets, sharding, token_counts
 
 QUERIES = {
+    "op2_secrets": secrets.op2_secrets,
     "op3_token_counts": token_counts.op3_token_counts,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_sharding": sharding.op8_sharding,
