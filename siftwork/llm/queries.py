@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, secrets, sharding, token_counts
+from . import decontam, exact_dedup, mixing, secrets, sharding, token_counts
 
 QUERIES = {
     "op2_secrets": secrets.op2_secrets,
     "op3_token_counts": token_counts.op3_token_counts,
+    "op4_decontamination": decontam.op4_decontamination,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_sharding": sharding.op8_sharding,
     "op9_mixing": mixing.op9_mixing,
 }
 
 ORACLE_SQL = {
+    "op4_decontamination": decontam.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
 }
