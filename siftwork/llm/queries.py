@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, exact_dedup, mixing, secrets, sharding, token_counts
+from . import decontam, exact_dedup, jaccard_join, mixing, secrets, sharding, token_counts
 
 QUERIES = {
     "op2_secrets": secrets.op2_secrets,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_sharding": sharding.op8_sharding,
     "op9_mixing": mixing.op9_mixing,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 
 ORACLE_SQL = {
