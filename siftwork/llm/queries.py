@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, exact_dedup, jaccard_join, mixing, secrets, sharding, token_counts
+from . import decontam, exact_dedup, jaccard_join, lm_score, mixing, secrets, sharding, token_counts
 
 QUERIES = {
+    "op1_lm_score": lm_score.op1_lm_score,
     "op2_secrets": secrets.op2_secrets,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_decontamination": decontam.op4_decontamination,
