@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontam, exact_dedup, jaccard_join, lm_score, mixing, secrets, sharding, token_counts
+from . import decontam, exact_dedup, jaccard_join, langid, lm_score, mixing, quality, secrets, sharding, token_counts
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
     "op2_secrets": secrets.op2_secrets,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_decontamination": decontam.op4_decontamination,
+    "op5_quality": quality.op5_quality,
+    "op6_language_id": langid.op6_language_id,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_sharding": sharding.op8_sharding,
     "op9_mixing": mixing.op9_mixing,
