@@ -1,11 +1,68 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality, near duplicates, decontamination, mixing, sharding.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the result is written as Parquet and read again as the
+next stage's docs. All stages but the last return the columns of docs; the last adds shard and slot.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from siftwork.llm import decontam, jaccard_join, mixing, quality, sharding
+from siftwork.llm.common import id_crc, materialize, text_of
+
+#: Near duplicates: five-word shingles, similarity 0.8 or more.
+WIDTH, SIMILAR, OF = 5, 8, 10
+SHARDS = 8
+
+
+def good_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject; labels of rows outside the held-out fifth are learned."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), id_crc() % 5 != 0)
+    return quality.scored(docs, model).filter(F.col("score") >= quality.CUT).select("doc.*")
+
+
+def one_of_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near duplicates: the one of the least doc_id, then of the least hash of its text; texts without words are in no group and stay."""
+    groups = materialize(jaccard_join.jaccard_groups(docs, WIDTH, SIMILAR, OF))
+    least = groups.filter("group IS NOT NULL").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("m")).select("m.doc_id", "m.tag")
+    keep = least.unionByName(groups.filter("group IS NULL").select("doc_id", "tag").distinct())
+    keep = keep.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id").alias("_id_tag"), F.col("tag").alias("_text_tag"))
+    rows = docs.withColumn("_id_tag", F.xxhash64(F.col("doc_id").cast("long"))).withColumn("_text_tag", F.xxhash64(text_of()))
+    kept = rows.join(keep.hint("merge"), ["_id_tag", "_text_tag"]).filter(F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    return kept.dropDuplicates(["_id_tag", "_text_tag"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def no_benchmark(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of benchmark."""
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def to_target_weights(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them: whole epochs, and those within the last epoch's budget once more."""
+    return mixing.mixed(docs)
+
+
+def sharded(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with shard and slot, equal texts in one shard."""
+    return sharding.with_shards(docs, SHARDS)
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("n-gram Jaccard join", one_of_near_duplicates),
+    ("benchmark decontamination", no_benchmark),
+    ("mixing sources to target weights", to_target_weights),
+    ("sharding", sharded),
+]
+
+#: Learned weights decide the first stage, so SQL cannot give the rows; tests compare each stage with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = materialize(stage(spark, docs, sf_dir))
     return docs

@@ -280,7 +280,7 @@ def _sized(width: int):
 
 
 def jaccard_groups(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """doc_id, tag (a hash of the text), n_shingles, component_id for each row of docs (doc_id, text)."""
+    """doc_id, tag (a hash of the text), n_shingles, component_id, group (the component's own number) for each row of docs (doc_id, text); empty sets are in no group."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     tagged = texts.select("doc_id", F.xxhash64("text").alias("tag"), "text")
@@ -306,10 +306,12 @@ def jaccard_groups(docs: DataFrame, width: int, num: int, den: int) -> DataFrame
     roots = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()).unionByName(joint)
     rooted = materialize(sets.select("node", "rep").join(roots, "node"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("least"))
-    named = sets.select("key", "node", "rep", "rows").join(rooted.select("node", "root").distinct().join(least, "root").select("node", "least"), "node", "left")
-    named = named.select("key", F.coalesce("least", "rep").alias("component_id"), "rows")
-    some = hot_join(sized.filter("n_shingles > 0"), named, "key", "rows", total).select("doc_id", "tag", "n_shingles", "component_id")
-    return some.unionByName(sized.filter("n_shingles = 0").select("doc_id", "tag", "n_shingles", F.col("doc_id").alias("component_id")))
+    named = sets.select("key", "node", "rep", "rows").join(rooted.select("node", "root").distinct().join(least, "root"), "node", "left")
+    named = named.select("key", F.coalesce("least", "rep").alias("component_id"), F.coalesce("root", "node").alias("group"), "rows")
+    out = ("doc_id", "tag", "n_shingles", "component_id", "group")
+    some = hot_join(sized.filter("n_shingles > 0"), named, "key", "rows", total).select(*out)
+    alone = sized.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id")).withColumn("group", F.lit(None).cast("long"))
+    return some.unionByName(alone.select(*out))
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:

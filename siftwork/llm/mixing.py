@@ -44,15 +44,21 @@ def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: flo
     return best.select("source", "source_size", F.least(F.col("_cap").cast("double"), F.col("_w") * F.col("_best")).alias("target"))
 
 
-def taken(sized: DataFrame, seed: str = SEED, whole: bool = False, **how) -> DataFrame:
-    """sized (doc_id, source, size) with source_size, target and taken. whole: rows are taken whole, those at a cut if half of them is within."""
-    by_source = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows")).select("source", "source_size"), **how))
-    ranges = max(1, -(-sized.count() // RANGE_ROWS))
+def taken(sized: DataFrame, small: DataFrame, seed: str = SEED, whole: bool = False, **how) -> DataFrame:
+    """sized (doc_id, source, size; other columns stay) with source_size, target and taken. small: its three columns, written.
+
+    whole: rows are taken whole, those at a cut if half of them is within.
+    """
+    by_source = materialize(targets(small.groupBy("source").agg(F.sum("size").alias("source_size")), **how))
+    ranges = max(1, -(-small.count() // RANGE_ROWS))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     at = F.shiftrightunsigned(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * ranges, 32)
-    rows = sized.withColumn("_key", key).withColumn("_range", at).withColumn("_source", F.coalesce("source", F.lit(""))).withColumn("_null", F.col("source").isNull())
-    keys = ["_source", "_null", "_range"]
-    sums = rows.groupBy(*keys).agg(F.sum("size").alias("_sum"))
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_key", key).withColumn("_range", at).withColumn("_source", F.coalesce("source", F.lit(""))).withColumn("_null", F.col("source").isNull())
+
+    rows, keys = keyed(sized), ["_source", "_null", "_range"]
+    sums = keyed(small).groupBy(*keys).agg(F.sum("size").alias("_sum"))
     before = Window.partitionBy("_source", "_null").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(*keys, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
     budgets = by_source.select(F.coalesce("source", F.lit("")).alias("_source"), F.col("source").isNull().alias("_null"), "source_size", "target")
@@ -68,10 +74,19 @@ def taken(sized: DataFrame, seed: str = SEED, whole: bool = False, **how) -> Dat
     return placed.withColumn("taken", (epochs * F.col("size") + part).cast("long")).drop("_key", "_before", "_start", *keys)
 
 
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs (doc_id, source, text), all columns, each as often as the mix takes it whole; rows without words are not taken."""
+    rows = docs.select("doc_id", "source", words().alias("size"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"))
+    small = materialize(rows.select("doc_id", "source", "size"))
+    found = taken(rows, small, whole=True, **how).filter("taken > 0")
+    copies = F.sequence(F.lit(1).cast("long"), F.expr("taken div size"))
+    return found.select("_doc", F.explode(copies)).select("_doc.*")
+
+
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sized = materialize(docs.select("doc_id", "source", words().alias("size")))
-    return taken(sized).select("doc_id", "size", "source_size", "target", "taken")
+    return taken(sized, sized).select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLE_SQL = r"""

@@ -149,23 +149,24 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = FIT_ROWS)
     return model.fit(np.concatenate(bags), np.array([len(b) for b in bags if len(b)]), y[filled])
 
 
-def scored(docs: DataFrame, model: Bags, *keep: Column) -> DataFrame:
-    """keep (named columns of docs) with score."""
+def scored(docs: DataFrame, model: Bags) -> DataFrame:
+    """doc (a struct of all columns of docs) and score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     small_batches(docs.sparkSession)
-    rows = docs.select(*keep, text_of().alias("_text"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    place = docs.columns.index("text")
 
     def run(batches):
         for b in batches:
-            columns = [b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sent.value.score(b.column(b.num_columns - 1)), pa.float64())], [*b.schema.names[:-1], "score"])
+            doc = b.column("doc")
+            scores = sent.value.score(pc.struct_field(doc, [place]))
+            yield pa.RecordBatch.from_arrays([doc, pa.array(scores, pa.float64())], ["doc", "score"])
 
-    schema = rows.drop("_text").withColumn("score", F.lit(0.0)).schema
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, rows.withColumn("score", F.lit(0.0)).schema)
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), id_crc() % 5 != 0)
-    rows = scored(docs, model, F.col("doc_id"), (id_crc() % 5 == 0).alias("held_out"))
-    return rows.select("doc_id", "held_out", "score", F.when(F.col("score") >= CUT, 1).otherwise(0).alias("predicted"))
+    rows = scored(docs.select("doc_id", "text"), model)
+    return rows.select("doc.doc_id", (id_crc("doc.doc_id") % 5 == 0).alias("held_out"), "score", F.when(F.col("score") >= CUT, 1).otherwise(0).alias("predicted"))

@@ -80,14 +80,20 @@ def assign(groups: DataFrame, shards: int) -> DataFrame:
 
 
 def shard_rows(docs: DataFrame, shards: int) -> DataFrame:
-    """docs' columns without text (doc_id and text are needed), with size, text_crc32, shard and slot (from 0 in each shard)."""
+    """doc_id, size, text_crc32, shard and slot (from 0 in each shard) of the rows of docs (doc_id, text), and doc, if docs has such a column."""
     text = text_of()
-    rows = docs.select("doc_id", F.sha2(text, 256).alias("item"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    rows = materialize(rows.withColumn("item", F.unhex("item")))
-    groups = materialize(rows.groupBy("item").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("n")))
+    rows = docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("item"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *(["doc"] if "doc" in docs.columns else []))
+    small = materialize(rows.drop("doc"))
+    groups = materialize(small.groupBy("item").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("n")))
     total = groups.agg(F.sum("n")).first()[0] or 0
     dealt = materialize(assign(groups.select("item", "total"), shards)).join(groups.select("item", "n"), "item")
-    return numbered(hot_join(rows, dealt, "item", "n", total).drop("n", "item"), total)
+    return numbered(hot_join(rows if "doc" in docs.columns else small, dealt, "item", "n", total).drop("n", "item"), total)
+
+
+def with_shards(docs: DataFrame, shards: int) -> DataFrame:
+    """The rows of docs, all columns but former ones of these names, with shard and slot."""
+    columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]
+    return shard_rows(docs.select("doc_id", "text", F.struct(*columns).alias("doc")), shards).select("doc.*", "shard", "slot")
 
 
 def numbered(rows: DataFrame, total: int, by: tuple[str, ...] = ("doc_id", "text_crc32", "size")) -> DataFrame:
