@@ -1,18 +1,20 @@
 """Exact Jaccard join of word-shingle sets by PartEnum signatures.
 
-Sets whose sizes are in one band and whose similarity reaches the threshold differ in at most k elements, k following
-from the band's largest size. The domain of shingles is partitioned by hash into first-level parts, and each of these
-into N2 cells. At most k // 2 first-level parts can hold two differences or more, so in the others the sets agree on
-all cells but one at most: the enumerated subsets of N2 - 1 cells contain one that is equal in both sets, and its
-content's hash is a shared signature. A set signs for its own band, and for the next one if a partner may be there.
-
-Signatures over a few elements (less than LIGHT) are shared by chance. There are SLACK more first-level parts than
-needed, so m of them agree, not just one. A set with less than m parts that have a light subset leaves out its light
+A size band is for pairs whose smaller set has a size in its range; a set signs in each band in which it may be the
+smaller or the larger one. Sets of a band whose similarity reaches the threshold differ in at most k elements, k
+following from the band's sizes. The domain of shingles is partitioned by hash into first-level parts, and each of
+these into N2 cells. At most k // 2 first-level parts can hold two differences or more, so in the others the sets
+agree on all cells but one at most: the enumerated subsets of N2 - 1 cells contain one that is equal in both sets, and
+its content's hash is a shared signature.
+
+Signatures over less than LIGHT elements are shared by chance. There are a SLACK-th more first-level parts than needed,
+so m of them agree, not just one. A set with less than m parts that have a light subset leaves out its light
 signatures: one of the m agreeing parts is heavy in it. Sets with more of them sign all.
 
-Sets that share a signature are put in one family (a superset of the components). A family is verified exactly by
-counting common shingles through an inverted index, in blocks of BLOCK shingles at most; a family of more is dealt as
-pairs of blocks. Signatures travel packed, and equal sets travel once a task. The links found give the components.
+Sets of a band that share a signature are put in one family, so a family holds whole components of its band. It is
+verified exactly by counting common shingles through an inverted index, in blocks of BLOCK shingles at most; a family
+of more is dealt, in order of size, as pairs of blocks whose sizes allow links. Signatures travel packed, and equal
+sets travel once a task. The links found in all bands give the components.
 
 Defined results: null texts and texts without words have an empty set and are linked with nothing; texts of fewer
 words than a shingle are one shingle of all words; a null doc_id never is a component's id unless all in it are null;
@@ -23,51 +25,58 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hot_join, materialize, small_batches, text_of
 from .components import components
 from .shingles import M1, M2, mix, shingle_sets
 
-N2, LIGHT = 3, 3
+N2, LIGHT, SLACK = 3, 1, 8
 #: Signatures in a part, and shingles in a block, about.
 PART, BLOCK = 1_000_000, 400_000
 SEEN = 500_000
 NODE = np.uint64((1 << 48) - 1)
-BAND_RATIO = 1.45
+BAND_RATIO = 1.25
 
 
 class Bands:
-    """Bands of set sizes for the threshold num / den; their signatures."""
+    """Bands of set sizes for the threshold num / den; their signatures.
+
+    Band b is for pairs whose smaller size is from starts[b] to starts[b + 1] - 1; the larger one is up to den / num of that.
+    """
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        self.tops = [0]  # band b holds sizes from tops[b] + 1 to tops[b + 1]
+        self.starts = [1]
+
+    def bands(self, size: int) -> list[int]:
+        """Those in which a set of this size may be the smaller (the last) or the larger one."""
+        while self.starts[-1] <= size:
+            self.starts.append(max(self.starts[-1] + 1, int(self.starts[-1] * BAND_RATIO)))
+        own = int(np.searchsorted(self.starts, size, "right")) - 1
+        first = own
+        while first and self.largest(first - 1) >= size:
+            first -= 1
+        return list(range(first, own + 1))
 
-    def band(self, size: int) -> int:
-        while self.tops[-1] < size:
-            low = self.tops[-1] + 1
-            self.tops.append(max(low, int(low * BAND_RATIO), low * self.den // self.num))
-        return int(np.searchsorted(self.tops, size)) - 1
+    def largest(self, band: int) -> int:
+        return (self.starts[band + 1] - 1) * self.den // self.num
 
     def shape(self, band: int) -> tuple[int, int, int]:
         """First-level parts, cells of each, and how many of the parts agree at least."""
-        self.band(self.tops[-1] + 1) if band + 1 >= len(self.tops) else None
-        k = 2 * self.tops[band + 1] * (self.den - self.num) // (self.den + self.num)
+        k = (self.starts[band + 1] - 1 + self.largest(band)) * (self.den - self.num) // (self.den + self.num)
         if k == 0:
             return 1, 1, 1
         needed = k // 2 + 1
-        parts = needed + 1 + needed // 8
+        parts = needed + 1 + needed // SLACK
         return parts, N2, parts - k // 2
 
-    def signatures(self, hashes: np.ndarray) -> np.ndarray:
-        size = len(hashes)
-        own = self.band(size)
-        bands = [own] + [own + 1] * (self.den * size >= self.num * (self.tops[own + 1] + 1))
+    def signatures(self, hashes: np.ndarray) -> list[np.ndarray]:
+        """Those of each of the set's bands."""
         spread = mix(hashes + M2)
         out = []
-        for band in bands:
+        for band in self.bands(len(hashes)):
             parts, cells, agree = self.shape(band)
             at = (((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)) * np.uint64(cells) + (((hashes & np.uint64(0xFFFFFFFF)) * np.uint64(cells)) >> np.uint64(32))
             at = at.astype(np.int64)
@@ -84,7 +93,12 @@ class Bands:
             if cells > 1 and light.any() and light.any(1).sum() < agree:
                 signed = signed[~light.ravel()]
             out.append(signed)
-        return np.concatenate(out)
+        return out
+
+
+def band_nodes(key: int, bands: list[int]) -> np.ndarray:
+    """A set's number in each of its bands: families do not reach from one band to another."""
+    return mix(np.uint64(key) ^ mix(np.array(bands, np.uint64) + M2)) & NODE
 
 
 def set_keys(sets: list[np.ndarray]) -> np.ndarray:
@@ -144,11 +158,12 @@ def _sign(width: int, num: int, den: int, parts: int):
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(key)
-                    sigs.append(bands.signatures(s))
-                    nodes.append(np.full(len(sigs[-1]), key, np.uint64))
+                    for some, node in zip(bands.signatures(s), band_nodes(key, bands.bands(len(s)))):
+                        sigs.append(some)
+                        nodes.append(np.full(len(some), node, np.uint64))
             if not sigs:
                 continue
-            sig, node = np.concatenate(sigs), np.concatenate(nodes) & NODE
+            sig, node = np.concatenate(sigs), np.concatenate(nodes)
             part = (((sig >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             sig, node, part = sig[order], node[order], part[order]
@@ -227,19 +242,19 @@ def links_in_block(sets: list[np.ndarray], side: np.ndarray, num: int, den: int)
 
 
 def _verify(width: int, num: int, den: int):
-    """Rows (family, i, j, chunks, chunk, node, key, text), sorted by (family, i, j) -> (node, root, whole): links that hold."""
+    """Rows (family, i, j, chunk, node, key, text), sorted by (family, i, j, node) -> (node, root): links that hold."""
 
     def found(rows, sets):
-        keys = [r[5] for r in rows]
+        keys = [r[4] for r in rows]
         order = sorted(range(len(rows)), key=keys.__getitem__)
         root = links_in_block([sets[k] for k in order], np.array([rows[k][3] for k in order]), num, den)
-        return [(keys[k], keys[order[r]], rows[k][4] == 1) for k, r in zip(order, root.tolist()) if order[r] != k]
+        return [(keys[k], keys[order[r]]) for k, r in zip(order, root.tolist()) if order[r] != k]
 
     def run(batches):
         now, rows, sets = None, [], []
         for b in batches:
             texts = b.column("text")
-            cols = [b.column(c).to_pylist() for c in ("family", "i", "j", "chunk", "chunks", "node")]
+            cols = [b.column(c).to_pylist() for c in ("family", "i", "j", "chunk", "node")]
             wanted = b.column("key").to_pylist()
             some = shingle_sets(texts, width)
             out = []
@@ -250,7 +265,7 @@ def _verify(width: int, num: int, den: int):
                     if len(rows) > 1:
                         out += found(rows, sets)
                     now, rows, sets = r[:3], [], []
-                if not any(r[5] == x[5] for x in rows[-1:]):
+                if not any(r[4] == x[4] for x in rows[-1:]):
                     rows.append(r)
                     sets.append(s)
             if out:
@@ -262,18 +277,27 @@ def _verify(width: int, num: int, den: int):
 
 
 def _links(rows) -> pa.RecordBatch:
-    node, root, whole = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(root, pa.int64()), pa.array(whole, pa.bool_())], ["node", "root", "whole"])
+    node, root = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(root, pa.int64())], ["node", "root"])
 
 
-def _sized(width: int):
+def _sized(width: int, num: int, den: int):
     def run(batches):
+        bands = Bands(num, den)
         for b in batches:
             sets = shingle_sets(b.column("text"), width)
             keys = set_keys(sets)
+            shorts = [band_nodes(int(k[0]), bands.bands(len(s))).astype(np.int64) if len(s) else [] for k, s in zip(keys, sets)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("tag"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(keys[:, 0].astype(np.int64))],
-                ["doc_id", "tag", "n_shingles", "key", "node"],
+                [
+                    b.column("doc_id"),
+                    b.column("tag"),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([k.tobytes() for k in keys], pa.binary()),
+                    pa.array(keys[:, 0].astype(np.int64)),
+                    pa.array(shorts, pa.list_(pa.int64())),
+                ],
+                ["doc_id", "tag", "n_shingles", "key", "node", "shorts"],
             )
 
     return run
@@ -284,26 +308,37 @@ def jaccard_groups(docs: DataFrame, width: int, num: int, den: int) -> DataFrame
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     tagged = texts.select("doc_id", F.xxhash64("text").alias("tag"), "text")
-    sized = materialize(tagged.mapInArrow(_sized(width), "doc_id long, tag long, n_shingles long, key binary, node long"))
+    sized = materialize(tagged.mapInArrow(_sized(width, num, den), "doc_id long, tag long, n_shingles long, key binary, node long, shorts array<long>"))
     total, shingles = sized.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
-    parts = max(1, -(-2 * shingles * (den - num) * N2 // (den * PART)))
+    parts = max(1, -(-5 * shingles * (den - num) // (den * PART)))
     signed = texts.select("text").mapInArrow(_sign(width, num, den, parts), "part long, blob binary")
     edges = signed.repartition(parts, "part").mapInArrow(_pair_up, "a long, b long")
     family = components(edges).select(F.col("node").alias("short"), F.col("root").alias("family"))
-    sets = sized.filter("n_shingles > 0").groupBy("key", "node", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("tag").alias("rep_tag"), F.count(F.lit(1)).alias("rows"))
-    sets = materialize(sets)
-    members = materialize(sets.withColumn("short", F.col("node").bitwiseAND(F.lit((1 << 48) - 1))).join(family, "short").drop("short"))
-    chunks = members.groupBy("family").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("chunks"), F.count(F.lit(1)).alias("of")).filter("of > 1").drop("of")
-    dealt = members.join(chunks, "family").withColumn("chunk", F.pmod(F.hash("node"), F.col("chunks")))
-    fetched = dealt.select("family", "chunks", "chunk", "node", "key", F.col("rep").alias("_rep")).hint("merge")
-    rows = fetched.join(texts, F.col("_rep").eqNullSafe(F.col("doc_id"))).drop("_rep", "doc_id")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
+    sets = sized.filter("n_shingles > 0").groupBy("key", "node", "n_shingles").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("_least"), F.first("shorts").alias("shorts"), F.count(F.lit(1)).alias("rows")
+    )
+    sets = materialize(sets.withColumn("rep", F.col("_least.doc_id")).withColumn("rep_tag", F.col("_least.tag")).drop("_least"))
+    members = sets.select("key", "node", "n_shingles", "rep", "rep_tag", F.explode("shorts").alias("short")).join(family, "short").drop("short")
+    members = materialize(members)
+    # blocks of a family follow its sizes: sums of shingles of the smaller sizes tell a set's block
+    by_size = members.groupBy("family", "n_shingles").agg(F.sum("n_shingles").alias("_sum"), F.count(F.lit(1)).alias("_sets"))
+    of_family = Window.partitionBy("family")
+    before = F.coalesce(F.sum("_sum").over(of_family.orderBy("n_shingles").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by_size = by_size.withColumn("_before", before).withColumn("_last", F.sum("_sum").over(of_family)).withColumn("_of", F.sum("_sets").over(of_family)).filter("_of > 1")
+    # the sets of one size are spread over the blocks that their sum reaches into
+    first, spread = F.floor(F.col("_before") / BLOCK).cast("int"), F.greatest(F.lit(1), F.ceil(F.col("_sum") / BLOCK)).cast("int")
+    by_size = by_size.select("family", "n_shingles", first.alias("_first"), spread.alias("_spread"), (F.col("_last") <= BLOCK).alias("whole"))
+    dealt = members.join(by_size, ["family", "n_shingles"]).withColumn("chunk", F.when(F.col("whole"), 0).otherwise(F.col("_first") + F.pmod(F.hash("node"), F.col("_spread"))))
+    ranges = dealt.groupBy("family", "chunk").agg(F.min("n_shingles").alias("_low"), F.max("n_shingles").alias("_high"))
+    other = ranges.select("family", F.col("chunk").alias("other"), F.col("_low").alias("_low2"), F.col("_high").alias("_high2"))
+    reach = (F.col("other") >= F.col("chunk")) & (F.col("_high") * den >= F.col("_low2") * num) & (F.col("_high2") * den >= F.col("_low") * num)
+    blocks = ranges.join(other, "family").filter(reach).select("family", F.col("chunk").alias("i"), F.col("other").alias("j"))
+    mine = blocks.select("family", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("chunk"))
+    dealt = dealt.select("family", "whole", "chunk", "node", "key", F.col("rep").alias("_rep"), "rep_tag").join(mine, ["family", "chunk"])
+    rows = dealt.hint("merge").join(tagged, (F.col("rep_tag") == F.col("tag")) & F.col("_rep").eqNullSafe(F.col("doc_id"))).drop("_rep", "doc_id", "tag", "rep_tag")
     rows = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
-    links = materialize(rows.mapInArrow(_verify(width, num, den), "node long, root long, whole boolean"))
-    joint = components(links.filter("NOT whole").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    stars = links.filter("whole").select("node", "root")
-    roots = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()).unionByName(joint)
+    links = materialize(rows.mapInArrow(_verify(width, num, den), "node long, root long"))
+    roots = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     rooted = materialize(sets.select("node", "rep").join(roots, "node"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("least"))
     named = sets.select("key", "node", "rep", "rows").join(rooted.select("node", "root").distinct().join(least, "root"), "node", "left")
