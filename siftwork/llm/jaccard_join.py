@@ -8,8 +8,9 @@ agree on all cells but one at most: the enumerated subsets of N2 - 1 cells conta
 its content's hash is a shared signature.
 
 Signatures over less than LIGHT elements are shared by chance. There are a SLACK-th more first-level parts than needed,
-so m of them agree, not just one. A set with less than m parts that have a light subset leaves out its light
-signatures: one of the m agreeing parts is heavy in it. Sets with more of them sign all.
+so m of them agree, not just one. Light signatures are left out: if one of two linked sets has less than m parts with a
+light subset, one of the m agreeing parts is heavy in it, and both sign that. Sets with m such parts or more sign once
+more by a partition of another seed, so two of them meet there; after TURNS turns, what is left signs all.
 
 Sets of a band that share a signature are put in one family, so a family holds whole components of its band. It is
 verified exactly by counting common shingles through an inverted index, in blocks of BLOCK shingles at most; a family
@@ -38,6 +39,7 @@ PART, BLOCK = 1_000_000, 400_000
 SEEN = 500_000
 NODE = np.uint64((1 << 48) - 1)
 BAND_RATIO = 1.25
+TURNS = 5
 
 
 class Bands:
@@ -74,25 +76,28 @@ class Bands:
 
     def signatures(self, hashes: np.ndarray) -> list[np.ndarray]:
         """Those of each of the set's bands."""
-        spread = mix(hashes + M2)
         out = []
         for band in self.bands(len(hashes)):
             parts, cells, agree = self.shape(band)
-            at = (((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)) * np.uint64(cells) + (((hashes & np.uint64(0xFFFFFFFF)) * np.uint64(cells)) >> np.uint64(32))
-            at = at.astype(np.int64)
-            sums = np.zeros(parts * cells, np.uint64)
-            np.add.at(sums, at, spread)
-            sums = sums.reshape(parts, cells)
-            counts = np.bincount(at, minlength=parts * cells).reshape(parts, cells)
-            if cells > 1:
-                sums = sums.sum(1, keepdims=True) - sums
-                counts = counts.sum(1, keepdims=True) - counts
-            key = np.arange(parts * cells, dtype=np.uint64) + np.uint64(band << 32)
-            signed = mix(sums.ravel() * M1 + mix(key + M1))
-            light = counts < LIGHT
-            if cells > 1 and light.any() and light.any(1).sum() < agree:
-                signed = signed[~light.ravel()]
-            out.append(signed)
+            signed, keys = [], np.arange(parts * cells, dtype=np.uint64) + np.uint64(band << 32)
+            for turn in range(TURNS if cells > 1 else 1):
+                h = mix(hashes + np.uint64((turn + 1) * int(M2) & (1 << 64) - 1))
+                at = (((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)) * np.uint64(cells) + (((h & np.uint64(0xFFFFFFFF)) * np.uint64(cells)) >> np.uint64(32))
+                at = at.astype(np.int64)
+                sums = np.zeros(parts * cells, np.uint64)
+                np.add.at(sums, at, mix(h))
+                sums = sums.reshape(parts, cells)
+                counts = np.bincount(at, minlength=parts * cells).reshape(parts, cells)
+                if cells > 1:
+                    sums = sums.sum(1, keepdims=True) - sums
+                    counts = counts.sum(1, keepdims=True) - counts
+                made = mix(sums.ravel() * M1 + mix(keys * np.uint64(TURNS) + np.uint64(turn)))
+                light = counts < LIGHT
+                few = cells == 1 or light.any(1).sum() < agree
+                signed.append(made if cells == 1 or not few and turn == TURNS - 1 else made[~light.ravel()])
+                if few:
+                    break
+            out.append(np.concatenate(signed))
         return out
 
 
