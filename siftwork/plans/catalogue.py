@@ -1,12 +1,18 @@
-"""Registered queries over the driver's tables, each with its SQL."""
+"""Registered queries over the driver's tables, each with its SQL where SQL can express it.
+
+The tables hold no code, logs or lock files, so those are made of table rows by expressions that both engines read
+from the same text.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import text
+from ..functions import paths, scalars
+from ..operators import code, index, lockfile, logs, reads, repomap, savings, search, smart_read, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -26,6 +32,643 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE greatest(1, length(text) // 4) END::BIGINT AS tokens FROM documents")
+def documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents")
+
+
+# --- text ---------------------------------------------------------------------------------------------------------
+
+LINES = """d AS (SELECT doc_id, text, CASE WHEN text = '' THEN [] WHEN text LIKE '%' || chr(10) THEN string_split(text, chr(10))[1:len(string_split(text, chr(10))) - 1] ELSE string_split(text, chr(10)) END AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS n, len(ls) AS total FROM d)"""
+CHARS4 = "CASE WHEN {0} = '' THEN 0 ELSE greatest(1, length({0}) // 4) END"
+
+
+@query(f"SELECT doc_id, ({CHARS4.format('text')})::BIGINT AS tokens FROM documents")
 def token_estimate_chars4(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.estimate_tokens("text").alias("tokens"))
+    return documents(spark, sf_dir).select("doc_id", scalars.est_chars4("text").alias("tokens"))
+
+
+@query("""SELECT doc_id, (CASE WHEN text = '' THEN 0 ELSE greatest(1, trunc(length(text) / (CASE WHEN h LIKE '%def %' OR h LIKE '%function %' OR h LIKE '%class %' OR contains(h, '{') OR contains(h, '}') OR h LIKE '%import %' OR contains(h, ';') THEN 3.2::DOUBLE ELSE 3.8::DOUBLE END))) END)::BIGINT AS tokens
+FROM (SELECT doc_id, text, text[1:500] AS h FROM documents)""")
+def token_estimate_ratio(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", scalars.est_ratio("text").alias("tokens"))
+
+
+@query(f"""WITH {LINES}, s AS (SELECT doc_id, count(*) AS n_lines, sum(length(line)) AS line_chars, sum((trim(line) = '')::INT) AS blank FROM l GROUP BY 1)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(line_chars, 0)::BIGINT AS line_chars, coalesce(blank, 0)::BIGINT AS blank, (length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS newlines FROM d LEFT JOIN s USING (doc_id)""")
+def line_explode_stats(spark, sf_dir):
+    ls = text.lines_of("text")
+    rows = documents(spark, sf_dir).select("doc_id", ls.alias("ls"), text.newline_count("text").cast("long").alias("newlines"))
+    chars = F.aggregate("ls", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    return rows.select("doc_id", F.size("ls").cast("long").alias("n_lines"), chars.alias("line_chars"), F.size(F.filter("ls", lambda x: scalars.trim_ws(x) == "")).cast("long").alias("blank"), "newlines")
+
+
+@query(f"""WITH {LINES}, s AS (SELECT doc_id, n, total, n || ': ' || line AS x, 2 AS first, least(total, 60) AS last FROM l WHERE n BETWEEN 2 AND 60),
+p AS (SELECT *, n - first < 40 AND (n = first OR coalesce(sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(x) <= 2500) AS ok FROM s),
+e AS (SELECT doc_id, max(n) FILTER (WHERE ok) AS page_end, string_agg(x, chr(10) ORDER BY n) FILTER (WHERE ok) AS body FROM p GROUP BY 1)
+SELECT d.doc_id, CASE WHEN len(ls) = 0 THEN 'EMPTY' WHEN 2 > len(ls) THEN 'START_BEYOND_END' ELSE 'OK' END AS status, page_end::INT AS page_end, CASE WHEN page_end < least(len(ls), 60) THEN page_end + 1 END::INT AS next_start, CASE WHEN page_end < least(len(ls), 60) THEN least(page_end + 40, least(len(ls), 60)) END::INT AS next_end, body FROM d LEFT JOIN e USING (doc_id)""")
+def line_slice(spark, sf_dir):
+    rows = text.slice_lines(documents(spark, sf_dir), F.lit(2), F.lit(60))
+    good = F.col("status") == "OK"
+    return rows.select("doc_id", "status", *(F.when(good, F.col(c)).alias(c) for c in ("page_end", "next_start", "next_end", "body")))
+
+
+@query(f"""WITH {LINES}, p AS (SELECT *, n <= 40 AND (n = 1 OR coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(line) <= 2500) AS ok FROM l),
+e AS (SELECT doc_id, max(n) FILTER (WHERE ok) AS page_end, string_agg(n || ': ' || line, chr(10) ORDER BY n) FILTER (WHERE ok) AS shown FROM p GROUP BY 1),
+f AS (SELECT d.doc_id, text, len(ls)::INT AS total_lines, coalesce(page_end, 0)::INT AS page_end, coalesce(shown, '') AS shown FROM d LEFT JOIN e USING (doc_id))
+SELECT doc_id, total_lines, page_end, CASE WHEN page_end < total_lines THEN page_end + 1 END AS next_start, CASE WHEN page_end < total_lines THEN least(page_end + 40, total_lines) END AS next_end, length(shown)::INT AS shown_chars, ({CHARS4.format('text')})::BIGINT AS orig_tokens, ({CHARS4.format('shown')})::BIGINT AS opt_tokens FROM f""")
+def page_first(spark, sf_dir):
+    return text.first_page(documents(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {LINES}, c AS (SELECT doc_id, n, total, length(line) AS len, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum FROM l),
+r AS (SELECT doc_id, list({{'n': n, 'len': len, 'cum': cum}} ORDER BY n) AS a, max(total) AS total FROM c GROUP BY 1),
+p AS (SELECT doc_id, 1 AS start FROM r UNION ALL
+  SELECT p.doc_id, (p.start + len(list_filter(r.a[p.start:p.start + 39], lambda x: x.n = p.start OR x.cum - r.a[p.start].cum + x.len <= 2500)))::INT FROM p JOIN r USING (doc_id) WHERE p.start + len(list_filter(r.a[p.start:p.start + 39], lambda x: x.n = p.start OR x.cum - r.a[p.start].cum + x.len <= 2500)) <= r.total)
+SELECT doc_id, count(*)::BIGINT AS pages, string_agg(start::VARCHAR, ',' ORDER BY start) AS starts FROM p GROUP BY 1""")
+def page_chain(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", text.page_starts(text.lines_of("text")).alias("s")).filter(F.size("s") > 0)
+    return rows.select("doc_id", F.size("s").cast("long").alias("pages"), F.array_join(F.col("s").cast("array<string>"), ",").alias("starts"))
+
+
+@query(f"""WITH {LINES}, m AS (SELECT doc_id, min(n) AS match_line, max(total) AS total FROM l WHERE contains(line, 'shing') GROUP BY 1)
+SELECT m.doc_id, match_line::INT AS match_line, least(m.total, match_line + 40)::INT AS end_line, string_agg(n || ': ' || line, chr(10) ORDER BY n) AS body FROM m JOIN l ON l.doc_id = m.doc_id AND n BETWEEN match_line AND match_line + 40 GROUP BY ALL""")
+def symbol_line_fallback(spark, sf_dir):
+    return text.symbol_fallback(documents(spark, sf_dir), "shing")
+
+
+ESCAPED = "chr(27) || '[31m' || text || chr(27) || '[0m' || chr(13) || chr(27) || ']0;t' || chr(7)"
+
+
+@query(f"SELECT doc_id, sha256(regexp_replace({ESCAPED}, '\\x1b\\[[0-9;]*[a-zA-Z]|\\x1b\\][^\\x07]*\\x07|\\x1b\\([B0UK]|\\r', '', 'g')) AS clean_hash FROM documents")
+def ansi_strip(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", scalars.content_hash(scalars.strip_ansi(F.expr(ESCAPED))).alias("clean_hash"))
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash, substr(sha256(text), 1, 16) AS short_hash, regexp_replace(text[1:40], '^\\s+|\\s+$', '', 'g') AS snippet FROM documents")
+def content_hashes(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", scalars.content_hash("text").alias("content_hash"), scalars.short_hash("text").alias("short_hash"), scalars.trim_ws(F.substring("text", 1, 40)).alias("snippet"))
+
+
+# --- paths --------------------------------------------------------------------------------------------------------
+
+_TAILS = (
+    ".py", ".env", ".pem", "/credentials.json", ".min.js", "/package-lock.json", "/Cargo.lock", ".rs", ".GO", "/Makefile", "/Dockerfile.dev", "/CMakeLists.txt",
+    ".png", ".PDF", "", "/.hidden/a.ts", "/node_modules/x.js", "/secrets/k.txt", ".tar.gz", "/go.sum", ".map", "/id_rsa", "/build/out.c", ".md",
+)
+PATH = "'src/' || replace(p_name, ' ', '_') || p_partkey || CASE p_partkey % 24 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TAILS)) + " END"
+PATHS = f"p AS (SELECT p_partkey, {PATH} AS path FROM part), q AS (SELECT *, regexp_extract(path, '([^/]*)$', 1) AS base FROM p)"
+
+
+def part_paths(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.expr(PATH.replace("|| p_partkey ||", "|| cast(p_partkey as string) ||")).alias("path"))
+
+
+def _any_glob(globs) -> str:
+    tests = [f"regexp_matches({c}, '{paths.glob_regex(g)[4:]}', 's')" for g in globs for c in ("path", "base")]
+    tests += [f"regexp_matches(path, '{paths.glob_regex('*/' + g)[4:]}', 's')" for g in globs if "/" in g]
+    return " OR ".join(tests)
+
+
+@query(f"WITH {PATHS} SELECT p_partkey, path, ({_any_glob(paths.SECRET_GLOBS)}) AS secret FROM q")
+def ignore_glob(spark, sf_dir):
+    return part_paths(spark, sf_dir).withColumn("secret", paths.is_secret("path"))
+
+
+@query(f"WITH {PATHS} SELECT p_partkey, path, ({_any_glob(paths.LOCK_GLOBS)}) AS locked FROM q")
+def lockfile_glob(spark, sf_dir):
+    return part_paths(spark, sf_dir).withColumn("locked", paths.is_lock_file("path"))
+
+
+@query(f"WITH {PATHS} SELECT p_partkey, lower(regexp_extract(base, '^.+\\.([^.]+)$', 1)) IN ({', '.join(repr(e) for e in paths.BINARY)}) AS is_binary FROM q")
+def binary_ext(spark, sf_dir):
+    return part_paths(spark, sf_dir).select("p_partkey", paths.is_binary("path").alias("is_binary"))
+
+
+_EXT = "lower(regexp_extract(base, '^.+\\.([^.]+)$', 1))"
+_LANG = "CASE WHEN lower(base) IN ('makefile', 'gnumakefile') THEN 'make' WHEN lower(base) = 'dockerfile' OR lower(base) LIKE 'dockerfile.%' THEN 'dockerfile' WHEN lower(base) = 'cmakelists.txt' THEN 'cmake' " + " ".join(
+    f"WHEN {_EXT} = '{e}' THEN '{lang}'" for lang, exts in paths.LANGUAGES.items() for e in exts.split()
+) + " END"
+
+
+@query(f"WITH {PATHS} SELECT p_partkey, {_LANG} AS lang FROM q")
+def lang_detect(spark, sf_dir):
+    return part_paths(spark, sf_dir).select("p_partkey", paths.language_of("path").alias("lang"))
+
+
+@query(f"WITH {PATHS} SELECT p_partkey, len(list_filter(string_split(path, '/')[1:len(string_split(path, '/')) - 1], lambda d: d LIKE '.%' OR d IN ({', '.join(repr(e) for e in paths.SKIPPED)}))) > 0 AS skipped FROM q")
+def skip_dirs(spark, sf_dir):
+    return part_paths(spark, sf_dir).select("p_partkey", paths.in_skipped_folder("path").alias("skipped"))
+
+
+@query(f"WITH {PATHS} SELECT p_partkey, string_split(replace(path || '#L1-2', chr(92), '/'), '#')[1] AS key_base, 'L1-2' AS fragment FROM q")
+def read_keys(spark, sf_dir):
+    key = F.concat("path", F.lit("#L1-2"))
+    return part_paths(spark, sf_dir).select("p_partkey", scalars.key_base(key).alias("key_base"), scalars.key_fragment(key).alias("fragment"))
+
+
+@query()
+def dir_tree(spark, sf_dir):
+    """Lines of the tree of all page addresses; ordered work over nested names, tested against a plain walk."""
+    urls = table(spark, sf_dir, "pages").select(F.regexp_replace(F.regexp_replace("url", r"^\w+://", ""), r"[?#].*$", "").alias("path"))
+    return repomap.directory_tree(urls)
+
+
+# --- savings ------------------------------------------------------------------------------------------------------
+
+SAVINGS = "CASE event_type WHEN 'view' THEN 'skeleton' WHEN 'click' THEN 'slice' WHEN 'purchase' THEN 'cache' WHEN 'signup' THEN 'command' ELSE 'other' END AS category, CAST(round(value * 100) AS BIGINT) - 50 AS original, CAST(round(value * 37) AS BIGINT) AS optimized"
+VALID = f"s AS (SELECT *, greatest(0, original - optimized) AS saved FROM (SELECT {SAVINGS} FROM events) WHERE original > 0)"
+
+
+def savings_events(spark, sf_dir):
+    return table(spark, sf_dir, "events").selectExpr(*SAVINGS.split(", CAST")[:1], *("CAST" + x for x in SAVINGS.split(", CAST")[1:]))
+
+
+@query(f"WITH {VALID} SELECT category, sum(original)::BIGINT AS original, sum(optimized)::BIGINT AS optimized, sum(saved)::BIGINT AS saved, count(*) AS count, round(sum(saved) / sum(original) * 100, 6) AS saved_pct FROM s WHERE category <> 'other' GROUP BY 1")
+def savings_rollup(spark, sf_dir):
+    return savings.by_category(savings_events(spark, sf_dir))
+
+
+@query(f"WITH {VALID} SELECT sum(original)::BIGINT AS original, sum(optimized)::BIGINT AS optimized, sum(saved)::BIGINT AS saved, count(*) AS count, round(sum(saved) FILTER (WHERE category <> 'other') / sum(original) FILTER (WHERE category <> 'other') * 100, 6) AS saved_pct, round(sum(saved) / 1e6 * 3, 6) AS dollars FROM s")
+def savings_totals(spark, sf_dir):
+    return savings.totals(savings_events(spark, sf_dir))
+
+
+@query("SELECT source, least(greatest(sum(least(trunc(n_chars / 3.5::DOUBLE)::BIGINT, 600)), 200), 3000)::BIGINT AS original, true AS estimated FROM documents GROUP BY 1")
+def estimated_costs(spark, sf_dir):
+    return savings.estimated_original(documents(spark, sf_dir).withColumnRenamed("n_chars", "size"), 600, 200, 3000, "source")
+
+
+# --- logs ---------------------------------------------------------------------------------------------------------
+
+#: Lines of synthetic logs by kind; % stands for a row's part key.
+LOG_LINES = {
+    "pytest": ("tests/a_%.py::t PASSED [ 5%]", "tests/b_%.py::t FAILED [ 9%]", "collected % items", "rootdir: /r%", "E   assert %", "noise %", "platform linux %", "==== FAILURES ===="),
+    "cargo_test": ("test t% ... ok", "error: bad %", "test result: ok. % passed", "warning: unused %", "   note %", "running % tests", "failures: %", "---- t% stdout"),
+    "cargo": ("   Compiling c% v1", "Downloaded d%", "warning: w%", "error[E%]: x", "Finished %", "  Downloaded e%", "note %", "cargo %"),
+    "jest": ("PASS src/%.test.js", "  ✓ works %", "FAIL src/%.js", "Tests: %", "  at x %", "PASSED? %", "Time: %", "  ✕ broken %"),
+    "go": ("=== RUN   T%", "--- PASS: T%", "PASS", "--- FAIL: T%", "ok   pkg/%", "    t.go:%", "FAIL", "  --- PASS: U%"),
+    "npm": ("npm fetch GET %", "[1/4] Resolving %", "added % packages", "npm WARN old %", "Downloading %", "yarn add x%", "GET /p%", "done %"),
+    "docker": ("Step %/9 : RUN", " ---> abcdef%", "Removing intermediate container %", " ---> Using cache", "Built %", " ---> Running in zz%", "err %", "Tagged %"),
+    "maven": ("Downloading from central: %", "Downloaded from central: %", "> Task :c% UP-TO-DATE", "BUILD SUCCESS %", "Download http://%", "[INFO] Building %", "> Task :d%", "warn %"),
+    "git": ("On branch b%", "  (use \"git add %\" to track)", "hint: pull %", "modified: f% (use \"git restore\" x)", "nothing %", "commit c%", "  hint: %", "(use 'git rm' %)"),
+}
+
+
+def _case(kind: str) -> str:
+    quoted = [("'" + x.replace("'", "''").replace("[ 5%]", "[ 5@]").replace("[ 9%]", "[ 9@]").replace("%", "' || CAST(l_partkey AS VARCHAR(20)) || '") + "'").replace("@", "%") for x in LOG_LINES[kind]]
+    return "CASE (l_orderkey + l_linenumber + l_partkey) % 8 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(quoted)) + " END"
+
+
+def _line_rows(kind: str) -> str:
+    return f"t AS (SELECT l_orderkey AS log_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)) - 1 AS pos, {_case(kind)} AS line FROM lineitem)"
+
+
+def synthetic_logs(spark, sf_dir, kind: str, hint: str | None = None, exit_code: int = 0) -> DataFrame:
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.expr(_case(kind).replace("VARCHAR(20)", "STRING")).alias("line"))
+    raw = F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["line"]), "\n")
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("log_id")).agg(raw.alias("raw"))
+    return rows.withColumn("type_hint", F.lit(hint or kind)).withColumn("exit_code", F.lit(exit_code)).withColumn("bypass", F.lit(False))
+
+
+_BARE = "regexp_replace(line, '^\\s+|\\s+$', '', 'g')"
+_DROP = {
+    "jest": f"{_BARE} LIKE 'PASS%' OR contains(line, '✓')",
+    "go": f"{_BARE} LIKE '=== RUN%' OR {_BARE} LIKE '--- PASS:%' OR {_BARE} = 'PASS'",
+    "npm": "regexp_matches(line, '^(npm |yarn |pnpm ).*(fetch|add|install)', 'i') OR regexp_matches(line, '^\\s*\\[[0-9/]+\\]\\s+') OR contains(line, 'GET') OR contains(lower(line), 'fetch') OR contains(lower(line), 'download')",
+    "cargo": "regexp_matches(line, '^\\s*(Compiling|Downloaded)\\s+')",
+    "docker": f"regexp_matches({_BARE}, '^--->\\s+[a-f0-9]+') OR {_BARE} = '---> Using cache' OR {_BARE} LIKE 'Removing intermediate container%'",
+    "maven": f"{_BARE} LIKE 'Downloading from%' OR {_BARE} LIKE 'Downloaded from%' OR {_BARE} LIKE 'Download http%' OR regexp_matches({_BARE}, '^>\\s*Task\\s+:[a-zA-Z0-9_:]+\\s+UP-TO-DATE$')",
+    "git": f"{_BARE} LIKE '(use \"git%' OR {_BARE} LIKE '(use ''git%' OR {_BARE} LIKE 'hint:%'",
+}
+_SHOWN = {"git": "regexp_replace(line, '\\s*\\(use [\"'']git\\s[^)]*\\)', '', 'g')"}
+
+
+def _guarded(filtered: str) -> str:
+    """The empty guard and the counts over f (log_id, raw, filtered)."""
+    bare = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"""g AS (SELECT log_id, raw, CASE WHEN {bare(filtered)} = '' AND {bare('raw')} <> '' THEN {bare('raw')} ELSE {filtered} END AS filtered FROM f)
+SELECT log_id, filtered, ({CHARS4.format('raw')})::BIGINT AS orig_tokens, ({CHARS4.format('filtered')})::BIGINT AS new_tokens FROM g"""
+
+
+def _stateless_sql(kind: str) -> str:
+    return f"""WITH {_line_rows(kind)}, f AS (SELECT log_id, string_agg(line, chr(10) ORDER BY pos) AS raw, coalesce(string_agg({_SHOWN.get(kind, 'line')}, chr(10) ORDER BY pos) FILTER (WHERE NOT ({_DROP[kind]})), '') AS filtered FROM t GROUP BY 1), {_guarded('filtered')}"""
+
+
+def _log_query(kind: str, hint: str, sql: str) -> None:
+    def run(spark, sf_dir):
+        return logs.prune(synthetic_logs(spark, sf_dir, kind, hint)).select("log_id", "filtered", "orig_tokens", "new_tokens")
+
+    run.__name__ = f"log_{kind}"
+    query(sql)(run)
+
+
+for _kind, _hint in (("jest", "jest"), ("go", "go"), ("npm", "npm"), ("docker", "docker"), ("maven", "maven"), ("git", "git")):
+    _log_query(_kind, _hint, _stateless_sql(_kind))
+_log_query(
+    "cargo_test",
+    "cargo",
+    f"""WITH {_line_rows('cargo_test')}, e AS (SELECT *, CASE WHEN regexp_matches({_BARE}, '^(error|failures:|----|FAILED)') THEN 1 WHEN {_BARE} LIKE 'test result:%' THEN 0 END AS ev, {_BARE} AS bare FROM t),
+i AS (SELECT *, coalesce(last_value(ev IGNORE NULLS) OVER (PARTITION BY log_id ORDER BY pos), 0) = 1 OR bare LIKE 'test result:%' OR bare LIKE 'warning:%' AS keep FROM e),
+h AS (SELECT log_id, string_agg(line, chr(10) ORDER BY pos) AS raw, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE keep) AS kept, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT ({_DROP['cargo']})) AS built FROM i GROUP BY 1),
+f AS (SELECT log_id, raw, CASE WHEN contains(raw, 'test result:') OR contains(raw, '... ok') THEN coalesce(kept, raw) ELSE coalesce(built, '') END AS filtered FROM h), {_guarded('filtered')}""",
+)
+_log_query(
+    "cargo",
+    "cargo",
+    _stateless_sql("cargo"),
+)
+_PASS = "(regexp_matches(line, '^.*?\\s+PASSED\\s*\\[.*\\]$') OR regexp_matches(line, '\\sPASSED$') OR contains(line, ' PASSED '))"
+_FAIL = _PASS.replace("PASSED", "FAILED")
+_FRAME = "((contains(line, 'collected ') AND contains(line, ' items')) OR contains(line, 'test session starts') OR line LIKE 'platform %' OR line LIKE 'rootdir:%' OR line LIKE 'E   %' OR contains(line, 'Error:') OR contains(line, 'Exception:'))"
+_log_query(
+    "pytest",
+    "pytest",
+    f"""WITH {_line_rows('pytest')}, i AS (SELECT *, max(regexp_matches(line, '=+ (FAILURES|ERRORS|short test summary info) =+|^ERROR collecting ')::INT) OVER (PARTITION BY log_id ORDER BY pos) = 1 AS sec FROM t),
+h AS (SELECT log_id, string_agg(line, chr(10) ORDER BY pos) AS raw, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE sec OR (NOT {_PASS} AND NOT {_FAIL} AND {_FRAME})) AS kept, bool_or(sec) AS failures,
+  count(*) FILTER (WHERE NOT sec AND {_PASS}) AS p, count(*) FILTER (WHERE NOT sec AND NOT {_PASS} AND {_FAIL}) AS q FROM i GROUP BY 1),
+f AS (SELECT log_id, raw, CASE WHEN failures THEN kept ELSE coalesce(kept || chr(10), '') || 'pytest: ' || q || ' FAILED, ' || p || ' passed' END AS filtered FROM h), {_guarded('filtered')}""",
+)
+
+
+@query("""WITH c AS (SELECT doc_id AS log_id, text || CASE doc_id % 11 WHEN 0 THEN ' pytest collected 3 items' WHEN 1 THEN ' test result: ok passed' WHEN 2 THEN ' Test Suites: jest' WHEN 3 THEN chr(10) || '=== RUN   TestA' WHEN 4 THEN ' npm ' WHEN 5 THEN ' Compiling Cargo' WHEN 6 THEN ' Step 1 ---> x' WHEN 7 THEN ' BUILD SUCCESS' WHEN 8 THEN ' commit 1' WHEN 9 THEN ' pytest ==== ERRORS ====' ELSE '' END AS x FROM documents)
+SELECT log_id, CASE WHEN contains(x, 'pytest') AND (contains(x, 'test session starts') OR contains(x, 'collected') OR regexp_matches(x, '=+ (FAILURES|ERRORS) =+')) THEN 'pytest'
+ WHEN contains(x, 'test result:') AND (contains(x, 'passed') OR contains(x, 'failed')) THEN 'cargo_test'
+ WHEN contains(x, 'Test Suites:') AND (contains(lower(x), 'jest') OR contains(lower(x), 'vitest') OR contains(x, '✓') OR contains(x, '✕')) THEN 'jest'
+ WHEN regexp_matches(x, '(?m)^=== RUN\\s+') OR regexp_matches(x, '(?m)^--- (PASS|FAIL):') THEN 'go'
+ WHEN contains(x, 'npm') OR contains(x, 'yarn') OR contains(x, 'pnpm') OR contains(x, 'node_modules') THEN 'npm'
+ WHEN (contains(x, 'Compiling') AND contains(x, 'Cargo')) OR contains(lower(x), 'cargo') THEN 'cargo'
+ WHEN contains(x, 'Step ') AND (contains(x, '--->') OR contains(lower(x), 'docker')) THEN 'docker'
+ WHEN contains(x, '[INFO] Building') OR contains(x, 'BUILD SUCCESS') OR contains(x, 'BUILD FAILED') OR contains(x, 'Gradle') THEN 'maven'
+ WHEN contains(x[1:100], 'git ') OR contains(x, 'commit') OR contains(x, 'branch') THEN 'git' ELSE 'generic' END AS kind FROM c""")
+def log_detect(spark, sf_dir):
+    tail = F.expr("CASE doc_id % 11 WHEN 0 THEN ' pytest collected 3 items' WHEN 1 THEN ' test result: ok passed' WHEN 2 THEN ' Test Suites: jest' WHEN 3 THEN chr(10) || '=== RUN   TestA' WHEN 4 THEN ' npm ' WHEN 5 THEN ' Compiling Cargo' WHEN 6 THEN ' Step 1 ---> x' WHEN 7 THEN ' BUILD SUCCESS' WHEN 8 THEN ' commit 1' WHEN 9 THEN ' pytest ==== ERRORS ====' ELSE '' END")
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("log_id"), logs.detect(F.concat("text", tail)).alias("kind"))
+
+
+@query(f"""WITH {_line_rows('go')}, f AS (SELECT log_id, string_agg(line, chr(10) ORDER BY pos) AS raw, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT ({_DROP['go']})), '') AS filtered FROM t WHERE NOT line LIKE '%FAIL%' GROUP BY 1),
+x AS (SELECT *, 'Traceback x' || chr(10) || '--- PASS: error' || chr(10) || raw AS r2, 'Traceback x' || CASE WHEN filtered = '' THEN '' ELSE chr(10) || filtered END AS f2 FROM f)
+SELECT log_id, CASE WHEN regexp_matches(f2, 'traceback|error|failed|exception|fatal|panic|cannot', 'i') THEN NULL ELSE 'error' END AS guard, f2 AS filtered FROM x""")
+def log_error_guard(spark, sf_dir):
+    rows = synthetic_logs(spark, sf_dir, "go", "go", 1)
+    no_fail = F.array_join(F.filter(F.split("raw", "\n"), lambda x: ~x.contains("FAIL")), "\n")
+    rows = rows.withColumn("raw", no_fail).filter("raw <> ''")
+    rows = rows.withColumn("raw", F.concat(F.lit("Traceback x\n--- PASS: error\n"), "raw"))
+    return logs.prune(rows).select("log_id", "guard", "filtered")
+
+
+@query("SELECT doc_id AS log_id, CASE WHEN length(text) > 2000 THEN text[1:1000] || chr(10) || chr(10) || '... [truncated ' || (length(text) - 1500) || ' characters] ...' || chr(10) || chr(10) || text[length(text) - 499:] ELSE text END AS guarded FROM documents")
+def log_stream_guard(spark, sf_dir):
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("log_id"), logs.guard_length(F.col("text"), 2000, 1000, 500).alias("guarded"))
+
+
+# --- symbols ------------------------------------------------------------------------------------------------------
+
+NAME = "replace(p_name, ' ', '_')"
+
+
+def part_symbols(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.expr(NAME).alias("name"), F.col("p_brand").alias("file_path"), F.col("p_partkey").cast("int").alias("line"))
+
+
+_SYMBOLS = f"s AS (SELECT {NAME} AS name, p_brand AS file_path, p_partkey::INT AS line FROM part)"
+
+
+@query(f"WITH {_SYMBOLS} SELECT * FROM s WHERE name = 'small_ring' ORDER BY file_path, line, name LIMIT 15")
+def symbol_exact(spark, sf_dir):
+    return search.exact(part_symbols(spark, sf_dir), "small_ring")
+
+
+@query(f"WITH {_SYMBOLS} SELECT * FROM s WHERE name ILIKE '%RING%' ORDER BY file_path, line, name LIMIT 15")
+def symbol_like(spark, sf_dir):
+    return search.like(part_symbols(spark, sf_dir), "RING")
+
+
+@query(f"WITH {_SYMBOLS} SELECT * FROM s WHERE contains(lower(name), 'l_r') ORDER BY file_path, line, name LIMIT 15")
+def symbol_like_escape(spark, sf_dir):
+    return search.like(part_symbols(spark, sf_dir), "l_r")
+
+
+def _tri(x: str) -> str:
+    return f"list_distinct(list_transform(range(1, length({x}) - 1), lambda i: {x}[i:i + 2]))"
+
+
+_Q = "'smal_rings'"
+_SIM = f"""n AS (SELECT DISTINCT name, lower(name) AS t, regexp_replace(lower(name), '[_\\-\\s]', '', 'g') AS tc, {_Q} AS q, 'smalrings' AS qc FROM s),
+z AS (SELECT *, least(length(qc), length(tc))::DOUBLE / greatest(length(qc), length(tc), 1) AS r, 2.0::DOUBLE * len(list_intersect({_tri('q')}, {_tri('t')})) / (len({_tri('q')}) + len({_tri('t')})) AS dice FROM n),
+y AS (SELECT name, round(CASE WHEN q = t THEN 1.0::DOUBLE WHEN qc = tc THEN 0.98::DOUBLE ELSE greatest(CASE WHEN (contains(qc, tc) OR contains(tc, qc)) AND r >= 0.4 THEN 0.75::DOUBLE + 0.20::DOUBLE * r ELSE 0 END,
+  1.0::DOUBLE - levenshtein(q, t)::DOUBLE / greatest(length(q), length(t), 1), 1.0::DOUBLE - levenshtein(qc, tc)::DOUBLE / greatest(length(qc), length(tc), 1), dice) END, 6) AS score, round(dice, 6) AS dice FROM z)"""
+
+
+@query(f"WITH {_SYMBOLS}, {_SIM} SELECT DISTINCT s.name, file_path, line, score FROM s JOIN y USING (name) WHERE score >= 0.5 ORDER BY score DESC, file_path, line, name LIMIT 15")
+def symbol_fuzzy(spark, sf_dir):
+    return search.fuzzy(part_symbols(spark, sf_dir), "smal_rings")
+
+
+@query(f"WITH {_SYMBOLS}, {_SIM}, m AS (SELECT file_path, name, max(score) AS score FROM s JOIN y USING (name) WHERE score >= 0.4 GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY score DESC, name)::INT AS place FROM m) SELECT * FROM p WHERE place <= 3")
+def symbol_suggest(spark, sf_dir):
+    return search.suggest(part_symbols(spark, sf_dir), "smal_rings")
+
+
+@query(f"WITH {_SYMBOLS}, {_SIM} SELECT name, dice FROM y")
+def dice_trigram(spark, sf_dir):
+    return part_symbols(spark, sf_dir).select("name").distinct().select("name", F.round(scalars.dice(F.lit("smal_rings"), F.lower("name")), 6).alias("dice"))
+
+
+_WORDS = "w AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '[a-z]+')) AS name FROM benchmark), m AS (SELECT name, max(item_id) AS def_file FROM w WHERE length(name) > 2 AND name NOT IN ('main', 'init', '__init__') GROUP BY 1)"
+
+
+def bench_names(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("file_path"), F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("name"))
+    return repomap.definers(rows.withColumn("ord", F.lit(0)))
+
+
+@query(f"WITH {_WORDS} SELECT def_file, count(*) AS inbound FROM documents JOIN m ON doc_id <> def_file AND contains(text, name) GROUP BY 1")
+def ref_inbound(spark, sf_dir):
+    return repomap.inbound(documents(spark, sf_dir).withColumnRenamed("doc_id", "file_path"), bench_names(spark, sf_dir))
+
+
+_SCORE = f"""{LINES}, {_WORDS}, i AS (SELECT def_file, count(*) AS inbound FROM documents JOIN m ON doc_id <> def_file AND contains(text, name) GROUP BY 1),
+c AS (SELECT d.doc_id, text, len(ls) AS n_lines, (length(text) - length(replace(text, 'the', ''))) // 3 AS n_symbols, coalesce(inbound, 0) AS inbound FROM d LEFT JOIN i ON def_file = d.doc_id),
+f AS (SELECT doc_id, round(n_symbols * 10 + (doc_id % 4) * 5 + CASE WHEN doc_id IN (3, 5) THEN 100 ELSE 0 END + n_lines * -0.001::DOUBLE + inbound * 12, 6) AS score, ({CHARS4.format('text')})::BIGINT AS tokens FROM c)"""
+
+
+def _scored_docs(spark, sf_dir):
+    docs = documents(spark, sf_dir).withColumnRenamed("doc_id", "file_path")
+    n = ((F.length("text") - F.length(F.replace("text", F.lit("the"), F.lit("")))) / 3).cast("int")
+    rows = docs.join(repomap.inbound(docs, bench_names(spark, sf_dir)).withColumnRenamed("def_file", "file_path"), "file_path", "left").na.fill(0, ["inbound"])
+    value = repomap.score(n, F.col("file_path") % 4, F.col("file_path").isin(3, 5), text.line_count("text"), F.col("inbound"))
+    return rows.select(F.col("file_path").alias("doc_id"), F.round(value.cast("double"), 6).alias("score"), scalars.est_chars4("text").alias("tokens"))
+
+
+@query(f"WITH {_SCORE} SELECT * FROM f")
+def repo_score(spark, sf_dir):
+    return _scored_docs(spark, sf_dir)
+
+
+@query(f"WITH {_SCORE}, o AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS place, (10 + sum(tokens) OVER (ORDER BY score DESC, doc_id))::BIGINT AS spent FROM f) SELECT * FROM o WHERE spent <= 20000")
+def repo_budget(spark, sf_dir):
+    return repomap.within_budget(_scored_docs(spark, sf_dir), 20000, 10, "doc_id")
+
+
+_REFS = f"""{LINES}, o AS (SELECT doc_id AS file_path, n AS line, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS snippet, list_contains(regexp_extract_all(line, '[\\p{{L}}\\p{{N}}_]+'), 'that') AS has FROM l),
+df AS (SELECT doc_id AS file_path, 1 AS line FROM documents WHERE doc_id % 10 = 0 ORDER BY 1 LIMIT 10),
+r AS (SELECT file_path, line::INT AS line, snippet, CASE WHEN regexp_matches(snippet, 'import |from |require\\(|use ') THEN 'IMPORT' WHEN contains(snippet, 'that(') THEN 'CALL' ELSE 'USAGE' END AS kind FROM o WHERE has AND NOT regexp_matches(snippet, '^(#|//|/\\*|\\*)') AND (file_path, line) NOT IN (SELECT file_path, line FROM df))"""
+
+
+def _that(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    defs = docs.filter("doc_id % 10 = 0").select(F.col("doc_id").alias("file_path"), F.lit(1).alias("line"), F.lit("that").alias("name"))
+    # the prefilter is pushed to the scan, as no file without the name can refer to it
+    return search.words_as_occurrences(docs.filter(F.col("text").contains("that"))), defs
+
+
+@query(f"WITH {_REFS} SELECT * FROM r")
+def refs_dedupe(spark, sf_dir):
+    return search.references(*_that(spark, sf_dir), "that").select("file_path", "line", "snippet", "kind")
+
+
+@query(f"WITH {_REFS} SELECT file_path, line, kind, (SELECT count(*) FROM r) AS total_refs, (SELECT count(DISTINCT file_path) FROM r) AS total_files FROM r ORDER BY file_path, line LIMIT 25")
+def refs_blast(spark, sf_dir):
+    return search.blast_radius(*_that(spark, sf_dir), "that").select("file_path", "line", "kind", "total_refs", "total_files")
+
+
+# --- reads --------------------------------------------------------------------------------------------------------
+
+
+def event_reads(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("read_ord"), F.col("event_type").alias("content"))
+
+
+_STATUS = "s AS (SELECT user_id::VARCHAR AS key, event_id AS read_ord, row_number() OVER w AS read_no, CASE WHEN row_number() OVER w = 1 THEN 'FIRST_READ' WHEN lag(event_type) OVER w = event_type THEN 'UNCHANGED' ELSE 'CHANGED' END AS status FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))"
+
+
+@query(f"WITH {_STATUS} SELECT key, read_ord, read_no::BIGINT AS read_no, status FROM s")
+def read_status(spark, sf_dir):
+    return reads.statuses(event_reads(spark, sf_dir)).select("key", "read_ord", F.col("read_no").cast("long").alias("read_no"), "status")
+
+
+@query(f"WITH {_STATUS} SELECT count(*) AS reads, count(*) FILTER (WHERE status = 'FIRST_READ') AS first_reads, count(*) FILTER (WHERE status = 'UNCHANGED') AS hits, count(*) FILTER (WHERE status = 'CHANGED') AS diffs, round(count(*) FILTER (WHERE status = 'UNCHANGED') / count(*), 6) AS hit_rate FROM s")
+def read_stats(spark, sf_dir):
+    return reads.read_stats(reads.statuses(event_reads(spark, sf_dir)))
+
+
+@query(f"WITH {_STATUS} SELECT key, read_ord, read_no::BIGINT AS read_no, status FROM s")
+def read_status_stream(spark, sf_dir):
+    """The same by the streaming operator: the events arrive as a file stream and are taken once."""
+    import uuid
+
+    from ..streaming.reads import read_statuses
+
+    events = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/event[s].parquet")
+    rows = stream.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("read_ord"), F.col("event_type").alias("content"))
+    name = f"read_status_{uuid.uuid4().hex}"
+    run = read_statuses(rows).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name)
+
+
+@query()
+def read_diff(spark, sf_dir):
+    """Turns of a conversation as reads of one key: statuses and diffs (a sequential algorithm, tested against difflib)."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("read_ord"), F.col("text").alias("content"))
+    return reads.read_results(rows).select("key", "read_ord", "read_no", "status", "orig_tokens", "opt_tokens", F.length("text").alias("shown_chars"))
+
+
+_CHANGED = f"""{LINES}, o AS (SELECT doc_id, n::VARCHAR AS name, md5(line) AS hash, n AS ord FROM l WHERE n % 5 <> 0), w AS (SELECT doc_id, n::VARCHAR AS name, md5(CASE WHEN n % 3 = 0 THEN upper(line) || 'x' ELSE line END) AS hash, n AS ord FROM l),
+m AS (SELECT w.doc_id, w.name, w.ord FROM w LEFT JOIN o USING (doc_id, name) WHERE w.hash IS DISTINCT FROM o.hash)"""
+
+
+@query(f"WITH {_CHANGED} SELECT doc_id, array_to_string(list(name ORDER BY ord)[1:5], ',') AS changed FROM m GROUP BY 1")
+def semantic_changed(spark, sf_dir):
+    rows = text.explode_lines(documents(spark, sf_dir)).select("doc_id", F.col("line_no").cast("string").alias("name"), F.col("line_no").alias("ord"), "line")
+    old = rows.filter("ord % 5 <> 0").withColumn("hash", F.md5("line"))
+    new = rows.withColumn("hash", F.md5(F.when(F.col("ord") % 3 == 0, F.concat(F.upper("line"), F.lit("x"))).otherwise(F.col("line"))))
+    return reads.changed_symbols(old, new, "doc_id").select("doc_id", F.array_join("changed", ",").alias("changed"))
+
+
+# --- index --------------------------------------------------------------------------------------------------------
+
+_INDEX = "x AS (SELECT o_orderstatus AS project_root, o_custkey::VARCHAR AS file_path, o_orderkey AS id, o_orderpriority AS file_hash, o_orderdate AS mtime FROM orders)"
+
+
+def order_index(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("project_root"), F.col("o_custkey").cast("string").alias("file_path"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("file_hash"), F.col("o_orderdate").alias("mtime"))
+
+
+@query(f"WITH {_INDEX} SELECT * FROM x WHERE (project_root, file_path) IN (SELECT 'F', c_custkey::VARCHAR FROM customer WHERE c_nationkey < 12)")
+def index_purge(spark, sf_dir):
+    present = table(spark, sf_dir, "customer").filter("c_nationkey < 12").select(F.lit("F").alias("project_root"), F.col("c_custkey").cast("string").alias("file_path"))
+    return index.purge(order_index(spark, sf_dir), present)
+
+
+_FRESH = "f AS (SELECT 'F' AS project_root, c_custkey::VARCHAR AS file_path, -c_custkey AS id, c_mktsegment AS file_hash, TIMESTAMP '2000-01-01' AS mtime FROM customer WHERE c_nationkey < 3)"
+
+
+def _fresh(spark, sf_dir):
+    return table(spark, sf_dir, "customer").filter("c_nationkey < 3").select(F.lit("F").alias("project_root"), F.col("c_custkey").cast("string").alias("file_path"), (-F.col("c_custkey")).alias("id"), F.col("c_mktsegment").alias("file_hash"), F.expr("TIMESTAMP_NTZ '2000-01-01'").alias("mtime"))
+
+
+@query(f"WITH {_INDEX}, {_FRESH} SELECT * FROM x WHERE (project_root, file_path) NOT IN (SELECT project_root, file_path FROM f) UNION ALL SELECT * FROM f")
+def index_replace(spark, sf_dir):
+    return index.replace_by_key(order_index(spark, sf_dir), _fresh(spark, sf_dir))
+
+
+@query(f"WITH {_INDEX}, {_FRESH}, u AS (SELECT *, 0 AS new FROM x UNION ALL SELECT *, 1 FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY project_root, file_path ORDER BY mtime DESC, id DESC, new DESC) AS k FROM u) SELECT project_root, file_path, id, file_hash, mtime FROM r WHERE k = 1")
+def index_upsert(spark, sf_dir):
+    stamp = lambda t: t.withColumn("_o", F.struct("mtime", "id"))
+    return index.upsert(stamp(order_index(spark, sf_dir)), stamp(_fresh(spark, sf_dir)), index.KEYS, "_o").drop("_o")
+
+
+@query(f"WITH {_INDEX}, {_FRESH}, m AS (SELECT project_root, file_path, arg_max(file_hash, (mtime, file_hash)) AS h, max(mtime) AS t FROM x GROUP BY 1, 2) SELECT x.id, CASE WHEN m.t = x.mtime THEN 'skip' WHEN m.h = x.file_hash THEN 'touch' ELSE 'index' END AS action FROM x LEFT JOIN m USING (project_root, file_path)")
+def index_refresh(spark, sf_dir):
+    x = order_index(spark, sf_dir)
+    return index.to_refresh(x, index.meta_of(x)).select("id", "action")
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1998-08-01' - INTERVAL 30 DAY")
+def cache_ttl(spark, sf_dir):
+    import datetime
+
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    return index.expire(rows, datetime.datetime(1998, 8, 1), 30, "o_orderdate")
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
+def cache_lru(spark, sf_dir):
+    return index.evict(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), 100, "o_orderdate", "o_orderkey")
+
+
+@query("SELECT ((SELECT count(*) FROM documents) + (SELECT count(*) FROM labels))::BIGINT AS rows")
+def file_counts(spark, sf_dir):
+    return index.row_counts(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@query("SELECT source AS project_root FROM documents UNION SELECT role FROM conversations")
+def union_roots(spark, sf_dir):
+    return index.project_roots(documents(spark, sf_dir).select(F.col("source").alias("project_root")), table(spark, sf_dir, "conversations").select(F.col("role").alias("project_root")))
+
+
+# --- lock files ---------------------------------------------------------------------------------------------------
+
+_PKG = f"{NAME} || '-' || p_partkey"
+
+
+def _pkg() -> F.Column:
+    return F.concat(F.expr(NAME), F.lit("-"), F.col("p_partkey").cast("string"))
+
+
+def _by_brand(spark, sf_dir, line, name: str, head: str, between: str, tail: str, asked) -> DataFrame:
+    rows = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("x"), _pkg().alias("pkg")))).alias("r"))
+    content = F.concat(F.lit(head), F.array_join(F.transform("r", lambda x: x["x"]), between), F.lit(tail))
+    return rows.select("p_brand", F.lit(name).alias("file_name"), content.alias("content"), asked.alias("query"))
+
+
+_AGG = "string_agg({0}, {1} ORDER BY p_partkey)"
+_NPM = "'\"node_modules/' || " + _PKG + " || '\":{\"version\":\"1.' || p_size || '.0\"}'"
+
+
+@query(f"""SELECT p_brand, 'found' AS status, '{{"node_modules/' || arg_min({_PKG}, p_partkey) || '":{{"version":"1.' || arg_min(p_size, p_partkey) || '.0"}}}}' AS entry FROM part GROUP BY 1""")
+def lock_npm(spark, sf_dir):
+    line = F.concat(F.lit('"node_modules/'), _pkg(), F.lit('":{"version":"1.'), F.col("p_size").cast("string"), F.lit('.0"}'))
+    rows = _by_brand(spark, sf_dir, line, "package-lock.json", '{"lockfileVersion":3,"packages":{', ",", "}}", F.get("r", F.lit(0))["pkg"])
+    return lockfile.ask(rows).select("p_brand", "status", F.array_join("matches", ";").alias("entry"))
+
+
+_BLOCK = "'[[package]]' || chr(10) || 'name = \"' || " + _PKG + " || '\"' || chr(10) || 'version = \"1.' || p_size || '.0\"'"
+
+
+def _cargo(spark, sf_dir, asked) -> DataFrame:
+    line = F.concat(F.lit('[[package]]\nname = "'), _pkg(), F.lit('"\nversion = "1.'), F.col("p_size").cast("string"), F.lit('.0"'))
+    return _by_brand(spark, sf_dir, line, "Cargo.lock", "", "\n\n", "\n", asked)
+
+
+@query(f"WITH b AS (SELECT p_brand, {_BLOCK} AS x, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part WHERE contains({_PKG}, 'red_')) SELECT p_brand, string_agg(x, ';' ORDER BY k) AS blocks FROM b WHERE k <= 3 GROUP BY 1")
+def lock_cargo(spark, sf_dir):
+    rows = lockfile.ask(_cargo(spark, sf_dir, F.lit("RED_"))).filter("how = 'entry'")
+    return rows.select("p_brand", F.array_join("matches", ";").alias("blocks"))
+
+
+@query(f"WITH b AS (SELECT p_brand, {_PKG} || '@1.' || p_size || '.0' AS x, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part) SELECT p_brand, count(*)::BIGINT AS packages, string_agg(x, ',' ORDER BY k) FILTER (WHERE k <= 15) AS sample, (count(*) * 4)::BIGINT AS lines FROM b GROUP BY 1")
+def lock_summary(spark, sf_dir):
+    rows = lockfile.ask(_cargo(spark, sf_dir, F.lit(None).cast("string")))
+    return rows.select("p_brand", F.col("summary.packages").cast("long").alias("packages"), F.array_join("summary.sample", ",").alias("sample"), F.col("summary.lines").cast("long").alias("lines"))
+
+
+@query(f"""WITH {LINES}, m AS (SELECT doc_id, min(n) AS hit, max(total) AS total FROM l WHERE contains(lower(line), 'shing') GROUP BY 1), k AS (SELECT *, greatest(1, hit - 3)::INT AS first, least(total, hit + 7)::INT AS last FROM m WHERE total > 1)
+SELECT k.doc_id, first, last, string_agg(line, chr(10) ORDER BY n) AS body FROM k JOIN l ON l.doc_id = k.doc_id AND n BETWEEN first AND last GROUP BY ALL""")
+def lock_context(spark, sf_dir):
+    rows = documents(spark, sf_dir).filter(text.line_count("text") > 1).select("doc_id", F.lit("go.sum").alias("file_name"), F.col("text").alias("content"), F.lit("SHING").alias("query"))
+    return lockfile.ask(rows).filter("how = 'context'").select("doc_id", "context.first", "context.last", "context.body")
+
+
+@query("""WITH p AS (SELECT page_id, replace(html, chr(10), ' ') AS h FROM pages), k AS (SELECT page_id, h, instr(lower(h), '<body') AS s FROM p)
+SELECT page_id, greatest(0, s - 101)::INT AS first, least(length(h), s + 199)::INT AS last, h[greatest(0, s - 101) + 1:least(length(h), s + 199)] AS body FROM k WHERE s > 0""")
+def asset_window(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("page_id", F.lit("app.min.js").alias("file_name"), F.replace("html", F.lit("\n"), F.lit(" ")).alias("content"), F.lit("<BODY").alias("query"))
+    return lockfile.ask(rows).filter("how = 'context'").select("page_id", "context.first", "context.last", "context.body")
+
+
+# --- code ---------------------------------------------------------------------------------------------------------
+
+#: A module of each part: a class with a method that has a docstring, and a function that calls it.
+_MODULE = (
+    "import os\n\n\nclass C@(Base):\n    def m@(self, x):\n        \"\"\"Say.\"\"\"\n        y = f@(x)\n        return y\n\n\ndef f@(x):\n    return x + #\n",
+)[0]
+
+
+def modules(spark, sf_dir) -> DataFrame:
+    body = F.replace(F.replace(F.lit(_MODULE), F.lit("@"), F.col("p_partkey").cast("string")), F.lit("#"), F.col("p_size").cast("string"))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("file_path"), body.alias("text"), F.lit("python").alias("lang"))
+
+
+_SKELETON = "'import os' || repeat(chr(10), 3) || 'class C' || p_partkey || '(Base):' || chr(10) || '    def m' || p_partkey || '(self, x):' || chr(10) || '        \"\"\"Say.\"\"\"' || chr(10) || '        ...' || repeat(chr(10), 3) || 'def f' || p_partkey || '(x):' || chr(10) || '    ...' || chr(10)"
+
+
+@query(f"SELECT 'm' || p_partkey || '.py' AS file_path, 'ok' AS status, {_SKELETON} AS skeleton FROM part")
+def skeleton_py(spark, sf_dir):
+    return code.skeletons(modules(spark, sf_dir)).select("file_path", "status", "skeleton")
+
+
+@query("SELECT 'm' || p_partkey || '.py' AS file_path, k.n || p_partkey AS name, k.kind, k.line::INT AS line, k.end_line::INT AS end_line FROM part, (VALUES ('C', 'class', 4, 8), ('m', 'method', 5, 8), ('f', 'function', 11, 12)) k(n, kind, line, end_line)")
+def symbols_py(spark, sf_dir):
+    return code.symbols(modules(spark, sf_dir)).select("file_path", "name", "kind", "line", "end_line")
+
+
+@query("SELECT 'm' || p_partkey || '.py' AS file_path, 11 AS line, 12 AS end_line, 'def f' || p_partkey || '(x):' || chr(10) || '    return x + ' || p_size AS implementation FROM part WHERE p_partkey = 7")
+def find_symbol(spark, sf_dir):
+    return code.symbol_ranges(modules(spark, sf_dir), "f7").select("file_path", "line", "end_line", "implementation")
+
+
+@query("SELECT 'm' || p_partkey || '.py' AS file_path, 7 AS line, 'CALL' AS kind, 'y = f' || p_partkey || '(x)' AS snippet FROM part WHERE p_partkey = 7")
+def refs_py(spark, sf_dir):
+    files = modules(spark, sf_dir)
+    found = code.occurrences(files, "f7")
+    defs = code.symbols(files.filter(F.col("text").contains("f7"))).select("file_path", "line", "name")
+    return search.references(found, defs, "f7").select("file_path", "line", "kind", "snippet")
+
+
+@query("SELECT 'm' || p_partkey || '.py' AS file_path, 1::INT AS n_imports FROM part")
+def import_counts(spark, sf_dir):
+    return code.with_imports(modules(spark, sf_dir)).select("file_path", "n_imports")
+
+
+@query()
+def repo_map(spark, sf_dir):
+    """The map of all modules within a budget: symbols, references and scores composed (tested against a plain loop)."""
+    files = code.with_imports(modules(spark, sf_dir))
+    return repomap.repo_map(files, code.symbols(files), 1000, ("m3.py",)).select("file_path", "score", "inbound", "tokens", "place", "spent")
+
+
+@query()
+def smart_reads(spark, sf_dir):
+    """Reads of all modules by every branch: guards, symbols, slices, full, lock files, repeated reads."""
+    files = modules(spark, sf_dir).withColumn("length", F.length("text")).withColumn("is_dir", F.lit(False))
+    n = F.regexp_extract("file_path", r"(\d+)", 1).cast("int")
+    asks = files.select(
+        (n * 2).cast("long").alias("request_id"), "file_path", (n % 5 == 4).alias("force_full"), F.lit(None).cast("string").alias("query"),
+        F.when(n % 5 == 1, 3).alias("start_line"), F.lit(None).cast("int").alias("end_line"), F.when(n % 5 == 2, F.concat(F.lit("f"), n.cast("string"))).alias("symbol"),
+    )
+    again = asks.filter(n % 5 == 0).withColumn("request_id", F.col("request_id") + 1)
+    return smart_read.answer(asks.unionByName(again), files)
