@@ -226,7 +226,7 @@ def skeleton(text: str, language: str | None) -> str | None:
     for start, end in sorted(d.body for d in found if d.body):
         if start < at:
             continue
-        lead = " " if language == "python" and text[:start].rstrip(" \t").endswith((":", '"', "'")) and "\n" not in text[start - 1 : start] else ""
+        lead = ""
         if language == "python" and text[start - 1 : start] in ('"', "'"):
             lead = "\n" + " " * _indent(text, start)
         out += text[at:start] + lead + filler
