@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -16,27 +19,40 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOT_SHARE = 1000
 
 
+@functools.cache
+def _own_dir() -> str:
+    place = tempfile.mkdtemp(prefix="siftwork-")
+    atexit.register(shutil.rmtree, place, ignore_errors=True)
+    return place
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (local runs only) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else (local runs only) a temporary one, else the warehouse."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
-        if spark.sparkContext.master.startswith(("local[", "local-")) or spark.sparkContext.master == "local":
-            place = tempfile.mkdtemp(prefix="siftwork-")
-            spark.conf.set("spark.checkpoint.dir", place) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        else:
-            place = spark.conf.get("spark.sql.warehouse.dir")
+        place = _own_dir() if spark.sparkContext.master.split("[")[0] == "local" else spark.conf.get("spark.sql.warehouse.dir")
     return place.rstrip("/")
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/siftwork/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends there and no executor's loss costs it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siftwork/{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Deletes the tables that this application has written; call it when the results are used up."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

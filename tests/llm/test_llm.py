@@ -360,6 +360,18 @@ def test_signatures_lose_no_pair():
                 assert len(np.intersect1d(sa, sb))
 
 
+def test_written_tables_can_be_deleted(spark):
+    from pathlib import Path
+
+    from siftwork.llm import common
+
+    kept = common.materialize(spark.range(3))
+    place = Path(common._tables(spark))
+    assert kept.count() == 3 and place.exists() and common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    common.clean(spark)
+    assert not place.exists()
+
+
 def test_components(spark):
     r = random.Random(7)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(25)]
