@@ -61,9 +61,8 @@ def has_error(text: Column) -> Column:
     return F.lower(text).rlike("|".join(ERROR_WORDS))
 
 
-def _drop(kind: Column, line: Column) -> Column:
-    """Whether the rule of a stateless filter drops a line."""
-    bare = trim_ws(line)
+def _drop(kind: Column, line: Column, bare: Column) -> Column:
+    """Whether the rule of a stateless filter drops a line; bare: the line without white space at its ends."""
     low = F.lower(line)
     return (
         F.when(kind == "jest", bare.startswith("PASS") | line.contains("✓"))
@@ -79,14 +78,16 @@ def _drop(kind: Column, line: Column) -> Column:
 
 def filter_lines(lines: DataFrame) -> DataFrame:
     """log_id, filtered of lines (log_id, kind, pos, line)."""
-    line, kind, bare = F.col("line"), F.col("kind"), trim_ws("line")
+    lines = lines.withColumn("_bare", trim_ws("line"))
+    line, kind, bare = F.col("line"), F.col("kind"), F.col("_bare")
+    pytest, cargo = kind == "pytest", kind == "cargo_test"  # tested first, so other logs do not pay for these rules
     before = Window.partitionBy("log_id").orderBy("pos")
     # cargo tests: inside after an error or failure, until the next result
-    event = F.when(bare.rlike("^(error|failures:|----|FAILED)"), True).when(bare.startswith("test result:"), False)
+    event = F.when(cargo & bare.rlike("^(error|failures:|----|FAILED)"), True).when(cargo & bare.startswith("test result:"), False)
     inside = F.coalesce(F.last(event, ignorenulls=True).over(before), F.lit(False))
     # pytest: inside from the first section on
-    section = F.max(line.rlike(PYTEST_HEADER)).over(before)
-    said = lambda word: line.rlike(rf"^.*?\s+{word}\s*\[.*\]$") | line.rlike(rf"\s{word}$") | line.contains(f" {word} ")
+    section = F.max(pytest & line.rlike(PYTEST_HEADER)).over(before)
+    said = lambda word: pytest & (line.rlike(rf"^.*?\s+{word}\s*\[.*\]$") | line.rlike(rf"\s{word}$") | line.contains(f" {word} "))
     passed, failed = said("PASSED"), said("FAILED")
     frame = (
         (line.contains("collected ") & line.contains(" items")) | line.contains("test session starts") | line.startswith("platform ") | line.startswith("rootdir:")
@@ -95,11 +96,11 @@ def filter_lines(lines: DataFrame) -> DataFrame:
     keep = (
         F.when(kind == "cargo_test", F.col("_inside") | bare.startswith("test result:") | bare.startswith("warning:"))
         .when(kind == "pytest", F.col("_section") | (~passed & ~failed & frame))
-        .otherwise(~_drop(kind, line))
+        .otherwise(~_drop(kind, line, bare))
     )
-    rows = lines.withColumn("_inside", (kind == "cargo_test") & inside).withColumn("_section", (kind == "pytest") & section).withColumn("_keep", keep)
+    rows = lines.withColumn("_inside", cargo & inside).withColumn("_section", pytest & section).withColumn("_keep", keep)
     shown = F.when(kind == "git", F.regexp_replace(line, "\\s*\\(use [\"']git\\s[^)]*\\)", "")).otherwise(line)
-    summary = (line.contains("passed in ") | line.contains("failed in ") | line.contains("passed,")) & ~passed & ~failed & ~frame & ~F.col("_section")
+    summary = pytest & (line.contains("passed in ") | line.contains("failed in ") | line.contains("passed,")) & ~passed & ~failed & ~frame & ~F.col("_section")
     number = lambda word: F.min_by(F.regexp_extract(line, rf"(\d+)\s+{word}", 1), F.when(summary & line.rlike(rf"\d+\s+{word}"), F.col("pos")))
     out = rows.groupBy("log_id").agg(
         F.first("kind").alias("kind"),
