@@ -4,7 +4,7 @@ Tokens are words (A-Z lower-cased) and one end a text. Counts of all training to
 unseen words counting as one more type. The model factors p(w | h) = p(class | h) p(w | class, h). The HEAD most
 frequent tokens form classes of WIDTH by rank; all others, unseen words included, form TAILS classes by a hash of their
 last two letters. Features of the history h are hashed: the word before, the two before, and the word before that
-alone (a skip). Inside a head class the word is predicted by the word before; inside a tail class it has its
+alone (a skip). Inside a head class the word is predicted by the same kind of features; inside a tail class it has its
 add-one share of the class. With no weights the model is the unigram model, so training can only refine it.
 
 Training goes over every training text once, in ROUNDS rounds. In a round each task updates its own copy of the
@@ -36,11 +36,12 @@ from pyspark.sql import functions as F
 from .common import id_crc, materialize, small_batches, text_of
 from .shingles import M1, M2, mix, split_words
 
-HEAD, WIDTH, TAILS = 256, 16, 16
+HEAD, WIDTH, TAILS = 1024, 32, 32
 CLASSES = HEAD // WIDTH + TAILS
 ROWS = 8192  # of each feature table
-FEATURES = 3  # of the class; the word in a head class has the first of them
+FEATURES = 3  # of the class, and of the word in a head class
 ROUNDS, MINIBATCH, RATE = 2, 16384, 0.4
+SHORT = 16  # rows that are summed a step at a time
 CHUNK = 3_000_000
 COUNTED = 1_500_000  # tokens that a task counts at once
 BLOCKS = 64
@@ -109,16 +110,16 @@ def _tails(words: pa.Array) -> np.ndarray:
 
 
 class Model:
-    """Weights: FEATURES tables of ROWS x CLASSES for the class, and one of ROWS x WIDTH for the word in a head class."""
+    """Weights: FEATURES tables of ROWS x CLASSES for the class, and of ROWS x WIDTH for the word in a head class."""
 
     def __init__(self, classes: np.ndarray | None = None, words: np.ndarray | None = None):
         self.classes = np.zeros((FEATURES * ROWS, CLASSES), np.float32) if classes is None else classes
-        self.words = np.zeros((ROWS, WIDTH), np.float32) if words is None else words
+        self.words = np.zeros((FEATURES * ROWS, WIDTH), np.float32) if words is None else words
 
     @staticmethod
     def _in_class(features: list[np.ndarray], cls: np.ndarray) -> list[np.ndarray]:
         """A feature inside a class has a row of its own."""
-        return [((f.astype(np.uint32) * np.uint32(2654435761) + cls.astype(np.uint32) * np.uint32(40503 * 65537)) >> np.uint32(19)).astype(np.uint16) for f in features[:1]]
+        return [((f.astype(np.uint32) * np.uint32(2654435761) + cls.astype(np.uint32) * np.uint32(40503 * 65537)) >> np.uint32(19)).astype(np.uint16) for f in features]
 
     @staticmethod
     def _sum(table: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
@@ -151,6 +152,20 @@ class Model:
         return out / math.log(10)
 
 
+def _sums(x: np.ndarray, order: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of the rows order[first : first + n] of x, the longest runs first: long ones one by one, short ones all together, a row of each a step."""
+    g = x.take(order[first], axis=0, mode="clip")
+    long = int(np.searchsorted(-n, -SHORT))
+    for i in range(long):
+        g[i] = np.ones(n[i], np.float32) @ x.take(order[first[i] : first[i] + n[i]], axis=0, mode="clip")
+    for j in range(1, SHORT):
+        some = int(np.searchsorted(-n, -j))
+        if some <= long:
+            break
+        g[long:some] += x.take(order[first[long:some] + j], axis=0, mode="clip")
+    return g
+
+
 class Trainer:
     def __init__(self, model: Model):
         self.start = model
@@ -167,10 +182,13 @@ class Trainer:
             order = np.argsort(f, kind="stable")
             f = f[order]
             first = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
-            g = np.add.reduceat(x.take(order, axis=0, mode="clip"), first, axis=0)
+            n = np.diff(np.append(first, len(f)))
+            longest = np.argsort(-n, kind="stable")
+            first, n = first[longest], n[longest]
+            g = _sums(x, order, first, n)
             row = f[first].astype(np.int64) + k * ROWS
             self.square[which][row] += np.einsum("ij,ij->i", g, g)
-            self.met[which][row] += np.diff(np.append(first, len(f)))
+            self.met[which][row] += n
             g *= (RATE / np.sqrt(self.square[which][row]))[:, None]
             table[row] -= g
 
@@ -233,7 +251,7 @@ def _shape(block: int) -> tuple[int, int]:
 
 
 def _rows(block: int) -> np.ndarray:
-    return np.array_split(np.arange((FEATURES if block < BLOCKS else 1) * ROWS), BLOCKS)[block % BLOCKS]
+    return np.array_split(np.arange(FEATURES * ROWS), BLOCKS)[block % BLOCKS]
 
 
 def _averaged(batches):

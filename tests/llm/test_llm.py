@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +93,32 @@ def test_lm_probabilities_sum_to_one():
     assert abs(np.exp(logs).sum() - 1) < 1e-5
 
 
+def test_lm_pair_and_skip_act_inside_a_head_class():
+    v = lm_score.Vocabulary([(w, 100) for w in ["x", "a", "b", "c", "d", ""]], {}, 600, 6)  # all in one class
+    trainer = lm_score.Trainer(lm_score.Model())
+    for _ in range(60):
+        trainer.learn(lm_score.Batch(pa.array(["a x c", "b x d"] * 20), v), v)
+    last = lambda t: trainer.model.score(lm_score.Batch(pa.array([t]), v), v)[2]
+    assert last("a x c") > last("a x d") + 0.3 and last("b x d") > last("b x c") + 0.3
+
+
+def test_lm_head_word_beyond_256_depends_on_history():
+    v = lm_score.Vocabulary([(f"w{i}", 2000 - i) for i in range(1000)], {}, 1_500_000, 1000)
+    trainer = lm_score.Trainer(lm_score.Model())
+    for _ in range(60):
+        trainer.learn(lm_score.Batch(pa.array(["w1 w900", "w2 w901"] * 20), v), v)
+    last = lambda t: trainer.model.score(lm_score.Batch(pa.array([t]), v), v)[1]
+    assert last("w1 w900") > last("w1 w901") + 0.3 and last("w2 w901") > last("w2 w900") + 0.3
+
+
+def test_lm_sums_of_runs():
+    r = np.random.default_rng(3)
+    n = np.sort(np.concatenate([r.integers(1, 40, 50), [15, 16, 17, 300], np.ones(20, int)]))[::-1]
+    first, order = np.cumsum(n) - n, r.permutation(n.sum())
+    x = r.normal(size=(n.sum(), 8)).astype(np.float32)
+    assert np.allclose(lm_score._sums(x, order, first, n), np.add.reduceat(x[order], first, axis=0), atol=1e-4)
+
+
 # --- 2 ---
 
 ASSIGN = re.compile(secrets.KINDS[0][1].replace("(?i)", ""), re.I | re.A)
