@@ -4,16 +4,19 @@ Tokens are words (A-Z lower-cased) and one end a text. Counts of all training to
 unseen words counting as one more type. The model factors p(w | h) = p(class | h) p(w | class, h). The HEAD most
 frequent tokens form classes of WIDTH by rank; all others, unseen words included, form TAILS classes by a hash of their
 last two letters. Features of the history h are hashed: the word before, the two before, and the word before that
-alone (a skip). Inside a head class the word is predicted by the same kind of features; inside a tail class it has its
-add-one share of the class. With no weights the model is the unigram model, so training can only refine it.
+alone (a skip). Inside a head class the word is predicted by the same kind of features. Inside a tail class it is
+predicted by counts of all training pairs of a word and the tail word after it, which grow with the corpus: if words of
+the class followed the word before C times, T distinct ones, and this one c times, p = (c + T q) / (C + T), where q is
+its add-one share of the class (Witten-Bell); if none did, p = q. Pairs are told apart by 64-bit hashes. With no
+weights and no pairs the model is the unigram model.
 
 Training goes over every training text once, in ROUNDS rounds. In a round each task updates its own copy of the
 weights by gradient steps (AdaGrad a row) over minibatches, and the changes of each row are averaged over the tasks,
-weighted by how often they met its feature. Weights have a fixed size; only they and the head's words reach the driver.
+weighted by how often they met its feature. Weights have a fixed size, pair counts do not; only weights and the head's words reach the driver.
 
-Scoring adds class and head terms while it reads a text. Counts of tail words need the whole vocabulary, which grows
-with the corpus: each task writes its texts as numbers into a vocabulary of its own chunk (CHUNK tail tokens), the
-vocabularies join the counts, and each chunk's counts meet its texts again. All tables go to the shared folder.
+Scoring adds class and head terms while it reads a text. Counts of tail words and of pairs grow with the corpus: each
+task writes its texts as numbers of the distinct pairs of its own chunk (CHUNK tail tokens), these with their words join
+the counts, and each chunk's counts meet its texts again. All tables go to the shared folder.
 
 Defined results: a null text counts as empty, whose only token is the end; rows with null ids count by the empty id;
 repeated rows are counted and scored each; an empty table gives an empty result, and one without training rows gives
@@ -96,12 +99,20 @@ class Batch:
         one[first] = two[first] = start
         two[(first + 1)[self.n > 1]] = start
         at = lambda x: (x >> np.uint64(51)).astype(np.uint16)  # 13 bits: ROWS
+        self.hashes, self.before = hashes, one
         pair = (hashes * M2)[one] + mix(hashes)[two]
         pair ^= pair >> np.uint64(29)
         pair *= M1
         self.features = [at(mix(hashes * M1))[one], at(pair), at(mix(hashes * M2))[two]]
 
 
+    def pairs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of tail tokens with the word before, and of their classes with it."""
+        before = self.hashes[self.before[at]]
+        keys = mix(before * M1 + mix(self.hashes)[self.word[at]])
+        return keys.view(np.int64), mix(before * M2 + (self.symbol[at] - HEAD + 1).astype(np.uint64)).view(np.int64)
+
+
 def _tails(words: pa.Array) -> np.ndarray:
     if not len(words):
         return np.zeros(0, np.int64)
@@ -234,6 +245,29 @@ def _count(batches):
         yield rows()
 
 
+def _count_pairs(vocabulary):
+    """key, context, c: of each pair before a tail word, its class with the word before, and how often it was met."""
+
+    def rows(held):
+        keys, contexts = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        keys, at, c = np.unique(keys, return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(contexts[at]), pa.array(c, pa.int64())], ["key", "context", "c"])
+
+    def run(batches):
+        held, tokens = [], 0
+        for b in batches:
+            batch = Batch(b.column("text"), vocabulary.value)
+            held.append(batch.pairs(np.flatnonzero(batch.symbol >= HEAD)))
+            tokens += len(held[-1][0])
+            if tokens > COUNTED:
+                yield rows(held)
+                held, tokens = [], 0
+        if held:
+            yield rows(held)
+
+    return run
+
+
 def _learned(vocabulary, model):
     def run(batches):
         trainer = Trainer(Model(*model.value))
@@ -285,89 +319,136 @@ def train(texts: DataFrame, vocabulary, rounds: int = ROUNDS) -> Model:
     return model
 
 
-SCORED = "chunk long, doc_id long, held_out boolean, n long, head_n long, head_log double, model double, ids binary, word string, place int"
+SCORED = "chunk long, doc_id long, held_out boolean, n long, head_n long, head_log double, model double, ids binary, word string, mass double, place int, key long, within int, of int"
+SCHEMA = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n", pa.int64()), ("head_n", pa.int64()), ("head_log", pa.float64()), ("model", pa.float64()), ("ids", pa.binary()), ("word", pa.string()), ("mass", pa.float64()), ("place", pa.int32()), ("key", pa.int64()), ("within", pa.int32()), ("of", pa.int32())])
+
+
+def _filled(rows: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in SCHEMA], schema=SCHEMA)
 
 
 def _scored(vocabulary, model):
+    """Rows of texts (ids: places of pairs), of words (mass: log10 of the class total), of pairs (within: place of the context, of: place of the word) and of contexts."""
+
     def run(batches):
         v, m, task = vocabulary.value, Model(*model.value), TaskContext.get().partitionId()
         held: dict[str, int] = {}
-        part, tokens = 0, 0
+        texts, part, tokens = [], 0, 0
 
-        def words(chunk):
-            names = ["chunk", "word", "place"]
-            made = pa.RecordBatch.from_arrays([pa.array([chunk] * len(held), pa.int64()), pa.array(list(held), pa.string()), pa.array(range(len(held)), pa.int32())], names)
-            schema = SCHEMA
-            return pa.RecordBatch.from_arrays([made.column(f.name) if f.name in names else pa.nulls(len(held), f.type) for f in schema], schema=schema)
+        def flushed():
+            chunk = (task << 24) + part
+            keys, contexts, words = (np.concatenate([t[i] for t in texts]) for i in (0, 1, 2))
+            keys, at, ids = np.unique(keys, return_index=True, return_inverse=True)
+            contexts, within = np.unique(contexts[at], return_inverse=True)
+            ids, done = ids.astype(np.int32), 0
+            for _, _, _, spans, values in texts:
+                own = np.split(ids[done : done + spans.sum()], np.cumsum(spans)[:-1])
+                done += spans.sum()
+                yield _filled(len(spans), chunk=np.full(len(spans), chunk), ids=[x.tobytes() for x in own], **values)
+            for i in range(0, len(keys), 1 << 16):
+                k = keys[i : i + (1 << 16)]
+                yield _filled(len(k), chunk=np.full(len(k), chunk), key=k, place=np.arange(i, i + len(k)), within=within[i : i + len(k)], of=words[at[i : i + len(k)]])
+            for i in range(0, len(contexts), 1 << 16):
+                k = contexts[i : i + (1 << 16)]
+                yield _filled(len(k), chunk=np.full(len(k), chunk), key=k, place=np.arange(i, i + len(k)))
+            if held:
+                names = pa.array(list(held), pa.string())
+                yield _filled(len(held), chunk=np.full(len(held), chunk), word=names, mass=v.tail_log[_tails(names)], place=np.arange(len(held)))
 
         for b in batches:
+            if not b.num_rows:
+                continue
             batch = Batch(b.column("text"), v)
-            chunk = (task << 24) + part
-            each = m.score(batch, v)
             tail = batch.symbol >= HEAD
             known = np.where(tail, 0, v.head_log[np.minimum(batch.symbol, HEAD - 1)])
-            each -= np.where(tail, v.tail_log[np.maximum(batch.symbol - HEAD, 0)], 0)
             # numbers of the tail words in the chunk's vocabulary
             met = np.zeros(len(batch.distinct) + 1, bool)
             met[batch.word[tail]] = True
             distinct = np.flatnonzero(met)
             place = np.zeros(len(batch.distinct) + 1, np.int32)
             place[distinct] = [held.setdefault(batch.distinct[i] if i < len(batch.distinct) else "", len(held)) for i in distinct.tolist()]
-            ids = place[batch.word]
             first = batch.stop - batch.n
-            spans = np.split(ids[tail], np.cumsum(np.add.reduceat(tail.astype(np.int64), first))[:-1]) if len(first) else []
-            total = lambda x: pa.array(np.add.reduceat(x, first) if len(first) else [], pa.float64())
             values = {
-                "chunk": pa.array([chunk] * len(first), pa.int64()),
                 "doc_id": b.column("doc_id"),
                 "held_out": b.column("held_out"),
-                "n": pa.array(batch.n, pa.int64()),
-                "head_n": pa.array(np.add.reduceat((~tail).astype(np.int64), first) if len(first) else [], pa.int64()),
-                "head_log": total(known),
-                "model": total(each),
-                "ids": pa.array([s.tobytes() for s in spans], pa.binary()),
+                "n": batch.n,
+                "head_n": np.add.reduceat((~tail).astype(np.int64), first),
+                "head_log": np.add.reduceat(known, first),
+                "model": np.add.reduceat(m.score(batch, v), first),
             }
-            yield pa.RecordBatch.from_arrays([values[f.name] if f.name in values else pa.nulls(len(first), f.type) for f in SCHEMA], schema=SCHEMA)
+            texts.append((*batch.pairs(np.flatnonzero(tail)), place[batch.word[tail]], np.add.reduceat(tail.astype(np.int64), first), values))
             tokens += int(tail.sum())
             if tokens >= CHUNK:
-                yield words(chunk)
+                yield from flushed()
                 held.clear()
-                part, tokens = part + 1, 0
-        if held:
-            yield words((task << 24) + part)
+                texts, part, tokens = [], part + 1, 0
+        if texts:
+            yield from flushed()
 
     return run
 
 
-SCHEMA = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n", pa.int64()), ("head_n", pa.int64()), ("head_log", pa.float64()), ("model", pa.float64()), ("ids", pa.binary()), ("word", pa.string()), ("place", pa.int32())])
 FINISHED = "doc_id long, held_out boolean, n_tokens long, n_known long, known_log double, model double, tail_log double"
 
 
+class Chunk:
+    """What a chunk's texts need: of each of its pairs, log10(count + 1) of the word, whether it is known, and log10 p(word | class, h)."""
+
+    def __init__(self):
+        self.held: dict[str, list] = {"word": [], "pair": [], "context": []}
+
+    def add(self, kind: str, *columns: np.ndarray) -> None:
+        if len(columns[0]):
+            self.held[kind].append(columns)
+
+    def _table(self, kind: str, width: int) -> list[np.ndarray]:
+        """Columns by place."""
+        rows = self.held.pop(kind)
+        columns = [np.concatenate([r[i] for r in rows]) if rows else np.zeros(0) for i in range(width)]
+        order = np.argsort(columns[0], kind="stable")
+        return [c[order] for c in columns[1:]]
+
+    def finish(self) -> None:
+        count, mass = self._table("word", 3)
+        c, within, of = self._table("pair", 4)
+        of, within = of.astype(np.int64), within.astype(np.int64)
+        total, types = (x[within] for x in self._table("context", 3))
+        logs = np.log10(count + 1)
+        self.known, self.logs = (count > 0)[of], logs[of]
+        share = (logs - mass)[of]
+        met = np.maximum(total + types, 1)
+        self.p = np.where(total > 0, np.log10((c + types * 10**share) / met + 1e-300), share)
+
+
 def _finished(batches):
-    """Rows of a chunk: first its vocabulary's places with their counts, then its texts."""
-    now, logs, known = None, np.zeros(0), np.zeros(0, bool)
+    """Rows of a chunk: first its words, pairs and contexts with their counts, then its texts."""
+    now, chunk_of = None, Chunk()
     for b in batches:
-        chunk, place, count = b.column("chunk").to_numpy(), b.column("place").to_numpy(zero_copy_only=False), b.column("c").to_numpy(zero_copy_only=False)
         is_text = b.column("ids").is_valid().to_numpy(zero_copy_only=False)
+        chunk, place, c, types, mass, within, of = (pc.fill_null(b.column(x), 0).to_numpy() for x in ("chunk", "place", "c", "types", "mass", "within", "of"))
+        is_word, is_pair = (b.column(x).is_valid().to_numpy(zero_copy_only=False) for x in ("mass", "of"))
         rows = []
-        cuts = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
+        cuts = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])) if len(chunk) else []
         for i, j in zip(cuts, np.append(cuts[1:], len(chunk))):
             if chunk[i] != now:
-                now, logs, known = chunk[i], np.zeros(0), np.zeros(0, bool)
-            words = np.flatnonzero(~is_text[i:j]) + i
-            if len(words):
-                at = place[words].astype(np.int64)
-                more = max(0, int(at.max()) + 1 - len(logs))
-                logs, known = np.append(logs, np.zeros(more)), np.append(known, np.zeros(more, bool))
-                logs[at], known[at] = np.log10(count[words] + 1.0), count[words] > 0
-            for k in (np.flatnonzero(is_text[i:j]) + i).tolist():
+                now, chunk_of = chunk[i], Chunk()
+            some = slice(i, j)
+            at = lambda kind: np.flatnonzero(kind[some]) + i  # noqa: B023, E731
+            words, pairs, contexts = at(is_word), at(is_pair), at(~is_text & ~is_word & ~is_pair)
+            chunk_of.add("word", place[words], c[words], mass[words])
+            chunk_of.add("pair", place[pairs], c[pairs], within[pairs], of[pairs])
+            chunk_of.add("context", place[contexts], c[contexts], types[contexts])
+            texts = at(is_text).tolist()
+            if texts and chunk_of.held:
+                chunk_of.finish()
+            for k in texts:
                 ids = np.frombuffer(b.column("ids")[k].as_buffer(), np.int32)
-                rows.append((k, int(known[ids].sum()), float(logs[ids].sum())))
+                rows.append((k, int(chunk_of.known[ids].sum()), float(chunk_of.logs[ids].sum()), float(chunk_of.p[ids].sum())))
         at = pa.array([r[0] for r in rows], pa.int64())
         take = lambda name: b.column(name).take(at)
-        tail = pa.array([r[2] for r in rows], pa.float64())
+        known, logs, p = (pa.array([r[i] for r in rows], t) for i, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.float64())))
         yield pa.RecordBatch.from_arrays(
-            [take("doc_id"), take("held_out"), take("n"), pc.add(take("head_n"), pa.array([r[1] for r in rows], pa.int64())), pc.add(take("head_log"), tail), take("model"), tail],
+            [take("doc_id"), take("held_out"), take("n"), pc.add(take("head_n"), known), pc.add(take("head_log"), logs), take("model"), p],
             ["doc_id", "held_out", "n_tokens", "n_known", "known_log", "model", "tail_log"],
         )
 
@@ -384,13 +465,17 @@ def score_texts(docs: DataFrame, held_out: Column, rounds: int = ROUNDS) -> Data
     tail = counts.join(F.broadcast(spark.createDataFrame([(w,) for w, _ in head], "word string")), "word", "left_anti")
     totals = tail.groupBy(F.pmod(F.crc32(F.right("word", F.lit(2))), F.lit(TAILS)).cast("int").alias("t")).agg((F.sum("c") + F.count(F.lit(1))).alias("m"))
     vocabulary = spark.sparkContext.broadcast(Vocabulary(head, {t: m for t, m in totals.collect()}, tokens, types))  # TAILS rows
+    pairs = materialize(training.select("text").mapInArrow(_count_pairs(vocabulary), "key long, context long, c long").groupBy("key").agg(F.sum("c").alias("c"), F.first("context").alias("context")))
+    contexts = pairs.groupBy(F.col("context").alias("key")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("types"))
+    evidence = pairs.select("key", "c", F.lit(0).cast("long").alias("types")).unionByName(contexts)
     sliced = training.select("text", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(rounds)).alias("slice"))
     model = train(sliced, vocabulary, rounds)
     sent = spark.sparkContext.broadcast((model.classes, model.words))
     scored = materialize(rows.mapInArrow(_scored(vocabulary, sent), SCORED))
-    words = scored.filter("word IS NOT NULL").select("chunk", "word", "place").join(counts, "word", "left").select("chunk", "place", F.coalesce("c", F.lit(0)).alias("c"))
+    words = scored.filter("word IS NOT NULL").select("chunk", "word", "place", "mass").join(counts, "word", "left").select("chunk", "place", "mass", "c")
+    met = scored.filter("key IS NOT NULL").select("chunk", "key", "place", "within", "of").join(evidence, "key", "left").select("chunk", "place", "within", "of", "c", "types")
     texts = scored.filter("ids IS NOT NULL").select("chunk", "doc_id", "held_out", "n", "head_n", "head_log", "model", "ids")
-    both = words.unionByName(texts, allowMissingColumns=True).repartition("chunk").sortWithinPartitions(F.col("chunk"), F.col("ids").isNotNull())
+    both = words.unionByName(met, allowMissingColumns=True).unionByName(texts, allowMissingColumns=True).repartition("chunk").sortWithinPartitions(F.col("chunk"), F.col("ids").isNotNull())
     done = both.mapInArrow(_finished, FINISHED)
     return done.select(
         "doc_id",

@@ -111,6 +111,24 @@ def test_lm_head_word_beyond_256_depends_on_history():
     assert last("w1 w900") > last("w1 w901") + 0.3 and last("w2 w901") > last("w2 w900") + 0.3
 
 
+def test_lm_tail_words_by_pair_counts(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "train", lambda *a, **k: lm_score.Model())
+    frequent = [" ".join(f"f{i}" for i in range(1100))] * 5
+    # tail words of one class
+    texts = [*frequent, *["l7 r7zz r9zz"] * 2, "l7 r8zz", "l8 r8zz", "l7 r7zz", "l7 r8zz", "l7 r6zz", "none r7zz", "none r8zz"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in lm_score.score_texts(df, F.col("doc_id") >= 9).collect()}
+    count = collections.Counter(w for t in texts[:9] for w in [*t.split(), ""])
+    head = {w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[: lm_score.HEAD]}
+    cls = lambda w: zlib.crc32(w[-2:].encode()) % lm_score.TAILS
+    total = sum(c + 1 for w, c in count.items() if w not in head and cls(w) == cls("zz")) + 1
+    share = {w: (count[w] + 1) / total for w in ("r6zz", "r7zz", "r8zz")}
+    p = {w: (c + 2 * share[w]) / (3 + 2) for w, c in (("r6zz", 0), ("r7zz", 2), ("r8zz", 1))}  # after l7: 3 of 2 kinds
+    assert abs(got[9] - got[10] - math.log10(p["r7zz"] / p["r8zz"])) < 1e-5
+    assert abs(got[9] - got[11] - math.log10(p["r7zz"] / p["r6zz"])) < 1e-5
+    assert abs(got[12] - got[13] - math.log10(share["r7zz"] / share["r8zz"])) < 1e-5  # a word never met before
+
+
 def test_lm_sums_of_runs():
     r = np.random.default_rng(3)
     n = np.sort(np.concatenate([r.integers(1, 40, 50), [15, 16, 17, 300], np.ones(20, int)]))[::-1]
