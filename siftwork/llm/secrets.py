@@ -5,7 +5,10 @@ each class has its own threshold in bits a character. A window of WINDOW charact
 entropy is log2(WINDOW) - sum(c * log2 c) / WINDOW, and that sum changes by two terms a step as the counts of one
 character that enters and one that leaves are updated. The span runs from the first window at or over the threshold
 to the end of the last. Candidates that match the allow-list are suppressed, and so are spans inside a fixed
-pattern's span, which already tells of them. Only DataFrame functions are used.
+pattern's span, which already tells of them. With pieces, the runs of letters and digits inside a candidate are
+candidates as well, with classes of their own: a separator or an allow-listed word beside a secret does not hide it.
+A piece is suppressed if it matches the allow-list itself, or if its run matches a pattern of the allow-list that is
+anchored at the start, as these tell what a run is. Only DataFrame functions are used.
 
 Positions are code points, the end exclusive. Defined results: a null text counts as empty and has no spans; repeated
 rows give a row each; an empty table gives an empty result; other columns are ignored.
@@ -28,6 +31,7 @@ KINDS = (
 )
 MIN_RUN, WINDOW = 20, 20
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}+"
+PIECE = rf"[A-Za-z0-9]{{{MIN_RUN},}}+"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Character classes in order, with the least entropy of a window that counts; runs of no class are prose.
 CLASSES = (
@@ -104,8 +108,8 @@ def _threshold(value: Column) -> Column:
     return reduce(lambda rest, c: F.when(value.rlike(c[1]), F.lit(c[2])).otherwise(rest), reversed(CLASSES), F.lit(None).cast("double"))
 
 
-def find_secrets(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
-    """doc_id, base, entropy: arrays of struct<start, kind (its place), name, end, value>, by start."""
+def find_secrets(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED, pieces: bool = False) -> DataFrame:
+    """doc_id, base, entropy: arrays of struct<start, kind (its place), name, end, value>, by start. pieces: look at the pieces between separators, too."""
     text = F.col("_text")
     rows = docs.select("doc_id", text_of().alias("_text"))
     for name, pattern, group, least in KINDS:
@@ -113,7 +117,12 @@ def find_secrets(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED) -> DataFra
     rows = rows.withColumn("_runs", _spans(text, CANDIDATE)).drop("_text")
     named = lambda col, kind, name: F.transform(col, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), F.lit(name).alias("name"), x["value"].alias("value")))
     base = F.array_sort(F.concat(*(named(F.col(f"_{k[0]}"), i, k[0]) for i, k in enumerate(KINDS))))
-    fine = lambda v: ~reduce(lambda a, b: a | b, (v.rlike(p) for p in allowed), F.lit(False))
+    fine = lambda v, patterns=allowed: ~reduce(lambda a, b: a | b, (v.rlike(p) for p in patterns), F.lit(False))
+    if pieces:
+        anchored = tuple(p for p in allowed if p.removeprefix("(?i)").startswith("^"))
+        parted = F.filter("_runs", lambda x: x["value"].rlike("[+/_=-]") & x["value"].rlike(PIECE) & fine(x["value"], anchored))
+        moved = lambda x: F.transform(_spans(x["value"], PIECE), lambda y: F.struct((x["start"] + y["start"]).alias("start"), (x["start"] + y["end"]).alias("end"), y["value"].alias("value")))
+        rows = rows.withColumn("_runs", F.concat("_runs", F.flatten(F.transform(parted, moved))))
     classed = F.filter(F.transform("_runs", lambda x: F.struct(x["start"].alias("start"), x["value"].alias("value"), _threshold(x["value"]).alias("least"))), lambda x: x["least"].isNotNull() & fine(x["value"]))
     rows = rows.select("doc_id", base.alias("base"), classed.alias("_classed"))
     slid = F.transform("_classed", lambda x: F.struct(x["start"].alias("start"), x["value"].alias("value"), window_spans(x["value"], x["least"]).alias("w")))
@@ -130,7 +139,13 @@ def find_secrets(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED) -> DataFra
     )
     rows = rows.select("doc_id", "base", kept.alias("_entropy"))
     apart = F.filter("_entropy", lambda e: ~F.exists("base", lambda b: (b["start"] <= e["start"]) & (e["end"] <= b["end"])))
-    return rows.select("doc_id", "base", apart.alias("entropy"))
+    rows = rows.select("doc_id", "base", apart.alias("entropy"))
+    if not pieces:
+        return rows
+    # a piece's span inside its run's span tells nothing new
+    inside = lambda e, o: (o["start"] <= e["start"]) & (e["end"] <= o["end"]) & (o["end"] - o["start"] > e["end"] - e["start"])
+    alone = F.filter(F.array_distinct("entropy"), lambda e: ~F.exists("entropy", lambda o: inside(e, o)))
+    return rows.select("doc_id", "base", F.array_sort(alone).alias("entropy"))
 
 
 def _joined(spans: Column) -> Column:
@@ -138,7 +153,7 @@ def _joined(spans: Column) -> Column:
 
 
 def op2_secrets(spark, sf_dir: str) -> DataFrame:
-    found = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"), pieces=True)
     count = lambda name: F.size(F.filter("base", lambda x: x["name"] == name)).cast("long").alias(f"n_{name}")
     return found.select(
         "doc_id",

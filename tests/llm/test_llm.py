@@ -158,6 +158,24 @@ def plain_spans(t):
     return sorted(out), sorted(out + more)
 
 
+def test_secrets_beside_separators_and_allowed_words(spark, tmp_path):
+    token, upper = "3ax6xnjp29jd6fds4gc373sgvjxteol0", "K3J9X0P2M8Q7W1Z5V4N6"
+    found = {
+        f"key-{token}": [(4, 36)],
+        "auth=k3j9x0p2m8q7w1z5v4n6": [(5, 25)],
+        f"a {upper}-{upper} b": [(2, 22), (23, 43)],
+        f"/example/{token}": [(9, 41)],
+        f"dummy{token}": [],
+        f"sha256-{token}": [],
+        "just-a-long-row-of-words/and_more": [],
+        token: [(0, 32)],
+    }
+    spark.createDataFrame(list(enumerate(found)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x["spans"] for x in secrets.op2_secrets(spark, str(tmp_path)).collect()}
+    for i, (text, spans) in enumerate(found.items()):
+        assert got[i] == ",".join(f"entropy:{a}:{b}" for a, b in spans), text
+
+
 def test_secrets(spark):
     r = random.Random(4)
     bits = ["token = '", "password:", "AKIA", "api_key=", "ABCDEF1234567890XYZW", "deadbeef" * 3, "é😀", " ", "secret", '"', "Zx9Qw3Er5Ty7Ui1Op2As4Df6", "abc", "=", "123e4567-e89b-12d3-a456-426614174000", "sha256-abcdefABCDEF0123456789+/xyzXYZ", "x" * 30]
