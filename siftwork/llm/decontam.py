@@ -83,9 +83,11 @@ def contained(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """The rows of docs, all columns, that hold no item."""
-    bad = contained(docs, items, **how).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of docs, all columns, that hold no item. Rows are told apart by id and text, as ids may be null or repeated."""
+    tag = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    rows = docs.select(F.struct(docs["doc_id"].alias("id"), tag.alias("tag")).alias("doc_id"), docs["text"])
+    bad = contained(rows, items, **how).select(F.col("doc_id.id").alias("_bad"), F.col("doc_id.tag").alias("_bad_tag")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")) & (tag == F.col("_bad_tag")), "left_anti")
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:

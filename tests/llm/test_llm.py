@@ -250,6 +250,13 @@ def test_decontamination(spark, docs, pdf):
     assert decontam.contained(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_decontaminate_keeps_clean_rows_without_or_with_repeated_ids(spark):
+    item = "one two three four five six seven eight"
+    rows = [(None, f"a {item} b"), (None, "clean without an id"), (7, item), (7, "clean with a repeated id"), (8, None), (None, None), (None, f"a {item} b")]
+    left = decontam.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(map(str, map(tuple, left.collect()))) == sorted(map(str, [rows[1], rows[3], rows[4], rows[5]]))
+
+
 # --- 5, 6 ---
 
 
