@@ -3,7 +3,8 @@
 For a BPE vocabulary each prefix of a word has one encoding, and it is the encoding of a shorter prefix followed by
 one token that may stand next to that prefix's last token. So a pass over the word's ends, which stores the last token
 and the count of each, gives the exact count at every prefix without encoding any of them. Words (pre-tokens) repeat,
-so each worker keeps the columns of the words it has met, up to CACHE_WORDS of them; others are computed again.
+so each worker keeps the columns of the words it has met, up to CACHE_WORDS words and CACHE_COUNTS counts, and then
+starts anew. The query takes totals and the cut at LIMIT from them; prefix_table() gives all prefixes of whole texts.
 
 Prefixes that cut a pre-token in two are handled as the pre-tokenizer would: a white-space run at the end of a prefix
 is one pre-token, a cut contraction is two, and a cut special token is ordinary text.
@@ -18,6 +19,7 @@ import functools
 import json
 import re
 import unicodedata
+from array import array
 from itertools import accumulate
 
 import numpy as np
@@ -29,6 +31,7 @@ from .common import small_batches, text_of
 
 LIMIT = 512
 CACHE_WORDS = 500_000
+CACHE_COUNTS = 10_000_000  # of all columns that a worker keeps, as words may be long
 NEVER = 1 << 60
 #: The white space of the pre-tokenizer: Unicode's White_Space.
 WS = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
@@ -56,7 +59,7 @@ def _byte_letters() -> dict[str, int]:
 
 
 class PrefixCounter(dict):
-    """Maps a pre-token to its token count, computing what is missing; see also columns() and counts()."""
+    """Maps a pre-token to its token count, computing what is missing and keeping its column, the counts at all its prefixes; see also column() and counts()."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -75,6 +78,8 @@ class PrefixCounter(dict):
         self.library = Tokenizer.from_file(path)
         self.beside: dict[tuple[bytes, bytes], bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
+        self.columns: dict[str, array] = {}
+        self.kept = 0
         self.made = {a + b: (i, (a, b)) for (a, b), i in self.ranks.items()}
 
     def _edge(self, token: bytes, side: int) -> list[tuple[bytes, int]]:
@@ -126,15 +131,25 @@ class PrefixCounter(dict):
 
     def column(self, word: str) -> list[int]:
         """The count at each code-point prefix of one pre-token, from 1 code point on, as if the text ended there."""
+        n = self[word]
+        return [*self.columns.get(word, ()), n]
+
+    def _inner(self, word: str, at: list[int]) -> array:
+        """The column of a pre-token but for its last count; at: the counts at its byte prefixes."""
         if word in CONTRACTIONS:
-            return [1, 2, self[word]][: len(word) - 1] + [self[word]] if len(word) > 2 else [1, self[word]]
-        at = self.byte_column(word.encode())
-        return at[1:] if word.isascii() else [at[e] for e in accumulate(len(c.encode()) for c in word)]
+            return array("i", [1, 2][: len(word) - 1])
+        return array("i", at[1:-1] if word.isascii() else [at[e] for e in accumulate(len(c.encode()) for c in word[:-1])])
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= CACHE_WORDS or self.kept > CACHE_COUNTS:
             self.clear()
-        n = self[word] = self.byte_column(word.encode())[-1]
+            self.columns.clear()
+            self.kept = 0
+        at = self.byte_column(word.encode())
+        if len(word) > 1:
+            self.columns[word] = self._inner(word, at)
+            self.kept += len(word)
+        n = self[word] = at[-1]
         return n
 
     def words(self, text: str) -> list[str]:

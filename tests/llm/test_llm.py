@@ -215,6 +215,21 @@ def test_token_counts_at_every_prefix(docs, pdf, none):
         assert encode(x["text"][: x["chars"]]) <= 9 and x["n_tokens"] == encode(x["text"][:12])
 
 
+def test_workers_keep_the_columns_of_the_words_they_met(monkeypatch):
+    by = token_counts.PrefixCounter(token_counts.vocabulary())
+    words = by.words("internationalization is naïve, isn't it? 12345 \u20ac\u20ac")
+    by.total("".join(words))
+    monkeypatch.setattr(by, "byte_column", lambda word: pytest.fail("computed again"))
+    for word in words:
+        assert by.column(word) == [len(by.library.encode(word[: i + 1], add_special_tokens=False).ids) for i in range(len(word))], word
+    monkeypatch.undo()
+    monkeypatch.setattr(token_counts, "CACHE_WORDS", 3)
+    by.clear()
+    by.columns.clear()
+    by.total(" ".join(f"word{i}xyz" for i in range(50)))
+    assert len(by) <= 3 and len(by.columns) <= 3
+
+
 # --- 4 ---
 
 
