@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: ASCII white space, as the contracts name it, and its complement.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -88,8 +90,24 @@ def checked_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+#: Buckets of keys that by_bucket broadcasts at most.
+BUCKETS = 1 << 18
+
+
+def by_bucket(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, how: str = "left_semi") -> DataFrame:
+    """The rows whose key falls in a bucket of a wanted key (left_semi), or the others (left_anti).
+
+    The buckets, BUCKETS numbers at most at every size, are broadcast, so that an exact join after it shuffles texts
+    only where a wanted key may be. A null key is in a bucket like any other.
+    """
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
+    met = wanted.select(bucket(wanted_key).alias("_met_bucket")).distinct()
+    return rows.join(F.broadcast(met), bucket(key) == F.col("_met_bucket"), how)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
-    """Bounds an Arrow batch by rows and bytes, as texts may be long."""
+    """Readies the session for Python workers: they get this package, and Arrow batches are bounded by rows and bytes, as texts may be long."""
+    ship(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)):
         now = spark.conf.get(key, None)
         if now is None or not str(now).rstrip("bB").lstrip("-").isdigit() or not 0 < int(str(now).rstrip("bB")) <= most:

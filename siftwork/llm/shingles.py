@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -30,6 +29,24 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.diff(offsets), words
 
 
+def string_hashes(strings: pa.Array) -> np.ndarray:
+    """64 bits of each string: its bytes times pseudo-random odd numbers by place, summed and mixed."""
+    n = len(strings)
+    if not n:
+        return np.zeros(0, np.uint64)
+    offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + n + 1]
+    length = np.diff(offsets)
+    sums = np.zeros(n, np.uint64)
+    if offsets[-1] > offsets[0]:
+        data = np.frombuffer(strings.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
+        factors = mix(np.arange(1, length.max() + 1, dtype=np.uint64) * M1) | np.uint64(1)
+        data += np.uint64(1)
+        data *= factors[np.arange(len(data)) - np.repeat(offsets[:-1] - offsets[0], length)]
+        filled = length > 0
+        sums[filled] = np.add.reduceat(data, (offsets[:-1] - offsets[0])[filled])
+    return mix(sums + length.astype(np.uint64) * M2)
+
+
 def word_hashes(words: pa.Array) -> np.ndarray:
     """A 64-bit hash of each word; each distinct word is hashed once."""
     if not len(words):
@@ -37,8 +54,7 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     coded = words.dictionary_encode()
     if isinstance(coded, pa.ChunkedArray):
         coded = coded.combine_chunks()
-    distinct = pd.util.hash_array(np.array(coded.dictionary.to_pylist(), object), categorize=False)
-    return distinct[coded.indices.to_numpy()]
+    return string_hashes(coded.dictionary)[coded.indices.to_numpy()]
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
