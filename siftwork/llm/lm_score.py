@@ -2,25 +2,33 @@
 
 Tokens are words (A-Z lower-cased) and one end a text. Counts of all training tokens give the base: add-one unigrams,
 unseen words counting as one more type. The model factors p(w | h) = p(class | h) p(w | class, h). The HEAD most
-frequent tokens form classes of WIDTH by rank; all others, unseen words included, form TAILS classes by a hash of their
-last two letters. Features of the history h are hashed: the word before, the two before, and the word before that
-alone (a skip). Inside a head class the word is predicted by the same kind of features. Inside a tail class it is
-predicted by counts of all training pairs of a word and the tail word after it, which grow with the corpus: if words of
-the class followed the word before C times, T distinct ones, and this one c times, p = (c + T q) / (C + T), where q is
-its add-one share of the class (Witten-Bell); if none did, p = q. Pairs are told apart by 64-bit hashes. With no
-weights and no pairs the model is the unigram model.
-
-Training goes over every training text once, in ROUNDS rounds. In a round each task updates its own copy of the
-weights by gradient steps (AdaGrad a row) over minibatches, and the changes of each row are averaged over the tasks,
-weighted by how often they met its feature. Weights have a fixed size, pair counts do not; only weights and the head's words reach the driver.
-
-Scoring adds class and head terms while it reads a text. Counts of tail words and of pairs grow with the corpus: each
-task writes its texts as numbers of the distinct pairs of its own chunk (CHUNK tail tokens), these with their words join
-the counts, and each chunk's counts meet its texts again. All tables go to the shared folder.
+frequent tokens (ties by code point) form classes of WIDTH by rank; all others, unseen words included, form TAILS
+classes by a hash of their last two letters. Features of the history h are hashed to ROWS rows each: the word before,
+the two before, and the word before that alone (a skip). Inside a head class the word is predicted by the same features,
+each with rows of its own for the class. Inside a tail class, where there is no end to the words, the weight of a word
+after a hashed word before it follows from counts of all training pairs: if words of the class followed C times, this one
+c times, p = (c + k q) / (C + k), where q is the word's add-one share of the class and k = PRIOR * C ** POWER. These counts
+grow with the corpus; all words of a class, unseen ones as one, sum to 1. Without weights and counts the model is the
+unigram model.
+
+Training goes over every training text once, in ROUNDS synchronous rounds, over slices by a hash of id and text. In a
+round each task sums, over its texts, how often each feature met each outcome and how often the model at hand expects
+it; the difference, summed over all tasks, is the gradient, and each weight takes one step along it, scaled by the mean
+of both sums (a diagonal estimate of the curvature) plus DAMP. The first round's expectations are known beforehand. So a
+round does not depend on how texts lie in files or tasks, but for the order of floating-point sums. Weights have a fixed
+size; only they, the counts behind C and the head's words reach the driver.
+
+Histories repeat, so texts are worked on GROUP tokens at once: the softmax is computed once a distinct history, and once
+a distinct history and head class, in sparse batches of PIECE rows.
+
+Scoring adds class and head terms while it reads a text. Tail tokens are dealt by a hash of their word, so all the
+counts of a word meet in one part, whose task adds up what it tells of each text; the sums go back to the text's chunk.
+A tail word has at most one in HEAD + 1 of all tokens, and words of more than PART tokens, whose counts are broadcast, are
+dealt by the word before them, too. Words and the words before them are told apart by 64 and 13 bits of hashes.
 
 Defined results: a null text counts as empty, whose only token is the end; rows with null ids count by the empty id;
-repeated rows are counted and scored each; an empty table gives an empty result, and one without training rows gives
-each token the one unseen type; other columns are ignored.
+repeated rows and ties are counted and scored each; a very long text may be one chunk on its own; an empty table gives an
+empty result, and one without training rows gives each token the one unseen type; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +37,6 @@ import math
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -37,19 +44,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_crc, materialize, small_batches, text_of
-from .shingles import M1, M2, mix, split_words
+from .shingles import M1, M2, mix, split_words, string_hashes
 
 HEAD, WIDTH, TAILS = 1024, 32, 32
-CLASSES = HEAD // WIDTH + TAILS
-ROWS = 8192  # of each feature table
+HEADS = HEAD // WIDTH
+CLASSES = HEADS + TAILS
+ROWS = 8192  # of each feature table: 13 bits
 FEATURES = 3  # of the class, and of the word in a head class
-ROUNDS, MINIBATCH, RATE = 2, 16384, 0.4
+#: Slices of the training texts, and how many of them each round goes over; the steps of the first and of later rounds.
+SLICES, ROUNDS = 12, (4, 2, 2, 2, 2)
+FIRST, STEP, DAMP, MOST = 0.7, 0.4, 3.0, 15.0
+CONTEXTS, PRIOR, POWER = 1 << 16, 4.0, 0.7  # hashed words before a tail word
+GROUP, PIECE = 1_000_000, 8192
 SHORT = 16  # rows that are summed a step at a time
-CHUNK = 3_000_000
-COUNTED = 1_500_000  # tokens that a task counts at once
+COUNTED = 3_000_000  # tokens that a task counts at once
 BLOCKS = 64
-#: Tasks of a training round at most: each of them sends its weights once.
-TRAIN_TASKS = 20_000
+#: Tokens that a training task sums at least, and tasks of a round at most: each of them sends its sums once.
+TRAIN_TOKENS, TRAIN_TASKS = 4_000_000, 20_000
+#: Tail tokens and texts of a chunk, tail tokens of a part, and words that are split at most.
+CHUNK, CHUNK_TEXTS, PART, SPLIT_WORDS = 2_000_000, 1 << 15, 2_000_000, 100_000
 START, END = np.uint64(0x51AF), np.uint64(0xE4D)
 
 
@@ -63,61 +76,93 @@ class Vocabulary:
         self.tokens, self.log_all = tokens, math.log10(tokens + types + 1)
         self.head_log = np.log10(counts + 1)
         mass = np.where(np.arange(HEAD) < len(head), counts + 1, 1e-9)
-        totals = [tail.get(i, 0) + 1 for i in range(TAILS)]
-        self.tail_log = np.log10(np.array(totals, float))
-        by_class = np.concatenate([mass.reshape(-1, WIDTH).sum(1), totals])
-        self.class_bias = np.log(by_class / by_class.sum()).astype(np.float32)
-        self.word_bias = np.log(mass.reshape(-1, WIDTH) / mass.reshape(-1, WIDTH).sum(1, keepdims=True)).astype(np.float32)
+        self.tail_mass = np.array([tail.get(i, 0) + 1 for i in range(TAILS)], float)
+        by_class = np.concatenate([mass.reshape(-1, WIDTH).sum(1), self.tail_mass])
+        self.class_share = by_class / by_class.sum()
+        self.word_share = mass.reshape(-1, WIDTH) / mass.reshape(-1, WIDTH).sum(1, keepdims=True)
+        self.class_bias, self.word_bias = (np.log(x).astype(np.float32) for x in (self.class_share, self.word_share))
 
 
-class Batch:
-    """Numbers of the tokens of a batch of texts, ends included."""
+def _tails(words: pa.Array) -> np.ndarray:
+    if not len(words):
+        return np.zeros(0, np.int64)
+    ends = pc.utf8_slice_codeunits(words, -2).dictionary_encode()
+    return np.array([zlib.crc32(x.encode()) % TAILS for x in ends.dictionary.to_pylist()], np.int64)[ends.indices.to_numpy()]
+
 
-    def __init__(self, texts: pa.Array, vocabulary: Vocabulary):
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
+class Group:
+    """The tokens of some texts, ends included, in order of their history and class; histories and their features."""
+
+    def __init__(self, texts: pa.Array, v: Vocabulary):
         counts, words = split_words(texts)
         coded = words.dictionary_encode()
         distinct = coded.dictionary if len(words) else pa.array([], pa.string())
-        self.distinct = distinct.to_pylist()
+        size = len(distinct)
         ids = coded.indices.to_numpy() if len(words) else np.zeros(0, np.int32)
-        known = pa.array(vocabulary.head, pa.string())
+        known = pa.array(v.head, pa.string())
         ranks = pc.fill_null(pc.index_in(pa.concat_arrays([distinct, pa.array([""], pa.string())]), known), -1).to_numpy().astype(np.int64)
-        hashes = np.append(pd.util.hash_array(np.array(self.distinct, object), categorize=False) if self.distinct else np.zeros(0, np.uint64), END)
-        symbols = np.where(ranks >= 0, ranks, HEAD + np.append(_tails(distinct), np.int64(zlib.crc32(b"") % TAILS)))
-        # the end has the number after all words
+        # after all words come the end and the start, which stands before the first word
+        self.hashes = np.append(string_hashes(distinct), np.array([END, START]))
+        symbols = np.where(ranks >= 0, ranks, HEAD + np.append(_tails(distinct), np.int64(zlib.crc32(b"") % TAILS))).astype(np.int32)
         self.n = counts + 1
-        self.stop = np.cumsum(self.n)
-        self.word = np.full(len(ids) + len(counts), len(self.distinct), np.int64)
-        inside = np.ones(len(self.word), bool)
-        inside[self.stop - 1] = False
-        self.word[inside] = ids
-        self.symbol = symbols[self.word]
-        first = self.stop - self.n
-        # what features need of a word is computed once a distinct word; START stands before the first one
-        start = len(hashes)
-        hashes = np.append(hashes, START)
-        one, two = np.roll(self.word, 1), np.roll(self.word, 2)
-        one[first] = two[first] = start
-        two[(first + 1)[self.n > 1]] = start
+        stop = np.cumsum(self.n)
+        first = stop - self.n
+        word = np.full(len(ids) + len(counts), size, np.int32)
+        inside = np.ones(len(word), bool)
+        inside[stop - 1] = False
+        word[inside] = ids
+        one, two = np.empty_like(word), np.empty_like(word)
+        one[1:], two[2:] = word[:-1], word[:-2]
+        one[first], two[first] = size + 1, size + 1
+        two[(first + 1)[self.n > 1]] = size + 1
+        symbol = symbols[word]
+        cls = np.where(symbol < HEAD, symbol // WIDTH, symbol - HEAD + HEADS)
         at = lambda x: (x >> np.uint64(51)).astype(np.uint16)  # 13 bits: ROWS
-        self.hashes, self.before = hashes, one
-        pair = (hashes * M2)[one] + mix(hashes)[two]
+        before = mix(self.hashes * M1)
+        near = at(before)
+        # words in order of their row, so that runs of a row lie together
+        by_row = np.argsort(near, kind="stable").astype(np.int32)
+        place = np.empty(size + 2, np.int64)
+        place[by_row] = np.arange(size + 2)
+        key = (place[one] * (size + 2) + two) * CLASSES + cls
+        self.order = np.argsort(key)
+        key = key[self.order]
+        self.text = np.repeat(np.arange(len(self.n), dtype=np.int32), self.n)[self.order]
+        self.word, self.cls, self.symbol = word[self.order], cls[self.order], symbol[self.order]
+        # runs of one history and class; histories
+        self.run = _starts(key)
+        self.run_n = np.diff(np.append(self.run, len(key)))
+        self.run_cls = self.cls[self.run]
+        history = key[self.run] // CLASSES
+        self.first_run = _starts(history)
+        self.run_history = np.repeat(np.arange(len(self.first_run)), np.diff(np.append(self.first_run, len(history))))
+        h_one, h_two = one[self.order][self.run][self.first_run], two[self.order][self.run][self.first_run]
+        pair = (self.hashes * M2)[h_one] + mix(self.hashes)[h_two]
         pair ^= pair >> np.uint64(29)
         pair *= M1
-        self.features = [at(mix(hashes * M1))[one], at(pair), at(mix(hashes * M2))[two]]
+        self.context = (before >> np.uint64(48)).astype(np.uint16)[h_one]  # 16 bits: CONTEXTS
+        self.features = [near[h_one], at(pair), at(mix(self.hashes * M2))[h_two]]
 
+    def history_of(self, tokens: np.ndarray) -> np.ndarray:
+        return np.repeat(self.run_history, self.run_n)[tokens]
 
-    def pairs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of tail tokens with the word before, and of their classes with it."""
-        before = self.hashes[self.before[at]]
-        keys = mix(before * M1 + mix(self.hashes)[self.word[at]])
-        return keys.view(np.int64), mix(before * M2 + (self.symbol[at] - HEAD + 1).astype(np.uint64)).view(np.int64)
+    def pieces(self):
+        """Histories i to j, their runs and the tokens of these."""
+        for i in range(0, len(self.first_run), PIECE):
+            j = min(i + PIECE, len(self.first_run))
+            a = self.first_run[i]
+            b = self.first_run[j] if j < len(self.first_run) else len(self.run)
+            yield i, j, a, b, self.run[a], self.run[b] if b < len(self.run) else len(self.order)
 
 
-def _tails(words: pa.Array) -> np.ndarray:
-    if not len(words):
-        return np.zeros(0, np.int64)
-    ends = pc.utf8_slice_codeunits(words, -2).dictionary_encode()
-    return np.array([zlib.crc32(x.encode()) % TAILS for x in ends.dictionary.to_pylist()], np.int64)[ends.indices.to_numpy()]
+def _in_class(features: list[np.ndarray], cls: np.ndarray) -> list[np.ndarray]:
+    """A feature inside a class has a row of its own."""
+    return [((f.astype(np.uint32) * np.uint32(2654435761) + cls.astype(np.uint32) * np.uint32(40503 * 65537)) >> np.uint32(19)).astype(np.uint16) for f in features]
 
 
 class Model:
@@ -128,38 +173,41 @@ class Model:
         self.words = np.zeros((FEATURES * ROWS, WIDTH), np.float32) if words is None else words
 
     @staticmethod
-    def _in_class(features: list[np.ndarray], cls: np.ndarray) -> list[np.ndarray]:
-        """A feature inside a class has a row of its own."""
-        return [((f.astype(np.uint32) * np.uint32(2654435761) + cls.astype(np.uint32) * np.uint32(40503 * 65537)) >> np.uint32(19)).astype(np.uint16) for f in features]
-
-    @staticmethod
-    def _sum(table: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
-        """The logits; within what float32 can raise e to."""
-        out = table[:ROWS].take(rows[0], axis=0, mode="clip")
-        for k in range(1, len(rows)):
-            out += table[k * ROWS : (k + 1) * ROWS].take(rows[k], axis=0, mode="clip")
-        out += bias
-        return np.clip(out, -60, 60, out=out)
-
-    def _logs(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """ln p of one column of each row."""
-        one = x[np.arange(len(x)), at].astype(np.float64)
-        np.exp(x, out=x)
-        return one - np.log(x @ np.ones(x.shape[1], np.float32))
-
-    def score(self, b: Batch, v: Vocabulary) -> np.ndarray:
-        """log10 p(class | h), and of head tokens also p(word | class, h), of each token."""
-        out = np.empty(len(b.symbol), np.float64)
-        for i in range(0, len(out), MINIBATCH):
-            s = b.symbol[i : i + MINIBATCH]
-            f = [x[i : i + MINIBATCH] for x in b.features]
-            cls = np.where(s < HEAD, s // WIDTH, s - HEAD + HEAD // WIDTH)
-            part = self._logs(self._sum(self.classes, f, v.class_bias), cls)
-            head = np.flatnonzero(s < HEAD)
-            if len(head):
-                rows = self._in_class([x[head] for x in f], cls[head])
-                part[head] += self._logs(self._sum(self.words, rows, v.word_bias[cls[head]]), s[head] % WIDTH)
-            out[i : i + MINIBATCH] = part
+    def _softmax(table: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logits, their exponentials, and the sums of these; weights are small enough for float32."""
+        x = table[:ROWS].take(rows[0], axis=0, mode="clip")
+        for k in range(1, FEATURES):
+            x += table[k * ROWS : (k + 1) * ROWS].take(rows[k], axis=0, mode="clip")
+        x += bias
+        e = np.exp(x)
+        return x, e, e @ np.ones(e.shape[1], np.float32)
+
+    def piece(self, g: Group, v: Vocabulary, i: int, j: int, a: int, b: int):
+        """The softmax of the histories i to j over classes; and of their runs in head classes over words, with their places."""
+        f = [x[i:j] for x in g.features]
+        classes = self._softmax(self.classes, f, v.class_bias)
+        heads = np.flatnonzero(g.run_cls[a:b] < HEADS)
+        cls, at = g.run_cls[a:b][heads], g.run_history[a:b][heads] - i
+        rows = _in_class([x[at] for x in f], cls)
+        words = self._softmax(self.words, rows, v.word_bias[cls])
+        return f, classes, heads, rows, words
+
+    def score(self, g: Group, v: Vocabulary) -> np.ndarray:
+        """Of each text, the sum of log10 p(class | h) of its tokens, and of head tokens also of log10 p(word | class, h)."""
+        out = np.zeros(len(g.n))
+        for i, j, a, b, s, t in g.pieces():
+            _, (x, _, z), heads, _, (y, _, zy) = self.piece(g, v, i, j, a, b)
+            history = g.run_history[a:b] - i
+            of_run = x[history, g.run_cls[a:b]].astype(np.float64) - np.log(z)[history]
+            log = np.repeat(of_run, g.run_n[a:b])
+            if len(heads):
+                n = g.run_n[a:b][heads]
+                inside = np.zeros(b - a, np.int64)
+                inside[heads] = np.arange(len(heads))
+                tokens = np.flatnonzero(g.cls[s:t] < HEADS)
+                row = np.repeat(np.arange(len(heads)), n)
+                log[tokens] += y[row, g.symbol[s:t][tokens] % WIDTH].astype(np.float64) - np.log(zy)[row]
+            out += np.bincount(g.text[s:t], log, len(out))
         return out / math.log(10)
 
 
@@ -177,315 +225,353 @@ def _sums(x: np.ndarray, order: np.ndarray, first: np.ndarray, n: np.ndarray) ->
     return g
 
 
-class Trainer:
-    def __init__(self, model: Model):
-        self.start = model
-        self.model = Model(model.classes.copy(), model.words.copy())
-        self.square = [np.full(len(model.classes), 1.0, np.float32), np.full(len(model.words), 1.0, np.float32)]
-        self.met = [np.zeros(len(model.classes), np.float32), np.zeros(len(model.words), np.float32)]
-
-    def _step(self, which: int, table: np.ndarray, rows: list[np.ndarray], x: np.ndarray, at: np.ndarray) -> None:
-        """x: the logits of each token, at: the column that is true. A row's slope is the sum over its tokens of p less the true one."""
-        np.exp(x, out=x)
-        x *= (1 / (x @ np.ones(x.shape[1], np.float32)))[:, None]
-        x[np.arange(len(x)), at] -= 1
-        for k, f in enumerate(rows):
-            order = np.argsort(f, kind="stable")
-            f = f[order]
-            first = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
-            n = np.diff(np.append(first, len(f)))
-            longest = np.argsort(-n, kind="stable")
-            first, n = first[longest], n[longest]
-            g = _sums(x, order, first, n)
-            row = f[first].astype(np.int64) + k * ROWS
-            self.square[which][row] += np.einsum("ij,ij->i", g, g)
-            self.met[which][row] += n
-            g *= (RATE / np.sqrt(self.square[which][row]))[:, None]
-            table[row] -= g
-
-    def learn(self, b: Batch, v: Vocabulary) -> None:
-        m = self.model
-        for i in range(0, len(b.symbol), MINIBATCH):
-            s = b.symbol[i : i + MINIBATCH]
-            f = [x[i : i + MINIBATCH] for x in b.features]
-            cls = np.where(s < HEAD, s // WIDTH, s - HEAD + HEAD // WIDTH)
-            self._step(0, m.classes, f, m._sum(m.classes, f, v.class_bias), cls)
-            head = np.flatnonzero(s < HEAD)
-            if len(head):
-                rows = m._in_class([x[head] for x in f], cls[head])
-                self._step(1, m.words, rows, m._sum(m.words, rows, v.word_bias[cls[head]]), s[head] % WIDTH)
-
-    def changes(self):
-        """(block, payload) of what this task learned: for each row its change, and how often it met the feature."""
-        for which, (now, then) in enumerate(((self.model.classes, self.start.classes), (self.model.words, self.start.words))):
-            for k in range(BLOCKS):
-                rows = _rows(which * BLOCKS + k)
-                met = self.met[which][rows]
-                if met.any():
-                    yield which * BLOCKS + k, met.tobytes() + (now[rows] - then[rows]).astype(np.float16).tobytes()
+#: Tables: weights of the class, weights of the word in a head class, and counts of words before tail classes.
+SHAPES = ((FEATURES * ROWS, CLASSES), (FEATURES * ROWS, WIDTH), (CONTEXTS, TAILS))
+
+
+class Sums:
+    """How often features met outcomes, and how often a model expects it, in tables like its weights; and counts of words before tail classes."""
+
+    def __init__(self, model: Model | None):
+        """model: None for weights of 0, whose expectations follow from the counts."""
+        self.model = model
+        self.met = [np.zeros(shape, np.int32) for shape in SHAPES]
+        self.expected = [np.zeros(shape, np.float32) for shape in SHAPES[:2]]
+
+    @staticmethod
+    def _add(table: np.ndarray, k: int, rows: np.ndarray, x: np.ndarray) -> None:
+        order = np.argsort(rows, kind="stable")
+        sorted_rows = rows[order]
+        first = _starts(sorted_rows)
+        n = np.diff(np.append(first, len(rows)))
+        longest = np.argsort(-n, kind="stable")
+        first, n = first[longest], n[longest]
+        table[sorted_rows[first].astype(np.int64) + k * ROWS] += _sums(x, order, first, n)
+
+    def add(self, g: Group, v: Vocabulary) -> None:
+        run_rows = [x[g.run_history].astype(np.int64) for x in g.features]
+        for k, f in enumerate(run_rows):
+            self.met[0][k * ROWS : (k + 1) * ROWS] += np.bincount(f * CLASSES + g.run_cls, g.run_n, ROWS * CLASSES).reshape(ROWS, CLASSES).astype(np.int32)
+        heads = np.flatnonzero(g.cls < HEADS)
+        run_of = np.repeat(np.arange(len(g.run)), g.run_n)[heads]
+        inside = _in_class([x[g.run_history] for x in g.features], g.run_cls)
+        for k, f in enumerate(inside):
+            self.met[1][k * ROWS : (k + 1) * ROWS] += np.bincount(f[run_of].astype(np.int64) * WIDTH + g.symbol[heads] % WIDTH, None, ROWS * WIDTH).reshape(ROWS, WIDTH).astype(np.int32)
+        tails = np.flatnonzero(g.run_cls >= HEADS)
+        before = g.context[g.run_history[tails]].astype(np.int64) * TAILS + g.run_cls[tails] - HEADS
+        self.met[2] += np.bincount(before, g.run_n[tails], CONTEXTS * TAILS).reshape(CONTEXTS, TAILS).astype(np.int32)
+        if self.model is None:
+            some = np.flatnonzero(g.run_cls < HEADS)
+            for k, f in enumerate(inside):
+                by = np.bincount(f[some].astype(np.int64) * HEADS + g.run_cls[some], g.run_n[some], ROWS * HEADS).reshape(ROWS, HEADS)
+                self.expected[1][k * ROWS : (k + 1) * ROWS] += (by @ v.word_share).astype(np.float32)
+            return
+        for i, j, a, b, _, _ in g.pieces():
+            f, (_, e, z), heads, rows, (_, ey, zy) = self.model.piece(g, v, i, j, a, b)
+            n = np.add.reduceat(g.run_n[a:b], g.first_run[i:j] - a)
+            e *= (n / z).astype(np.float32)[:, None]
+            for k in range(FEATURES):
+                self._add(self.expected[0], k, f[k], e)
+            if len(heads):
+                ey *= (g.run_n[a:b][heads] / zy).astype(np.float32)[:, None]
+                for k in range(FEATURES):
+                    self._add(self.expected[1], k, rows[k], ey)
+
+    def finished(self, v: Vocabulary) -> None:
+        if self.model is None:
+            self.expected[0] += (self.met[0].sum(1, keepdims=True) * v.class_share).astype(np.float32)
+
+
+def change(met: np.ndarray, expected: np.ndarray, step: float) -> np.ndarray:
+    """The step of each weight: the gradient over the mean of both sums."""
+    return step * (met - expected) / ((met + expected) / 2 + DAMP)
 
 
 def _count(batches):
-    """Words of many batches are counted together; the end is the empty word."""
-    held, tokens, ends = [], 0, 0
+    """held_out, text -> word, c: of training words, counted together over many batches (the end is the empty word); and as null all tokens."""
+    held, tokens, ends, every = [], 0, 0, 0
 
     def rows():
         found = pc.value_counts(pa.concat_arrays([*held, pa.array([], pa.string())]))
         words, counts = found.field("values"), found.field("counts")
-        return pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.array([""], pa.string())]), pa.concat_arrays([counts, pa.array([ends], pa.int64())])], ["word", "c"])
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.array(["", None], pa.string())]), pa.concat_arrays([counts, pa.array([ends, every], pa.int64())])], ["word", "c"])
 
     for b in batches:
-        n, words = split_words(b.column("text"))
+        training = pc.invert(b.column("held_out"))
+        n, words = split_words(b.column("text").filter(training))
         held.append(words)
         tokens, ends = tokens + len(words), ends + len(n)
+        every += len(words) + b.num_rows + int(split_words(b.column("text").filter(b.column("held_out")))[0].sum())
         if tokens > COUNTED:
             yield rows()
-            held, tokens, ends = [], 0, 0
-    if ends:
+            held, tokens, ends, every = [], 0, 0, 0
+    if every:
         yield rows()
 
 
-def _count_pairs(vocabulary):
-    """key, context, c: of each pair before a tail word, its class with the word before, and how often it was met."""
+def _grouped(batches, columns: tuple[str, ...] = ()):
+    """Texts of successive batches together, of about GROUP tokens; and columns of them."""
+    held, size = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.column("text").nbytes // 7 + b.num_rows
+        if size >= GROUP:
+            yield _together(held, columns)
+            held, size = [], 0
+    if held:
+        yield _together(held, columns)
 
-    def rows(held):
-        keys, contexts = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-        keys, at, c = np.unique(keys, return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(contexts[at]), pa.array(c, pa.int64())], ["key", "context", "c"])
 
-    def run(batches):
-        held, tokens = [], 0
-        for b in batches:
-            batch = Batch(b.column("text"), vocabulary.value)
-            held.append(batch.pairs(np.flatnonzero(batch.symbol >= HEAD)))
-            tokens += len(held[-1][0])
-            if tokens > COUNTED:
-                yield rows(held)
-                held, tokens = [], 0
-        if held:
-            yield rows(held)
+def _together(held, columns):
+    return [pa.concat_arrays([b.column(c) for b in held]) for c in ("text", *columns)]
 
-    return run
 
+def _rows(block: int) -> slice:
+    size = SHAPES[block // BLOCKS][0] // BLOCKS
+    return slice(block % BLOCKS * size, (block % BLOCKS + 1) * size)
 
-def _learned(vocabulary, model):
-    def run(batches):
-        trainer = Trainer(Model(*model.value))
-        for b in batches:
-            trainer.learn(Batch(b.column("text"), vocabulary.value), vocabulary.value)
-        for block, payload in trainer.changes():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([payload], pa.binary())], ["block", "payload"])
 
-    return run
+def _summed(vocabulary, model):
+    """Texts -> (block, payload): counts, and expectations of the tables that have weights. model: None in the first round."""
 
+    def run(batches):
+        v = vocabulary.value
+        sums = Sums(Model(*model.value) if model else None)
+        for (texts,) in _grouped(batches):
+            sums.add(Group(texts, v), v)
+        sums.finished(v)
+        for block in range(3 * BLOCKS):
+            which, rows = block // BLOCKS, _rows(block)
+            if sums.met[which][rows].any():
+                expected = sums.expected[which][rows].tobytes() if which < 2 else b""
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([sums.met[which][rows].tobytes() + expected], pa.binary())], ["block", "payload"])
 
-def _shape(block: int) -> tuple[int, int]:
-    width = CLASSES if block < BLOCKS else WIDTH
-    return len(_rows(block)), width
+    return run
 
 
-def _rows(block: int) -> np.ndarray:
-    return np.array_split(np.arange(FEATURES * ROWS), BLOCKS)[block % BLOCKS]
+def _stepped(step: float):
+    """All payloads of a block, one after the other -> one payload: the step of its weights, or the sum of its counts."""
 
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for block, payload in zip(b.column("block").to_pylist(), b.column("payload").to_pylist()):
+                which, rows = block // BLOCKS, _rows(block)
+                shape = (rows.stop - rows.start, SHAPES[which][1])
+                size = shape[0] * shape[1]
+                both = sums.setdefault(block, np.zeros((1 + (which < 2), *shape)))
+                both[0] += np.frombuffer(payload, np.int32, size).reshape(shape)
+                if which < 2:
+                    both[1] += np.frombuffer(payload, np.float32, size, 4 * size).reshape(shape)
+        for block, both in sums.items():
+            out = change(*both, step) if len(both) > 1 else both[0]
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([out.astype(np.float32).tobytes()], pa.binary())], ["block", "payload"])
 
-def _averaged(batches):
-    """All payloads of a block, one after the other -> one payload of its mean change."""
-    sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for b in batches:
-        for block, payload in zip(b.column("block").to_pylist(), b.column("payload").to_pylist()):
-            rows, width = _shape(block)
-            met = np.frombuffer(payload, np.float32, rows)
-            change = np.frombuffer(payload, np.float16, rows * width, 4 * rows).reshape(rows, width).astype(np.float32)
-            total, by = sums.setdefault(block, (np.zeros((rows, width), np.float32), np.zeros(rows, np.float32)))
-            total += change * met[:, None]
-            by += met
-    for block, (total, by) in sums.items():
-        mean = total / np.maximum(by, 1)[:, None]
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([mean.astype(np.float32).tobytes()], pa.binary())], ["block", "payload"])
+    return run
 
 
-def train(texts: DataFrame, vocabulary, rounds: int = ROUNDS) -> Model:
-    """texts: slice (0 to rounds - 1), text. vocabulary: broadcast."""
-    context, model = texts.sparkSession.sparkContext, Model()
-    for r in range(rounds):
-        sent = context.broadcast((model.classes, model.words))
-        mine = texts.filter(F.col("slice") == r).select("text").coalesce(TRAIN_TASKS)
-        learned = mine.mapInArrow(_learned(vocabulary, sent), "block int, payload binary")
-        mean = learned.repartition(2 * BLOCKS, "block").mapInArrow(_averaged, "block int, payload binary")
-        for block, payload in mean.collect():  # of fixed size: the weights
-            table = model.classes if block < BLOCKS else model.words
-            table[_rows(block)] += np.frombuffer(payload, np.float32).reshape(_shape(block))
-        sent.unpersist()
-    return model
+def train(texts: DataFrame, vocabulary) -> tuple[Model, np.ndarray]:
+    """The weights, and the counts of words before tail classes. texts: slice (0 to SLICES - 1), text. vocabulary: broadcast."""
+    context, model, contexts, done = texts.sparkSession.sparkContext, Model(), np.zeros(SHAPES[2], np.float32), 0
+    for r, share in enumerate(ROUNDS):
+        sent = context.broadcast((model.classes, model.words)) if r else None
+        tasks = min(TRAIN_TASKS, math.ceil(vocabulary.value.tokens * share / SLICES / TRAIN_TOKENS) or 1)
+        mine = texts.filter(F.col("slice").between(done, done + share - 1)).select("text").coalesce(tasks)
+        summed = mine.mapInArrow(_summed(vocabulary, sent), "block int, payload binary")
+        steps = summed.repartition(min(BLOCKS, 4 * tasks), "block").mapInArrow(_stepped(STEP if r else FIRST), "block int, payload binary")
+        for block, payload in steps.collect():  # of fixed size: the weights and the counts
+            table, rows = (model.classes, model.words, contexts)[block // BLOCKS], _rows(block)
+            table[rows] += np.frombuffer(payload, np.float32).reshape(-1, table.shape[1])
+        for table in (model.classes, model.words):
+            np.clip(table, -MOST, MOST, out=table)
+        done += share
+        if sent:
+            sent.unpersist()
+    return model, contexts
 
 
-SCORED = "chunk long, doc_id long, held_out boolean, n long, head_n long, head_log double, model double, ids binary, word string, mass double, place int, key long, within int, of int"
-SCHEMA = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n", pa.int64()), ("head_n", pa.int64()), ("head_log", pa.float64()), ("model", pa.float64()), ("ids", pa.binary()), ("word", pa.string()), ("mass", pa.float64()), ("place", pa.int32()), ("key", pa.int64()), ("within", pa.int32()), ("of", pa.int32())])
+ROUTED = "part int, chunk long, kind int, blob binary"
+TAIL, TEXTS = 0, 1  # kinds of blobs
 
 
-def _filled(rows: int, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in SCHEMA], schema=SCHEMA)
+def _routed(rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["part", "chunk", "kind", "blob"])
 
 
-def _scored(vocabulary, model):
-    """Rows of texts (ids: places of pairs), of words (mass: log10 of the class total), of pairs (within: place of the context, of: place of the word) and of contexts."""
+def _scored(vocabulary, model, split, parts: int):
+    """Texts -> for each chunk, its tail tokens in blobs by part, and what its texts have by themselves in one blob."""
 
     def run(batches):
-        v, m, task = vocabulary.value, Model(*model.value), TaskContext.get().partitionId()
-        held: dict[str, int] = {}
-        texts, part, tokens = [], 0, 0
+        v, m, split_keys, task = vocabulary.value, Model(*model.value), split.value[0], TaskContext.get().partitionId()
+        tokens, texts, part, size, count = [], [], 0, 0, 0
 
         def flushed():
-            chunk = (task << 24) + part
-            keys, contexts, words = (np.concatenate([t[i] for t in texts]) for i in (0, 1, 2))
-            keys, at, ids = np.unique(keys, return_index=True, return_inverse=True)
-            contexts, within = np.unique(contexts[at], return_inverse=True)
-            ids, done = ids.astype(np.int32), 0
-            for _, _, _, spans, values in texts:
-                own = np.split(ids[done : done + spans.sum()], np.cumsum(spans)[:-1])
-                done += spans.sum()
-                yield _filled(len(spans), chunk=np.full(len(spans), chunk), ids=[x.tobytes() for x in own], **values)
-            for i in range(0, len(keys), 1 << 16):
-                k = keys[i : i + (1 << 16)]
-                yield _filled(len(k), chunk=np.full(len(k), chunk), key=k, place=np.arange(i, i + len(k)), within=within[i : i + len(k)], of=words[at[i : i + len(k)]])
-            for i in range(0, len(contexts), 1 << 16):
-                k = contexts[i : i + (1 << 16)]
-                yield _filled(len(k), chunk=np.full(len(k), chunk), key=k, place=np.arange(i, i + len(k)))
-            if held:
-                names = pa.array(list(held), pa.string())
-                yield _filled(len(held), chunk=np.full(len(held), chunk), word=names, mass=v.tail_log[_tails(names)], place=np.arange(len(held)))
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            batch = Batch(b.column("text"), v)
-            tail = batch.symbol >= HEAD
-            known = np.where(tail, 0, v.head_log[np.minimum(batch.symbol, HEAD - 1)])
-            # numbers of the tail words in the chunk's vocabulary
-            met = np.zeros(len(batch.distinct) + 1, bool)
-            met[batch.word[tail]] = True
-            distinct = np.flatnonzero(met)
-            place = np.zeros(len(batch.distinct) + 1, np.int32)
-            place[distinct] = [held.setdefault(batch.distinct[i] if i < len(batch.distinct) else "", len(held)) for i in distinct.tolist()]
-            first = batch.stop - batch.n
-            values = {
-                "doc_id": b.column("doc_id"),
-                "held_out": b.column("held_out"),
-                "n": batch.n,
-                "head_n": np.add.reduceat((~tail).astype(np.int64), first),
-                "head_log": np.add.reduceat(known, first),
-                "model": np.add.reduceat(m.score(batch, v), first),
-            }
-            texts.append((*batch.pairs(np.flatnonzero(tail)), place[batch.word[tail]], np.add.reduceat(tail.astype(np.int64), first), values))
-            tokens += int(tail.sum())
-            if tokens >= CHUNK:
-                yield from flushed()
-                held.clear()
-                texts, part, tokens = [], part + 1, 0
+            chunk = (task << 32) + part
+            key, cls, ctx, doc = (np.concatenate(x) for x in zip(*tokens))
+            deal = key
+            if len(split_keys):
+                deal = np.where(np.isin(key, split_keys), mix(key + ctx.astype(np.uint64) * M1), key)
+            order = np.argsort(deal)
+            key, cls, ctx, doc, deal = key[order], cls[order], ctx[order], doc[order], deal[order]
+            to = (((deal >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)).astype(np.int64)
+            cuts = _starts(to)
+            for i, j in zip(cuts, np.append(cuts[1:], len(to))):
+                runs = _starts(deal[i:j])
+                n = np.diff(np.append(runs, j - i)).astype(np.uint32)
+                blob = b"".join(x.tobytes() for x in (np.array([len(runs), j - i], np.int64), key[i:j][runs], n, ctx[i:j], doc[i:j], cls[i:j][runs]))
+                yield _routed([(int(to[i]), chunk, TAIL, blob)])
+            table = pa.concat_tables(texts).combine_chunks().to_batches()[0]
+            yield _routed([(chunk % parts, chunk, TEXTS, table.serialize().to_pybytes())])
+
+        for some, doc_id, held_out in _grouped(batches, ("doc_id", "held_out")):
+            for a in range(0, len(some), CHUNK_TEXTS):
+                at = slice(a, a + CHUNK_TEXTS)
+                if texts and (size >= CHUNK or count + len(some[at]) > CHUNK_TEXTS):
+                    yield from flushed()
+                    tokens, texts, part, size, count = [], [], part + 1, 0, 0
+                g = Group(some[at], v)
+                tail = np.flatnonzero(g.cls >= HEADS)
+                head = np.flatnonzero(g.cls < HEADS)
+                learned = ~held_out[at].to_numpy(zero_copy_only=False)
+                doc = ((g.text[tail] + count).astype(np.uint16) << np.uint16(1)) | learned[g.text[tail]].astype(np.uint16)
+                tokens.append((g.hashes[g.word[tail]], (g.cls[tail] - HEADS).astype(np.uint8), g.context[g.history_of(tail)], doc))
+                size, count = size + len(tail), count + len(g.n)
+                alone = (doc_id[at], held_out[at], g.n, np.bincount(g.text[head], minlength=len(g.n)), np.bincount(g.text[head], v.head_log[g.symbol[head]], len(g.n)), m.score(g, v))
+                texts.append(pa.table([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(alone, TEXT_SCHEMA)], schema=TEXT_SCHEMA))
         if texts:
             yield from flushed()
 
     return run
 
 
-FINISHED = "doc_id long, held_out boolean, n_tokens long, n_known long, known_log double, model double, tail_log double"
+class Part:
+    """The tail tokens of a part: of each text of each chunk, how many are known, and the sums of log10(count + 1) and of log10 p(word | class, h)."""
+
+    def __init__(self, blobs: list[bytes]):
+        read = [self._read(x) for x in blobs]
+        keys, n, ctx, doc, cls = (np.concatenate(x) for x in zip(*read))
+        self.blob = np.repeat(np.arange(len(blobs)), [len(x[2]) for x in read])
+        self.keys, first, of_run = np.unique(keys, return_index=True, return_inverse=True)
+        self.cls, self.word = cls[first], np.repeat(of_run, n)
+        self.ctx, self.doc, self.learned = ctx.astype(np.int64), doc >> 1, (doc & 1).astype(np.float64)
+
+    @staticmethod
+    def _read(blob: bytes):
+        runs, tokens = np.frombuffer(blob, np.int64, 2).tolist()
+        out, at = [], 16
+        for kind, size in ((np.uint64, runs), (np.uint32, runs), (np.uint16, tokens), (np.uint16, tokens), (np.uint8, runs)):
+            out.append(np.frombuffer(blob, kind, size, at))
+            at += out[-1].nbytes
+        return out
+
+    def told(self, v: Vocabulary, contexts: np.ndarray, priors: np.ndarray, split: tuple[np.ndarray, np.ndarray]):
+        """Rows (blob, texts, known, logs, p)."""
+        count = np.bincount(self.word, self.learned, len(self.keys))
+        if len(split[0]):
+            at = np.minimum(np.searchsorted(split[0], self.keys), len(split[0]) - 1)
+            count = np.where(split[0][at] == self.keys, split[1][at], count)
+        share = (count + 1) / v.tail_mass[self.cls]
+        pair = self.word * CONTEXTS + self.ctx
+        order = np.argsort(pair)
+        first = _starts(pair[order])
+        met = np.empty(len(pair))
+        met[order] = np.repeat(np.add.reduceat(self.learned[order], first), np.diff(np.append(first, len(pair))))
+        at = self.ctx * TAILS + self.cls[self.word]
+        prior = priors[at]
+        p = np.log10((met + prior * share[self.word]) / (contexts[at] + prior))
+        texts, of = np.unique(self.blob * CHUNK_TEXTS + self.doc, return_inverse=True)
+        sums = [np.bincount(of, x, len(texts)) for x in ((count > 0).astype(float)[self.word], np.log10(count + 1)[self.word], p)]
+        blob = texts // CHUNK_TEXTS
+        for i, j in zip(cuts := _starts(blob), np.append(cuts[1:], len(blob))):
+            yield int(blob[i]), (texts[i:j] % CHUNK_TEXTS).astype(np.uint16), sums[0][i:j].astype(np.uint32), sums[1][i:j], sums[2][i:j].astype(np.float32)
+
+
+def _told(vocabulary, counted, split):
+    """Rows (part, chunk, kind, blob), sorted by part -> rows for the chunks."""
 
+    def run(batches):
+        v, contexts = vocabulary.value, counted.value.ravel().astype(np.float64)
+        priors = PRIOR * np.maximum(contexts, 1) ** POWER
+        now, chunks, blobs = None, [], []
 
-class Chunk:
-    """What a chunk's texts need: of each of its pairs, log10(count + 1) of the word, whether it is known, and log10 p(word | class, h)."""
+        def rows():
+            for i, *values in Part(blobs).told(v, contexts, priors, split.value):
+                blob = b"".join(x.tobytes() for x in (np.array([len(values[0])], np.int64), *values))
+                yield _routed([(0, chunks[i], TAIL, blob)])
 
-    def __init__(self):
-        self.held: dict[str, list] = {"word": [], "pair": [], "context": []}
+        for b in batches:
+            for part, chunk, kind, blob in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if kind == TEXTS:
+                    yield _routed([(0, chunk, TEXTS, blob)])
+                    continue
+                if part != now and blobs:
+                    yield from rows()
+                    chunks, blobs = [], []
+                now = part
+                chunks.append(chunk)
+                blobs.append(blob)
+        if blobs:
+            yield from rows()
 
-    def add(self, kind: str, *columns: np.ndarray) -> None:
-        if len(columns[0]):
-            self.held[kind].append(columns)
+    return run
 
-    def _table(self, kind: str, width: int) -> list[np.ndarray]:
-        """Columns by place."""
-        rows = self.held.pop(kind)
-        columns = [np.concatenate([r[i] for r in rows]) if rows else np.zeros(0) for i in range(width)]
-        order = np.argsort(columns[0], kind="stable")
-        return [c[order] for c in columns[1:]]
 
-    def finish(self) -> None:
-        count, mass = self._table("word", 3)
-        c, within, of = self._table("pair", 4)
-        of, within = of.astype(np.int64), within.astype(np.int64)
-        total, types = (x[within] for x in self._table("context", 3))
-        logs = np.log10(count + 1)
-        self.known, self.logs = (count > 0)[of], logs[of]
-        share = (logs - mass)[of]
-        met = np.maximum(total + types, 1)
-        self.p = np.where(total > 0, np.log10((c + types * 10**share) / met + 1e-300), share)
+FINISHED = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double"
 
 
 def _finished(batches):
-    """Rows of a chunk: first its words, pairs and contexts with their counts, then its texts."""
-    now, chunk_of = None, Chunk()
+    """Rows of chunks, sorted by chunk and kind: what the parts tell of its texts, then the texts."""
+    sums, now = np.zeros((3, CHUNK_TEXTS)), None
     for b in batches:
-        is_text = b.column("ids").is_valid().to_numpy(zero_copy_only=False)
-        chunk, place, c, types, mass, within, of = (pc.fill_null(b.column(x), 0).to_numpy() for x in ("chunk", "place", "c", "types", "mass", "within", "of"))
-        is_word, is_pair = (b.column(x).is_valid().to_numpy(zero_copy_only=False) for x in ("mass", "of"))
-        rows = []
-        cuts = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])) if len(chunk) else []
-        for i, j in zip(cuts, np.append(cuts[1:], len(chunk))):
-            if chunk[i] != now:
-                now, chunk_of = chunk[i], Chunk()
-            some = slice(i, j)
-            at = lambda kind: np.flatnonzero(kind[some]) + i  # noqa: B023, E731
-            words, pairs, contexts = at(is_word), at(is_pair), at(~is_text & ~is_word & ~is_pair)
-            chunk_of.add("word", place[words], c[words], mass[words])
-            chunk_of.add("pair", place[pairs], c[pairs], within[pairs], of[pairs])
-            chunk_of.add("context", place[contexts], c[contexts], types[contexts])
-            texts = at(is_text).tolist()
-            if texts and chunk_of.held:
-                chunk_of.finish()
-            for k in texts:
-                ids = np.frombuffer(b.column("ids")[k].as_buffer(), np.int32)
-                rows.append((k, int(chunk_of.known[ids].sum()), float(chunk_of.logs[ids].sum()), float(chunk_of.p[ids].sum())))
-        at = pa.array([r[0] for r in rows], pa.int64())
-        take = lambda name: b.column(name).take(at)
-        known, logs, p = (pa.array([r[i] for r in rows], t) for i, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.float64())))
-        yield pa.RecordBatch.from_arrays(
-            [take("doc_id"), take("held_out"), take("n"), pc.add(take("head_n"), known), pc.add(take("head_log"), logs), take("model"), p],
-            ["doc_id", "held_out", "n_tokens", "n_known", "known_log", "model", "tail_log"],
-        )
-
-
-def score_texts(docs: DataFrame, held_out: Column, rounds: int = ROUNDS) -> DataFrame:
+        for _, chunk, kind, blob in zip(*(b.column(i).to_pylist() for i in range(4))):
+            if chunk != now:
+                sums[:], now = 0, chunk
+            if kind == TAIL:
+                n, at = int(np.frombuffer(blob, np.int64, 1)[0]), 8
+                values = []
+                for t in (np.uint16, np.uint32, np.float64, np.float32):
+                    values.append(np.frombuffer(blob, t, n, at))
+                    at += values[-1].nbytes
+                for k in range(3):
+                    sums[k, values[0]] += values[k + 1]
+                continue
+            texts = pa.ipc.read_record_batch(pa.py_buffer(blob), TEXT_SCHEMA)
+            n = texts.num_rows
+            added = lambda name, k, kind: pa.array((texts.column(name).to_numpy() + sums[k, :n]).astype(kind))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([texts.column("doc_id"), texts.column("held_out"), texts.column("n"), added("known", 0, np.int64), added("logs", 1, float), added("score", 2, float)], [x.split()[0] for x in FINISHED.split(", ")])
+
+
+TEXT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64())])
+
+
+def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text). held_out: rows not learned from."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), text_of().alias("text"))
-    training = rows.filter(~F.col("held_out"))
-    counts = materialize(training.select("text").mapInArrow(_count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text_of().alias("text"))
+    counts = materialize(rows.select("held_out", "text").mapInArrow(_count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")))
+    every = counts.filter("word IS NULL").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    counts = counts.filter("word IS NOT NULL AND c > 0")
     tokens, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     head = [tuple(r) for r in counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()]  # HEAD rows
     tail = counts.join(F.broadcast(spark.createDataFrame([(w,) for w, _ in head], "word string")), "word", "left_anti")
     totals = tail.groupBy(F.pmod(F.crc32(F.right("word", F.lit(2))), F.lit(TAILS)).cast("int").alias("t")).agg((F.sum("c") + F.count(F.lit(1))).alias("m"))
-    vocabulary = spark.sparkContext.broadcast(Vocabulary(head, {t: m for t, m in totals.collect()}, tokens, types))  # TAILS rows
-    pairs = materialize(training.select("text").mapInArrow(_count_pairs(vocabulary), "key long, context long, c long").groupBy("key").agg(F.sum("c").alias("c"), F.first("context").alias("context")))
-    contexts = pairs.groupBy(F.col("context").alias("key")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("types"))
-    evidence = pairs.select("key", "c", F.lit(0).cast("long").alias("types")).unionByName(contexts)
-    sliced = training.select("text", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(rounds)).alias("slice"))
-    model = train(sliced, vocabulary, rounds)
-    sent = spark.sparkContext.broadcast((model.classes, model.words))
-    scored = materialize(rows.mapInArrow(_scored(vocabulary, sent), SCORED))
-    words = scored.filter("word IS NOT NULL").select("chunk", "word", "place", "mass").join(counts, "word", "left").select("chunk", "place", "mass", "c")
-    met = scored.filter("key IS NOT NULL").select("chunk", "key", "place", "within", "of").join(evidence, "key", "left").select("chunk", "place", "within", "of", "c", "types")
-    texts = scored.filter("ids IS NOT NULL").select("chunk", "doc_id", "held_out", "n", "head_n", "head_log", "model", "ids")
-    both = words.unionByName(met, allowMissingColumns=True).unionByName(texts, allowMissingColumns=True).repartition("chunk").sortWithinPartitions(F.col("chunk"), F.col("ids").isNotNull())
-    done = both.mapInArrow(_finished, FINISHED)
-    return done.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        "n_known",
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("known_log") - F.col("n_tokens") * F.lit(math.log10(tokens + types + 1))).alias("base_score"),
-        (F.col("model") + F.col("tail_log")).alias("score"),
-    )
+    context = spark.sparkContext
+    vocabulary = context.broadcast(Vocabulary(head, {t: m for t, m in totals.collect()}, tokens, types))  # TAILS rows
+    often = tail.filter(F.col("c") > max(PART, tokens // SPLIT_WORDS)).collect()  # SPLIT_WORDS rows at most
+    keys = string_hashes(pa.array([r["word"] for r in often], pa.string()))
+    by_key = np.argsort(keys)
+    split = context.broadcast((keys[by_key], np.array([r["c"] for r in often], float)[by_key]))
+    slices = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SLICES))
+    model, contexts = train(rows.filter("NOT held_out").select(slices.alias("slice"), "text"), vocabulary)
+    sent, counted = context.broadcast((model.classes, model.words)), context.broadcast(contexts)
+    parts = max(1, -(-every // PART))
+    scored = rows.mapInArrow(_scored(vocabulary, sent, split, parts), ROUTED)
+    told = scored.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(_told(vocabulary, counted, split), ROUTED)
+    done = told.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_finished, FINISHED)
+    base = F.col("logs") - F.col("n_tokens") * F.lit(vocabulary.value.log_all)
+    return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op1_lm_score(spark, sf_dir: str) -> DataFrame:
