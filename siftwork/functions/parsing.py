@@ -16,6 +16,8 @@ BRACED = ("javascript", "typescript", "tsx", "go", "rust", "java", "c", "cpp", "
 SUPPORTED = ("python", "ruby", *BRACED)
 CONTAINERS = ("class", "struct", "interface", "module", "enum", "impl")
 WORD = re.compile(r"[^\W\d]\w*")
+OPENING = re.compile(r"[ \t]*\(")
+INDENTED = re.compile(r"^([ \t]*)\S", re.M)
 
 
 @dataclass
@@ -72,9 +74,9 @@ def _python_by_indent(text: str) -> list[Definition]:
     for m in heads:
         indent = len(m[1].expandtabs())
         end = len(text)
-        for later in re.finditer(r"^([ \t]*)\S", masked[m.end() :], re.M):
+        for later in INDENTED.finditer(masked, m.end()):
             if len(later[1].expandtabs()) <= indent:
-                end = m.end() + later.start()
+                end = later.start()
                 break
         end = m.start() + len(text[m.start() : end].rstrip())
         while open_ and (open_[-1][0] >= indent or out[open_[-1][1]].end <= m.start()):
@@ -153,6 +155,8 @@ def _braced(text: str, language: str) -> list[Definition]:
                 label = re.compile(r"\s*(?:public|private|protected)\s*:(?!:)").match(masked, start, brace)
                 start = label.end() if label else start
                 start += len(masked[start:brace]) - len(masked[start:brace].lstrip())
+                noted = masked.find("@", m.start(), m.start(1))  # annotations belong to what they stand before
+                start = noted if noted >= 0 else start
             elif kind == "member":
                 if name in NOT_NAMES:
                     continue
@@ -211,7 +215,7 @@ def symbols(text: str, language: str | None) -> list[tuple]:
         line, end = bisect.bisect_right(starts, d.start), bisect.bisect_right(starts, max(d.start, d.end - 1))
         first = text[starts[line - 1] : starts[line] if line < len(starts) else len(text)].strip()
         head = text[d.start : d.body[0] if d.body else d.end]
-        full = " ".join(re.split(r"[{\n]", head, maxsplit=1)[0].split()) if language != "python" else " ".join(head.split(":\n", 1)[0].split()) + ":"
+        full = " ".join(re.split(r"[{\n]", head, maxsplit=1)[0].split()) if language != "python" else " ".join(head.split(":\n", 1)[0].split()).rstrip(":") + ":"
         out.append((i, d.name, d.kind, line, end, first, full.rstrip("{ ").strip(), d.depth, d.parent, d.ext, hashlib.sha256(text[d.start : d.end].encode()).hexdigest()[:16]))
     return out
 
@@ -288,12 +292,11 @@ def occurrences(text: str, language: str | None) -> list[tuple]:
             if name in KEYWORDS:
                 continue
             snippet = lines[line - 1].strip()
-            rest = masked[at + len(name) :].lstrip(" \t")
             if re.match(r"(import|from|use|using|#\s*include|require)\b", snippet):
                 kind = "IMPORT"
             elif any(a <= at < b for a, b in bases):
                 kind = "INHERITANCE"
-            elif rest.startswith("(") and at not in named or any(called):
+            elif OPENING.match(masked, at + len(name)) and at not in named or any(called):
                 kind = "CALL"
             else:
                 kind = "USAGE"

@@ -22,13 +22,13 @@ def col(x: str | Column) -> Column:
 
 
 def est_chars4(text: str | Column) -> Column:
-    """A quarter of the characters, at least 1; 0 for empty text."""
+    """A quarter of the characters, at least 1; 0 for empty text, null for null."""
     t = col(text)
-    return F.when(t == "", 0).otherwise(F.greatest(F.lit(1), F.floor(F.length(t) / 4))).cast("long")
+    return F.when(t.isNull(), F.lit(None)).when(t == "", 0).otherwise(F.greatest(F.lit(1), F.floor(F.length(t) / 4))).cast("long")
 
 
 def est_ratio(text: str | Column, family: str = "auto") -> Column:
-    """Characters by the family's ratio, truncated, at least 1; 0 for empty text. auto looks for marks of code near the start."""
+    """Characters by the family's ratio, truncated, at least 1; 0 for empty text, null for null. auto looks for marks of code near the start."""
     t = col(text)
     if family == "auto":
         head = F.substring(t, 1, CODE_PREFIX)
@@ -36,7 +36,7 @@ def est_ratio(text: str | Column, family: str = "auto") -> Column:
         ratio = F.when(code, F.lit(RATIOS["code"])).otherwise(F.lit(RATIOS["plain"]))
     else:
         ratio = F.lit(RATIOS[family])
-    return F.when(t == "", 0).otherwise(F.greatest(F.lit(1), (F.length(t) / ratio).cast("long"))).cast("long")
+    return F.when(t.isNull(), F.lit(None)).when(t == "", 0).otherwise(F.greatest(F.lit(1), (F.length(t) / ratio).cast("long"))).cast("long")
 
 
 def strip_ansi(text: str | Column) -> Column:

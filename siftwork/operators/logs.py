@@ -1,15 +1,15 @@
 """Pruning of captured command logs.
 
 A log is guarded against runaway length, stripped of terminal codes and typed; its lines are filtered by the type's
-rule, joined again and checked by the error and empty guards. Lines that depend on earlier ones (failure sections) use
-windows over the log, which share one shuffle by log_id with the rejoining of lines.
+rule, joined again and checked by the error and empty guards. All of it works on the log's own array of lines, so no row
+is shuffled: lines that depend on earlier ones (failure sections) are parts of the array before and after a place.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import est_chars4, saved_pct, strip_ansi, trim_ws
@@ -61,63 +61,72 @@ def has_error(text: Column) -> Column:
     return F.lower(text).rlike("|".join(ERROR_WORDS))
 
 
-def _drop(kind: Column, line: Column, bare: Column) -> Column:
-    """Whether the rule of a stateless filter drops a line; bare: the line without white space at its ends."""
-    low = F.lower(line)
-    return (
-        F.when(kind == "jest", bare.startswith("PASS") | line.contains("✓"))
-        .when(kind == "go", bare.startswith("=== RUN") | bare.startswith("--- PASS:") | (bare == "PASS"))
-        .when(kind == "npm", line.rlike(r"(?i)^(npm |yarn |pnpm ).*(fetch|add|install)") | line.rlike(r"^\s*\[[0-9/]+\]\s+") | line.contains("GET") | low.contains("fetch") | low.contains("download"))
-        .when(kind == "cargo", line.rlike(r"^\s*(Compiling|Downloaded)\s+"))
-        .when(kind == "docker", bare.rlike(r"^--->\s+[a-f0-9]+") | (bare == "---> Using cache") | bare.startswith("Removing intermediate container"))
-        .when(kind == "maven", bare.startswith("Downloading from") | bare.startswith("Downloaded from") | bare.startswith("Download http") | bare.rlike(r"^>\s*Task\s+:[a-zA-Z0-9_:]+\s+UP-TO-DATE$"))
-        .when(kind == "git", bare.rlike("^\\(use [\"']git") | bare.startswith("hint:"))
-        .otherwise(F.lit(False))
-    )
+#: Lines that the stateless filters drop; white space at a line's ends does not count.
+DROPPED = {
+    "jest": r"(?U:^\s*)PASS|✓",
+    "go": r"(?U:^\s*)(?:=== RUN|--- PASS:|PASS(?U:\s*)\z)",
+    "npm": r"(?i:^(?:npm |yarn |pnpm ).*(?:fetch|add|install))|^\s*\[[0-9/]+\]\s+|GET|(?i:fetch|download)",
+    "cargo": r"^\s*(?:Compiling|Downloaded)\s+",
+    "docker": r"(?U:^\s*)(?:--->\s+[a-f0-9]+|---> Using cache(?U:\s*)\z|Removing intermediate container)",
+    "maven": r"(?U:^\s*)(?:Downloading from|Downloaded from|Download http|>\s*Task\s+:[a-zA-Z0-9_:]+\s+UP-TO-DATE(?U:\s*)\z)",
+    "git": r"""(?U:^\s*)(?:\(use ["']git|hint:)""",
+}
+#: Hints inside the lines that the git filter keeps.
+GIT_HINT = r"""\s*\(use ["']git\s[^)]*\)"""
+#: Lines of cargo tests that begin and end a failure, and that stay outside of one.
+CARGO_RESULT, CARGO_FAILURE, CARGO_WARNING = "test result:", "error|failures:|----|FAILED", "warning:"
+
+
+def _from(lines: Column, pattern: str) -> Column:
+    """The place of the first line that matches, from 1; one past the end if none does."""
+    at = F.array_position(F.transform(lines, lambda x: x.rlike(pattern)), F.lit(True))
+    return F.when(at > 0, at).otherwise(F.size(lines) + 1).cast("int")
+
+
+def _pytest(lines: Column) -> Column:
+    """Before the first failure section only the frame stays, after it all; without one, a tally follows."""
+    first = _from(lines, PYTEST_HEADER)
+    before, after = F.slice(lines, F.lit(1), first - 1), F.slice(lines, first, F.size(lines))
+    said = lambda x, word: x.rlike(rf"^.*?\s+{word}\s*\[.*\]$") | x.rlike(rf"\s{word}$") | x.contains(f" {word} ")
+    passed, failed = lambda x: said(x, "PASSED"), lambda x: said(x, "FAILED")
+    frame = lambda x: (
+        (x.contains("collected ") & x.contains(" items")) | x.contains("test session starts") | x.startswith("platform ") | x.startswith("rootdir:")
+        | x.startswith("E   ") | x.contains("Error:") | x.contains("Exception:")
+    )
+    kept = F.filter(before, lambda x: frame(x) & ~passed(x) & ~failed(x))
+    told = F.filter(before, lambda x: (x.contains("passed in ") | x.contains("failed in ") | x.contains("passed,")) & ~passed(x) & ~failed(x) & ~frame(x))
 
+    def count(counted: Column, word: str) -> Column:
+        number = F.get(F.filter(F.transform(told, lambda x: F.regexp_extract(x, rf"(\d+)\s+{word}", 1)), lambda x: x != ""), F.lit(0))
+        return F.when(counted > 0, counted.cast("string")).otherwise(F.coalesce(number, F.lit("0")))
 
-def filter_lines(lines: DataFrame) -> DataFrame:
-    """log_id, filtered of lines (log_id, kind, pos, line)."""
-    lines = lines.withColumn("_bare", trim_ws("line"))
-    line, kind, bare = F.col("line"), F.col("kind"), F.col("_bare")
-    pytest, cargo = kind == "pytest", kind == "cargo_test"  # tested first, so other logs do not pay for these rules
-    before = Window.partitionBy("log_id").orderBy("pos")
-    # cargo tests: inside after an error or failure, until the next result
-    event = F.when(cargo & bare.rlike("^(error|failures:|----|FAILED)"), True).when(cargo & bare.startswith("test result:"), False)
-    inside = F.coalesce(F.last(event, ignorenulls=True).over(before), F.lit(False))
-    # pytest: inside from the first section on
-    section = F.max(pytest & line.rlike(PYTEST_HEADER)).over(before)
-    said = lambda word: pytest & (line.rlike(rf"^.*?\s+{word}\s*\[.*\]$") | line.rlike(rf"\s{word}$") | line.contains(f" {word} "))
-    passed, failed = said("PASSED"), said("FAILED")
-    frame = (
-        (line.contains("collected ") & line.contains(" items")) | line.contains("test session starts") | line.startswith("platform ") | line.startswith("rootdir:")
-        | line.startswith("E   ") | line.contains("Error:") | line.contains("Exception:")
-    )
-    keep = (
-        F.when(kind == "cargo_test", F.col("_inside") | bare.startswith("test result:") | bare.startswith("warning:"))
-        .when(kind == "pytest", F.col("_section") | (~passed & ~failed & frame))
-        .otherwise(~_drop(kind, line, bare))
-    )
-    rows = lines.withColumn("_inside", cargo & inside).withColumn("_section", pytest & section).withColumn("_keep", keep)
-    shown = F.when(kind == "git", F.regexp_replace(line, "\\s*\\(use [\"']git\\s[^)]*\\)", "")).otherwise(line)
-    summary = pytest & (line.contains("passed in ") | line.contains("failed in ") | line.contains("passed,")) & ~passed & ~failed & ~frame & ~F.col("_section")
-    number = lambda word: F.min_by(F.regexp_extract(line, rf"(\d+)\s+{word}", 1), F.when(summary & line.rlike(rf"\d+\s+{word}"), F.col("pos")))
-    out = rows.groupBy("log_id").agg(
-        F.first("kind").alias("kind"),
-        F.sort_array(F.collect_list(F.when(F.col("_keep"), F.struct("pos", shown.alias("line"))))).alias("_kept"),
-        F.bool_or("_section").alias("_failures"),
-        F.count_if(~F.col("_section") & passed).alias("_passed"),
-        F.count_if(~F.col("_section") & ~passed & failed).alias("_failed"),
-        number("passed").alias("_said_passed"),
-        number("failed").alias("_said_failed"),
-    )
-    count = lambda counted, told: F.when(F.col(counted) > 0, F.col(counted).cast("string")).otherwise(F.coalesce(F.col(told), F.lit("0")))
-    tally = F.concat(F.lit("pytest: "), count("_failed", "_said_failed"), F.lit(" FAILED, "), count("_passed", "_said_passed"), F.lit(" passed"))
-    kept = F.transform("_kept", lambda x: x["line"])
-    kept = F.when((F.col("kind") == "pytest") & ~F.col("_failures"), F.concat(kept, F.array(tally))).otherwise(kept)
-    # a test filter that keeps nothing leaves the log as it is
-    nothing = (F.col("kind") == "cargo_test") & (F.size("_kept") == 0)
-    return out.select("log_id", F.when(~nothing, F.array_join(kept, "\n")).alias("filtered"))
+    n_passed, n_failed = F.size(F.filter(before, passed)), F.size(F.filter(before, lambda x: failed(x) & ~passed(x)))
+    tally = F.concat(F.lit("pytest: "), count(n_failed, "failed"), F.lit(" FAILED, "), count(n_passed, "passed"), F.lit(" passed"))
+    return F.when(first > F.size(lines), F.concat(kept, F.array(tally))).otherwise(F.concat(kept, after))
+
+
+def _cargo_test(log: Column) -> Column:
+    """From an error or failure on all lines stay, until the next result; results and warnings always do. Null if none stays."""
+    parts = F.split(log, rf"\n(?=(?U:[^\S\n]*){CARGO_RESULT})", -1)
+
+    def kept(part):
+        lines = F.split(part, "\n", -1)
+        first = _from(lines, rf"(?U:^\s*)(?:{CARGO_FAILURE})")
+        outside = F.filter(F.slice(lines, F.lit(1), first - 1), lambda x: x.rlike(rf"(?U:^\s*)(?:{CARGO_RESULT}|{CARGO_WARNING})"))
+        return F.concat(outside, F.slice(lines, first, F.size(lines)))
+
+    every = F.flatten(F.transform(parts, kept))
+    return F.when(F.size(every) > 0, every)
+
+
+def filtered(log: Column, kind: Column) -> Column:
+    """The lines that stay of a log of this type, as one text; null where the log stays as it is."""
+    lines = F.split(log, "\n", -1)
+    out = F.when(kind == "pytest", _pytest(lines)).when(kind == "cargo_test", _cargo_test(log))
+    for name, pattern in DROPPED.items():
+        stays = F.filter(lines, lambda x: ~x.rlike(pattern))  # noqa: B023  called here
+        out = out.when(kind == name, F.transform(stays, lambda x: F.regexp_replace(x, GIT_HINT, "")) if name == "git" else stays)
+    return F.array_join(out, "\n")
 
 
 def prune(logs: DataFrame, most: int = MOST_CHARS, head: int = HEAD_CHARS, tail: int = TAIL_CHARS) -> DataFrame:
@@ -130,10 +139,8 @@ def prune(logs: DataFrame, most: int = MOST_CHARS, head: int = HEAD_CHARS, tail:
     rows = rows.withColumn("kind", F.when(F.col("bypass"), "generic").otherwise(typed(F.col("_clean"), F.col("type_hint"))))
     bare = F.col("_clean").contains("Traceback (most recent call last):") & ~F.col("_clean").rlike(PYTEST_SECTION) & (F.col("kind") == "pytest")
     rows = rows.withColumn("kind", F.when(bare, "traceback").otherwise(F.col("kind")))
-    plain = F.col("kind").isin("generic", "traceback")
-    lines = rows.filter(~plain).select("log_id", "kind", F.posexplode(F.split("_clean", "\n", -1)).alias("pos", "line"))
-    met = rows.join(filter_lines(lines), "log_id", "left")
-    met = met.withColumn("_filtered", F.when(F.col("bypass"), F.col("_raw")).when(F.col("kind") == "traceback", trim_ws("_clean")).otherwise(F.coalesce("filtered", "_clean")))
+    rows = rows.withColumn("_kept", filtered(F.col("_clean"), F.col("kind")))
+    met = rows.withColumn("_filtered", F.when(F.col("bypass"), F.col("_raw")).when(F.col("kind") == "traceback", trim_ws("_clean")).otherwise(F.coalesce("_kept", "_clean")))
     blank = trim_ws("_filtered") == ""
     lost = (F.coalesce("exit_code", F.lit(0)) != 0) & ((has_error(F.col("_clean")) & ~has_error(F.col("_filtered"))) | blank)
     guard = F.when(F.col("bypass"), "bypass").when(lost, "error").when(blank & (trim_ws("_clean") != ""), "empty")

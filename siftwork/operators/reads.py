@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -62,3 +62,8 @@ def changed_symbols(old: DataFrame, new: DataFrame, key: str, most: int = 5) ->
     last = lambda t: t.groupBy(key, "name").agg(F.max_by("hash", "ord").alias("hash"), F.min("ord").alias("ord"))
     met = last(new).join(last(old).select(key, "name", F.col("hash").alias("_old")), [key, "name"], "left").filter(~F.col("hash").eqNullSafe(F.col("_old")))
     return met.groupBy(key).agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("ord", "name"))), 1, most), lambda x: x["name"]).alias("changed"))
+
+
+def with_focus(diff: Column, changed: Column) -> Column:
+    """The diff with the names that changed in a line before it; as it is if there are none."""
+    return F.when(F.size(changed) > 0, F.concat(F.lit("[SEMANTIC FOCUS: "), F.array_join(changed, ", "), F.lit("]\n"), diff)).otherwise(diff)

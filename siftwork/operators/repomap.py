@@ -30,23 +30,31 @@ def inbound_naive(files: DataFrame, named: DataFrame) -> DataFrame:
     return pairs.groupBy("def_file").agg(F.count(F.lit(1)).alias("inbound"))
 
 
+#: Runs that texts and names are told apart by: of word characters, and of others that are no white space.
+RUNS = r"(?U)\w+|[^\w\s]+"
+
+
 def inbound(files: DataFrame, named: DataFrame) -> DataFrame:
-    """The same by equality: a name of word characters only is in a text if and only if it is in one of its words.
+    """The same by equality: a text holds a name only if one of its runs holds the name's longest run.
 
-    Distinct words of the corpus are matched with the names once. A word holds a name if one of its parts of the
-    name's length equals it, so that too is an equality: words are expanded to their parts of the lengths that names
-    have. Names with other characters are few and take the nested loop.
+    Distinct runs of the corpus are matched with the names once. A run holds another if one of its parts of that length
+    equals it, so that too is an equality: runs are expanded to their parts of the lengths that names have. A name that
+    is one run of word characters is in a text if and only if it is in a run; others are looked for in the texts that
+    have their longest run.
     """
-    plain = named.filter(F.col("name").rlike(r"(?U)^\w+$"))
-    words = files.select("file_path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0)))).alias("word"))
-    lengths = plain.agg(F.sort_array(F.collect_set(F.length("name"))).alias("_lengths"))
+    runs = F.regexp_extract_all("name", F.lit(RUNS), F.lit(0))
+    longest = F.get(F.array_sort(F.transform(runs, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("part")))), F.lit(0))["part"]
+    keyed = named.select("name", "def_file", longest.alias("part")).filter("part IS NOT NULL").withColumn("plain", F.col("name").rlike(r"(?U)^\w+$"))
+    words = files.select("file_path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(RUNS), F.lit(0)))).alias("word"))
+    lengths = keyed.agg(F.sort_array(F.collect_set(F.length("part"))).alias("_lengths"))
     vocabulary = words.select("word").distinct().crossJoin(F.broadcast(lengths))  # one row
     sized = vocabulary.select("word", F.explode("_lengths").alias("_n")).filter(F.length("word") >= F.col("_n"))
-    parts = sized.select("word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - F.col("_n") + 1), lambda i: F.substring("word", i, F.col("_n"))))).alias("name"))
-    match = parts.join(plain, "name").select("word", "name", "def_file")
-    held = words.join(match, "word").filter(F.col("file_path") != F.col("def_file")).select("file_path", "name", "def_file").distinct()
-    odd = files.join(named.filter(~F.col("name").rlike(r"(?U)^\w+$")), (F.col("file_path") != F.col("def_file")) & F.col("text").contains(F.col("name")))
-    return held.unionByName(odd.select("file_path", "name", "def_file")).groupBy("def_file").agg(F.count(F.lit(1)).alias("inbound"))
+    parts = sized.select("word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - F.col("_n") + 1), lambda i: F.substring("word", i, F.col("_n"))))).alias("part"))
+    match = parts.join(keyed, "part").select("word", "name", "def_file", "plain")
+    held = words.join(match, "word").filter(F.col("file_path") != F.col("def_file")).select("file_path", "name", "def_file", "plain").distinct()
+    odd = held.filter("NOT plain").join(files.select("file_path", "text"), "file_path").filter(F.col("text").contains(F.col("name")))
+    every = held.filter("plain").select("name", "def_file").unionByName(odd.select("name", "def_file"))
+    return every.groupBy("def_file").agg(F.count(F.lit(1)).alias("inbound"))
 
 
 def score(n_symbols: Column, n_imports: Column, in_focus: Column, n_lines: Column, n_inbound: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dollars
@@ -10,6 +10,9 @@ from ..functions.scalars import dollars
 #: The categories that savings are told by.
 CATEGORIES = ("skeleton", "slice", "cache", "repo_map", "command", "symbol_search", "lockfile")
 
+#: How an assumed raw cost follows from the tokens returned: factor, least, most.
+ASSUMED = {"symbol_search": (3, 150, 1500), "references": (3, 200, 2000), "repo_map": (1, 1500, 5000)}
+
 
 def valid(savings: DataFrame) -> DataFrame:
     return savings.filter("original > 0").withColumn("saved", F.greatest(F.lit(0), F.col("original") - F.col("optimized")))
@@ -42,3 +45,9 @@ def estimated_original(sizes: DataFrame, cap: int, low: int, high: int, by: str)
     """by, original: an assumed raw cost, a size / 3.5 for each file up to cap, their sum between low and high; not measured."""
     each = F.least((F.col("size") / 3.5).cast("long"), F.lit(cap))
     return sizes.groupBy(by).agg(F.least(F.greatest(F.sum(each), F.lit(low)), F.lit(high)).cast("long").alias("original")).withColumn("estimated", F.lit(True))
+
+
+def assumed_original(tokens: Column, kind: str) -> Column:
+    """The raw cost that is assumed for an answer of so many tokens; not measured."""
+    factor, low, high = ASSUMED[kind]
+    return F.greatest(F.lit(low), F.least(F.lit(high), tokens * factor)).cast("long")

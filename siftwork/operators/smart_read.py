@@ -47,7 +47,7 @@ def answer(requests: DataFrame, files: DataFrame, config: Config = Config()) ->
         for c, k in kinds.items():
             if c not in t.columns:
                 t = t.withColumn(c, null(k))
-        t = t.withColumn("orig_tokens", est_chars4("text")).withColumn("opt_tokens", F.coalesce(est_chars4("body"), F.lit(0)))
+        t = t.withColumn("orig_tokens", F.coalesce(est_chars4("text"), F.lit(0))).withColumn("opt_tokens", F.coalesce(est_chars4("body"), F.lit(0)))
         return t.select(*(F.col(c).cast(kinds[c]) if kinds[c] else F.col(c) for c in out))
 
     refused = rows.filter(F.col("status").isin("MISSING", "DIRECTORY", "TOO_LARGE", "SECRET", "BINARY"))

@@ -6,30 +6,16 @@ from the same text.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, scalars
 from ..operators import code, index, lockfile, logs, reads, repomap, savings, search, smart_read, text
+from ..sources import files as sources
+from . import languages  # noqa: F401  registers its queries
+from .registry import ORACLE_SQL, QUERIES, query, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def documents(spark, sf_dir):
@@ -167,9 +153,27 @@ def read_keys(spark, sf_dir):
     return part_paths(spark, sf_dir).select("p_partkey", scalars.key_base(key).alias("key_base"), scalars.key_fragment(key).alias("fragment"))
 
 
-@query()
+_TREE_PATH = "regexp_replace(regexp_replace(url, '^\\w+://', ''), '[?#].*$', '')"
+
+
+def _tree_sql(depth: int = repomap.TREE_DEPTH) -> str:
+    ups = "\n".join(f"LEFT JOIN f r{i} ON r{i}.p = CASE WHEN n.d > {i} THEN n.p[1:{i}] END" for i in range(1, depth + 1))
+    shown = " AND ".join(f"(n.d <= {i} OR r{i}.rank IS NOT NULL)" for i in range(1, depth + 1))
+    key = f"list_concat(list_filter([{', '.join(f'r{i}.rank' for i in range(1, depth + 1))}], lambda x: x IS NOT NULL), [n.rank])"
+    return f"""WITH p AS (SELECT DISTINCT {_TREE_PATH} AS path FROM pages), q AS (SELECT *, regexp_extract(path, '([^/]*)$', 1) AS base, string_split(path, '/') AS parts FROM p),
+k AS (SELECT parts FROM q WHERE base <> '' AND NOT ({_any_glob(paths.SECRET_GLOBS)}) AND lower(regexp_extract(base, '^.+\\.([^.]+)$', 1)) NOT IN ({', '.join(repr(e) for e in paths.BINARY)})
+  AND len(list_filter(parts[1:len(parts) - 1], lambda d: d LIKE '.%' OR d IN ({', '.join(repr(e) for e in paths.SKIPPED)}))) = 0),
+u AS (SELECT parts[1:d] AS p, bool_and(d = len(parts)) AS is_file FROM (SELECT parts, unnest(range(1, len(parts) + 1)) AS d FROM k) GROUP BY 1),
+n AS (SELECT p, is_file, len(p) AS d, p[len(p)] AS name, row_number() OVER (PARTITION BY p[1:len(p) - 1] ORDER BY is_file, lower(p[len(p)]), p[len(p)]) AS rank, count(*) OVER (PARTITION BY p[1:len(p) - 1]) AS n_of FROM u WHERE len(p) <= {depth + 1}),
+m AS (SELECT *, CASE WHEN d > {depth} THEN CASE WHEN rank = 1 THEN 'deeper' END WHEN rank <= {repomap.FOLDER_SHOWN} OR n_of <= {repomap.FOLDER_ITEMS} THEN CASE WHEN is_file THEN 'file' ELSE 'folder' END WHEN rank = {repomap.FOLDER_SHOWN + 1} THEN 'more' END AS kind FROM n),
+f AS (SELECT p, rank FROM m WHERE kind = 'folder'),
+o AS (SELECT {key} AS k, n.d - 1 AS depth, CASE n.kind WHEN 'deeper' THEN '...' WHEN 'more' THEN '+' || (n.n_of - {repomap.FOLDER_SHOWN}) ELSE n.name END AS name, n.kind FROM m n {ups} WHERE n.kind IS NOT NULL AND {shown})
+SELECT (row_number() OVER (ORDER BY k))::INT AS place, depth::INT AS depth, name, kind FROM o ORDER BY k LIMIT {repomap.TREE_LINES}"""
+
+
+@query(_tree_sql())
 def dir_tree(spark, sf_dir):
-    """Lines of the tree of all page addresses; ordered work over nested names, tested against a plain walk."""
+    """Lines of the tree of all page addresses."""
     urls = table(spark, sf_dir, "pages").select(F.regexp_replace(F.regexp_replace("url", r"^\w+://", ""), r"[?#].*$", "").alias("path"))
     return repomap.directory_tree(urls)
 
@@ -199,6 +203,29 @@ def estimated_costs(spark, sf_dir):
     return savings.estimated_original(documents(spark, sf_dir).withColumnRenamed("n_chars", "size"), 600, 200, 3000, "source")
 
 
+@query("SELECT doc_id, greatest(150, least(1500, 3 * n_chars // 4))::BIGINT AS search_original, greatest(200, least(2000, 3 * (n_chars // 4)))::BIGINT AS refs_original, greatest(1500, least(5000, n_chars // 4))::BIGINT AS map_original FROM (SELECT doc_id, 4 * (n_chars // 4) AS n_chars FROM documents)")
+def assumed_costs(spark, sf_dir):
+    """Assumed raw costs of a search, of references and of a map, from the tokens that were returned."""
+    tokens = F.floor(F.col("n_chars") / 4)
+    return documents(spark, sf_dir).select("doc_id", *(savings.assumed_original(tokens, kind).alias(f"{name}_original") for name, kind in (("search", "symbol_search"), ("refs", "references"), ("map", "repo_map"))))
+
+
+_RATIO = "(CASE WHEN text = '' THEN 0 ELSE greatest(1, trunc(length(text) / {0}::DOUBLE)) END)::BIGINT"
+
+
+@query(f"SELECT doc_id, {', '.join(f'{_RATIO.format(r)} AS {f}' for f, r in (('claude', 3.3), ('gemini', 3.4), ('openai', 3.2)))} FROM documents")
+def token_estimate_family(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", *(scalars.est_ratio("text", f).alias(f) for f in ("claude", "gemini", "openai")))
+
+
+@query("SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN t ELSE t || chr(255) || 'x' END) AS text_hash FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS t FROM documents)")
+def decode_fallback(spark, sf_dir):
+    """Bytes that are UTF-8, and bytes that are not: these are read as Latin-1."""
+    plain = F.regexp_replace("text", r"[^\x00-\x7F]", "?")
+    raw = F.when(F.col("doc_id") % 2 == 0, F.encode(plain, "utf-8")).otherwise(F.concat(F.encode(plain, "utf-8"), F.unhex(F.lit("FF78"))))
+    return documents(spark, sf_dir).select("doc_id", F.md5(sources.decoded(raw)).alias("text_hash"))
+
+
 # --- logs ---------------------------------------------------------------------------------------------------------
 
 #: Lines of synthetic logs by kind; % stands for a row's part key.
@@ -306,14 +333,21 @@ def log_detect(spark, sf_dir):
     return documents(spark, sf_dir).select(F.col("doc_id").alias("log_id"), logs.detect(F.concat("text", tail)).alias("kind"))
 
 
-@query(f"""WITH {_line_rows('go')}, f AS (SELECT log_id, string_agg(line, chr(10) ORDER BY pos) AS raw, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT ({_DROP['go']})), '') AS filtered FROM t WHERE NOT line LIKE '%FAIL%' GROUP BY 1),
-x AS (SELECT *, 'Traceback x' || chr(10) || '--- PASS: error' || chr(10) || raw AS r2, 'Traceback x' || CASE WHEN filtered = '' THEN '' ELSE chr(10) || filtered END AS f2 FROM f)
-SELECT log_id, CASE WHEN regexp_matches(f2, 'traceback|error|failed|exception|fatal|panic|cannot', 'i') THEN NULL ELSE 'error' END AS guard, f2 AS filtered FROM x""")
+@query(f"""WITH {_line_rows('go')}, f AS (SELECT log_id, string_agg(line, chr(10) ORDER BY pos) AS raw, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT ({_DROP['go']})), '') AS filtered FROM t GROUP BY 1),
+x AS (SELECT log_id, '--- PASS: error' || chr(10) || CASE WHEN log_id % 2 = 1 THEN 'an error stays' || chr(10) ELSE '' END || raw AS raw, CASE WHEN log_id % 2 = 1 THEN 'an error stays' || CASE WHEN filtered = '' THEN '' ELSE chr(10) || filtered END ELSE filtered END AS filtered FROM f)
+SELECT log_id, CASE WHEN log_id % 2 = 0 THEN 'error' END AS guard, CASE WHEN log_id % 2 = 0 THEN regexp_replace(raw, '^\\s+|\\s+$', '', 'g') ELSE filtered END AS filtered FROM x""")
 def log_error_guard(spark, sf_dir):
-    rows = synthetic_logs(spark, sf_dir, "go", "go", 1)
-    no_fail = F.array_join(F.filter(F.split("raw", "\n"), lambda x: ~x.contains("FAIL")), "\n")
-    rows = rows.withColumn("raw", no_fail).filter("raw <> ''")
-    rows = rows.withColumn("raw", F.concat(F.lit("Traceback x\n--- PASS: error\n"), "raw"))
+    """Logs of failed commands: of the even ones, pruning would lose the only line that tells of an error."""
+    stays = F.when(F.col("log_id") % 2 == 1, "an error stays\n").otherwise("")
+    rows = synthetic_logs(spark, sf_dir, "go", "go", 1).withColumn("raw", F.concat(F.lit("--- PASS: error\n"), stays, "raw"))
+    return logs.prune(rows).select("log_id", "guard", "filtered")
+
+
+@query(f"""WITH {_line_rows('npm')}, f AS (SELECT log_id, string_agg(line, chr(10) ORDER BY pos) AS raw, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT ({_DROP['npm']})), '') AS filtered FROM t GROUP BY 1)
+SELECT log_id, CASE WHEN log_id % 2 = 0 THEN 'bypass' WHEN regexp_replace(filtered, '\\s', '', 'g') = '' THEN 'empty' END AS guard, CASE WHEN log_id % 2 = 0 THEN raw WHEN regexp_replace(filtered, '\\s', '', 'g') = '' THEN regexp_replace(raw, '^\\s+|\\s+$', '', 'g') ELSE filtered END AS filtered FROM f""")
+def log_bypass(spark, sf_dir):
+    """Every other log is passed through as it is."""
+    rows = synthetic_logs(spark, sf_dir, "npm", "npm").withColumn("bypass", F.col("log_id") % 2 == 0)
     return logs.prune(rows).select("log_id", "guard", "filtered")
 
 
@@ -375,6 +409,13 @@ def dice_trigram(spark, sf_dir):
     return part_symbols(spark, sf_dir).select("name").distinct().select("name", F.round(scalars.dice(F.lit("smal_rings"), F.lower("name")), 6).alias("dice"))
 
 
+@query(f"WITH {_SYMBOLS}, {_SIM}, l AS (SELECT *, 1.0::DOUBLE AS score, 'like' AS match FROM s WHERE name ILIKE '%RING%' ORDER BY file_path, line, name LIMIT 15), z3 AS (SELECT DISTINCT s.name, file_path, line, score, 'fuzzy' AS match FROM s JOIN y USING (name) WHERE score >= 0.5 ORDER BY score DESC, file_path, line, name LIMIT 15) SELECT * FROM l UNION ALL SELECT name, file_path, line, score, match FROM z3")
+def search_cascade(spark, sf_dir):
+    """A search that finds names that hold the query, and one that has to fall back to similar names."""
+    symbols = part_symbols(spark, sf_dir)
+    return search.search(symbols, "RING").unionByName(search.search(symbols, "smal_rings"))
+
+
 _WORDS = "w AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '[a-z]+')) AS name FROM benchmark), m AS (SELECT name, max(item_id) AS def_file FROM w WHERE length(name) > 2 AND name NOT IN ('main', 'init', '__init__') GROUP BY 1)"
 
 
@@ -453,27 +494,62 @@ def read_stats(spark, sf_dir):
     return reads.read_stats(reads.statuses(event_reads(spark, sf_dir)))
 
 
+def _written_stream(spark, stream: DataFrame, **how) -> DataFrame:
+    """The rows that a stream writes to the shared folder while it takes what there is."""
+    import uuid
+
+    place = f"{sources.shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    run = stream.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{place}/rows")
+
+
+def _event_stream(spark, sf_dir) -> DataFrame:
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+
+
 @query(f"WITH {_STATUS} SELECT key, read_ord, read_no::BIGINT AS read_no, status FROM s")
 def read_status_stream(spark, sf_dir):
     """The same by the streaming operator: the events arrive as a file stream and are taken once."""
+    from ..streaming.reads import read_statuses
+
+    rows = _event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("read_ord"), F.col("event_type").alias("content"))
+    return _written_stream(spark, read_statuses(rows))
+
+
+@query(f"WITH {VALID} SELECT category, sum(original)::BIGINT AS original, sum(optimized)::BIGINT AS optimized, sum(saved)::BIGINT AS saved, count(*) AS count FROM s GROUP BY 1")
+def savings_stream(spark, sf_dir):
+    """Running sums by category of a stream of savings; each micro-batch replaces the written totals."""
     import uuid
 
-    from ..streaming.reads import read_statuses
+    from ..streaming.reads import running_savings
 
-    events = table(spark, sf_dir, "events")
-    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/event[s].parquet")
-    rows = stream.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("read_ord"), F.col("event_type").alias("content"))
-    name = f"read_status_{uuid.uuid4().hex}"
-    run = read_statuses(rows).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    place = f"{sources.shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    sums = running_savings(_event_stream(spark, sf_dir).selectExpr(*SAVINGS.split(", CAST")[:1], *("CAST" + x for x in SAVINGS.split(", CAST")[1:])))
+    write = lambda rows, _: rows.write.mode("overwrite").parquet(f"{place}/totals")
+    sums.writeStream.foreachBatch(write).option("checkpointLocation", f"{place}/state").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(sums.schema).parquet(f"{place}/totals")
+
+
+_VERSIONS = f"""{LINES}, v AS (SELECT doc_id, list(n || ':' || md5(line) ORDER BY n) AS a, any_value(total) AS n, (1 + doc_id % any_value(total))::INT AS k FROM l GROUP BY doc_id),
+w AS (SELECT *, list_transform(a, lambda x, i: CASE WHEN i = k THEN 'changed' ELSE x END) AS b, greatest(1, k - 3) AS lo, least(n, k + 3) AS hi FROM v),
+x AS (SELECT doc_id, array_to_string(a, chr(10)) || chr(10) AS c1, array_to_string(b, chr(10)) || chr(10) AS c2,
+  '--- original' || chr(10) || '+++ modified' || chr(10) || '@@ -' || CASE WHEN n = 1 THEN '1 +1' ELSE lo || ',' || (hi - lo + 1) || ' +' || lo || ',' || (hi - lo + 1) END || ' @@' || chr(10)
+  || array_to_string(list_transform(a[lo:hi], lambda y, i: CASE WHEN lo + i - 1 = k THEN '-' || y || chr(10) || '+changed' ELSE ' ' || y END), chr(10)) || chr(10) AS diff FROM w),
+r AS (SELECT doc_id, 1 AS o, 'FIRST_READ' AS status, c1 AS content, c1 AS shown FROM x UNION ALL SELECT doc_id, 2, 'CHANGED', c2, CASE WHEN length(diff) < length(c2) THEN diff ELSE c2 END FROM x UNION ALL SELECT doc_id, 3, 'UNCHANGED', c2, NULL FROM x)"""
 
 
-@query()
+@query(f"WITH {_VERSIONS} SELECT doc_id AS key, o::BIGINT AS read_ord, o::BIGINT AS read_no, status, shown AS text, ({CHARS4.format('content')})::BIGINT AS orig_tokens, CASE WHEN shown IS NULL THEN 0 ELSE ({CHARS4.format('shown')}) END::BIGINT AS opt_tokens FROM r")
 def read_diff(spark, sf_dir):
-    """Turns of a conversation as reads of one key: statuses and diffs (a sequential algorithm, tested against difflib)."""
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("read_ord"), F.col("text").alias("content"))
-    return reads.read_results(rows).select("key", "read_ord", "read_no", "status", "orig_tokens", "opt_tokens", F.length("text").alias("shown_chars"))
+    """Three reads of every text: as it is, with one line changed, and unchanged; the second gives a diff if that is smaller."""
+    rows = documents(spark, sf_dir).select("doc_id", text.lines_of("text").alias("ls")).filter(F.size("ls") > 0)
+    rows = rows.select("doc_id", (F.col("doc_id") % F.size("ls")).cast("int").alias("k"), F.transform("ls", lambda x, i: F.concat((i + 1).cast("string"), F.lit(":"), F.md5(x))).alias("ls"))
+    joined = lambda x: F.concat(F.array_join(x, "\n"), F.lit("\n"))
+    changed = joined(F.transform("ls", lambda x, i: F.when(i == F.col("k"), "changed").otherwise(x)))
+    rows = rows.select("doc_id", joined(F.col("ls")).alias("c1"), changed.alias("c2"))
+    times = F.array(*(F.struct(F.lit(o).cast("long").alias("read_ord"), F.col(c).alias("content")) for o, c in ((1, "c1"), (2, "c2"), (3, "c2"))))
+    rows = rows.select(F.col("doc_id").alias("key"), F.explode(times).alias("r")).select("key", "r.*")
+    return reads.read_results(rows).select("key", "read_ord", F.col("read_no").cast("long").alias("read_no"), "status", "text", "orig_tokens", "opt_tokens")
 
 
 _CHANGED = f"""{LINES}, o AS (SELECT doc_id, n::VARCHAR AS name, md5(line) AS hash, n AS ord FROM l WHERE n % 5 <> 0), w AS (SELECT doc_id, n::VARCHAR AS name, md5(CASE WHEN n % 3 = 0 THEN upper(line) || 'x' ELSE line END) AS hash, n AS ord FROM l),
@@ -488,6 +564,16 @@ def semantic_changed(spark, sf_dir):
     return reads.changed_symbols(old, new, "doc_id").select("doc_id", F.array_join("changed", ",").alias("changed"))
 
 
+@query(f"WITH {_CHANGED}, s AS (SELECT doc_id, array_to_string(list(name ORDER BY ord)[1:5], ', ') AS changed FROM m GROUP BY 1) SELECT doc_id, '[SEMANTIC FOCUS: ' || changed || ']' || chr(10) || 'diff of ' || doc_id AS text FROM s")
+def focus_header(spark, sf_dir):
+    """Diffs with the names that changed in front."""
+    rows = text.explode_lines(documents(spark, sf_dir)).select("doc_id", F.col("line_no").cast("string").alias("name"), F.col("line_no").alias("ord"), "line")
+    old = rows.filter("ord % 5 <> 0").withColumn("hash", F.md5("line"))
+    new = rows.withColumn("hash", F.md5(F.when(F.col("ord") % 3 == 0, F.concat(F.upper("line"), F.lit("x"))).otherwise(F.col("line"))))
+    changed = reads.changed_symbols(old, new, "doc_id").withColumn("diff", F.concat(F.lit("diff of "), F.col("doc_id").cast("string")))
+    return changed.select("doc_id", reads.with_focus(F.col("diff"), F.col("changed")).alias("text"))
+
+
 # --- index --------------------------------------------------------------------------------------------------------
 
 _INDEX = "x AS (SELECT o_orderstatus AS project_root, o_custkey::VARCHAR AS file_path, o_orderkey AS id, o_orderpriority AS file_hash, o_orderdate AS mtime FROM orders)"
@@ -540,6 +626,12 @@ def cache_lru(spark, sf_dir):
     return index.evict(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), 100, "o_orderdate", "o_orderkey")
 
 
+@query(f"WITH {_INDEX} SELECT * FROM x WHERE file_path NOT IN (SELECT c_custkey::VARCHAR FROM customer WHERE c_nationkey = 7)")
+def cache_invalidate(spark, sf_dir):
+    gone = table(spark, sf_dir, "customer").filter("c_nationkey = 7").select(F.col("c_custkey").cast("string").alias("file_path"))
+    return index.invalidate(order_index(spark, sf_dir), gone, ["file_path"])
+
+
 @query("SELECT ((SELECT count(*) FROM documents) + (SELECT count(*) FROM labels))::BIGINT AS rows")
 def file_counts(spark, sf_dir):
     return index.row_counts(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
@@ -559,47 +651,93 @@ def _pkg() -> F.Column:
     return F.concat(F.expr(NAME), F.lit("-"), F.col("p_partkey").cast("string"))
 
 
-def _by_brand(spark, sf_dir, line, name: str, head: str, between: str, tail: str, asked) -> DataFrame:
-    rows = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("x"), _pkg().alias("pkg")))).alias("r"))
+#: Parts of a lock file: each has a bounded number of packages, whatever the table's size.
+LOCK = "p_partkey // 100"
+
+
+def _locks(spark, sf_dir, line, name: str, head: str, between: str, tail: str, asked) -> DataFrame:
+    rows = table(spark, sf_dir, "part").groupBy(F.expr("p_partkey div 100").alias("lock_id")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("x"), _pkg().alias("pkg")))).alias("r"))
     content = F.concat(F.lit(head), F.array_join(F.transform("r", lambda x: x["x"]), between), F.lit(tail))
-    return rows.select("p_brand", F.lit(name).alias("file_name"), content.alias("content"), asked.alias("query"))
+    return rows.select("lock_id", F.lit(name).alias("file_name"), content.alias("content"), asked.alias("query"))
+
 
+def _entries(rows: DataFrame, name: str = "entry") -> DataFrame:
+    return lockfile.ask(rows).filter("how = 'entry'").select("lock_id", F.array_join("matches", ";").alias(name))
 
-_AGG = "string_agg({0}, {1} ORDER BY p_partkey)"
-_NPM = "'\"node_modules/' || " + _PKG + " || '\":{\"version\":\"1.' || p_size || '.0\"}'"
 
+def _size() -> F.Column:
+    return F.col("p_size").cast("string")
 
-@query(f"""SELECT p_brand, 'found' AS status, '{{"node_modules/' || arg_min({_PKG}, p_partkey) || '":{{"version":"1.' || arg_min(p_size, p_partkey) || '.0"}}}}' AS entry FROM part GROUP BY 1""")
+
+_RINGS = f"{LOCK} AS lock_id, {_PKG} AS pkg, p_size, row_number() OVER (PARTITION BY {LOCK} ORDER BY p_partkey) AS k FROM part WHERE contains({_PKG}, 'red_')"
+
+
+def _npm_line():
+    return F.concat(F.lit('"node_modules/'), _pkg(), F.lit('":{"version":"1.'), _size(), F.lit('.0"}'))
+
+
+@query(f"""SELECT {LOCK} AS lock_id, 'found' AS status, '{{"node_modules/' || arg_min({_PKG}, p_partkey) || '":{{"version":"1.' || arg_min(p_size, p_partkey) || '.0"}}}}' AS entry FROM part GROUP BY 1""")
 def lock_npm(spark, sf_dir):
-    line = F.concat(F.lit('"node_modules/'), _pkg(), F.lit('":{"version":"1.'), F.col("p_size").cast("string"), F.lit('.0"}'))
-    rows = _by_brand(spark, sf_dir, line, "package-lock.json", '{"lockfileVersion":3,"packages":{', ",", "}}", F.get("r", F.lit(0))["pkg"])
-    return lockfile.ask(rows).select("p_brand", "status", F.array_join("matches", ";").alias("entry"))
+    rows = _locks(spark, sf_dir, _npm_line(), "package-lock.json", '{"lockfileVersion":3,"packages":{', ",", "}}", F.get("r", F.lit(0))["pkg"])
+    return lockfile.ask(rows).select("lock_id", "status", F.array_join("matches", ";").alias("entry"))
+
+
+@query(f"""WITH b AS (SELECT {_RINGS}) SELECT lock_id, string_agg('{{"node_modules/' || pkg || '":{{"version":"1.' || p_size || '.0"}}}}', ';' ORDER BY k) AS entry FROM b WHERE k <= 3 GROUP BY 1""")
+def lock_npm_partial(spark, sf_dir):
+    return _entries(_locks(spark, sf_dir, _npm_line(), "npm-shrinkwrap.json", '{"lockfileVersion":2,"packages":{', ",", "}}", F.lit("RED_")))
+
+
+@query(f"""WITH b AS (SELECT {_RINGS}) SELECT lock_id, '{{"' || pkg || '":{{"version":"1.' || p_size || '.0"}}}}' AS entry FROM b WHERE k = 1""")
+def lock_npm_v1(spark, sf_dir):
+    line = F.concat(F.lit('"'), _pkg(), F.lit('":{"version":"1.'), _size(), F.lit('.0"}'))
+    return _entries(_locks(spark, sf_dir, line, "package-lock.json", '{"lockfileVersion":1,"dependencies":{', ",", "}}", F.lit(" RED_ ")))
+
+
+@query(f"""WITH b AS (SELECT {LOCK} AS lock_id, {_PKG} || '@^1.' || p_size AS x, row_number() OVER (PARTITION BY {LOCK} ORDER BY p_partkey) AS k FROM part)
+SELECT lock_id, '3' AS version, (count(*) + 1)::BIGINT AS packages, count(*)::BIGINT AS direct, string_agg(x, ',' ORDER BY k) FILTER (WHERE k <= 15) AS sample FROM b GROUP BY 1""")
+def lock_summary_npm(spark, sf_dir):
+    both = F.concat(F.lit('"'), _pkg(), F.lit('":"^1.'), _size(), F.lit('"'))
+    rows = table(spark, sf_dir, "part").groupBy(F.expr("p_partkey div 100").alias("lock_id")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", both.alias("d"), _npm_line().alias("x")))).alias("r"))
+    content = F.concat(F.lit('{"lockfileVersion":3,"packages":{"":{"dependencies":{'), F.array_join(F.transform("r", lambda x: x["d"]), ","), F.lit("}},"), F.array_join(F.transform("r", lambda x: x["x"]), ","), F.lit("}}"))
+    rows = lockfile.ask(rows.select("lock_id", F.lit("package-lock.json").alias("file_name"), content.alias("content"), F.lit("").alias("query")))
+    return rows.select("lock_id", "summary.version", F.col("summary.packages").cast("long").alias("packages"), F.col("summary.direct").cast("long").alias("direct"), F.array_join("summary.sample", ",").alias("sample"))
 
 
 _BLOCK = "'[[package]]' || chr(10) || 'name = \"' || " + _PKG + " || '\"' || chr(10) || 'version = \"1.' || p_size || '.0\"'"
 
 
 def _cargo(spark, sf_dir, asked) -> DataFrame:
-    line = F.concat(F.lit('[[package]]\nname = "'), _pkg(), F.lit('"\nversion = "1.'), F.col("p_size").cast("string"), F.lit('.0"'))
-    return _by_brand(spark, sf_dir, line, "Cargo.lock", "", "\n\n", "\n", asked)
+    line = F.concat(F.lit('[[package]]\nname = "'), _pkg(), F.lit('"\nversion = "1.'), _size(), F.lit('.0"'))
+    return _locks(spark, sf_dir, line, "Cargo.lock", "", "\n\n", "\n", asked)
 
 
-@query(f"WITH b AS (SELECT p_brand, {_BLOCK} AS x, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part WHERE contains({_PKG}, 'red_')) SELECT p_brand, string_agg(x, ';' ORDER BY k) AS blocks FROM b WHERE k <= 3 GROUP BY 1")
+@query(f"WITH b AS (SELECT {LOCK} AS lock_id, {_BLOCK} AS x, row_number() OVER (PARTITION BY {LOCK} ORDER BY p_partkey) AS k FROM part WHERE contains({_PKG}, 'red_')) SELECT lock_id, string_agg(x, ';' ORDER BY k) AS blocks FROM b WHERE k <= 3 GROUP BY 1")
 def lock_cargo(spark, sf_dir):
-    rows = lockfile.ask(_cargo(spark, sf_dir, F.lit("RED_"))).filter("how = 'entry'")
-    return rows.select("p_brand", F.array_join("matches", ";").alias("blocks"))
+    return _entries(_cargo(spark, sf_dir, F.lit("RED_")), "blocks")
+
+
+@query(f"""WITH b AS (SELECT {_RINGS}) SELECT lock_id, pkg || '@^1:' || chr(10) || '  version "1.' || p_size || '.0"' AS entry FROM b WHERE k = 1""")
+def lock_yarn(spark, sf_dir):
+    line = F.concat(_pkg(), F.lit('@^1:\n  version "1.'), _size(), F.lit('.0"'))
+    return _entries(_locks(spark, sf_dir, line, "yarn.lock", "# yarn lockfile v1\n# red_ is no package\n\n\n", "\n\n", "\n", F.lit("Red_")))
+
 
+@query(f"""WITH b AS (SELECT {_RINGS}) SELECT lock_id, '{{"name":"v/' || pkg || '","version":"1.' || p_size || '.0"}}' AS entry FROM b WHERE k = 1""")
+def lock_composer(spark, sf_dir):
+    line = F.concat(F.lit('{"name":"v/'), _pkg(), F.lit('","version":"1.'), _size(), F.lit('.0"}'))
+    return _entries(_locks(spark, sf_dir, line, "composer.lock", '{"packages":[],"packages-dev":[', ",", "]}", F.lit("RED_")))
 
-@query(f"WITH b AS (SELECT p_brand, {_PKG} || '@1.' || p_size || '.0' AS x, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part) SELECT p_brand, count(*)::BIGINT AS packages, string_agg(x, ',' ORDER BY k) FILTER (WHERE k <= 15) AS sample, (count(*) * 4)::BIGINT AS lines FROM b GROUP BY 1")
+
+@query(f"WITH b AS (SELECT {LOCK} AS lock_id, {_PKG} || '@1.' || p_size || '.0' AS x, row_number() OVER (PARTITION BY {LOCK} ORDER BY p_partkey) AS k FROM part) SELECT lock_id, count(*)::BIGINT AS packages, string_agg(x, ',' ORDER BY k) FILTER (WHERE k <= 15) AS sample, (count(*) * 4)::BIGINT AS lines FROM b GROUP BY 1")
 def lock_summary(spark, sf_dir):
     rows = lockfile.ask(_cargo(spark, sf_dir, F.lit(None).cast("string")))
-    return rows.select("p_brand", F.col("summary.packages").cast("long").alias("packages"), F.array_join("summary.sample", ",").alias("sample"), F.col("summary.lines").cast("long").alias("lines"))
+    return rows.select("lock_id", F.col("summary.packages").cast("long").alias("packages"), F.array_join("summary.sample", ",").alias("sample"), F.col("summary.lines").cast("long").alias("lines"))
 
 
 @query(f"""WITH {LINES}, m AS (SELECT doc_id, min(n) AS hit, max(total) AS total FROM l WHERE contains(lower(line), 'shing') GROUP BY 1), k AS (SELECT *, greatest(1, hit - 3)::INT AS first, least(total, hit + 7)::INT AS last FROM m WHERE total > 1)
 SELECT k.doc_id, first, last, string_agg(line, chr(10) ORDER BY n) AS body FROM k JOIN l ON l.doc_id = k.doc_id AND n BETWEEN first AND last GROUP BY ALL""")
 def lock_context(spark, sf_dir):
-    rows = documents(spark, sf_dir).filter(text.line_count("text") > 1).select("doc_id", F.lit("go.sum").alias("file_name"), F.col("text").alias("content"), F.lit("SHING").alias("query"))
+    rows = documents(spark, sf_dir).select("doc_id", F.lit("go.sum").alias("file_name"), F.col("text").alias("content"), F.lit("SHING").alias("query"))
     return lockfile.ask(rows).filter("how = 'context'").select("doc_id", "context.first", "context.last", "context.body")
 
 
@@ -618,9 +756,13 @@ _MODULE = (
 )[0]
 
 
-def modules(spark, sf_dir) -> DataFrame:
+def _module_sql() -> str:
+    return "replace(replace('" + _MODULE.replace("'", "''") + "', '@', p_partkey::VARCHAR), '#', p_size::VARCHAR)"
+
+
+def modules(spark, sf_dir, *others: str) -> DataFrame:
     body = F.replace(F.replace(F.lit(_MODULE), F.lit("@"), F.col("p_partkey").cast("string")), F.lit("#"), F.col("p_size").cast("string"))
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("file_path"), body.alias("text"), F.lit("python").alias("lang"))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("file_path"), body.alias("text"), F.lit("python").alias("lang"), *others)
 
 
 _SKELETON = "'import os' || repeat(chr(10), 3) || 'class C' || p_partkey || '(Base):' || chr(10) || '    def m' || p_partkey || '(self, x):' || chr(10) || '        \"\"\"Say.\"\"\"' || chr(10) || '        ...' || repeat(chr(10), 3) || 'def f' || p_partkey || '(x):' || chr(10) || '    ...' || chr(10)"
@@ -654,21 +796,66 @@ def import_counts(spark, sf_dir):
     return code.with_imports(modules(spark, sf_dir)).select("file_path", "n_imports")
 
 
-@query()
+_NAMES = "n AS (SELECT 'm' || p_partkey || '.py' AS file_path, k.n || p_partkey AS name, k.line FROM part, (VALUES ('C', 4), ('m', 5), ('f', 11)) k(n, line))"
+
+
+@query(f"""WITH {_NAMES}, t AS (SELECT p_partkey, 'm' || p_partkey || '.py' AS file_path, {_module_sql()} AS text FROM part),
+e AS (SELECT name, max(file_path) AS def_file FROM n WHERE length(name) > 2 GROUP BY 1), i AS (SELECT def_file AS file_path, count(*) AS inbound FROM t JOIN e ON t.file_path <> e.def_file AND contains(t.text, e.name) GROUP BY 1),
+b AS (SELECT t.file_path, coalesce(inbound, 0)::BIGINT AS inbound, 3 * 10 + 1 * 5 + CASE WHEN t.file_path = 'm3.py' THEN 100 ELSE 0 END + 13 * -0.001::DOUBLE + coalesce(inbound, 0) * 12 AS score,
+  t.file_path || ':' || chr(10) || '  class C' || p_partkey || '(Base):' || chr(10) || '    def m' || p_partkey || '(self, x):' || chr(10) || '  def f' || p_partkey || '(x):' || chr(10) AS body FROM t LEFT JOIN i USING (file_path)),
+o AS (SELECT file_path, round(score, 6) AS score, inbound, ({CHARS4.format('body')})::BIGINT AS tokens, row_number() OVER w::INT AS place, (1 + sum({CHARS4.format('body')}) OVER w)::BIGINT AS spent FROM b WINDOW w AS (ORDER BY score DESC, file_path))
+SELECT * FROM o WHERE spent <= 1000""")
 def repo_map(spark, sf_dir):
-    """The map of all modules within a budget: symbols, references and scores composed (tested against a plain loop)."""
+    """The map of all modules within a budget: symbols, references and scores composed."""
     files = code.with_imports(modules(spark, sf_dir))
-    return repomap.repo_map(files, code.symbols(files), 1000, ("m3.py",)).select("file_path", "score", "inbound", "tokens", "place", "spent")
+    return repomap.repo_map(files, code.symbols(files), 1000, ("m3.py",)).select("file_path", F.round("score", 6).alias("score"), "inbound", "tokens", "place", "spent")
+
+
+@query(f"""WITH {_NAMES}, z AS (SELECT *, lower(name) AS t, 'f1_7' AS q, 'f17' AS qc FROM n),
+c AS (SELECT *, least(length(qc), length(t))::DOUBLE / greatest(length(qc), length(t), 1) AS r, CASE WHEN length(t) >= 3 THEN 2.0::DOUBLE * len(list_intersect({_tri('q')}, {_tri('t')})) / (len({_tri('q')}) + len({_tri('t')})) ELSE 0 END AS dice FROM z),
+y AS (SELECT file_path, name, round(CASE WHEN q = t THEN 1.0::DOUBLE WHEN qc = t THEN 0.98::DOUBLE ELSE greatest(CASE WHEN (contains(qc, t) OR contains(t, qc)) AND r >= 0.4 THEN 0.75::DOUBLE + 0.20::DOUBLE * r ELSE 0 END,
+  1.0::DOUBLE - levenshtein(q, t)::DOUBLE / greatest(length(q), length(t), 1), 1.0::DOUBLE - levenshtein(qc, t)::DOUBLE / greatest(length(qc), length(t), 1), dice) END, 6) AS score FROM c),
+g AS (SELECT file_path, array_to_string(list(name ORDER BY score DESC, name)[1:3], ',') AS suggestions FROM y WHERE score >= 0.4 GROUP BY 1)
+SELECT 'm' || p_partkey || '.py' AS file_path, 'missing' AS status, coalesce(suggestions, '') AS suggestions FROM part LEFT JOIN g ON g.file_path = 'm' || p_partkey || '.py'""")
+def symbol_missing(spark, sf_dir):
+    """A symbol that no module has: each gives its similar names."""
+    return code.get_symbol(modules(spark, sf_dir), "f1_7").select("file_path", "status", F.array_join("suggestions", ",").alias("suggestions"))
+
+
+@query("SELECT 'm' || p_partkey || '.py' AS file_path, CASE WHEN p_partkey = 7 THEN 'found' ELSE 'missing' END AS status, CASE WHEN p_partkey = 7 THEN 11 END::INT AS line, CASE WHEN p_partkey = 7 THEN 'def f7(x):' || chr(10) || '    return x + ' || p_size END AS implementation FROM part")
+def get_symbol(spark, sf_dir):
+    return code.get_symbol(modules(spark, sf_dir), "f7").select("file_path", "status", "line", "implementation")
+
+
+_KIND = "CASE WHEN p_partkey % 11 = 10 THEN 'LOCKFILE' WHEN p_partkey % 11 = 1 THEN 'SLICE' WHEN p_partkey % 11 = 2 THEN 'SYMBOL' WHEN p_partkey % 11 = 4 THEN 'FULL' WHEN p_partkey % 11 = 5 THEN 'MISSING' WHEN p_partkey % 11 = 6 THEN 'DIRECTORY' WHEN p_partkey % 11 = 7 THEN 'TOO_LARGE' WHEN p_partkey % 11 = 8 THEN 'SECRET' WHEN p_partkey % 11 = 9 THEN 'BINARY' ELSE 'CACHED' END"
+
+
+def _smart_sql() -> str:
+    shown = "array_to_string(list_transform(ls[{0}:12], lambda x, i: (i + {0} - 1) || ': ' || x), chr(10))"
+    null, block = "NULL::INT", "'[[package]]' || chr(10) || 'name = \"p' || p_partkey || '\"'"
+    body = f"CASE status WHEN 'SLICE' THEN {shown.format(3)} WHEN 'SYMBOL' THEN {shown.format(11)} WHEN 'FULL' THEN text WHEN 'LOCKFILE' THEN {block} WHEN 'CACHED' THEN CASE WHEN again = 0 THEN text END END"
+    return f"""WITH t AS (SELECT p_partkey, {_module_sql()} AS module, {_KIND} AS status FROM part),
+f AS (SELECT *, CASE status WHEN 'MISSING' THEN NULL WHEN 'DIRECTORY' THEN NULL WHEN 'LOCKFILE' THEN {block} || chr(10) ELSE module END AS text, string_split(module, chr(10)) AS ls FROM t),
+a AS (SELECT *, 0 AS again FROM f UNION ALL SELECT *, 1 FROM f WHERE p_partkey % 11 = 0),
+r AS (SELECT *, {body} AS body FROM a)
+SELECT (p_partkey * 2 + again)::BIGINT AS request_id, status, CASE status WHEN 'SLICE' THEN 'OK' WHEN 'SYMBOL' THEN 'OK' WHEN 'LOCKFILE' THEN 'found' WHEN 'CACHED' THEN CASE WHEN again = 0 THEN 'FIRST_READ' ELSE 'UNCHANGED' END END AS detail,
+ CASE status WHEN 'SLICE' THEN 3 WHEN 'SYMBOL' THEN 11 WHEN 'CACHED' THEN CASE WHEN again = 0 THEN 1 END END::INT AS first, CASE WHEN status IN ('SLICE', 'SYMBOL') OR status = 'CACHED' AND again = 0 THEN 12 END::INT AS last, {null} AS next_start, {null} AS next_end, body,
+ CASE WHEN text IS NULL THEN 0 ELSE ({CHARS4.format('text')}) END::BIGINT AS orig_tokens, CASE WHEN body IS NULL THEN 0 ELSE ({CHARS4.format('body')}) END::BIGINT AS opt_tokens FROM r"""
 
 
-@query()
+@query(_smart_sql())
 def smart_reads(spark, sf_dir):
     """Reads of all modules by every branch: guards, symbols, slices, full, lock files, repeated reads."""
-    files = modules(spark, sf_dir).withColumn("length", F.length("text")).withColumn("is_dir", F.lit(False))
-    n = F.regexp_extract("file_path", r"(\d+)", 1).cast("int")
-    asks = files.select(
-        (n * 2).cast("long").alias("request_id"), "file_path", (n % 5 == 4).alias("force_full"), F.lit(None).cast("string").alias("query"),
-        F.when(n % 5 == 1, 3).alias("start_line"), F.lit(None).cast("int").alias("end_line"), F.when(n % 5 == 2, F.concat(F.lit("f"), n.cast("string"))).alias("symbol"),
+    n = F.col("p_partkey").cast("int")
+    key, kind = n.cast("string"), n % 11
+    block = F.concat(F.lit('[[package]]\nname = "p'), key, F.lit('"\n'))
+    rows = modules(spark, sf_dir, "p_partkey").withColumn("kind", kind)
+    path = F.when(kind == 8, F.concat(F.lit("m"), key, F.lit(".pem"))).when(kind == 9, F.concat(F.lit("m"), key, F.lit(".png"))).when(kind == 10, F.concat(F.lit("d"), key, F.lit("/Cargo.lock"))).otherwise(F.col("file_path"))
+    rows = rows.withColumn("file_path", path).withColumn("text", F.when(kind == 10, block).when(kind != 6, F.col("text")))
+    files = rows.filter(kind != 5).select("file_path", F.when(kind == 7, 6 << 20).when(kind != 6, F.length("text")).alias("length"), "text", (kind == 6).alias("is_dir"))
+    asks = rows.select(
+        (n * 2).cast("long").alias("request_id"), "file_path", (kind == 4).alias("force_full"), F.when(kind == 10, F.concat(F.lit("P"), key)).alias("query"),
+        F.when(kind == 1, 3).alias("start_line"), F.lit(None).cast("int").alias("end_line"), F.when(kind == 2, F.concat(F.lit(" f"), key)).alias("symbol"),
     )
-    again = asks.filter(n % 5 == 0).withColumn("request_id", F.col("request_id") + 1)
+    again = rows.filter(kind == 0).select((n * 2 + 1).cast("long").alias("request_id"), "file_path", F.lit(False).alias("force_full"), F.lit(None).cast("string").alias("query"), F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"), F.lit(None).cast("string").alias("symbol"))
     return smart_read.answer(asks.unionByName(again), files)

@@ -15,7 +15,7 @@ from ..functions.scalars import short_hash
 
 @dataclass(frozen=True)
 class Config:
-    """Settings; list settings of a file are added to the defaults."""
+    """Settings, by the names that a settings file has (fixed values); list settings of a file are added to the defaults."""
 
     ignore_patterns: tuple[str, ...] = SECRET_GLOBS
     lockfile_patterns: tuple[str, ...] = LOCK_GLOBS
@@ -24,7 +24,7 @@ class Config:
     cache_ttl_days: int = 30
     max_cache_entries: int = 5000
     repo_map_budget: int = 1000
-    max_source_files: int = 5000
+    max_source_files: int | None = 5000
 
 
 def read_config(text: str, kind: str = "toml") -> Config:
@@ -57,24 +57,46 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("path", rel.alias("rel_path"), "length", F.col("modificationTime").alias("mtime"))
 
 
-def read_sources(spark: SparkSession, root: str, config: Config = Config(), project: str | None = None) -> DataFrame:
-    """project_root, file_path, lang, mtime, length, text, file_hash, walk_ord of the first max_source_files sources by path.
+def listed(spark: SparkSession, root: str, config: Config = Config()) -> DataFrame:
+    """file_path, length, mtime, walk_ord and status of all files below root; contents are not read.
 
-    Folders, extensions and sizes are tested on the listing, before contents are read.
+    status: `read`, or why a walk leaves the file out: `FOLDER`, `NO_SOURCE`, `SECRET`, `TOO_LARGE`, `OVER_CAP`. walk_ord
+    counts the files that no other reason leaves out, by path; max_source_files of them are within the cap (None: no cap).
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    rel = F.substring_index(F.col("path"), root.rstrip("/") + "/", -1)
-    kept = raw.filter(F.col("length") <= config.max_cacheable_bytes).withColumn("file_path", rel)
-    kept = kept.filter(~in_skipped_folder("file_path") & is_source("file_path") & ~is_secret("file_path", config.ignore_patterns))
-    # the cap is over paths alone; their text joins after it
-    first = kept.select("file_path").orderBy("file_path").limit(config.max_source_files)
-    rows = kept.join(first, "file_path", "left_semi")
     from pyspark.sql import Window
 
-    ords = first.withColumn("walk_ord", F.row_number().over(Window.orderBy("file_path")))
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    rows = raw.select("path", F.substring_index(F.col("path"), root.rstrip("/") + "/", -1).alias("file_path"), "length", F.col("modificationTime").alias("mtime"))
+    status = (
+        F.when(in_skipped_folder("file_path"), "FOLDER")
+        .when(~is_source("file_path"), "NO_SOURCE")
+        .when(is_secret("file_path", config.ignore_patterns), "SECRET")
+        .when(F.col("length") > config.max_cacheable_bytes, "TOO_LARGE")
+    )
+    rows = rows.withColumn("status", status)
+    good = rows.filter("status IS NULL")
+    if config.max_source_files is None:
+        good = good.withColumn("walk_ord", F.lit(None).cast("int"))
+    else:
+        # the first by path are few, so only they are numbered in one place
+        first = good.select("path", "file_path").orderBy("file_path").limit(config.max_source_files)
+        ords = first.select("path", F.row_number().over(Window.orderBy("file_path")).alias("walk_ord"))
+        good = good.join(ords, "path", "left").withColumn("status", F.when(F.col("walk_ord").isNull(), "OVER_CAP"))
+    good = good.withColumn("status", F.coalesce("status", F.lit("read")))
+    return rows.filter("status IS NOT NULL").withColumn("walk_ord", F.lit(None).cast("int")).unionByName(good.select("path", "file_path", "length", "mtime", "status", "walk_ord"))
+
+
+def read_sources(spark: SparkSession, root: str, config: Config = Config(max_source_files=None), project: str | None = None) -> DataFrame:
+    """project_root, file_path, lang, mtime, length, text, file_hash, walk_ord of the sources that listed() says are read.
+
+    Folders, extensions and sizes are tested on the listing, before contents are read. There is no cap unless config sets one.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    kept = raw.filter(F.col("length") <= config.max_cacheable_bytes)
+    rows = kept.select("path", "content").join(listed(spark, root, config).filter("status = 'read'"), "path")
     text = decoded("content")
-    return rows.join(F.broadcast(ords), "file_path").select(
-        F.lit(project or root).alias("project_root"), "file_path", language_of("file_path").alias("lang"), F.col("modificationTime").alias("mtime"), "length", text.alias("text"), short_hash(text).alias("file_hash"), "walk_ord"
+    return rows.select(
+        F.lit(project or root).alias("project_root"), "file_path", language_of("file_path").alias("lang"), "mtime", "length", text.alias("text"), short_hash(text).alias("file_hash"), "walk_ord"
     )
 
 
@@ -84,6 +106,33 @@ def read_logs(spark: SparkSession, path: str, type_hint: str = "auto", exit_code
     return rows.select("log_id", F.lit(type_hint).alias("type_hint"), F.lit(exit_code).alias("exit_code"), F.lit(False).alias("bypass"), F.col("value").alias("raw"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else the warehouse."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + "/siftwork"
+
+
+def write_savings(savings: DataFrame, path: str) -> None:
+    """Adds savings (category, original, optimized) to the sink at path; a failed write leaves what was there."""
+    savings.write.mode("append").parquet(path)
+
+
+def write_projects(spark: SparkSession, roots: DataFrame, path: str) -> None:
+    """Adds project roots to the sorted set of known ones: the whole set is written beside the old one, which is then no longer read."""
+    known = read_projects(spark, path)
+    version = 0 if known is None else known.agg(F.max("version")).first()[0] + 1
+    every = roots.select("project_root") if known is None else known.select("project_root").unionByName(roots.select("project_root"))
+    every.filter("project_root IS NOT NULL").distinct().sort("project_root").write.parquet(f"{path}/version={version}")
+
+
+def read_projects(spark: SparkSession, path: str) -> DataFrame | None:
+    """project_root, version of the last set written; None if there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    rows = spark.read.parquet(path)
+    return rows.join(F.broadcast(rows.agg(F.max("version").alias("version"))), "version").select("project_root", "version")
+
+
 def write_by_project(table: DataFrame, path: str) -> None:
     """Replaces the partitions of the projects in table, and no others."""
     table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_root").parquet(path)
