@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import functools
-import shutil
-import tempfile
+import contextlib
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,38 +20,55 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOT_SHARE = 1000
 
 
-@functools.cache
-def _own_dir() -> str:
-    place = tempfile.mkdtemp(prefix="siftwork-")
-    atexit.register(shutil.rmtree, place, ignore_errors=True)
-    return place
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (local runs only) a temporary one, else the warehouse."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = _own_dir() if spark.sparkContext.master.split("[")[0] == "local" else spark.conf.get("spark.sql.warehouse.dir")
-    return place.rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, else the warehouse."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def _tables(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/siftwork/{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again: lineage ends there and no executor's loss costs it."""
+#: Folders inside which tables are written now, the innermost last.
+_SCRATCH: list[str] = []
+
+
+def materialize(df: DataFrame, *partition_by: str, kept_as: str | None = None) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it again: lineage ends there and no executor's loss costs it.
+
+    kept_as: a name, under which the table outlives scratch folders until forget().
+    """
     spark = df.sparkSession
-    path = f"{_tables(spark)}/{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{kept_as}" if kept_as else "/".join([_tables(spark), *_SCRATCH, uuid.uuid4().hex])
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, place: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are written inside are deleted in the end; what depends on them has to be kept by a name before."""
+    _SCRATCH.append(uuid.uuid4().hex)
+    place = "/".join([_tables(spark), *_SCRATCH])
+    try:
+        yield
+    finally:
+        _SCRATCH.pop()
+        _delete(spark, place)
+
+
+def forget(spark: SparkSession, kept_as: str) -> None:
+    _delete(spark, f"{_tables(spark)}/{kept_as}")
+
+
 def clean(spark: SparkSession) -> None:
     """Deletes the tables that this application has written; call it when the results are used up."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_tables(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _tables(spark))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,11 +101,6 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: in
     return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key, how))
 
 
-def checked_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
-    """Broadcasts df only if its counted rows are within most; else Spark shuffles."""
-    return F.broadcast(df) if rows <= most else df
-
-
 #: Buckets of keys that by_bucket broadcasts at most.
 BUCKETS = 1 << 18
 
@@ -106,9 +117,19 @@ def by_bucket(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Colum
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
-    """Readies the session for Python workers: they get this package, and Arrow batches are bounded by rows and bytes, as texts may be long."""
+    """Readies the session for Python workers: they get this package, and Arrow batches are bounded by rows and bytes, as texts may be long.
+
+    The bounds stay set, as a DataFrame runs later than it is made; bounds that are lower already are left.
+    """
     ship(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)):
         now = spark.conf.get(key, None)
         if now is None or not str(now).rstrip("bB").lstrip("-").isdigit() or not 0 < int(str(now).rstrip("bB")) <= most:
             spark.conf.set(key, str(most))
+
+
+def trim() -> None:
+    """Gives the memory that this Python worker has freed back to the system, as workers stay while others need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library is another
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, materialize, small_batches, text_of
+from .common import id_crc, materialize, small_batches, text_of, trim
 from .shingles import M1, M2, mix, split_words, string_hashes
 
 HEAD, WIDTH, TAILS = 1024, 32, 32
@@ -55,14 +55,14 @@ FEATURES = 3  # of the class, and of the word in a head class
 SLICES, ROUNDS = 12, (4, 2, 2, 2, 2)
 FIRST, STEP, DAMP, MOST = 0.7, 0.4, 3.0, 15.0
 CONTEXTS, PRIOR, POWER = 1 << 16, 4.0, 0.7  # hashed words before a tail word
-GROUP, PIECE = 1_000_000, 8192
+GROUP, PIECE = 250_000, 8192
 SHORT = 16  # rows that are summed a step at a time
-COUNTED = 3_000_000  # tokens that a task counts at once
+COUNTED = 1_500_000  # tokens that a task counts at once
 BLOCKS = 64
 #: Tokens that a training task sums at least, and tasks of a round at most: each of them sends its sums once.
 TRAIN_TOKENS, TRAIN_TASKS = 4_000_000, 20_000
 #: Tail tokens and texts of a chunk, tail tokens of a part, and words that are split at most.
-CHUNK, CHUNK_TEXTS, PART, SPLIT_WORDS = 2_000_000, 1 << 15, 2_000_000, 100_000
+CHUNK, CHUNK_TEXTS, PART, SPLIT_WORDS = 1_000_000, 1 << 15, 1_000_000, 100_000
 START, END = np.uint64(0x51AF), np.uint64(0xE4D)
 
 
@@ -259,7 +259,8 @@ class Sums:
             self.met[1][k * ROWS : (k + 1) * ROWS] += np.bincount(f[run_of].astype(np.int64) * WIDTH + g.symbol[heads] % WIDTH, None, ROWS * WIDTH).reshape(ROWS, WIDTH).astype(np.int32)
         tails = np.flatnonzero(g.run_cls >= HEADS)
         before = g.context[g.run_history[tails]].astype(np.int64) * TAILS + g.run_cls[tails] - HEADS
-        self.met[2] += np.bincount(before, g.run_n[tails], CONTEXTS * TAILS).reshape(CONTEXTS, TAILS).astype(np.int32)
+        cells, of = np.unique(before, return_inverse=True)
+        self.met[2].reshape(-1)[cells] += np.bincount(of, g.run_n[tails], len(cells)).astype(np.int32)
         if self.model is None:
             some = np.flatnonzero(g.run_cls < HEADS)
             for k, f in enumerate(inside):
@@ -319,8 +320,11 @@ def _grouped(batches, columns: tuple[str, ...] = ()):
         if size >= GROUP:
             yield _together(held, columns)
             held, size = [], 0
+            trim()
     if held:
         yield _together(held, columns)
+        held = None
+    trim()
 
 
 def _together(held, columns):
@@ -387,7 +391,8 @@ def train(texts: DataFrame, vocabulary) -> tuple[Model, np.ndarray]:
             np.clip(table, -MOST, MOST, out=table)
         done += share
         if sent:
-            sent.unpersist()
+            sent.destroy()
+        trim()
     return model, contexts
 
 
@@ -508,11 +513,14 @@ def _told(vocabulary, counted, split):
                 if part != now and blobs:
                     yield from rows()
                     chunks, blobs = [], []
+                    trim()
                 now = part
                 chunks.append(chunk)
                 blobs.append(blob)
         if blobs:
             yield from rows()
+        blobs = None
+        trim()
 
     return run
 
