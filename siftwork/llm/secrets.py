@@ -3,7 +3,7 @@
 Candidates are maximal runs of [A-Za-z0-9+/_=-] of MIN_RUN characters or more. A candidate has a character class, and
 each class has its own threshold in bits a character. A window of WINDOW characters slides over the candidate; its
 entropy is log2(WINDOW) - sum(c * log2 c) / WINDOW, and that sum changes by two terms a step as the counts of one
-character that enters and one that leaves are updated. The span runs from the first window at or over the threshold
+character that enters and one that leaves are updated; the counts are packed, DIGIT bits each, in a few numbers. The span runs from the first window at or over the threshold
 to the end of the last. Candidates that match the allow-list are suppressed, and so are spans inside a fixed
 pattern's span, which already tells of them. With pieces, the runs of letters and digits inside a candidate are
 candidates as well, with classes of their own: a separator or an allow-listed word beside a secret does not hide it.
@@ -11,7 +11,7 @@ A piece is suppressed if it matches the allow-list itself, or if its run matches
 anchored at the start, as these tell what a run is. Only DataFrame functions are used.
 
 Positions are code points, the end exclusive. Defined results: a null text counts as empty and has no spans; repeated
-rows give a row each; an empty table gives an empty result; other columns are ignored.
+rows give a row each; very long texts are scanned whole; of spans with one start, the kind listed first comes first; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ KINDS = (
     ("hex", r"[0-9a-f]{24,}+", 0, 24),
 )
 MIN_RUN, WINDOW = 20, 20
+DIGIT, DIGITS = 5, 12  # bits of a count, and counts in a number
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}+"
 PIECE = rf"[A-Za-z0-9]{{{MIN_RUN},}}+"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -77,7 +78,12 @@ def _nlog(c: Column) -> Column:
 def window_spans(value: Column, threshold: Column, window: int = WINDOW) -> Column:
     """struct<first, last>: starts of the first and last windows whose entropy reaches the threshold, from 0; null if none."""
     chars = F.split(value, "")
-    zero = F.array_repeat(F.lit(0), len(ALPHABET) + 1)
+    if window >= 1 << DIGIT:
+        raise ValueError("a count has to fit its digit")
+    zero = F.array_repeat(F.lit(0).cast("long"), len(ALPHABET) // DIGITS + 1)
+    word, digit = lambda k: F.floor(k / DIGITS).cast("int"), lambda k: (k % DIGITS * DIGIT).cast("int")
+    count = lambda counts, k: F.call_function("shiftright", F.get(counts, word(k)), digit(k)).bitwiseAND((1 << DIGIT) - 1)
+    one = lambda k, j: F.when(j == word(k), F.call_function("shiftleft", F.lit(1).cast("long"), digit(k))).otherwise(0)
     most = F.log2(F.lit(float(window)))
 
     def step(acc, i):
@@ -85,10 +91,10 @@ def window_spans(value: Column, threshold: Column, window: int = WINDOW) -> Colu
         leaves = F.when(i > window, F.instr(F.lit(ALPHABET), F.element_at(acc["chars"], F.greatest(i - window, F.lit(1)))))
         # counts by place in the alphabet; 0 stands for no character
         out = F.coalesce(leaves, F.lit(0))
-        less = F.get(acc["counts"], out)
-        more = F.get(acc["counts"], enters) - F.when(enters == out, 1).otherwise(0)
+        less = count(acc["counts"], out)
+        more = count(acc["counts"], enters) - F.when(enters == out, 1).otherwise(0)
         total = acc["sum"] - F.when(out > 0, _nlog(less) - _nlog(less - 1)).otherwise(0.0) + _nlog(more + 1) - _nlog(more)
-        counts = F.transform(acc["counts"], lambda c, k: c + F.when(k == enters, 1).otherwise(0) - F.when((k == out) & (out > 0), 1).otherwise(0))
+        counts = F.transform(acc["counts"], lambda c, j: c + one(enters, j) - F.when(out > 0, one(out, j)).otherwise(0))
         hit = (i >= window) & (most - total / window >= acc["least"] - 1e-9)
         return F.struct(
             acc["chars"].alias("chars"),
