@@ -10,7 +10,7 @@ Fitting uses about FIT_EACH texts of each language (those whose hash of the id i
 which LANDMARKS are landmarks, spread over the languages: a bounded sample by documented parameters.
 
 Defined results: a null text and one without letters is `und` with score 0, and so is every text if no row can be
-learned from; ties go to the language first by code point; repeated rows and null ids give a row each (a null id
+learned from; ties go to the language first by code point; very long texts are read whole; repeated rows and null ids give a row each (a null id
 counts as the empty text in the split); empty tables give empty results; other columns are ignored.
 """
 
@@ -52,11 +52,27 @@ def presence(texts: list[str]) -> np.ndarray:
     x = np.zeros((len(texts), 1 << SPACE_BITS), np.float32)
     for row, t in zip(x, texts):
         row[spectrum(t.encode())] = 1
+    return _unit(x)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
 
 
+def _packed(batches):
+    """Texts -> their presence rows, a bit each."""
+    for b in batches:
+        rows = []
+        for t in b.column("t").to_pylist():
+            row = np.zeros(1 << SPACE_BITS, bool)
+            row[spectrum(t.encode())] = True
+            rows.append(np.packbits(row).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("place"), pa.array(rows, pa.binary())], ["lang", "place", "bits"])
+
+
 class Kernel:
-    def __init__(self, texts: list[str], langs: list[str]):
+    def __init__(self, rows: np.ndarray, langs: list[str]):
+        """rows: those of presence() of the learned texts."""
         self.langs = sorted(set(langs))
         if not self.langs:
             return
@@ -67,12 +83,12 @@ class Kernel:
             rank.append((turn[g], g, i))
             turn[g] += 1
         marks = [i for _, _, i in sorted(rank)[:LANDMARKS]]
-        self.landmarks = presence([texts[i] for i in marks])
+        self.landmarks = rows[marks]
         values, vectors = np.linalg.eigh((self.landmarks @ self.landmarks.T).astype(np.float64))
         good = values > 1e-6 * values.max()
         root = vectors[:, good] / np.sqrt(values[good])
-        features = np.concatenate([presence(texts[i : i + ROWS]) @ self.landmarks.T for i in range(0, len(texts), ROWS)]).astype(np.float64) @ root
-        features = np.concatenate([features, np.ones((len(texts), 1))], 1)
+        features = (rows @ self.landmarks.T).astype(np.float64) @ root
+        features = np.concatenate([features, np.ones((len(rows), 1))], 1)
         y = np.where(np.array(langs)[:, None] == np.array(self.langs)[None], 1.0, -1.0)
         # every language weighs the same
         weight = np.sqrt(np.array([1 / turn[g] for g in langs]) * len(langs) / len(self.langs))[:, None]
@@ -102,8 +118,12 @@ def fit(docs: DataFrame, learn: Column, each: int = FIT_EACH) -> Kernel:
     # counts has a row for each language
     some = rows.join(F.broadcast(counts), "lang").filter(share * F.col("n") <= 1.5 * each)
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", "text"))
-    found = some.withColumn("_place", place).filter(F.col("_place") <= each).orderBy("lang", "_place").select(F.lower("text").alias("t"), "lang").collect()
-    return Kernel([r["t"] for r in found], [r["lang"] for r in found])
+    chosen = some.withColumn("place", place).filter(F.col("place") <= each).select(F.lower("text").alias("t"), "lang", "place")
+    small_batches(docs.sparkSession)
+    # each rows a language, of a fixed size, as only the presence of n-grams leaves the workers
+    found = sorted(tuple(r) for r in chosen.mapInArrow(_packed, "lang string, place int, bits binary").collect())
+    bits = np.array([np.frombuffer(r[2], np.uint8) for r in found], np.uint8).reshape(len(found), (1 << SPACE_BITS) // 8)
+    return Kernel(_unit(np.unpackbits(bits, axis=1).astype(np.float32)) if len(found) else np.zeros((0, 1 << SPACE_BITS), np.float32), [r[0] for r in found])
 
 
 def predicted(docs: DataFrame, model: Kernel, held_out: Column) -> DataFrame:
