@@ -6,7 +6,8 @@ source. A source whose target is e whole epochs and a rest takes every row e tim
 the word: the row at the cut gives the words that are left. Only DataFrame functions are used.
 
 Defined results: a null text has size 0 and is taken 0 times; null sources form one source, last in order; rows
-repeated with the same id have the same key and follow each other by size; a source without words has target 0; an
+repeated with the same id have the same key and follow each other by size; a very long text may alone be a source's
+budget; ties in the key go by id and size; columns target and taken of sized are replaced; a source without words has target 0; an
 empty table gives an empty result.
 """
 
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import WORD, materialize, text_of
 
 WEIGHTS, SHARE, MOST, SEED = (3, 1, 2), 1.5, 2, "mix-1"
-#: Rows in a range of keys, over all sources.
-RANGE_ROWS = 20_000
+#: Rows in a range of keys, over all sources; small tables have up to RANGES ranges of fewer rows, to spread over tasks.
+RANGE_ROWS, RANGES, LEAST_ROWS = 20_000, 256, 500
 
 
 def words(col: str = "text") -> Column:
@@ -50,7 +51,8 @@ def taken(sized: DataFrame, small: DataFrame, seed: str = SEED, whole: bool = Fa
     whole: rows are taken whole, those at a cut if half of them is within.
     """
     by_source = materialize(targets(small.groupBy("source").agg(F.sum("size").alias("source_size")), **how))
-    ranges = max(1, -(-small.count() // RANGE_ROWS))
+    rows = small.count()
+    ranges = max(1, -(-rows // RANGE_ROWS), min(RANGES, rows // LEAST_ROWS))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     at = F.shiftrightunsigned(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * ranges, 32)
 

@@ -9,7 +9,8 @@ passage of every text is encoded and scored.
 
 Defined results: a null text, and one without words, scores the share of label 1 among the learned rows (add-one); so
 does every text if the learned rows have one label only or there are none; labels without a quality or a document are
-passed over, and repeated labels of a document count once, with the least quality; repeated rows and null ids give a
+passed over, and repeated labels of a document count once, with the least quality; of rows with a repeated id, that of the
+least encoding is learned; very long texts have all their passages encoded; repeated rows and null ids give a
 row each (a null id counts as the empty text in the split); empty tables give empty results; other columns are ignored.
 """
 
@@ -138,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = FIT_ROWS)
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(F.broadcast(chosen.select("doc_id", F.col("quality").cast("int"))), "doc_id")
-    found = sorted(tuple(r) for r in rows.mapInArrow(encode, "doc_id long, quality int, x binary").dropDuplicates(["doc_id"]).collect())  # most rows
+    found = sorted(tuple(r) for r in rows.mapInArrow(encode, "doc_id long, quality int, x binary").groupBy("doc_id", "quality").agg(F.min("x")).collect())  # most rows
     wide = len(COUNTED) + 6 + HASHED
     bags = [np.frombuffer(r[2], np.float32).reshape(-1, wide) for r in found]
     y = np.array([r[1] for r in found], np.float32)

@@ -4,9 +4,11 @@ Equal texts form a group, and a group stays whole. The differencing method keeps
 one a shard) on a heap by their spread and repeatedly combines the two of largest spread, oppositely ordered. A
 corpus has more groups than one process holds, so groups are hashed into buckets of bounded size; each bucket is
 differenced into PARTS parts, the parts are the next level's indivisible groups, and so on until at most TOP of them
-are left, which the driver differences into the shards. A level divides the count by BUCKET / PARTS.
+are left, which the driver differences into the shards: the base of the recursion. A level divides the count by
+BUCKET / PARTS; a corpus of up to TOP groups is differenced at once.
 
-Defined results: a null text counts as empty (size 1); rows with equal texts, repeated rows and null ids included, go
+Defined results: a null text counts as empty (size 1); ties in size go by the text's digest; a very long text weighs what
+it has; rows with equal texts, repeated rows and null ids included, go
 to one shard; an empty table gives an empty result; other columns are ignored here and kept by shard_rows.
 """
 
@@ -19,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hot_join, materialize, text_of
+from .common import hot_join, materialize, small_batches, text_of
 
 BUCKET, PARTS, TOP = 4096, 16, 8192
 #: Rows that are numbered together.
@@ -81,6 +83,7 @@ def assign(groups: DataFrame, shards: int) -> DataFrame:
 
 def shard_rows(docs: DataFrame, shards: int) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot (from 0 in each shard) of the rows of docs (doc_id, text), and doc, if docs has such a column."""
+    small_batches(docs.sparkSession)
     text = text_of()
     rows = docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("item"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *(["doc"] if "doc" in docs.columns else []))
     small = materialize(rows.drop("doc"))
@@ -99,7 +102,7 @@ def with_shards(docs: DataFrame, shards: int) -> DataFrame:
 def numbered(rows: DataFrame, total: int, by: tuple[str, ...] = ("doc_id", "text_crc32", "size")) -> DataFrame:
     """Adds slot: gapless from 0 in each shard. Rows are numbered in bounded buckets, which start where the ones before end."""
     buckets = max(1, -(-total // SLOT_ROWS))
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*by), F.lit(buckets)))
     counts = rows.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

@@ -9,7 +9,7 @@ starts anew. The query takes totals and the cut at LIMIT from them; prefix_table
 Prefixes that cut a pre-token in two are handled as the pre-tokenizer would: a white-space run at the end of a prefix
 is one pre-token, a cut contraction is two, and a cut special token is ordinary text.
 
-Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated rows and null ids give a row each; an empty
+Defined results: a null text counts as empty (0 bytes, 0 tokens); very long texts are counted whole; repeated rows and null ids give a row each; an empty
 table gives an empty result; other columns are ignored.
 """
 
