@@ -18,19 +18,58 @@ LOCK_GLOBS = (
 )
 #: Language by extension.
 LANGUAGES = {
-    "python": "py pyi", "typescript": "ts", "tsx": "tsx", "javascript": "js jsx mjs cjs", "go": "go", "rust": "rs", "java": "java", "kotlin": "kt kts",
-    "c_sharp": "cs", "c": "c h", "cpp": "cpp cc cxx hpp hxx", "ruby": "rb", "php": "php", "swift": "swift", "scala": "scala", "r": "r", "lua": "lua",
-    "zig": "zig", "elixir": "ex exs", "erlang": "erl", "haskell": "hs", "ocaml": "ml mli", "perl": "pl pm", "bash": "sh bash zsh", "dart": "dart",
-    "julia": "jl", "sql": "sql", "html": "html htm", "css": "css", "scss": "scss", "yaml": "yaml yml", "toml": "toml", "json": "json", "xml": "xml",
-    "markdown": "md", "rst": "rst", "hcl": "tf hcl", "proto": "proto", "cmake": "cmake", "make": "makefile mk", "dockerfile": "dockerfile",
-}
+    "python": ("py", "pyi"),
+    "typescript": ("ts",),
+    "tsx": ("tsx",),
+    "javascript": ("js", "jsx", "mjs", "cjs"),
+    "go": ("go",),
+    "rust": ("rs",),
+    "java": ("java",),
+    "kotlin": ("kt", "kts"),
+    "c_sharp": ("cs",),
+    "c": ("c", "h"),
+    "cpp": ("cpp", "cc", "cxx", "hpp", "hxx"),
+    "ruby": ("rb",),
+    "php": ("php",),
+    "swift": ("swift",),
+    "scala": ("scala",),
+    "r": ("r",),
+    "lua": ("lua",),
+    "zig": ("zig",),
+    "elixir": ("ex", "exs"),
+    "erlang": ("erl",),
+    "haskell": ("hs",),
+    "ocaml": ("ml", "mli"),
+    "perl": ("pl", "pm"),
+    "bash": ("sh", "bash", "zsh"),
+    "dart": ("dart",),
+    "julia": ("jl",),
+    "sql": ("sql",),
+    "html": ("html", "htm"),
+    "css": ("css",),
+    "scss": ("scss",),
+    "yaml": ("yaml", "yml"),
+    "toml": ("toml",),
+    "json": ("json",),
+    "xml": ("xml",),
+    "markdown": ("md",),
+    "rst": ("rst",),
+    "hcl": ("tf", "hcl"),
+    "proto": ("proto",),
+    "cmake": ("cmake",),
+    "make": ("makefile", "mk"),
+    "dockerfile": ("dockerfile",),
+}
 #: Extensions of binary files.
 BINARY = (
-    "png jpg jpeg gif bmp ico svg webp mp3 mp4 wav avi mov mkv webm zip tar gz bz2 xz 7z rar exe dll so dylib bin o a "
-    "pdf doc docx xls xlsx ppt pptx woff woff2 ttf otf eot pyc pyo class jar db sqlite sqlite3"
-).split()
+    "png", "jpg", "jpeg", "gif", "bmp", "ico", "svg", "webp", "mp3", "mp4", "wav", "avi", "mov", "mkv", "webm", "zip", "tar", "gz", "bz2", "xz", "7z",
+    "rar", "exe", "dll", "so", "dylib", "bin", "o", "a", "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "woff", "woff2", "ttf", "otf", "eot",
+    "pyc", "pyo", "class", "jar", "db", "sqlite", "sqlite3",
+)
 #: Folders that hold no source, besides those whose name begins with a dot.
-SKIPPED = "node_modules __pycache__ venv env dist build target out bin obj coverage htmlcov data logs".split()
+SKIPPED = (
+    "node_modules", "__pycache__", "venv", "env", "dist", "build", "target", "out", "bin", "obj", "coverage", "htmlcov", "data", "logs",
+)
 #: Other text files that a source walk takes.
 PLAIN = ("txt", "cfg", "ini")
 
@@ -97,7 +136,7 @@ def in_skipped_folder(path: str | Column) -> Column:
 def language_of(path: str | Column) -> Column:
     """The language by special file names, else by extension; null if unknown."""
     name = F.lower(base_name(path))
-    by_ext = F.create_map(*(F.lit(x) for lang, exts in LANGUAGES.items() for e in exts.split() for x in (e, lang)))
+    by_ext = F.create_map(*(F.lit(x) for lang, exts in LANGUAGES.items() for e in exts for x in (e, lang)))
     return (
         F.when(name.isin("makefile", "gnumakefile"), "make")
         .when((name == "dockerfile") | name.startswith("dockerfile."), "dockerfile")

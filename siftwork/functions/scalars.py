@@ -17,6 +17,10 @@ CODE_PREFIX = 500
 DOLLARS_PER_MILLION = 3.00
 
 
+#: Terminal codes: colours and cursor, titles, character sets, carriage returns.
+TERMINAL = r"\x1b\[[0-9;]*[a-zA-Z]|\x1b\][^\x07]*\x07|\x1b\([B0UK]|\r"
+
+
 def col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -41,7 +45,7 @@ def est_ratio(text: str | Column, family: str = "auto") -> Column:
 
 def strip_ansi(text: str | Column) -> Column:
     """Without colour and cursor codes, titles, character sets and carriage returns."""
-    return F.regexp_replace(col(text), r"\x1b\[[0-9;]*[a-zA-Z]|\x1b\][^\x07]*\x07|\x1b\([B0UK]|\r", "")
+    return F.regexp_replace(col(text), TERMINAL, "")
 
 
 def trim_ws(text: str | Column) -> Column:

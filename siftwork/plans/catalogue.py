@@ -86,7 +86,7 @@ def symbol_line_fallback(spark, sf_dir):
 ESCAPED = "chr(27) || '[31m' || text || chr(27) || '[0m' || chr(13) || chr(27) || ']0;t' || chr(7)"
 
 
-@query(f"SELECT doc_id, sha256(regexp_replace({ESCAPED}, '\\x1b\\[[0-9;]*[a-zA-Z]|\\x1b\\][^\\x07]*\\x07|\\x1b\\([B0UK]|\\r', '', 'g')) AS clean_hash FROM documents")
+@query(f"SELECT doc_id, sha256(regexp_replace({ESCAPED}, '{scalars.TERMINAL}', '', 'g')) AS clean_hash FROM documents")
 def ansi_strip(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", scalars.content_hash(scalars.strip_ansi(F.expr(ESCAPED))).alias("clean_hash"))
 
@@ -133,7 +133,7 @@ def binary_ext(spark, sf_dir):
 
 _EXT = "lower(regexp_extract(base, '^.+\\.([^.]+)$', 1))"
 _LANG = "CASE WHEN lower(base) IN ('makefile', 'gnumakefile') THEN 'make' WHEN lower(base) = 'dockerfile' OR lower(base) LIKE 'dockerfile.%' THEN 'dockerfile' WHEN lower(base) = 'cmakelists.txt' THEN 'cmake' " + " ".join(
-    f"WHEN {_EXT} = '{e}' THEN '{lang}'" for lang, exts in paths.LANGUAGES.items() for e in exts.split()
+    f"WHEN {_EXT} = '{e}' THEN '{lang}'" for lang, exts in paths.LANGUAGES.items() for e in exts
 ) + " END"
 
 

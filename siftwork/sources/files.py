@@ -57,45 +57,54 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("path", rel.alias("rel_path"), "length", F.col("modificationTime").alias("mtime"))
 
 
-def listed(spark: SparkSession, root: str, config: Config = Config()) -> DataFrame:
-    """file_path, length, mtime, walk_ord and status of all files below root; contents are not read.
+def _raw(spark: SparkSession, root: str) -> DataFrame:
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return raw.withColumn("file_path", F.substring_index(F.col("path"), root.rstrip("/") + "/", -1)).withColumnRenamed("modificationTime", "mtime")
 
-    status: `read`, or why a walk leaves the file out: `FOLDER`, `NO_SOURCE`, `SECRET`, `TOO_LARGE`, `OVER_CAP`. walk_ord
-    counts the files that no other reason leaves out, by path; max_source_files of them are within the cap (None: no cap).
-    """
-    from pyspark.sql import Window
 
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    rows = raw.select("path", F.substring_index(F.col("path"), root.rstrip("/") + "/", -1).alias("file_path"), "length", F.col("modificationTime").alias("mtime"))
-    status = (
+def _left_out(config: Config) -> Column:
+    """Why a walk leaves a file out, by its path and length; null if it does not."""
+    return (
         F.when(in_skipped_folder("file_path"), "FOLDER")
         .when(~is_source("file_path"), "NO_SOURCE")
         .when(is_secret("file_path", config.ignore_patterns), "SECRET")
         .when(F.col("length") > config.max_cacheable_bytes, "TOO_LARGE")
     )
-    rows = rows.withColumn("status", status)
-    good = rows.filter("status IS NULL")
+
+
+def _first(good: DataFrame, most: int) -> DataFrame:
+    """file_path, walk_ord of the first most files by path; only these are numbered in one place."""
+    from pyspark.sql import Window
+
+    return good.select("file_path").orderBy("file_path").limit(most).withColumn("walk_ord", F.row_number().over(Window.orderBy("file_path")))
+
+
+def listed(spark: SparkSession, root: str, config: Config = Config()) -> DataFrame:
+    """file_path, length, mtime, status and walk_ord of all files below root; contents are not read.
+
+    status: `read`, or why a walk leaves the file out: `FOLDER`, `NO_SOURCE`, `SECRET`, `TOO_LARGE`, `OVER_CAP`. walk_ord
+    counts the files within the cap, max_source_files (None: no cap, and no count).
+    """
+    rows = _raw(spark, root).select("file_path", "length", "mtime", F.coalesce(_left_out(config), F.lit("read")).alias("status"))
     if config.max_source_files is None:
-        good = good.withColumn("walk_ord", F.lit(None).cast("int"))
-    else:
-        # the first by path are few, so only they are numbered in one place
-        first = good.select("path", "file_path").orderBy("file_path").limit(config.max_source_files)
-        ords = first.select("path", F.row_number().over(Window.orderBy("file_path")).alias("walk_ord"))
-        good = good.join(ords, "path", "left").withColumn("status", F.when(F.col("walk_ord").isNull(), "OVER_CAP"))
-    good = good.withColumn("status", F.coalesce("status", F.lit("read")))
-    return rows.filter("status IS NOT NULL").withColumn("walk_ord", F.lit(None).cast("int")).unionByName(good.select("path", "file_path", "length", "mtime", "status", "walk_ord"))
+        return rows.withColumn("walk_ord", F.lit(None).cast("int"))
+    rows = rows.join(F.broadcast(_first(rows.filter("status = 'read'"), config.max_source_files)), "file_path", "left")
+    return rows.withColumn("status", F.when((F.col("status") == "read") & F.col("walk_ord").isNull(), "OVER_CAP").otherwise(F.col("status")))
 
 
 def read_sources(spark: SparkSession, root: str, config: Config = Config(max_source_files=None), project: str | None = None) -> DataFrame:
     """project_root, file_path, lang, mtime, length, text, file_hash, walk_ord of the sources that listed() says are read.
 
-    Folders, extensions and sizes are tested on the listing, before contents are read. There is no cap unless config sets one.
+    There is no cap unless config sets one. Sizes are tested before contents are read; contents are not shuffled.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    kept = raw.filter(F.col("length") <= config.max_cacheable_bytes)
-    rows = kept.select("path", "content").join(listed(spark, root, config).filter("status = 'read'"), "path")
+    good = _raw(spark, root).filter(F.col("length") <= config.max_cacheable_bytes).filter(_left_out(config).isNull())
+    if config.max_source_files is None:
+        good = good.withColumn("walk_ord", F.lit(None).cast("int"))
+    else:
+        # the cap is over paths alone
+        good = good.join(F.broadcast(_first(good, config.max_source_files)), "file_path")
     text = decoded("content")
-    return rows.select(
+    return good.select(
         F.lit(project or root).alias("project_root"), "file_path", language_of("file_path").alias("lang"), "mtime", "length", text.alias("text"), short_hash(text).alias("file_hash"), "walk_ord"
     )
 

@@ -44,4 +44,22 @@ def test_sources(spark, tmp_path):
     assert [(r["file_path"], r["lang"], r["walk_ord"]) for r in got] == [("n.txt", None, 1), ("src/a.py", "python", 2), ("src/b.rs", "rust", 3)]
     assert got[2]["text"] == "fn é() {}"
     assert files.read_sources(spark, str(tmp_path), files.Config(max_source_files=1)).count() == 1
+    told = {r["file_path"]: (r["status"], r["walk_ord"]) for r in files.listed(spark, str(tmp_path), files.Config(max_cacheable_bytes=50, max_source_files=2)).collect()}
+    assert told["n.txt"] == ("read", 1) and told["src/a.py"] == ("read", 2) and told["src/b.rs"] == ("OVER_CAP", None)
+    assert [told[n][0] for n in ("node_modules/c.js", "k.pem", "p.png", "big.py", "q.unknown")] == ["FOLDER", "NO_SOURCE", "NO_SOURCE", "TOO_LARGE", "NO_SOURCE"]
+
+
+def test_sinks(spark, tmp_path):
+    """Savings are added, known projects are a sorted set."""
+    place = str(tmp_path / "savings")
+    rows = spark.createDataFrame([("slice", 10, 3), ("cache", 5, 0)], "category string, original long, optimized long")
+    files.write_savings(rows, place)
+    files.write_savings(rows, place)
+    assert spark.read.parquet(place).count() == 4
+    known = str(tmp_path / "projects")
+    assert files.read_projects(spark, known) is None
+    roots = lambda *xs: spark.createDataFrame([(x,) for x in xs], "project_root string")
+    files.write_projects(spark, roots("b", "a", None), known)
+    files.write_projects(spark, roots("c", "a"), known)
+    assert [r["project_root"] for r in files.read_projects(spark, known).orderBy("project_root").collect()] == ["a", "b", "c"]
     assert files.list_files(spark, str(tmp_path)).count() == 7  # the reader passes over empty files

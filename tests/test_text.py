@@ -90,3 +90,18 @@ def test_ansi_and_keys(spark):
     row = spark.createDataFrame([("\x1b[32mok\x1b[0m\r\n", "C:\\a\\b.py#L1-2#x")], "t string, k string")
     got = row.select(scalars.strip_ansi("t"), scalars.key_base("k"), scalars.key_fragment("k")).first()
     assert tuple(got) == ("ok\n", "C:/a/b.py", "L1-2#x")
+
+
+def test_exact_counts(spark):
+    import pytest
+
+    public = pytest.importorskip("public_tokenizers")
+    library = pytest.importorskip("tokenizers")
+    from siftwork.functions import tokens
+
+    path = public.path("byte_bpe_50k.json")
+    by = library.Tokenizer.from_file(path)
+    texts = ["hello world", "", None, "def f(x):\n    return x", "é😀"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tokens.count("t", path=path).alias("n"), tokens.count("t", "claude").alias("e")).orderBy("i").collect()
+    assert [r["n"] for r in rows] == [None if t is None else len(by.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert [r["e"] for r in rows] == [None if t is None else 0 if not t else max(1, int(len(t) / 3.3)) for t in texts]
