@@ -30,6 +30,8 @@ def inbound_naive(files: DataFrame, named: DataFrame) -> DataFrame:
     return pairs.groupBy("def_file").agg(F.count(F.lit(1)).alias("inbound"))
 
 
+#: Characters by which it is told whether a name may begin at a place.
+KEY = 3
 #: Runs that texts and names are told apart by: of word characters, and of others that are no white space.
 RUNS = r"(?U)\w+|[^\w\s]+"
 
@@ -38,19 +40,24 @@ def inbound(files: DataFrame, named: DataFrame) -> DataFrame:
     """The same by equality: a text holds a name only if one of its runs holds the name's longest run.
 
     Distinct runs of the corpus are matched with the names once. A run holds another if one of its parts of that length
-    equals it, so that too is an equality: runs are expanded to their parts of the lengths that names have. A name that
-    is one run of word characters is in a text if and only if it is in a run; others are looked for in the texts that
-    have their longest run.
+    equals it, so that too is an equality. Only parts that may be names are made: those of the lengths that names have
+    which begin with the same KEY characters. A name that is one run of word characters is in a text if and only if it
+    is in a run; others are looked for in the texts that have their longest run.
     """
     runs = F.regexp_extract_all("name", F.lit(RUNS), F.lit(0))
     longest = F.get(F.array_sort(F.transform(runs, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("part")))), F.lit(0))["part"]
-    keyed = named.select("name", "def_file", longest.alias("part")).filter("part IS NOT NULL").withColumn("plain", F.col("name").rlike(r"(?U)^\w+$"))
+    keyed = named.select("name", "def_file", longest.alias("part")).filter("part IS NOT NULL")
+    keyed = keyed.withColumn("plain", F.col("name").rlike(r"(?U)^\w+$")).withColumn("key", F.substring("part", 1, KEY))
     words = files.select("file_path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(RUNS), F.lit(0)))).alias("word"))
-    lengths = keyed.agg(F.sort_array(F.collect_set(F.length("part"))).alias("_lengths"))
+    lengths = keyed.agg(F.collect_set(F.length("key")).alias("_lengths"))  # KEY at most
     vocabulary = words.select("word").distinct().crossJoin(F.broadcast(lengths))  # one row
     sized = vocabulary.select("word", F.explode("_lengths").alias("_n")).filter(F.length("word") >= F.col("_n"))
-    parts = sized.select("word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - F.col("_n") + 1), lambda i: F.substring("word", i, F.col("_n"))))).alias("part"))
-    match = parts.join(keyed, "part").select("word", "name", "def_file", "plain")
+    places = sized.select("word", "_n", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("_n") + 1)).alias("_at"))
+    places = places.withColumn("key", F.substring("word", F.col("_at"), F.col("_n")))
+    begun = places.join(keyed.groupBy("key").agg(F.collect_set(F.length("part")).alias("_ends")), "key")
+    parts = begun.select("word", "_at", F.explode("_ends").alias("_n")).filter(F.col("_at") + F.col("_n") <= F.length("word") + 1)
+    parts = parts.select("word", F.substring("word", F.col("_at"), F.col("_n")).alias("part"))
+    match = parts.join(keyed, "part").select("word", "name", "def_file", "plain").distinct()
     held = words.join(match, "word").filter(F.col("file_path") != F.col("def_file")).select("file_path", "name", "def_file", "plain").distinct()
     odd = held.filter("NOT plain").join(files.select("file_path", "text"), "file_path").filter(F.col("text").contains(F.col("name")))
     every = held.filter("plain").select("name", "def_file").unionByName(odd.select("name", "def_file"))
@@ -100,8 +107,10 @@ def directory_tree(paths: DataFrame, depth: int = TREE_DEPTH, most: int = TREE_L
     ends = F.sequence(F.lit(1), F.size("_p"))
     nodes = kept.select("_p", F.explode(ends).alias("_d")).select(F.slice("_p", F.lit(1), F.col("_d")).alias("p"), (F.col("_d") == F.size("_p")).alias("is_file")).groupBy("p").agg(F.bool_and("is_file").alias("is_file"))
     nodes = nodes.withColumn("_d", F.size("p")).filter(F.col("_d") <= depth + 1).withColumn("_parent", F.slice("p", F.lit(1), F.col("_d") - 1)).withColumn("_name", F.element_at("p", -1))
+    # of a folder, only the first FOLDER_ITEMS and their number are needed: a window of a bounded rank and a sum
     by = Window.partitionBy("_parent").orderBy("is_file", F.lower("_name"), "_name")
-    nodes = nodes.withColumn("_rank", F.row_number().over(by)).withColumn("_of", F.count(F.lit(1)).over(Window.partitionBy("_parent")))
+    counts = nodes.groupBy("_parent").agg(F.count(F.lit(1)).alias("_of"))
+    nodes = nodes.withColumn("_rank", F.row_number().over(by)).filter(F.col("_rank") <= FOLDER_ITEMS).join(counts, "_parent")
     too_deep = F.col("_d") > depth
     shown = (F.col("_rank") <= FOLDER_SHOWN) | (F.col("_of") <= FOLDER_ITEMS)
     line = F.when(too_deep, F.when(F.col("_rank") == 1, F.struct(F.lit("...").alias("name"), F.lit("deeper").alias("kind"))))
