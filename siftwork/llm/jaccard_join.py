@@ -12,13 +12,17 @@ so m of them agree, not just one. Light signatures are left out: if one of two l
 light subset, one of the m agreeing parts is heavy in it, and both sign that. Sets with m such parts or more sign once
 more by a partition of another seed, so two of them meet there; after TURNS turns, what is left signs all.
 
-Sets of a band that share a signature are put in one family, so a family holds whole components of its band. It is
-verified exactly by counting common shingles through an inverted index, in blocks of BLOCK shingles at most; a family
-of more is dealt, in order of size, as pairs of blocks whose sizes allow links. Signatures travel packed, and equal
-sets travel once a task. The links found in all bands give the components.
+Sets of a band that share a signature are put in one family, so a family holds whole components of its band. Near
+copies share most signatures; so sets that agree on the whole content of their first part are one node from the start,
+and sign once a batch. A task pairs PARTS parts of the signatures one after the other and returns one forest of links,
+so a node has a link a task at most, and never more of them than signatures.
+A family is verified exactly by counting common shingles through an inverted index, in blocks of BLOCK shingles at
+most; a family of more is dealt, in order of size, as pairs of blocks whose sizes allow links. Signatures travel packed,
+and equal sets travel once a task. The links found in all bands give the components.
 
 Defined results: null texts and texts without words have an empty set and are linked with nothing; texts of fewer
-words than a shingle are one shingle of all words; a null doc_id never is a component's id unless all in it are null;
+words than a shingle are one shingle of all words; very long texts are sets like others; a similarity just at the
+threshold links; a null doc_id never is a component's id unless all in it are null;
 repeated rows give a row each; empty tables give empty results; other columns are ignored.
 """
 
@@ -29,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hot_join, materialize, small_batches, text_of
+from .common import by_bucket, hot_join, materialize, small_batches, text_of, trim
 from .components import components
 from .shingles import M1, M2, mix, shingle_sets
 
 N2, LIGHT, SLACK = 3, 1, 8
-#: Signatures in a part, and shingles in a block, about.
-PART, BLOCK = 1_000_000, 400_000
+#: Signatures in a part, parts in a task, and shingles in a block, about.
+PART, PARTS, BLOCK = 1_000_000, 8, 400_000
 SEEN = 500_000
 NODE = np.uint64((1 << 48) - 1)
 BAND_RATIO = 1.25
@@ -74,6 +78,26 @@ class Bands:
         parts = needed + 1 + needed // SLACK
         return parts, N2, parts - k // 2
 
+    def _cells(self, hashes: np.ndarray, parts: int, cells: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the elements of a turn, their cells and their parts."""
+        h = mix(hashes + np.uint64((turn + 1) * int(M2) & (1 << 64) - 1))
+        part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        cell = ((h & np.uint64(0xFFFFFFFF)) * np.uint64(cells)) >> np.uint64(32)
+        return h, cell.astype(np.int64), part.astype(np.int64)
+
+    def nodes(self, hashes: np.ndarray, key: int) -> np.ndarray:
+        """Its node in each of the set's bands. Sets that agree on the whole first part share its signatures, so they are of one family."""
+        own = self.bands(len(hashes))
+        nodes = band_nodes(key, own)
+        for i, band in enumerate(own):
+            parts, cells, _ = self.shape(band)
+            h, cell, part = self._cells(hashes, parts, cells, 0)
+            first = part == 0
+            counts = np.bincount(cell[first], minlength=cells)
+            if cells == 1 or (counts.sum() - counts >= LIGHT).all():
+                nodes[i] = (mix(mix(h[first]).sum(keepdims=True) * M2 + mix(np.array([band << 32], np.uint64))) & NODE)[0]
+        return nodes
+
     def signatures(self, hashes: np.ndarray) -> list[np.ndarray]:
         """Those of each of the set's bands."""
         out = []
@@ -81,9 +105,8 @@ class Bands:
             parts, cells, agree = self.shape(band)
             signed, keys = [], np.arange(parts * cells, dtype=np.uint64) + np.uint64(band << 32)
             for turn in range(TURNS if cells > 1 else 1):
-                h = mix(hashes + np.uint64((turn + 1) * int(M2) & (1 << 64) - 1))
-                at = (((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)) * np.uint64(cells) + (((h & np.uint64(0xFFFFFFFF)) * np.uint64(cells)) >> np.uint64(32))
-                at = at.astype(np.int64)
+                h, cell, part = self._cells(hashes, parts, cells, turn)
+                at = part * cells + cell
                 sums = np.zeros(parts * cells, np.uint64)
                 np.add.at(sums, at, mix(h))
                 sums = sums.reshape(parts, cells)
@@ -151,50 +174,82 @@ def _linked(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sign(width: int, num: int, den: int, parts: int):
-    """Batches of texts -> rows (part, blob)."""
+    """Batches of texts -> rows (part, blob): the distinct pairs of signature and node of some batches, dealt by signature."""
+
+    def packed(sigs, nodes):
+        sig, node = np.concatenate(sigs), np.concatenate(nodes)
+        order = np.lexsort((node, sig))
+        sig, node = sig[order], node[order]
+        new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
+        sig, node = sig[new], node[new]
+        part = (((sig >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)).astype(np.int64)
+        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        blobs = [_pack(sig[i:j], node[i:j]) for i, j in zip(cuts, np.append(cuts[1:], len(part)))]
+        return pa.RecordBatch.from_arrays([pa.array(part[cuts].astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     def run(batches):
         bands, seen = Bands(num, den), set()
+        sigs, nodes, n = [], [], 0
         for b in batches:
             sets = [s for s in shingle_sets(b.column("text"), width) if len(s)]
-            sigs, nodes = [], []
             for s, (key, _) in zip(sets, set_keys(sets).tolist()):
                 if key not in seen:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(key)
-                    for some, node in zip(bands.signatures(s), band_nodes(key, bands.bands(len(s)))):
+                    for some, node in zip(bands.signatures(s), bands.nodes(s, key)):
                         sigs.append(some)
                         nodes.append(np.full(len(some), node, np.uint64))
-            if not sigs:
-                continue
-            sig, node = np.concatenate(sigs), np.concatenate(nodes)
-            part = (((sig >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            sig, node, part = sig[order], node[order], part[order]
-            cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            ends = np.append(cuts[1:], len(part))
-            blobs = [_pack(sig[i:j], node[i:j]) for i, j in zip(cuts, ends)]
-            yield pa.RecordBatch.from_arrays([pa.array(part[cuts], pa.int64()), pa.array(blobs, pa.binary())], ["part", "blob"])
+                        n += len(some)
+            if n >= PART:
+                yield packed(sigs, nodes)
+                sigs, nodes, n = [], [], 0
+                trim()
+        if n:
+            yield packed(sigs, nodes)
+        trim()
 
     return run
 
 
 def _pair_up(batches):
-    """Rows (part, blob), all of a part in one task -> links (a, b)."""
-    held: dict[int, list] = {}
-    sizes: dict[int, int] = {}
+    """Rows (part, blob), sorted by part, all of a part in one task -> links (a, b): a forest over the task's parts."""
+    forest: dict[int, int] = {}
+    now, held, size = None, [], 0
+
+    def find(x: int) -> int:
+        while (p := forest.setdefault(x, x)) != x:
+            forest[x] = forest[p]
+            x = p
+        return x
+
+    def paired():
+        a, b = _linked(*_joined(held))
+        away = a != b
+        for x, y in zip(a[away].tolist(), b[away].tolist()):
+            x, y = find(x), find(y)
+            if x != y:
+                forest[max(x, y)] = min(x, y)
+
     for b in batches:
         for part, blob in zip(b.column("part").to_pylist(), b.column("blob").to_pylist()):
-            held.setdefault(part, []).append(blob)
-            sizes[part] = sizes.get(part, 0) + len(blob) // 11
-            if sizes[part] > 8 * PART:  # equal sets of many tasks: once is enough
-                pairs = np.unique(np.stack(_joined(held[part]), 1), axis=0)
-                held[part], sizes[part] = [_pack(pairs[:, 0], pairs[:, 1])], -len(pairs)
-    for part in list(held):
-        a, b = _linked(*_joined(held.pop(part)))
-        away = a != b
-        yield pa.RecordBatch.from_arrays([pa.array(a[away].astype(np.int64)), pa.array(b[away].astype(np.int64))], ["a", "b"])
+            if part != now and held:
+                paired()
+                held, size = [], 0
+                trim()
+            now = part
+            held.append(blob)
+            size += len(blob) // 11
+            if size > 8 * PART:  # equal pairs of many tasks: once is enough
+                pairs = np.unique(np.stack(_joined(held), 1), axis=0)
+                held, size = [_pack(pairs[:, 0], pairs[:, 1])], -len(pairs)
+    if held:
+        paired()
+    nodes = np.array(list(forest), np.uint64)
+    roots = np.array([find(x) for x in nodes.tolist()], np.uint64)
+    away = nodes != roots
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[away].astype(np.int64)), pa.array(roots[away].astype(np.int64))], ["a", "b"])
+    trim()
 
 
 def _joined(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -287,12 +342,21 @@ def _links(rows) -> pa.RecordBatch:
 
 
 def _sized(width: int, num: int, den: int):
+    """Batches of texts -> a row each."""
+
     def run(batches):
-        bands = Bands(num, den)
+        bands, seen = Bands(num, den), {}
         for b in batches:
             sets = shingle_sets(b.column("text"), width)
             keys = set_keys(sets)
-            shorts = [band_nodes(int(k[0]), bands.bands(len(s))).astype(np.int64) if len(s) else [] for k, s in zip(keys, sets)]
+            shorts = []
+            for s, key in zip(sets, keys[:, 0].tolist()):
+                known = seen.get(key) if len(s) else np.zeros(0, np.int64)
+                if known is None:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    known = seen[key] = bands.nodes(s, key).astype(np.int64)
+                shorts.append(known)
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id"),
@@ -304,10 +368,21 @@ def _sized(width: int, num: int, den: int):
                 ],
                 ["doc_id", "tag", "n_shingles", "key", "node", "shorts"],
             )
+        seen.clear()
+        trim()
 
     return run
 
 
+def links_of(texts: DataFrame, signatures: int, width: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between the nodes of texts that share a signature; signatures: about how many there are."""
+    parts = max(1, -(-signatures // PART))
+    tasks = -(-parts // PARTS)
+    signed = texts.select("text").mapInArrow(_sign(width, num, den, parts), "part int, blob binary")
+    dealt = signed.repartitionById(tasks, (F.col("part").cast("long") * tasks / parts).cast("int")).sortWithinPartitions("part")
+    return dealt.mapInArrow(_pair_up, "a long, b long")
+
+
 def jaccard_groups(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """doc_id, tag (a hash of the text), n_shingles, component_id, group (the component's own number) for each row of docs (doc_id, text); empty sets are in no group."""
     small_batches(docs.sparkSession)
@@ -315,15 +390,14 @@ def jaccard_groups(docs: DataFrame, width: int, num: int, den: int) -> DataFrame
     tagged = texts.select("doc_id", F.xxhash64("text").alias("tag"), "text")
     sized = materialize(tagged.mapInArrow(_sized(width, num, den), "doc_id long, tag long, n_shingles long, key binary, node long, shorts array<long>"))
     total, shingles = sized.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
-    parts = max(1, -(-5 * shingles * (den - num) // (den * PART)))
-    signed = texts.select("text").mapInArrow(_sign(width, num, den, parts), "part long, blob binary")
-    edges = signed.repartition(parts, "part").mapInArrow(_pair_up, "a long, b long")
+    edges = links_of(texts, 5 * shingles * (den - num) // den, width, num, den)
     family = components(edges).select(F.col("node").alias("short"), F.col("root").alias("family"))
     sets = sized.filter("n_shingles > 0").groupBy("key", "node", "n_shingles").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("_least"), F.first("shorts").alias("shorts"), F.count(F.lit(1)).alias("rows")
     )
     sets = materialize(sets.withColumn("rep", F.col("_least.doc_id")).withColumn("rep_tag", F.col("_least.tag")).drop("_least"))
-    members = sets.select("key", "node", "n_shingles", "rep", "rep_tag", F.explode("shorts").alias("short")).join(family, "short").drop("short")
+    members = sets.select("key", "node", "n_shingles", "rep", "rep_tag", F.explode("shorts").alias("short")).join(family, "short", "left")
+    members = members.withColumn("family", F.coalesce("family", "short")).drop("short")
     members = materialize(members)
     # blocks of a family follow its sizes: sums of shingles of the smaller sizes tell a set's block
     by_size = members.groupBy("family", "n_shingles").agg(F.sum("n_shingles").alias("_sum"), F.count(F.lit(1)).alias("_sets"))
@@ -339,8 +413,9 @@ def jaccard_groups(docs: DataFrame, width: int, num: int, den: int) -> DataFrame
     reach = (F.col("other") >= F.col("chunk")) & (F.col("_high") * den >= F.col("_low2") * num) & (F.col("_high2") * den >= F.col("_low") * num)
     blocks = ranges.join(other, "family").filter(reach).select("family", F.col("chunk").alias("i"), F.col("other").alias("j"))
     mine = blocks.select("family", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("chunk"))
-    dealt = dealt.select("family", "whole", "chunk", "node", "key", F.col("rep").alias("_rep"), "rep_tag").join(mine, ["family", "chunk"])
-    rows = dealt.hint("merge").join(tagged, (F.col("rep_tag") == F.col("tag")) & F.col("_rep").eqNullSafe(F.col("doc_id"))).drop("_rep", "doc_id", "tag", "rep_tag")
+    dealt = materialize(dealt.select("family", "whole", "chunk", "node", "key", F.col("rep").alias("_rep"), "rep_tag").join(mine, ["family", "chunk"]))
+    near = by_bucket(tagged, F.col("tag"), dealt, F.col("rep_tag"))
+    rows = dealt.hint("merge").join(near, (F.col("rep_tag") == F.col("tag")) & F.col("_rep").eqNullSafe(F.col("doc_id"))).drop("_rep", "doc_id", "tag", "rep_tag")
     rows = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
     links = materialize(rows.mapInArrow(_verify(width, num, den), "node long, root long"))
     roots = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -357,3 +432,16 @@ def jaccard_groups(docs: DataFrame, width: int, num: int, den: int) -> DataFrame
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Links of 0.9 or more between sets of three-word shingles."""
     return jaccard_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90, 100).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS h FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT DISTINCT a, a AS b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a, min(b) AS least FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.least, d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = d.doc_id
+"""
