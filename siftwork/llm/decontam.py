@@ -8,20 +8,25 @@ than k of them, so it has at least one in the sketch, and none is lost. Document
 item's size cannot hold it and are passed over. Candidates are verified over the texts themselves: the shares are
 exact counts of shingle strings, not of hashes. Only DataFrame functions are used.
 
-Sketches are broadcast while there are BROADCAST_ROWS of them at most; beyond that both sides are shuffled.
+Of a document, only the hashes that are not above the highest sketched one can match, and others are left out before
+the search. Sketches are broadcast in slices of items, of about BROADCAST_ROWS rows each, and every document meets every
+slice. Texts are verified only where a document's bucket has a candidate, so few texts are shuffled.
 
 Defined results: null texts and texts without words hold nothing, and items without words are in no document; an item
 of fewer than WIDTH words is one shingle of all its words, which a document has only if these are all its words;
-repeated rows of a document give one row for each item; rows whose id is null count as one document without an id;
+repeated rows of a document give one row for each item; very long texts are searched whole; of equally sized sets the
+sketch is the same, as ties in hashes are one element; rows whose id is null count as one document without an id;
 empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, materialize, text_of
+from .common import by_bucket, materialize, text_of
 
 WIDTH, THRESHOLD = 5, 0.8
 BROADCAST_ROWS = 1_000_000
@@ -63,10 +68,13 @@ def item_sketches(items: DataFrame, width: int = WIDTH, threshold: float = THRES
 def candidates(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """Distinct doc_id, item_id of documents that have a shingle of the item's sketch."""
     sketches = materialize(item_sketches(items, width, threshold))
-    sketches = checked_broadcast(sketches, sketches.count(), BROADCAST_ROWS)
+    count, highest = sketches.agg(F.count(F.lit(1)), F.max("h")).first()
     rows = docs.select("doc_id", _words("text").alias("_w"))
-    rows = rows.select("doc_id", F.greatest(F.size("_w") - (width - 1), F.lit(1)).alias("_n"), F.explode(_shingles(F.col("_w"), width, _hash)).alias("h"))
-    return rows.join(sketches, "h").filter("_n >= least").select("doc_id", "item_id").distinct()
+    hashes = F.filter(_shingles(F.col("_w"), width, _hash), lambda h: h <= F.lit(highest).cast("long"))
+    rows = rows.select("doc_id", F.greatest(F.size("_w") - (width - 1), F.lit(1)).alias("_n"), F.explode(hashes).alias("h"))
+    slices = max(1, -(-count // BROADCAST_ROWS))
+    met = [rows.join(F.broadcast(sketches.filter(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == i)), "h") for i in range(slices)]
+    return reduce(DataFrame.unionByName, met).filter("_n >= least").select("doc_id", "item_id").distinct()
 
 
 def contained(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
@@ -74,7 +82,7 @@ def contained(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold:
     pairs = materialize(candidates(docs, items, width, threshold))
     whole = items.select("item_id", F.array_distinct(_shingles(_words("text"), width, _string)).alias("_item"))
     pairs = pairs.join(whole, "item_id").select(F.col("doc_id").alias("_id"), "item_id", "_item")
-    texts = docs.select("doc_id", "text").hint("merge")
+    texts = by_bucket(docs.select("doc_id", "text"), F.col("doc_id"), pairs, F.col("_id")).hint("merge")
     met = texts.join(pairs, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "item_id", "_item", _words("text").alias("_w"))
     shared = F.size(F.array_intersect("_item", _shingles(F.col("_w"), width, _string)))
     met = met.select("doc_id", "item_id", F.size("_item").cast("long").alias("item_shingles"), shared.cast("long").alias("shared"))
@@ -84,10 +92,13 @@ def contained(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold:
 
 def decontaminate(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """The rows of docs, all columns, that hold no item. Rows are told apart by id and text, as ids may be null or repeated."""
-    tag = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    rows = docs.select(F.struct(docs["doc_id"].alias("id"), tag.alias("tag")).alias("doc_id"), docs["text"])
-    bad = contained(rows, items, **how).select(F.col("doc_id.id").alias("_bad"), F.col("doc_id.tag").alias("_bad_tag")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")) & (tag == F.col("_bad_tag")), "left_anti")
+    doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    rows = docs.select(F.struct(F.col("doc_id").alias("id"), F.xxhash64(text_of()).alias("tag")).alias("doc_id"), "text", doc)
+    bad = contained(rows.select("doc_id", "text"), items, **how).select(F.xxhash64("doc_id.id").alias("id_tag"), F.col("doc_id.id").alias("id"), F.col("doc_id.tag").alias("tag")).distinct()
+    bad = materialize(bad)
+    same = (F.xxhash64("doc_id.id") == F.col("id_tag")) & F.col("doc_id.id").eqNullSafe(F.col("id")) & (F.col("doc_id.tag") == F.col("tag"))
+    far = by_bucket(rows, F.col("doc_id.tag"), bad, F.col("tag"), "left_anti").select("doc.*")
+    return far.unionByName(by_bucket(rows, F.col("doc_id.tag"), bad, F.col("tag")).join(bad, same, "left_anti").select("doc.*"))
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:
