@@ -6,7 +6,8 @@ those that the filter excludes are new and are grouped among themselves; the oth
 texts of the two representatives are compared byte by byte before the groups are merged.
 
 Defined results: a null text counts as empty; a null doc_id sorts first and is kept as such; a row repeated with the
-same doc_id and text stays once and its further copies are dropped; empty tables give empty results; other columns
+same doc_id and text stays once and its further copies are dropped; very long texts are hashed and compared whole; empty
+tables give empty results; other columns
 are ignored.
 """
 
@@ -19,10 +20,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, hot_join, id_crc, materialize, text_of
+from .common import SPACE, by_bucket, hot_join, id_crc, materialize, small_batches, text_of
 
 #: Distinct digests in a bucket, on average; bounds the memory of a filter's construction.
 BUCKET_DIGESTS = 100_000
+#: Equal rows that are written out at once.
+COPIES = 100_000
 FILTER_SCHEMA = "bucket long, seed long, segment long, span long, fingerprints binary"
 
 
@@ -130,6 +133,7 @@ def exact_groups(docs: DataFrame, in_snapshot: Column) -> DataFrame:
 
     in_snapshot marks the rows of the immutable snapshot; the others are the incoming batch.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.unhex(F.sha2(normalised(), 256)).alias("digest"), F.coalesce(in_snapshot, F.lit(False)).alias("old"))
     counted = materialize(rows.groupBy("digest", "doc_id", "old").agg(F.count(F.lit(1)).alias("n")))
     by_side = counted.groupBy("digest", "old").agg(F.min("doc_id").alias("least"), F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.sum("n").alias("rows"))
@@ -156,15 +160,20 @@ def exact_groups(docs: DataFrame, in_snapshot: Column) -> DataFrame:
     joined = hot_join(counted, groups, "digest", "rows", total or 0).filter("side IS NULL OR side = old")
     stays = F.col("doc_id").eqNullSafe(F.col("keep"))
     one = joined.groupBy("digest", "doc_id", "via", "keep", "rows").agg(F.sum("n").alias("n"))
-    copies = one.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    # equal rows are counted, not kept apart; they are written out again in blocks
+    blocks = one.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {COPIES}"))))
+    copies = blocks.withColumn("copy", F.explode(F.sequence(F.col("block") * COPIES + 1, F.least(F.col("n"), (F.col("block") + 1) * COPIES))))
     return copies.select("doc_id", F.col("keep").alias("keep_id"), F.col("rows").alias("group_size"), (stays & (F.col("copy") == 1)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "via")
 
 
 def _same_bytes(docs: DataFrame, both: DataFrame) -> DataFrame:
     """The digests whose two representatives have the same bytes."""
     ids = both.select("digest", F.explode(F.array(F.struct(F.lit(True).alias("old"), F.col("old_keep").alias("doc_id")), F.struct(F.lit(False).alias("old"), F.col("keep").alias("doc_id")))).alias("r")).select("digest", "r.old", "r.doc_id")
-    texts = docs.select(F.col("doc_id"), normalised().alias("bytes"))
-    wanted = ids.filter("doc_id IS NOT NULL").hint("merge").join(texts, "doc_id").filter(F.unhex(F.sha2("bytes", 256)) == F.col("digest"))
+    ids = ids.filter("doc_id IS NOT NULL")
+    # of the texts, only those whose bucket has a representative are shuffled
+    texts = by_bucket(docs.select("doc_id", "text"), F.col("doc_id"), ids, F.col("doc_id")).select("doc_id", normalised().alias("bytes"))
+    wanted = ids.hint("merge").join(texts, "doc_id").filter(F.unhex(F.sha2("bytes", 256)) == F.col("digest"))
+    wanted = materialize(wanted.dropDuplicates(["digest", "old"]))  # rows of one id may repeat their text
     # rows without an id have no representative to look up: their digest decides
     bare = both.filter("keep IS NULL OR old_keep IS NULL").select("digest")
     left = wanted.filter("old").select("digest", F.col("bytes").alias("a"))
