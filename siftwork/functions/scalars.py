@@ -105,3 +105,15 @@ def key_base(key: str | Column) -> Column:
 def key_fragment(key: str | Column) -> Column:
     k = col(key)
     return F.when(k.contains("#"), F.regexp_extract(k, r"(?s)^[^#]*#(.*)$", 1))
+
+
+def version_parts(version: str | Column) -> Column:
+    """The numbers of a version such as v1.2.3; parts that are none (or of more than 32 bits) are passed over."""
+    parts = F.split(F.regexp_replace(col(version), "^v+", ""), r"\.", -1)
+    numbers = F.filter(parts, lambda x: x.rlike(r"^\+?[0-9]+\z"))
+    return F.filter(F.transform(numbers, lambda x: x.cast("decimal(38,0)")), lambda n: n < F.lit(1 << 32))
+
+
+def is_newer(latest: str | Column, current: str | Column) -> Column:
+    """Whether latest comes after current, part by part; of equal parts, the longer one is newer."""
+    return version_parts(latest) > version_parts(current)

@@ -21,7 +21,7 @@ ERROR_WORDS = ("traceback", "error", "failed", "exception", "fatal", "panic", "c
 PYTEST_SECTION = r"=+ (FAILURES|ERRORS) =+"
 PYTEST_HEADER = r"=+ (FAILURES|ERRORS|short test summary info) =+|^ERROR collecting "
 #: Type hints that name a filter; others leave the log as it is.
-HINTS = {"pytest": "pytest", "jest": "jest", "vitest": "jest", "go": "go", "npm": "npm", "yarn": "npm", "pnpm": "npm", "cargo": "cargo", "docker": "docker", "maven": "maven", "gradle": "maven", "git": "git"}
+HINTS = {"pytest": "pytest", "jest": "jest", "vitest": "jest", "go": "go", "npm": "npm", "yarn": "npm", "pnpm": "npm", "cargo": "cargo", "docker": "docker", "maven": "maven", "gradle": "maven", "git": "git", "pytest-states": "pytest_states"}
 
 
 def guard_length(raw: Column, most: int = MOST_CHARS, head: int = HEAD_CHARS, tail: int = TAIL_CHARS) -> Column:
@@ -105,6 +105,29 @@ def _pytest(lines: Column) -> Column:
     return F.when(first > F.size(lines), F.concat(kept, F.array(tally))).otherwise(F.concat(kept, after))
 
 
+#: Fixed values of the other form of the pytest filter: sections that begin and end, lines that stay, progress, the tally's end.
+STATE_ON, STATE_OFF = "=== FAILURES ===|=== ERRORS ===", "=== short test summary info ==="
+STATE_KEPT, STATE_TOLD = "===|rootdir:|collected |FAILED |ERROR ", "warning:|AssertionError"
+STATE_PROGRESS = r"(?:tests[/\\\\].*?\s+\[\s*\d+%\]|[.sF]{5,})"
+STATE_TALLY = " passed (repetitive logs pruned)"
+
+
+def _pytest_states(log: Column) -> Column:
+    """The other form: sections of failures stay whole, until the summary; outside, headings and what failed. Null if none stays."""
+    whole = F.regexp_replace(log, r"\r?\n\z", "")
+    parts = F.split(whole, rf"\n(?=(?U:[^\S\n]*)(?:{STATE_ON}|{STATE_OFF}))", -1)
+    starts = lambda x, words: x.rlike(rf"(?U:^\s*)(?:{words})")
+    ends = lambda x, word: x.rlike(rf"{word}(?U:\s*)\z")
+    going = lambda x: starts(x, STATE_PROGRESS) & (ends(x, r"\.PASSED") | (ends(x, r"\[100%\]") & ~x.contains("FAILED")))
+    lines = lambda part: F.transform(F.split(part, "\n", -1), lambda x: F.regexp_replace(x, r"\r\z", ""))
+    outside = lambda part: F.filter(lines(part), lambda x: starts(x, STATE_KEPT) | (~going(x) & (starts(x, STATE_TOLD) | x.contains("passed in"))))
+    kept = F.flatten(F.transform(parts, lambda p: F.when(starts(p, STATE_ON), lines(p)).otherwise(outside(p))))
+    failed = F.size(F.filter(lines(whole), lambda x: starts(x, "FAILED ")))
+    passed = F.aggregate(parts, F.lit(0), lambda n, p: n + F.when(starts(p, STATE_ON), 0).otherwise(F.size(F.filter(lines(p), lambda x: going(x) & ~starts(x, STATE_KEPT)))))
+    tally = F.concat(F.lit("pytest: "), failed.cast("string"), F.lit(" FAILED, "), passed.cast("string"), F.lit(STATE_TALLY))
+    return F.when(F.size(kept) > 0, F.concat(kept, F.array(tally)))
+
+
 def _cargo_test(log: Column) -> Column:
     """From an error or failure on all lines stay, until the next result; results and warnings always do. Null if none stays."""
     parts = F.split(log, rf"\n(?=(?U:[^\S\n]*){CARGO_RESULT})", -1)
@@ -122,7 +145,7 @@ def _cargo_test(log: Column) -> Column:
 def filtered(log: Column, kind: Column) -> Column:
     """The lines that stay of a log of this type, as one text; null where the log stays as it is."""
     lines = F.split(log, "\n", -1)
-    out = F.when(kind == "pytest", _pytest(lines)).when(kind == "cargo_test", _cargo_test(log))
+    out = F.when(kind == "pytest", _pytest(lines)).when(kind == "cargo_test", _cargo_test(log)).when(kind == "pytest_states", _pytest_states(log))
     for name, pattern in DROPPED.items():
         stays = F.filter(lines, lambda x: ~x.rlike(pattern))  # noqa: B023  called here
         out = out.when(kind == name, F.transform(stays, lambda x: F.regexp_replace(x, GIT_HINT, "")) if name == "git" else stays)

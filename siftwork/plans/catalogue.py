@@ -178,6 +178,16 @@ def dir_tree(spark, sf_dir):
     return repomap.directory_tree(urls)
 
 
+_VERSION = "'v' || (p_partkey % 3) || '.' || (p_size % 4) || CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '.x' WHEN 2 THEN '.10' ELSE '.9' END"
+_PARTS = "list_transform(list_filter(string_split(regexp_replace({0}, '^v+', ''), '.'), lambda x: regexp_matches(x, '^[0-9]+$')), lambda x: x::BIGINT)"
+
+
+@query(f"SELECT p_partkey, {_PARTS.format('v')} > {_PARTS.format(chr(39) + '1.2.9' + chr(39))} AS newer FROM (SELECT p_partkey, {_VERSION} AS v FROM part)")
+def version_newer(spark, sf_dir):
+    version = F.expr(_VERSION.replace("(p_partkey % 3)", "cast(p_partkey % 3 as string)").replace("(p_size % 4)", "cast(p_size % 4 as string)"))
+    return table(spark, sf_dir, "part").select("p_partkey", scalars.is_newer(version, F.lit("1.2.9")).alias("newer"))
+
+
 # --- savings ------------------------------------------------------------------------------------------------------
 
 SAVINGS = "CASE event_type WHEN 'view' THEN 'skeleton' WHEN 'click' THEN 'slice' WHEN 'purchase' THEN 'cache' WHEN 'signup' THEN 'command' ELSE 'other' END AS category, CAST(round(value * 100) AS BIGINT) - 50 AS original, CAST(round(value * 37) AS BIGINT) AS optimized"
@@ -231,6 +241,7 @@ def decode_fallback(spark, sf_dir):
 #: Lines of synthetic logs by kind; % stands for a row's part key.
 LOG_LINES = {
     "pytest": ("tests/a_%.py::t PASSED [ 5%]", "tests/b_%.py::t FAILED [ 9%]", "collected % items", "rootdir: /r%", "E   assert %", "noise %", "platform linux %", "==== FAILURES ===="),
+    "pytest_states": ("tests/a_% [100@]", "=== FAILURES ===", "collected % items", "  === short test summary info ===", "FAILED x%", "noise %", ".....%.PASSED", "% passed in 1s"),
     "cargo_test": ("test t% ... ok", "error: bad %", "test result: ok. % passed", "warning: unused %", "   note %", "running % tests", "failures: %", "---- t% stdout"),
     "cargo": ("   Compiling c% v1", "Downloaded d%", "warning: w%", "error[E%]: x", "Finished %", "  Downloaded e%", "note %", "cargo %"),
     "jest": ("PASS src/%.test.js", "  ✓ works %", "FAIL src/%.js", "Tests: %", "  at x %", "PASSED? %", "Time: %", "  ✕ broken %"),
@@ -318,6 +329,20 @@ f AS (SELECT log_id, raw, CASE WHEN failures THEN kept ELSE coalesce(kept || chr
 )
 
 
+_ON, _OFF = "regexp_matches(line, '^\\s*(=== FAILURES ===|=== ERRORS ===)')", "regexp_matches(line, '^\\s*=== short test summary info ===')"
+_STAYS = "regexp_matches(line, '^\\s*(===|rootdir:|collected |FAILED |ERROR )')"
+_GOING = "regexp_matches(line, '^\\s*(tests/.*?\\s+\\[\\s*\\d+%\\]|[.sF]{5,})') AND (regexp_matches(line, '\\.PASSED\\s*$') OR (regexp_matches(line, '\\[100%\\]\\s*$') AND NOT contains(line, 'FAILED')))"
+_log_query(
+    "pytest_states",
+    "pytest-states",
+    f"""WITH {_line_rows('pytest_states')}, e AS (SELECT *, CASE WHEN {_ON} THEN 1 WHEN {_OFF} THEN 0 END AS ev FROM t),
+i AS (SELECT *, coalesce(last_value(ev IGNORE NULLS) OVER (PARTITION BY log_id ORDER BY pos), 0) = 1 AS sec FROM e),
+h AS (SELECT log_id, string_agg(line, chr(10) ORDER BY pos) AS raw, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE sec OR {_STAYS} OR (NOT ({_GOING}) AND (regexp_matches(line, '^\\s*(warning:|AssertionError)') OR contains(line, 'passed in')))) AS kept,
+  count(*) FILTER (WHERE regexp_matches(line, '^\\s*FAILED ')) AS q, count(*) FILTER (WHERE NOT sec AND NOT {_STAYS} AND {_GOING}) AS p FROM i GROUP BY 1),
+f AS (SELECT log_id, raw, CASE WHEN kept IS NULL THEN raw ELSE kept || chr(10) || 'pytest: ' || q || ' FAILED, ' || p || ' passed (repetitive logs pruned)' END AS filtered FROM h), {_guarded('filtered')}""",
+)
+
+
 @query("""WITH c AS (SELECT doc_id AS log_id, text || CASE doc_id % 11 WHEN 0 THEN ' pytest collected 3 items' WHEN 1 THEN ' test result: ok passed' WHEN 2 THEN ' Test Suites: jest' WHEN 3 THEN chr(10) || '=== RUN   TestA' WHEN 4 THEN ' npm ' WHEN 5 THEN ' Compiling Cargo' WHEN 6 THEN ' Step 1 ---> x' WHEN 7 THEN ' BUILD SUCCESS' WHEN 8 THEN ' commit 1' WHEN 9 THEN ' pytest ==== ERRORS ====' ELSE '' END AS x FROM documents)
 SELECT log_id, CASE WHEN contains(x, 'pytest') AND (contains(x, 'test session starts') OR contains(x, 'collected') OR regexp_matches(x, '=+ (FAILURES|ERRORS) =+')) THEN 'pytest'
  WHEN contains(x, 'test result:') AND (contains(x, 'passed') OR contains(x, 'failed')) THEN 'cargo_test'
