@@ -50,16 +50,29 @@ def decoded(content: str | Column) -> Column:
     return F.when(F.is_valid_utf8(c.cast("string")), F.decode(c, "utf-8")).otherwise(F.decode(c, "iso-8859-1"))
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """path, rel_path, length, mtime of all files below root; contents are not read."""
+def _files(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of Spark's reader, and one for each empty file, which it passes over: no content, length 0, mtime null.
+
+    Paths alone are compared for it; all are names that the reader's listing holds already. Names that begin with _ or .
+    are hidden from Spark's readers, so they are not in it.
+    """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    jvm = spark._jvm
+    names = DataFrame(spark._jsparkSession.createDataset(jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(rows._jdf.inputFiles()), jvm.org.apache.spark.sql.Encoders.STRING()), spark)
+    # listed names are encoded as addresses, paths are not
+    path = F.regexp_replace(F.url_decode(F.replace("value", F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+    empty = names.select(path.alias("path")).join(rows.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path")), "path", "left_anti")
+    return rows.unionByName(empty.withColumns({"modificationTime": F.lit(None).cast("timestamp"), "length": F.lit(0).cast("long"), "content": F.lit(b"")}))
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """path, rel_path, length, mtime of all files below root (mtime is null for empty ones); contents are not read."""
     rel = F.regexp_replace(F.substring_index(F.col("path"), root.rstrip("/") + "/", -1), r"\\", "/")
-    return rows.select("path", rel.alias("rel_path"), "length", F.col("modificationTime").alias("mtime"))
+    return _files(spark, root).select("path", rel.alias("rel_path"), "length", F.col("modificationTime").alias("mtime"))
 
 
 def _raw(spark: SparkSession, root: str) -> DataFrame:
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return raw.withColumn("file_path", F.substring_index(F.col("path"), root.rstrip("/") + "/", -1)).withColumnRenamed("modificationTime", "mtime")
+    return _files(spark, root).withColumn("file_path", F.substring_index(F.col("path"), root.rstrip("/") + "/", -1)).withColumnRenamed("modificationTime", "mtime")
 
 
 def _left_out(config: Config) -> Column:

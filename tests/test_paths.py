@@ -62,4 +62,15 @@ def test_sinks(spark, tmp_path):
     files.write_projects(spark, roots("b", "a", None), known)
     files.write_projects(spark, roots("c", "a"), known)
     assert [r["project_root"] for r in files.read_projects(spark, known).orderBy("project_root").collect()] == ["a", "b", "c"]
-    assert files.list_files(spark, str(tmp_path)).count() == 7  # the reader passes over empty files
+    names = {str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file() and p.name[0] not in "._"}
+    assert {r["rel_path"] for r in files.list_files(spark, str(tmp_path)).collect()} == names
+
+
+def test_empty_files_are_read(spark, tmp_path):
+    """Spark's reader passes over empty files; a walk does not. Names that begin with _ stay hidden, as the README says."""
+    for name in ("a b.py", "é+%41.py", "sub/init.py", "sub/_hidden.py"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"")
+    (tmp_path / "c d+%42.py").write_bytes(b"x")
+    got = files.read_sources(spark, str(tmp_path)).collect()
+    assert sorted((r["file_path"], r["text"], r["length"]) for r in got) == [("a b.py", "", 0), ("c d+%42.py", "x", 1), ("sub/init.py", "", 0), ("é+%41.py", "", 0)]
