@@ -581,6 +581,7 @@ def set_and_key(text):
 def test_written_tables_can_be_deleted(spark):
     from siftwork.llm import common
 
+    common.clean(spark)  # other tests of the session have written some
     kept = common.materialize(spark.range(3))
     place = Path(common._tables(spark))
     assert kept.count() == 3 and place.exists() and common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
