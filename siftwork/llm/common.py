@@ -7,7 +7,7 @@ import ctypes
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -133,3 +133,20 @@ def trim() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # where the C library is another
         ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def numbered(table: DataFrame, by: list[str], order: list[str], place: str = "place") -> DataFrame:
+    """table with place: 0, 1, ... inside each group of equal by columns (not null), in the order of the order columns.
+
+    Rows are dealt by ranges of (by, order), so a group of any size lies in as many tasks as its rows need; a task numbers
+    its own rows, and the counts of tasks and groups give each task its start. table is read twice, so it should be a
+    written one. Rows equal in all of by and order lie in one task and are numbered in any order.
+    """
+    at, task = f"_{place}_at", f"_{place}_task"
+    ends = [*by, *order]
+    rows = table.repartitionByRange(*ends).sortWithinPartitions(*ends).withColumn(at, F.monotonically_increasing_id())
+    rows = materialize(rows).withColumn(task, F.shiftright(at, 33))  # the upper bits are the task's number
+    before = Window.partitionBy(*by).orderBy(task).rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*by, task).agg(F.min(at).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    starts = starts.select(*by, task, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return rows.join(starts, [task, *by]).withColumn(place, F.col(at) + F.col("_shift")).drop(at, task, "_shift")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, exact_dedup, jaccard_join, langid, lm_score, mixing, quality, secrets, sharding, token_counts
+from . import decontam, exact_dedup, filter_audit, jaccard_join, langid, lm_score, merkle, mixing, packing, quality, secrets, sharding, token_counts
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_mixing": mixing.op9_mixing,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_packing": packing.op13_packing,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,6 @@ ORACLE_SQL = {
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
     "op10_jaccard_join": jaccard_join.ORACLE_SQL,
+    "op11_merkle_manifest": merkle.ORACLE_SQL,
+    "op12_filter_audit": filter_audit.ORACLE_SQL,
 }
