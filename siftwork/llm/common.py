@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import uuid
 
@@ -21,16 +22,21 @@ HOT_SHARE = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the warehouse."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, else the warehouse, unless that is a local folder of a cluster's driver."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        place = spark.conf.get("spark.sql.warehouse.dir")
+        if place.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines share; {place} is local")
+    return place.rstrip("/")
 
 
 def _tables(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/siftwork/{spark.sparkContext.applicationId}"
 
 
-#: Folders inside which tables are written now, the innermost last.
-_SCRATCH: list[str] = []
+#: Folders inside which this thread writes tables now, the innermost last.
+_SCRATCH: contextvars.ContextVar[tuple[str, ...]] = contextvars.ContextVar("scratch", default=())
 
 
 def materialize(df: DataFrame, *partition_by: str, kept_as: str | None = None) -> DataFrame:
@@ -39,7 +45,7 @@ def materialize(df: DataFrame, *partition_by: str, kept_as: str | None = None) -
     kept_as: a name, under which the table outlives scratch folders until forget().
     """
     spark = df.sparkSession
-    path = f"{_tables(spark)}/{kept_as}" if kept_as else "/".join([_tables(spark), *_SCRATCH, uuid.uuid4().hex])
+    path = f"{_tables(spark)}/{kept_as}" if kept_as else "/".join([_tables(spark), *_SCRATCH.get(), uuid.uuid4().hex])
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -53,13 +59,13 @@ def _delete(spark: SparkSession, place: str) -> None:
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
     """Tables that are written inside are deleted in the end; what depends on them has to be kept by a name before."""
-    _SCRATCH.append(uuid.uuid4().hex)
-    place = "/".join([_tables(spark), *_SCRATCH])
+    inside = (*_SCRATCH.get(), uuid.uuid4().hex)
+    outer = _SCRATCH.set(inside)
     try:
         yield
     finally:
-        _SCRATCH.pop()
-        _delete(spark, place)
+        _SCRATCH.reset(outer)
+        _delete(spark, "/".join([_tables(spark), *inside]))
 
 
 def forget(spark: SparkSession, kept_as: str) -> None:
@@ -101,19 +107,29 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: in
     return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key, how))
 
 
-#: Buckets of keys that by_bucket broadcasts at most.
-BUCKETS = 1 << 18
+#: Bits that by_bucket keeps for each wanted row, and the most it broadcasts (16 MB); with more wanted rows than MOST_BITS / 2 it passes all rows on.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 12, 1 << 27
 
 
 def by_bucket(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, how: str = "left_semi") -> DataFrame:
-    """The rows whose key falls in a bucket of a wanted key (left_semi), or the others (left_anti).
+    """The rows whose key falls in a bucket of a wanted key (left_semi), or the others (left_anti). wanted is a written table.
 
-    The buckets, BUCKETS numbers at most at every size, are broadcast, so that an exact join after it shuffles texts
-    only where a wanted key may be. A null key is in a bucket like any other.
+    It goes before an exact join, so that only texts that a wanted key may mean are shuffled. Buckets are bits, as many as
+    the counted wanted rows ask for, and are broadcast in words of 64, so that about one in BITS_EACH other rows passes.
+    Beyond MOST_BITS / 2 wanted rows no bits are sent: left_semi gives all rows, left_anti none. A null key is in a bucket
+    like any other.
     """
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
-    met = wanted.select(bucket(wanted_key).alias("_met_bucket")).distinct()
-    return rows.join(F.broadcast(met), bucket(key) == F.col("_met_bucket"), how)
+    count = wanted.count()
+    if count > MOST_BITS // 2:
+        return rows if how == "left_semi" else rows.limit(0)
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (count * BITS_EACH).bit_length()))
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    word = lambda c: F.shiftright(bucket(c), 6)
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bucket(c), F.lit(64)).cast("int"))
+    met = wanted.groupBy(word(wanted_key).alias("_met_word")).agg(F.bit_or(bit(wanted_key)).alias("_met_bits"))
+    found = rows.join(F.broadcast(met), word(key) == F.col("_met_word"), "inner" if how == "left_semi" else "left")
+    inside = F.coalesce(F.col("_met_bits").bitwiseAND(bit(key)) != 0, F.lit(False))
+    return found.filter(inside if how == "left_semi" else ~inside).drop("_met_word", "_met_bits")
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:

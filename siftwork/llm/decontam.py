@@ -8,9 +8,10 @@ than k of them, so it has at least one in the sketch, and none is lost. Document
 item's size cannot hold it and are passed over. Candidates are verified over the texts themselves: the shares are
 exact counts of shingle strings, not of hashes. Only DataFrame functions are used.
 
-Of a document, only the hashes that are not above the highest sketched one can match, and others are left out before
-the search. Sketches are broadcast in slices of items, of about BROADCAST_ROWS rows each, and every document meets every
-slice. Texts are verified only where a document's bucket has a candidate, so few texts are shuffled.
+Of a document's hashes, those are left out before the search that are above the highest sketched one of all bands whose
+items the document is long enough to hold, or whose bit is in no sketch (BITS_EACH bits a sketched hash, MOST_BITS at
+most; beyond it the bits let more hashes through). Sketches are broadcast in slices of items, of about BROADCAST_ROWS
+rows each; with more than one slice the hashes that are left are written once and every slice reads them. Texts are verified only where a document's bucket has a candidate, so few texts are shuffled.
 
 Defined results: null texts and texts without words hold nothing, and items without words are in no document; an item
 of fewer than WIDTH words is one shingle of all its words, which a document has only if these are all its words;
@@ -30,6 +31,7 @@ from .common import by_bucket, materialize, text_of
 
 WIDTH, THRESHOLD = 5, 0.8
 BROADCAST_ROWS = 1_000_000
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 10, 1 << 18
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -65,24 +67,43 @@ def item_sketches(items: DataFrame, width: int = WIDTH, threshold: float = THRES
     return sets.select("item_id", F.explode(F.slice(F.array_sort("_h"), F.lit(1), k)).alias("h"), least)
 
 
+def _bits(sketches: DataFrame, count: int) -> tuple[DataFrame, int]:
+    """A row with an array of words of 64 bits, one bit of which is set for each hash of the sketches; and the number of bits."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (count * BITS_EACH).bit_length()))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("h", F.lit(64)).cast("int"))
+    words = sketches.groupBy(F.shiftright(F.pmod("h", F.lit(bits)), 6).alias("id")).agg(F.bit_or(one).alias("b"))
+    every = sketches.sparkSession.range(bits // 64).join(words, "id", "left").select("id", F.coalesce("b", F.lit(0).cast("long")).alias("b"))
+    return every.agg(F.array_sort(F.collect_list(F.struct("id", "b"))).alias("_b")).select(F.col("_b.b").alias("_bits")), bits
+
+
 def candidates(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """Distinct doc_id, item_id of documents that have a shingle of the item's sketch."""
     sketches = materialize(item_sketches(items, width, threshold))
-    count, highest = sketches.agg(F.count(F.lit(1)), F.max("h")).first()
-    rows = docs.select("doc_id", _words("text").alias("_w"))
-    hashes = F.filter(_shingles(F.col("_w"), width, _hash), lambda h: h <= F.lit(highest).cast("long"))
-    rows = rows.select("doc_id", F.greatest(F.size("_w") - (width - 1), F.lit(1)).alias("_n"), F.explode(hashes).alias("h"))
+    # a row a power of two that sizes have
+    bands = sketches.groupBy(F.floor(F.log2("least")).alias("band")).agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("least"), F.max("h").alias("highest")).collect()
+    count = sum(b["n"] for b in bands)
+    size = F.greatest(F.size("_w") - (width - 1), F.lit(1))
+    bound = F.greatest(F.lit(None).cast("long"), F.lit(None).cast("long"), *(F.when(size >= b["least"], F.lit(b["highest"])) for b in bands))
+    table, bits = _bits(sketches, count)
+    # one row of a fixed size
+    rows = docs.select("doc_id", _words("text").alias("_w")).withColumn("_bound", bound).filter("_bound IS NOT NULL").crossJoin(F.broadcast(table))
+    at = lambda h: F.pmod(h, F.lit(bits))
+    known = lambda h: F.call_function("shiftright", F.get("_bits", F.shiftright(at(h), 6).cast("int")), F.pmod(h, F.lit(64)).cast("int")).bitwiseAND(1) == 1
+    hashes = F.filter(_shingles(F.col("_w"), width, _hash), lambda h: (h <= F.col("_bound")) & known(h))
+    rows = rows.select("doc_id", size.alias("_n"), F.explode(hashes).alias("h"))
     slices = max(1, -(-count // BROADCAST_ROWS))
+    if slices > 1:
+        rows = materialize(rows)
     met = [rows.join(F.broadcast(sketches.filter(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == i)), "h") for i in range(slices)]
     return reduce(DataFrame.unionByName, met).filter("_n >= least").select("doc_id", "item_id").distinct()
 
 
 def contained(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, item_shingles, shared, containment for the items that documents hold."""
-    pairs = materialize(candidates(docs, items, width, threshold))
+    found = materialize(candidates(docs, items, width, threshold))
     whole = items.select("item_id", F.array_distinct(_shingles(_words("text"), width, _string)).alias("_item"))
-    pairs = pairs.join(whole, "item_id").select(F.col("doc_id").alias("_id"), "item_id", "_item")
-    texts = by_bucket(docs.select("doc_id", "text"), F.col("doc_id"), pairs, F.col("_id")).hint("merge")
+    pairs = found.join(whole, "item_id").select(F.col("doc_id").alias("_id"), "item_id", "_item")
+    texts = by_bucket(docs.select("doc_id", "text"), F.col("doc_id"), found, F.col("doc_id")).hint("merge")
     met = texts.join(pairs, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "item_id", "_item", _words("text").alias("_w"))
     shared = F.size(F.array_intersect("_item", _shingles(F.col("_w"), width, _string)))
     met = met.select("doc_id", "item_id", F.size("_item").cast("long").alias("item_shingles"), shared.cast("long").alias("shared"))

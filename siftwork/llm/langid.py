@@ -7,7 +7,7 @@ kernel matrix, the features of a text are its kernel values with the landmarks t
 these gives one margin a language. Batches of presence rows are multiplied by the landmarks' and then by the weights.
 
 Fitting uses about FIT_EACH texts of each language (those whose hash of the id is low enough for its counted rows), of
-which LANDMARKS are landmarks, spread over the languages: a bounded sample by documented parameters.
+which LANDMARKS of each language are landmarks: a bounded sample by documented parameters.
 
 Defined results: a null text and one without letters is `und` with score 0, and so is every text if no row can be
 learned from; ties go to the language first by code point; very long texts are read whole; repeated rows and null ids give a row each (a null id
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import id_crc, small_batches, text_of
 
 ORDERS, SPACE_BITS = (1, 2, 3), 14
-FIT_EACH, LANDMARKS, RIDGE, SHARP = 300, 128, 1e-2, 4.0
+FIT_EACH, LANDMARKS, RIDGE, SHARP = 300, 32, 1e-2, 4.0
 ROWS = 128  # multiplied at once
 
 LETTERS = np.full(256, 32, np.uint8)
@@ -82,7 +82,7 @@ class Kernel:
         for i, g in enumerate(langs):
             rank.append((turn[g], g, i))
             turn[g] += 1
-        marks = [i for _, _, i in sorted(rank)[:LANDMARKS]]
+        marks = [i for t, _, i in sorted(rank) if t < LANDMARKS]
         self.landmarks = rows[marks]
         values, vectors = np.linalg.eigh((self.landmarks @ self.landmarks.T).astype(np.float64))
         good = values > 1e-6 * values.max()
@@ -110,14 +110,19 @@ class Kernel:
 HAS_LETTER = r"\p{L}"
 
 
+def _random() -> Column:
+    """A number by id and text, as ids may be null or repeated."""
+    return F.xxhash64(F.lit(3), "doc_id", "text")
+
+
 def fit(docs: DataFrame, learn: Column, each: int = FIT_EACH) -> Kernel:
     """A model of lang from the rows of docs that learn marks."""
     rows = docs.filter(learn & F.col("lang").isNotNull() & text_of().rlike(HAS_LETTER)).select("doc_id", "lang", F.col("text"))
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    share = F.pmod(_random(), F.lit(1 << 30)) / F.lit(float(1 << 30))
     # counts has a row for each language
     some = rows.join(F.broadcast(counts), "lang").filter(share * F.col("n") <= 1.5 * each)
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", "text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(_random(), "doc_id", "text"))
     chosen = some.withColumn("place", place).filter(F.col("place") <= each).select(F.lower("text").alias("t"), "lang", "place")
     small_batches(docs.sparkSession)
     # each rows a language, of a fixed size, as only the presence of n-grams leaves the workers

@@ -4,7 +4,8 @@ A document is a bag of passages of PASSAGE words. A passage is described by aver
 case, symbols, digits, repeats, distinct words, and signed hashes of the words) and encoded as h = tanh(W x + b). The
 gated attention a = softmax(w . (tanh(V h) * sigmoid(U h))) over a document's passages weights them, and the weighted
 sum is scored by a logistic unit. All weights are learned together from document labels by Adam, on FIT_ROWS labelled
-documents at most (those with the least hashes of their ids: a bounded sample by a documented parameter). Every
+documents at most, of FIT_BYTES bytes in all (those with the least hashes of their ids: a bounded sample by documented
+parameters). Every
 passage of every text is encoded and scored.
 
 Defined results: a null text, and one without words, scores the share of label 1 among the learned rows (add-one); so
@@ -20,13 +21,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_crc, small_batches, text_of
 
 PASSAGE, HASHED, HIDDEN, GATE = 64, 16, 24, 12
 FIT_ROWS, STEPS, RATE, DECAY = 4000, 400, 0.02, 1e-4
+FIT_BYTES = 64 << 20
 CUT = 0.3
 #: Word features: what a regular expression counts in a word, divided by its length.
 COUNTED = (r"[A-Z\x{C0}-\x{DE}]", r"[0-9]", r"[|#$%&*!<>{}=+~^@_\\/]", r"[.,;:?]", r"[^\x00-\x7F]")
@@ -130,6 +132,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = FIT_ROWS)
     """A model of labels.quality from the labelled rows of docs that learn marks, most of them at most."""
     chosen = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.filter(learn).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    # in that order, texts as long as they have FIT_BYTES bytes in all; the window is over most rows
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text_of()).alias("bytes")).join(F.broadcast(chosen), "doc_id")
+    sizes = sizes.groupBy("doc_id", "quality").agg(F.sum("bytes").alias("bytes"))
+    so_far = F.sum("bytes").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = sizes.withColumn("so_far", so_far).filter(F.col("so_far") <= FIT_BYTES).select("doc_id", "quality")
 
     def encode(batches):
         for b in batches:

@@ -475,8 +475,26 @@ def test_sharding(docs, pdf, none, monkeypatch):
 # --- 9 ---
 
 
+@pytest.mark.parametrize("same", [False, True])
+def test_mix_does_not_depend_on_the_layout(spark, same):
+    """Rows without an id, and rows that differ in one column only."""
+    rows = [(7 if same else None, "one text" if same else f"text number {i}", "s" if i % 4 else "t", f"l{i}", i) for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    a, b = (sorted(map(str, mixing.mixed(t).collect())) for t in (table.repartition(3), table.orderBy(F.desc("n_chars")).coalesce(2)))
+    assert a == b and 100 < len(a) < 800
+
+
+def test_rows_without_an_id_spread_over_ranges(spark):
+    table = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("s").alias("source"), F.lit(3).cast("long").alias("size"), F.md5(F.col("id").cast("string")).alias("mark")).cache()
+    got = mixing.taken(table, table)
+    assert got.agg(F.sum("taken")).first()[0] == 90_000
+    plan = got._jdf.queryExecution().toString()
+    assert "_range" in plan and table.count() == got.count()
+
+
+
 def test_mixing(spark, docs, pdf, none):
-    sized = docs.select("doc_id", "source", mixing.words().alias("size")).cache()
+    sized = docs.select("doc_id", "source", mixing.words().alias("size"), mixing.mark().alias("mark"), "_key").cache()
     got = mixing.taken(sized, sized).toPandas()
     assert sorted(got["size"]) == sorted(len(words(t)) for t in pdf["text"])
     by = got.groupby("source", dropna=False).agg(size=("size", "sum"), source_size=("source_size", "first"), target=("target", "first"), taken=("taken", "sum"))
@@ -491,6 +509,7 @@ def test_mixing(spark, docs, pdf, none):
     assert sorted(map(str, got.values.tolist())) == sorted(map(str, again.values.tolist()))
     out = mixing.mixed(docs)
     assert out.columns == docs.columns and out.groupBy("doc_id", "text").count().filter("doc_id <> 5").agg(F.max("count")).first()[0] <= 2
+    assert "_key" in got.columns
     assert mixing.mixed(none).count() == 0 and mixing.taken(sized.limit(0), sized.limit(0)).count() == 0
 
 
@@ -623,6 +642,28 @@ def test_query_equals_sql(name, spark, sf, oracle, same):
     same(queries.QUERIES[name](spark, sf), oracle.execute(queries.ORACLE_SQL[name]).df())
 
 
+def test_near_duplicates_do_not_depend_on_the_layout(spark):
+    """Rows of one id and text that differ in source: the least stays, in every layout."""
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(i // 3, text + f" v{i // 9}", f"s{i % 3}", None, i) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"]
+    a, b = (sorted(map(str, stage(spark, t, "").collect())) for t in (table.repartition(3), table.orderBy(F.desc("n_chars")).coalesce(2)))
+    assert a == b and len(a) >= 1
+
+
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_buckets_pass_all_wanted_and_few_others(spark, n):
+    from siftwork.llm import common
+
+    wanted = common.materialize(spark.range(0, n * 10, 10).select(F.when(F.col("id") > 0, F.col("id")).alias("k")))
+    rows = spark.range(50_000).select(F.when(F.col("id") > 0, F.col("id")).alias("id"))
+    near, far = (common.by_bucket(rows, F.col("id"), wanted, F.col("k"), how) for how in ("left_semi", "left_anti"))
+    assert near.columns == ["id"] and near.count() + far.count() == 50_000
+    assert near.join(wanted, F.col("id").eqNullSafe(F.col("k")), "left_semi").count() == n
+    assert near.count() <= n + 0.12 * 50_000
+
+
 def test_pipeline(spark, docs, tmp_path, none):
     labels = [(i, 1, 0) for i in range(0, 60)] + [(408, 0, 0)]
     d = str(tmp_path)
