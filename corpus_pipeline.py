@@ -5,8 +5,9 @@ next stage's docs. All stages but the last return the columns of docs; the last
 
 Defined results, in every stage: rows are carried whole, so columns of any name stay as they are (shard and slot are
 replaced by the last stage); null texts count as empty; null and repeated ids are told apart by their texts; very long
-texts are read whole; an empty table stays empty. Ties: of near duplicates with one id, the least hash of the text stays;
-what the other stages do with ties is said in their modules. A null or empty text scores the share of good labels, is in
+texts are read whole; an empty table stays empty. Ties: of near duplicates with one id, the least hash of the text stays,
+and of those with one text, too, the least of their other columns as JSON, whatever the layout of the input; what the
+other stages do with ties is said in their modules. A null or empty text scores the share of good labels, is in
 no group of near duplicates, holds no benchmark item, and is not taken by the mix, as it has no words.
 """
 
@@ -44,7 +45,8 @@ def one_of_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     tagged = docs.select(doc, F.xxhash64(F.col("doc_id").cast("long")).alias("id_tag"), F.xxhash64(text_of()).alias("tag"))
     far = by_bucket(tagged, F.col("tag"), open_, F.col("tag"), "left_anti").select("doc.*")
     near = by_bucket(tagged, F.col("tag"), open_, F.col("tag")).join(open_, ["id_tag", "tag"], "left")
-    once = near.filter("stays").dropDuplicates(["id_tag", "tag"])
+    others = [F.col(f"doc.`{c}`") for c in docs.columns if c != "text"]
+    once = near.filter("stays").groupBy("id_tag", "tag").agg(F.min_by("doc", F.to_json(F.struct(*others))).alias("doc"))
     return far.unionByName(near.filter("stays IS NULL").select("doc.*")).unionByName(once.select("doc.*"))
 
 
