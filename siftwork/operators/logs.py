@@ -31,30 +31,56 @@ def guard_length(raw: Column, most: int = MOST_CHARS, head: int = HEAD_CHARS, ta
     return F.when(F.length(raw) > most, cut).otherwise(raw)
 
 
-def detect(log: Column) -> Column:
-    """The type of a whole log; the first rule that holds."""
+def marks(log: Column) -> dict[str, Column]:
+    """What tells the type of a log, by name; each is true of a log if it is true of one of its lines (with its newline)."""
     low = F.lower(log)
     has = lambda *xs: reduce(lambda a, b: a | b, (log.contains(x) for x in xs))
+    return {
+        "pytest": has("pytest"), "session": has("test session starts", "collected"), "section": log.rlike(PYTEST_SECTION),
+        "result": has("test result:"), "outcome": has("passed", "failed"),
+        "suites": has("Test Suites:"), "jest": low.contains("jest") | low.contains("vitest") | has("✓", "✕"),
+        "go": log.rlike(r"(?m)^=== RUN\s+") | log.rlike(r"(?m)^--- (PASS|FAIL):"),
+        "npm": has("npm", "yarn", "pnpm", "node_modules"),
+        "compiling": has("Compiling"), "cargo": has("Cargo"), "any_cargo": low.contains("cargo"),
+        "step": has("Step "), "docker": has("--->") | low.contains("docker"),
+        "maven": has("[INFO] Building", "BUILD SUCCESS", "BUILD FAILED", "Gradle"),
+        "git": has("commit", "branch"),
+        "ok": has("... ok"), "traceback": has("Traceback (most recent call last):"),
+    }
+
+
+def kind_by(m: dict[str, Column], git_head: Column) -> Column:
+    """The first rule that holds of a log's marks; git_head: whether its first 100 characters hold a git command."""
     return (
-        F.when(has("pytest") & has("test session starts", "collected") | has("pytest") & log.rlike(PYTEST_SECTION), "pytest")
-        .when(has("test result:") & has("passed", "failed"), "cargo_test")
-        .when(has("Test Suites:") & (low.contains("jest") | low.contains("vitest") | has("✓", "✕")), "jest")
-        .when(log.rlike(r"(?m)^=== RUN\s+") | log.rlike(r"(?m)^--- (PASS|FAIL):"), "go")
-        .when(has("npm", "yarn", "pnpm", "node_modules"), "npm")
-        .when(has("Compiling") & has("Cargo") | low.contains("cargo"), "cargo")
-        .when(has("Step ") & (has("--->") | low.contains("docker")), "docker")
-        .when(has("[INFO] Building", "BUILD SUCCESS", "BUILD FAILED", "Gradle"), "maven")
-        .when(F.substring(log, 1, 100).contains("git ") | has("commit", "branch"), "git")
+        F.when(m["pytest"] & m["session"] | m["pytest"] & m["section"], "pytest")
+        .when(m["result"] & m["outcome"], "cargo_test")
+        .when(m["suites"] & m["jest"], "jest")
+        .when(m["go"], "go")
+        .when(m["npm"], "npm")
+        .when(m["compiling"] & m["cargo"] | m["any_cargo"], "cargo")
+        .when(m["step"] & m["docker"], "docker")
+        .when(m["maven"], "maven")
+        .when(git_head | m["git"], "git")
         .otherwise("generic")
     )
 
 
-def typed(log: Column, hint: Column) -> Column:
+def detect(log: Column) -> Column:
+    """The type of a whole log; the first rule that holds."""
+    return kind_by(marks(log), F.substring(log, 1, 100).contains("git "))
+
+
+def type_by(m: dict[str, Column], hint: Column, git_head: Column) -> Column:
     """The filter to use: the hint's, or the detected one for auto and no hint."""
     named = F.create_map(*(F.lit(x) for k, v in HINTS.items() for x in (k, v)))
-    kind = F.when(hint.isNull() | (hint == "auto"), detect(log)).otherwise(F.coalesce(named[hint], F.lit("generic")))
+    kind = F.when(hint.isNull() | (hint == "auto"), kind_by(m, git_head)).otherwise(F.coalesce(named[hint], F.lit("generic")))
     # the build filter leaves logs of test runs to the test filter
-    return F.when((kind == "cargo") & (log.contains("test result:") | log.contains("... ok")), "cargo_test").otherwise(kind)
+    kind = F.when((kind == "cargo") & (m["result"] | m["ok"]), "cargo_test").otherwise(kind)
+    return kind
+
+
+def typed(log: Column, hint: Column) -> Column:
+    return type_by(marks(log), hint, F.substring(log, 1, 100).contains("git "))
 
 
 def has_error(text: Column) -> Column:
@@ -83,18 +109,30 @@ def _from(lines: Column, pattern: str) -> Column:
     return F.when(at > 0, at).otherwise(F.size(lines) + 1).cast("int")
 
 
+def pytest_said(x: Column, word: str) -> Column:
+    return x.rlike(rf"^.*?\s+{word}\s*\[.*\]$") | x.rlike(rf"\s{word}$") | x.contains(f" {word} ")
+
+
+def pytest_kept(x: Column) -> Column:
+    """Lines of the frame, which stay outside of sections."""
+    frame = (
+        (x.contains("collected ") & x.contains(" items")) | x.contains("test session starts") | x.startswith("platform ") | x.startswith("rootdir:")
+        | x.startswith("E   ") | x.contains("Error:") | x.contains("Exception:")
+    )
+    return frame & ~pytest_said(x, "PASSED") & ~pytest_said(x, "FAILED")
+
+
+def pytest_told(x: Column) -> Column:
+    """Lines that give the run's own tally."""
+    return (x.contains("passed in ") | x.contains("failed in ") | x.contains("passed,")) & ~pytest_said(x, "PASSED") & ~pytest_said(x, "FAILED") & ~pytest_kept(x)
+
+
 def _pytest(lines: Column) -> Column:
     """Before the first failure section only the frame stays, after it all; without one, a tally follows."""
     first = _from(lines, PYTEST_HEADER)
     before, after = F.slice(lines, F.lit(1), first - 1), F.slice(lines, first, F.size(lines))
-    said = lambda x, word: x.rlike(rf"^.*?\s+{word}\s*\[.*\]$") | x.rlike(rf"\s{word}$") | x.contains(f" {word} ")
-    passed, failed = lambda x: said(x, "PASSED"), lambda x: said(x, "FAILED")
-    frame = lambda x: (
-        (x.contains("collected ") & x.contains(" items")) | x.contains("test session starts") | x.startswith("platform ") | x.startswith("rootdir:")
-        | x.startswith("E   ") | x.contains("Error:") | x.contains("Exception:")
-    )
-    kept = F.filter(before, lambda x: frame(x) & ~passed(x) & ~failed(x))
-    told = F.filter(before, lambda x: (x.contains("passed in ") | x.contains("failed in ") | x.contains("passed,")) & ~passed(x) & ~failed(x) & ~frame(x))
+    passed, failed = lambda x: pytest_said(x, "PASSED"), lambda x: pytest_said(x, "FAILED")
+    kept, told = F.filter(before, pytest_kept), F.filter(before, pytest_told)
 
     def count(counted: Column, word: str) -> Column:
         number = F.get(F.filter(F.transform(told, lambda x: F.regexp_extract(x, rf"(\d+)\s+{word}", 1)), lambda x: x != ""), F.lit(0))
@@ -112,15 +150,27 @@ STATE_PROGRESS = r"(?:tests[/\\\\].*?\s+\[\s*\d+%\]|[.sF]{5,})"
 STATE_TALLY = " passed (repetitive logs pruned)"
 
 
+def line_starts(x: Column, words: str) -> Column:
+    return x.rlike(rf"(?U:^\s*)(?:{words})")
+
+
+def states_going(x: Column) -> Column:
+    """Lines of progress, which are counted as passed."""
+    ends = lambda word: x.rlike(rf"{word}(?U:\s*)\z")
+    return line_starts(x, STATE_PROGRESS) & (ends(r"\.PASSED") | (ends(r"\[100%\]") & ~x.contains("FAILED")))
+
+
+def states_kept(x: Column) -> Column:
+    return line_starts(x, STATE_KEPT) | (~states_going(x) & (line_starts(x, STATE_TOLD) | x.contains("passed in")))
+
+
 def _pytest_states(log: Column) -> Column:
     """The other form: sections of failures stay whole, until the summary; outside, headings and what failed. Null if none stays."""
     whole = F.regexp_replace(log, r"\r?\n\z", "")
     parts = F.split(whole, rf"\n(?=(?U:[^\S\n]*)(?:{STATE_ON}|{STATE_OFF}))", -1)
-    starts = lambda x, words: x.rlike(rf"(?U:^\s*)(?:{words})")
-    ends = lambda x, word: x.rlike(rf"{word}(?U:\s*)\z")
-    going = lambda x: starts(x, STATE_PROGRESS) & (ends(x, r"\.PASSED") | (ends(x, r"\[100%\]") & ~x.contains("FAILED")))
+    starts, going = line_starts, states_going
     lines = lambda part: F.transform(F.split(part, "\n", -1), lambda x: F.regexp_replace(x, r"\r\z", ""))
-    outside = lambda part: F.filter(lines(part), lambda x: starts(x, STATE_KEPT) | (~going(x) & (starts(x, STATE_TOLD) | x.contains("passed in"))))
+    outside = lambda part: F.filter(lines(part), states_kept)
     kept = F.flatten(F.transform(parts, lambda p: F.when(starts(p, STATE_ON), lines(p)).otherwise(outside(p))))
     failed = F.size(F.filter(lines(whole), lambda x: starts(x, "FAILED ")))
     passed = F.aggregate(parts, F.lit(0), lambda n, p: n + F.when(starts(p, STATE_ON), 0).otherwise(F.size(F.filter(lines(p), lambda x: going(x) & ~starts(x, STATE_KEPT)))))

@@ -759,7 +759,7 @@ def lock_summary(spark, sf_dir):
     return rows.select("lock_id", F.col("summary.packages").cast("long").alias("packages"), F.array_join("summary.sample", ",").alias("sample"), F.col("summary.lines").cast("long").alias("lines"))
 
 
-@query(f"""WITH {LINES}, m AS (SELECT doc_id, min(n) AS hit, max(total) AS total FROM l WHERE contains(lower(line), 'shing') GROUP BY 1), k AS (SELECT *, greatest(1, hit - 3)::INT AS first, least(total, hit + 7)::INT AS last FROM m WHERE total > 1)
+@query(f"""WITH {LINES}, m AS (SELECT doc_id, min(n) AS hit, max(total) AS total FROM l WHERE contains(lower(line), 'shing') GROUP BY 1), k AS (SELECT *, greatest(1, hit - 3)::INT AS first, least(total, hit + 7)::INT AS last FROM m)
 SELECT k.doc_id, first, last, string_agg(line, chr(10) ORDER BY n) AS body FROM k JOIN l ON l.doc_id = k.doc_id AND n BETWEEN first AND last GROUP BY ALL""")
 def lock_context(spark, sf_dir):
     rows = documents(spark, sf_dir).select("doc_id", F.lit("go.sum").alias("file_name"), F.col("text").alias("content"), F.lit("SHING").alias("query"))
@@ -884,3 +884,6 @@ def smart_reads(spark, sf_dir):
     )
     again = rows.filter(kind == 0).select((n * 2 + 1).cast("long").alias("request_id"), "file_path", F.lit(False).alias("force_full"), F.lit(None).cast("string").alias("query"), F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"), F.lit(None).cast("string").alias("symbol"))
     return smart_read.answer(asks.unionByName(again), files)
+
+
+from . import large  # noqa: E402, F401  registers its queries, which use the parts above

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tomllib
+import uuid
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -128,9 +129,31 @@ def read_logs(spark: SparkSession, path: str, type_hint: str = "auto", exit_code
     return rows.select("log_id", F.lit(type_hint).alias("type_hint"), F.lit(exit_code).alias("exit_code"), F.lit(False).alias("bypass"), F.col("value").alias("raw"))
 
 
+def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """log_id, chunk, pos, line of captured logs of any length: a file may be read by many tasks, a split each.
+
+    chunk is the split's start in the file; pos grows within it. A newline at the end of a file ends its last line.
+    """
+    rows = spark.read.option("lineSep", "\n").text(path)
+    return rows.select(F.col("_metadata.file_path").alias("log_id"), F.col("_metadata.file_block_start").alias("chunk"), F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line"))
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the warehouse."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + "/siftwork"
+    """The folder that driver and executors share: spark.checkpoint.dir, else the warehouse, unless that is a local folder of a cluster's driver."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        place = spark.conf.get("spark.sql.warehouse.dir")
+        if place.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines share; {place} is local")
+    return place.rstrip("/") + "/siftwork"
+
+
+def written(table: DataFrame) -> DataFrame:
+    """The table, written to the shared folder and read again: what follows reads it instead of computing it anew, and no executor's loss costs it."""
+    spark = table.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-core/{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
 
 
 def write_savings(savings: DataFrame, path: str) -> None:
