@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import logs, logscan
+from ..operators import logs, logscan, symbol_join
+from ..sources import files as sources
 from . import catalogue as c
 from .registry import query, table
 
@@ -80,3 +83,63 @@ def log_scan_guarded_prune(spark, sf_dir):
     lines = long_logs(spark, sf_dir, "npm")
     rows = logscan.guarded(lines, *GUARD).join(_settings(lines, "npm"), "log_id")
     return logs.prune(rows).select("log_id", "filtered", "orig_tokens", "new_tokens")
+
+
+# --- similar names for many queries, and the index of trigrams ----------------------------------------------------
+
+TYPO = f"replace({c.NAME}, 'l', '')"
+#: Distinct words of conversations beside the symbols of part; queries: the symbols' names with letters left out.
+_NAMES = f"n AS (SELECT DISTINCT {c.NAME} AS name FROM part UNION SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z_]+')) FROM conversations), q AS (SELECT DISTINCT {TYPO} AS query FROM part)"
+_BARE = "regexp_replace(lower({}), '[_\\-\\s]', '', 'g')"
+_PAIRS = f"""f AS (SELECT query, name, lower(query) AS q, lower(name) AS t, {_BARE.format('query')} AS qc, {_BARE.format('name')} AS tc FROM q, n WHERE query <> '' AND name <> ''),
+z AS (SELECT *, least(length(qc), length(tc))::DOUBLE / greatest(length(qc), length(tc), 1) AS r, CASE WHEN length(q) >= 3 AND length(t) >= 3 THEN 2.0::DOUBLE * len(list_intersect({c._tri('q')}, {c._tri('t')})) / (len({c._tri('q')}) + len({c._tri('t')})) ELSE 0 END AS dice FROM f),
+y AS (SELECT query, name, round(CASE WHEN q = t THEN 1.0::DOUBLE WHEN qc = tc THEN 0.98::DOUBLE ELSE greatest(CASE WHEN qc <> '' AND tc <> '' AND (contains(qc, tc) OR contains(tc, qc)) AND r >= 0.4 THEN 0.75::DOUBLE + 0.20::DOUBLE * r ELSE 0 END,
+  1.0::DOUBLE - levenshtein(q, t)::DOUBLE / greatest(length(q), length(t), 1), 1.0::DOUBLE - levenshtein(qc, tc)::DOUBLE / greatest(length(qc), length(tc), 1), dice) END, 6) AS score FROM z)"""
+
+
+def _typos(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.expr(TYPO).alias("name")).distinct()
+
+
+@query(f"WITH {_NAMES}, {_PAIRS} SELECT query, name, score FROM y WHERE score >= 0.5")
+def symbol_similar_pairs(spark, sf_dir):
+    words = table(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z_]+"), F.lit(0))).alias("name"))
+    names = table(spark, sf_dir, "part").select(F.expr(c.NAME).alias("name")).unionByName(words)
+    return symbol_join.similar_pairs(_typos(spark, sf_dir), names).select("query", "name", "score")
+
+
+_PART_PAIRS = f"{c._SYMBOLS}, n AS (SELECT DISTINCT name FROM s), q AS (SELECT DISTINCT {TYPO} AS query FROM part), {_PAIRS}"
+
+
+@query(f"WITH {_PART_PAIRS}, d AS (SELECT DISTINCT query, s.name, file_path, line, score FROM s JOIN y USING (name) WHERE score >= 0.5), p AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, file_path, line, name)::INT AS place FROM d) SELECT * FROM p WHERE place <= 15")
+def symbol_fuzzy_many(spark, sf_dir):
+    return symbol_join.fuzzy_many(c.part_symbols(spark, sf_dir), _typos(spark, sf_dir)).select("query", "name", "file_path", "line", "score", "place")
+
+
+@query(f"WITH {_PART_PAIRS}, d AS (SELECT DISTINCT query, file_path, s.name, score FROM s JOIN y USING (name) WHERE score >= 0.4), p AS (SELECT *, row_number() OVER (PARTITION BY query, file_path ORDER BY score DESC, name)::INT AS place FROM d) SELECT * FROM p WHERE place <= 3")
+def symbol_suggest_many(spark, sf_dir):
+    return symbol_join.suggest_many(c.part_symbols(spark, sf_dir), _typos(spark, sf_dir))
+
+
+def _index(spark, sf_dir) -> symbol_join.NameIndex:
+    path = f"{sources.shared_folder(spark)}/names/{uuid.uuid4().hex}"
+    symbol_join.write_index(c.part_symbols(spark, sf_dir), path)
+    return symbol_join.NameIndex(spark, path)
+
+
+@query(f"WITH {c._SYMBOLS} SELECT * FROM s WHERE name ILIKE '%RING%'")
+def symbol_like_indexed(spark, sf_dir):
+    """All places, not the first ones, by the posted trigrams."""
+    return _index(spark, sf_dir).like("RING", None)
+
+
+@query(f"WITH {c._SYMBOLS} SELECT * FROM s WHERE contains(lower(name), 'l_r') ORDER BY file_path, line, name LIMIT 15")
+def symbol_like_escape_indexed(spark, sf_dir):
+    return _index(spark, sf_dir).like("l_r")
+
+
+@query(f"WITH {c._SYMBOLS}, {c._SIM}, l AS (SELECT *, 1.0::DOUBLE AS score, 'like' AS match FROM s WHERE name ILIKE '%RING%' ORDER BY file_path, line, name LIMIT 15), z3 AS (SELECT DISTINCT s.name, file_path, line, score, 'fuzzy' AS match FROM s JOIN y USING (name) WHERE score >= 0.5 ORDER BY score DESC, file_path, line, name LIMIT 15) SELECT * FROM l UNION ALL SELECT name, file_path, line, score, match FROM z3")
+def search_cascade_indexed(spark, sf_dir):
+    """A search that finds names by their trigrams, and one that falls back to similar names."""
+    index = _index(spark, sf_dir)
+    return index.search("RING").unionByName(index.search("smal_rings"))
