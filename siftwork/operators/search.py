@@ -15,8 +15,10 @@ def exact(symbols: DataFrame, name: str, most: int = RESULTS) -> DataFrame:
     return symbols.filter(F.col("name") == name).orderBy("file_path", "line", "name").limit(most)
 
 
-def like(symbols: DataFrame, needle: str, most: int = RESULTS) -> DataFrame:
-    return symbols.filter(like_contains("name", needle)).orderBy("file_path", "line", "name").limit(most)
+def like(symbols: DataFrame, needle: str, most: int | None = RESULTS) -> DataFrame:
+    """The first most symbols whose name holds needle; None: all, in no order."""
+    found = symbols.filter(like_contains("name", needle))
+    return found if most is None else found.orderBy("file_path", "line", "name").limit(most)
 
 
 def fuzzy(symbols: DataFrame, query: str, most: int = RESULTS) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import logs, logscan, symbol_join
+from ..operators import logs, logscan, search, store, symbol_join
 from ..sources import files as sources
 from . import catalogue as c
 from .registry import query, table
@@ -143,3 +143,68 @@ def search_cascade_indexed(spark, sf_dir):
     """A search that finds names by their trigrams, and one that falls back to similar names."""
     index = _index(spark, sf_dir)
     return index.search("RING").unionByName(index.search("smal_rings"))
+
+
+# --- the store: deltas by buckets ---------------------------------------------------------------------------------
+
+
+def _order_store(spark, sf_dir) -> store.Store:
+    """The index of orders as a stored table: one row a file."""
+    rows = c.order_index(spark, sf_dir)
+    table_ = store.Store(spark, f"{sources.shared_folder(spark)}/stores/{uuid.uuid4().hex}", rows.schema, ["project_root", "file_path"])
+    table_.upsert(rows, F.struct("mtime", "id"))
+    return table_
+
+
+_LATEST = "r AS (SELECT *, row_number() OVER (PARTITION BY project_root, file_path ORDER BY mtime DESC, id DESC, new DESC) AS k FROM u)"
+
+
+@query(f"WITH {c._INDEX}, {c._FRESH}, u AS (SELECT *, 0 AS new FROM x UNION ALL SELECT *, 1 FROM f), {_LATEST} SELECT project_root, file_path, id, file_hash, mtime FROM r WHERE k = 1")
+def store_upsert(spark, sf_dir):
+    """A later upsert of some keys adds files of their rows only."""
+    rows = _order_store(spark, sf_dir)
+    rows.upsert(c._fresh(spark, sf_dir), F.struct("mtime", "id"))
+    return rows.read()
+
+
+_GONE = "customer WHERE c_nationkey BETWEEN 3 AND 9"
+
+
+@query(f"WITH {c._INDEX}, {c._FRESH}, u AS (SELECT *, 0 AS new FROM x UNION ALL SELECT *, 1 FROM f), {_LATEST}, k AS (SELECT * FROM r WHERE k = 1 AND NOT (project_root = 'F' AND file_path IN (SELECT c_custkey::VARCHAR FROM {_GONE}))) SELECT project_root, file_path, id, file_hash, mtime FROM k WHERE mtime >= TIMESTAMP '1998-08-01' - INTERVAL 200 DAY")
+def store_purge_compacted(spark, sf_dir):
+    """Deletions and expiry as tombstones, then a compaction of the buckets that have gathered sets."""
+    import datetime
+
+    rows = _order_store(spark, sf_dir)
+    rows.upsert(c._fresh(spark, sf_dir), F.struct("mtime", "id"))
+    rows.delete(table(spark, sf_dir, "customer").filter("c_nationkey BETWEEN 3 AND 9").select(F.lit("F").alias("project_root"), F.col("c_custkey").cast("string").alias("file_path")))
+    rows.expire(datetime.datetime(1998, 8, 1), 200, "mtime")
+    rows.compact(3)
+    return rows.read()
+
+
+_PLACES = f"""{c.LINES}, w AS (SELECT doc_id, n, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS snippet, unnest(regexp_extract_all(line, '[\\p{{L}}\\p{{N}}_]+')) AS name FROM l)
+SELECT DISTINCT doc_id::VARCHAR AS file_path, n::INT AS line, name FROM w WHERE NOT regexp_matches(snippet, '^(#|//|/\\*|\\*)') AND contains(lower(name), 'shing')"""
+
+
+@query(f"WITH {_PLACES}")
+def index_stream_search(spark, sf_dir):
+    """Walk, index and search as one: documents arrive as a stream, each batch replaces its files' occurrences in the store, and a search reads the store."""
+    from ..streaming.index import keep_indexed
+
+    place = f"{sources.shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    docs = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/document[s].parquet")
+    docs = docs.select(F.col("doc_id").cast("string").alias("file_path"), "text")
+    rows = keep_indexed(docs, f"{place}/index", f"{place}/state")
+    found = search.like(rows.read().withColumn("line", F.col("line").cast("int")), "shing", None)
+    return found.select("file_path", "line", "name").distinct()
+
+
+@query(f"WITH {c.VALID} SELECT category, sum(original)::BIGINT AS original, sum(optimized)::BIGINT AS optimized, sum(saved)::BIGINT AS saved, count(*) AS count FROM s GROUP BY 1")
+def savings_store(spark, sf_dir):
+    """Sums of a stream of savings in a store that takes each batch once."""
+    from ..streaming.index import keep_savings
+
+    place = f"{sources.shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    rows = c._event_stream(spark, sf_dir).selectExpr(*c.SAVINGS.split(", CAST")[:1], *("CAST" + x for x in c.SAVINGS.split(", CAST")[1:]))
+    return keep_savings(rows, f"{place}/sums", f"{place}/state").read()

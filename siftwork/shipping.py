@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -11,8 +13,23 @@ from pyspark.sql import SparkSession
 _SENT: set[str] = set()
 
 
+def _zipped(place: str) -> str:
+    """A zip of the package's sources in a folder of the driver's own, which is deleted when the driver ends. Nothing is written where the package lies."""
+    name = os.path.basename(place)
+    folder = tempfile.mkdtemp(prefix=f"{name}-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, f"{name}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for at, folders, files in os.walk(place):
+            folders[:] = sorted(f for f in folders if f != "__pycache__")
+            for f in sorted(f for f in files if f.endswith(".py")):
+                full = os.path.join(at, f)
+                out.write(full, os.path.join(name, os.path.relpath(full, place)))
+    return path
+
+
 def ship(spark: SparkSession) -> None:
-    """Once an application, adds a zip of the compiled package to its Python files, which Spark hands to every worker.
+    """Once an application, adds a zip of the package to its Python files, which Spark hands to every worker.
 
     So workers need not be started where the package lies. The zip itself stays on the driver, which serves it.
     """
@@ -22,9 +39,5 @@ def ship(spark: SparkSession) -> None:
     place = os.path.dirname(os.path.abspath(__file__))
     if not os.path.isdir(place):  # the package already came in a zip
         return
-    name = os.path.basename(place)
-    path = os.path.join(tempfile.mkdtemp(prefix=f"{name}-"), f"{name}.zip")
-    with zipfile.PyZipFile(path, "w") as out:
-        out.writepy(place)
-    context.addPyFile(path)
+    context.addPyFile(_zipped(place))
     _SENT.add(context.applicationId)
