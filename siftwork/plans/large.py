@@ -208,3 +208,46 @@ def savings_store(spark, sf_dir):
     place = f"{sources.shared_folder(spark)}/streams/{uuid.uuid4().hex}"
     rows = c._event_stream(spark, sf_dir).selectExpr(*c.SAVINGS.split(", CAST")[:1], *("CAST" + x for x in c.SAVINGS.split(", CAST")[1:]))
     return keep_savings(rows, f"{place}/sums", f"{place}/state").read()
+
+
+# --- the read cache as state --------------------------------------------------------------------------------------
+
+_TIMED = """e AS (SELECT user_id::VARCHAR AS key, event_id AS read_ord, ts, event_type, lag(ts) OVER w AS last_ts, lag(event_type) OVER w AS last_type FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+n AS (SELECT *, last_ts IS NULL OR ts > last_ts + INTERVAL 6 HOUR AS new FROM e), g AS (SELECT *, sum(new::INT) OVER (PARTITION BY key ORDER BY read_ord) AS span FROM n)"""
+
+
+def _timed_reads(events: DataFrame) -> DataFrame:
+    return events.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("read_ord"), F.col("ts").alias("at"), F.col("event_type").alias("content"))
+
+
+def _run_cached(spark, rows: DataFrame, place: str) -> DataFrame:
+    stream = rows.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{place}/rows")
+
+
+@query(f"WITH {_TIMED} SELECT key, read_ord, row_number() OVER (PARTITION BY key, span ORDER BY read_ord) AS read_no, CASE WHEN new THEN 'FIRST_READ' WHEN last_type = event_type THEN 'UNCHANGED' ELSE 'CHANGED' END AS status FROM g")
+def read_cache_expiry(spark, sf_dir):
+    """Statuses of a stream of reads whose entries expire six hours after a key's last read."""
+    from ..streaming import cache
+
+    place = f"{sources.shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    with cache.rocksdb(spark):
+        return _run_cached(spark, cache.cached_reads(_timed_reads(c._event_stream(spark, sf_dir)), "6 hours"), place)
+
+
+@query("""WITH u AS (SELECT 0 AS turn, * FROM events UNION ALL SELECT 1, * FROM events),
+s AS (SELECT turn, user_id::VARCHAR AS key, event_id AS read_ord, row_number() OVER w AS read_no, CASE WHEN row_number() OVER w = 1 THEN 'FIRST_READ' WHEN lag(event_type) OVER w = event_type THEN 'UNCHANGED' ELSE 'CHANGED' END AS status FROM u WINDOW w AS (PARTITION BY user_id ORDER BY turn, event_id))
+SELECT key, read_ord, read_no, status FROM s WHERE turn = 1""")
+def read_cache_restart(spark, sf_dir):
+    """A stream whose entries are published to a store, and a new stream, of the same reads once more, that starts from that store."""
+    from ..streaming import cache
+
+    place = f"{sources.shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    with cache.rocksdb(spark):
+        reads = _timed_reads(c._event_stream(spark, sf_dir))
+        _run_cached(spark, cache.cached_reads(reads), f"{place}/first")
+        kept = cache.entries(spark, f"{place}/first/state")
+        stored = store.Store(spark, f"{place}/cache", kept.schema, ["key"])
+        stored.replace(kept)
+        return _run_cached(spark, cache.cached_reads(reads, start=stored.read()), f"{place}/second")
