@@ -107,6 +107,35 @@ def key_fragment(key: str | Column) -> Column:
     return F.when(k.contains("#"), F.regexp_extract(k, r"(?s)^[^#]*#(.*)$", 1))
 
 
+def canonical_path(path: str | Column) -> Column:
+    """A path with slashes forward and without `.`, empty and undone segments; a relative path keeps the .. that lead out of it, and an empty one is `.`."""
+    p = F.regexp_replace(col(path), r"\\", "/")
+    rooted = p.startswith("/")
+
+    def step(out: Column, s: Column) -> Column:
+        undone = (F.size(out) > 0) & (F.element_at(out, -1) != "..")
+        up = F.when(undone, F.slice(out, F.lit(1), F.size(out) - 1)).when(rooted, out).otherwise(F.concat(out, F.array(s)))
+        return F.when(s.isin("", "."), out).when(s == "..", up).otherwise(F.concat(out, F.array(s)))
+
+    # a null makes element_at of an empty array null, which when() passes over
+    kept = F.aggregate(F.split(p, "/", -1), F.array().cast("array<string>"), step)
+    joined = F.concat(F.when(rooted, "/").otherwise(""), F.array_join(kept, "/"))
+    return F.when(joined == "", ".").otherwise(joined)
+
+
+def read_key(key: str | Column) -> Column:
+    """A read key as a struct: path (canonical), kind (file, lines or symbol), start, end and symbol; of #L5, #L5-9 and #L5-L9 the lines are a slice."""
+    part = key_fragment(key)
+    lines = r"^L(\d+)(?:-L?(\d+))?\z"
+    sliced = part.rlike(lines)
+    number = lambda k: F.expr("cast(null as int)") if k is None else F.try_to_number(F.regexp_extract(part, lines, k), F.lit("9999999999")).cast("int")
+    end = F.when(F.regexp_extract(part, lines, 2) == "", number(1)).otherwise(number(2))
+    kind = F.when(part.isNull(), "file").when(sliced, "lines").otherwise("symbol")
+    return F.struct(
+        canonical_path(F.substring_index(col(key), "#", 1)).alias("path"), kind.alias("kind"), F.when(sliced, number(1)).alias("start"), F.when(sliced, end).alias("end"), F.when(~sliced, part).alias("symbol")
+    )
+
+
 def version_parts(version: str | Column) -> Column:
     """The numbers of a version such as v1.2.3; parts that are none (or of more than 32 bits) are passed over."""
     parts = F.split(F.regexp_replace(col(version), "^v+", ""), r"\.", -1)

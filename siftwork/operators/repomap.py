@@ -68,15 +68,35 @@ def score(n_symbols: Column, n_imports: Column, in_focus: Column, n_lines: Colum
     return n_symbols * PER_SYMBOL + n_imports * PER_IMPORT + F.when(in_focus, FOCUS).otherwise(0) + n_lines * F.lit(PER_LINE) + n_inbound * PER_INBOUND
 
 
-def within_budget(files: DataFrame, budget: int, header: int, order: str = "file_path") -> DataFrame:
+#: Files that the running sum of a budget looks at in one task; beyond, it goes by ranges of scores.
+ONE_TASK = 100_000
+
+
+def within_budget(files: DataFrame, budget: int, header: int, order: str = "file_path", one_task: int = ONE_TASK) -> DataFrame:
     """The files (score, tokens) that fit a budget, best first, up to the first that does not; with place and spent.
 
-    Each file costs a token at least, so no more than budget files fit: the running sum sees that many at most.
+    Each file costs a token at least, so no more than budget files fit. If these are few, a running sum sees them alone.
+    Otherwise files are dealt by ranges of their order, a task sums its own, and the ranges' sums give each range its
+    start; ranges that start beyond the budget are not looked at.
     """
-    top = files.orderBy(F.desc("score"), order).limit(max(0, budget))
-    by = Window.orderBy(F.desc("score"), order)
-    placed = top.withColumn("place", F.row_number().over(by)).withColumn("spent", F.lit(header) + F.sum("tokens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return placed.filter(F.col("spent") <= budget)
+    best = [F.desc("score"), F.col(order)]
+    if budget <= one_task:
+        by = Window.orderBy(*best)
+        top = files.orderBy(*best).limit(max(0, budget))
+        placed = top.withColumn("place", F.row_number().over(by)).withColumn("spent", F.lit(header) + F.sum("tokens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+        return placed.filter(F.col("spent") <= budget)
+    from ..sources.files import written
+
+    # a range's number and a file's place in it, in one number
+    rows = written(written(files).repartitionByRange(*best).sortWithinPartitions(*best).withColumn("_at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_range", F.shiftright("_at", 33))
+    ranges = rows.groupBy("_range").agg(F.sum("tokens").alias("_tokens"), F.count(F.lit(1)).alias("_files"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = ranges.select("_range", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("_tokens", "_files"))).filter(F.col("_tokens_before") + header <= budget)
+    within = Window.partitionBy("_range").orderBy("_at")
+    placed = rows.join(starts, "_range").withColumn("place", (F.col("_files_before") + F.row_number().over(within)).cast("int"))
+    placed = placed.withColumn("spent", F.lit(header) + F.col("_tokens_before") + F.sum("tokens").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    return placed.filter(F.col("spent") <= budget).select(*files.columns, "place", "spent")
 
 
 def repo_map(files: DataFrame, symbols: DataFrame, budget: int = 1000, focus: tuple[str, ...] = (), header: int = 1) -> DataFrame:

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import logs, logscan, search, store, symbol_join
+from ..functions import scalars
+from ..operators import logs, logscan, repomap, search, store, symbol_join
 from ..sources import files as sources
 from . import catalogue as c
 from .registry import query, table
@@ -251,3 +252,28 @@ def read_cache_restart(spark, sf_dir):
         stored = store.Store(spark, f"{place}/cache", kept.schema, ["key"])
         stored.replace(kept)
         return _run_cached(spark, cache.cached_reads(reads, start=stored.read()), f"{place}/second")
+
+
+# --- read keys and large budgets ----------------------------------------------------------------------------------
+
+_ODD = "CASE p_partkey % 5 WHEN 0 THEN './a/../' || path || '#L3-9' WHEN 1 THEN '/x//./' || path || '/../../y#L4-L7' WHEN 2 THEN '../../' || path || '/.' WHEN 3 THEN path || '#run' ELSE 'a/b/../../../' || path || '#L12' END"
+_FOLD = """list_reduce(list_concat([[]::VARCHAR[]], list_transform(string_split(p, '/'), lambda s: [s])), lambda o, s: CASE WHEN s[1] IN ('', '.') THEN o WHEN s[1] <> '..' THEN list_concat(o, s)
+  WHEN len(o) > 0 AND o[len(o)] <> '..' THEN o[1:len(o) - 1] WHEN p LIKE '/%' THEN o ELSE list_concat(o, s) END)"""
+
+
+@query(f"""WITH {c.PATHS}, k AS (SELECT p_partkey, replace({_ODD}, chr(92), '/') AS k FROM q), f AS (SELECT p_partkey, string_split(k, '#')[1] AS p, CASE WHEN contains(k, '#') THEN string_split(k, '#')[2] END AS fr FROM k),
+g AS (SELECT *, (CASE WHEN p LIKE '/%' THEN '/' ELSE '' END) || array_to_string({_FOLD}, '/') AS path FROM f)
+SELECT p_partkey, CASE WHEN path = '' THEN '.' ELSE path END AS path, CASE WHEN fr IS NULL THEN 'file' WHEN fr LIKE 'L%' THEN 'lines' ELSE 'symbol' END AS kind,
+  CASE WHEN fr LIKE 'L%' THEN regexp_extract(fr, '^L([0-9]+)', 1)::INT END AS start, CASE WHEN fr LIKE 'L%' THEN regexp_extract(fr, '([0-9]+)$', 1)::INT END AS "end", CASE WHEN fr NOT LIKE 'L%' THEN fr END AS symbol FROM g""")
+def read_keys_canonical(spark, sf_dir):
+    key = F.expr(_ODD)
+    return c.part_paths(spark, sf_dir).select("p_partkey", scalars.read_key(key).alias("k")).select("p_partkey", "k.*")
+
+
+@query("""WITH f AS (SELECT doc_id, (n_chars % 97)::DOUBLE AS score, greatest(1, n_chars // 4)::BIGINT AS tokens FROM documents), b AS (SELECT (sum(tokens) // 2)::BIGINT AS budget FROM f),
+o AS (SELECT *, (row_number() OVER w)::INT AS place, (10 + sum(tokens) OVER w)::BIGINT AS spent FROM f WINDOW w AS (ORDER BY score DESC, doc_id ROWS UNBOUNDED PRECEDING)) SELECT doc_id, score, tokens, place, spent FROM o, b WHERE spent <= budget""")
+def repo_budget_large(spark, sf_dir):
+    """A budget of half of all tokens, by ranges of scores."""
+    rows = c.documents(spark, sf_dir).select("doc_id", (F.col("n_chars") % 97).cast("double").alias("score"), F.greatest(F.lit(1), F.expr("n_chars div 4")).cast("long").alias("tokens"))
+    budget = rows.agg(F.coalesce(F.expr("sum(tokens) div 2"), F.lit(0))).first()[0]
+    return repomap.within_budget(rows, budget, 10, "doc_id", one_task=0)

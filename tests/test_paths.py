@@ -74,3 +74,41 @@ def test_empty_files_are_read(spark, tmp_path):
     (tmp_path / "c d+%42.py").write_bytes(b"x")
     got = files.read_sources(spark, str(tmp_path)).collect()
     assert sorted((r["file_path"], r["text"], r["length"]) for r in got) == [("a b.py", "", 0), ("c d+%42.py", "x", 1), ("sub/init.py", "", 0), ("é+%41.py", "", 0)]
+
+
+def test_canonical_keys(spark):
+    """Against a stack in plain Python."""
+    import random
+
+    from siftwork.functions.scalars import canonical_path, read_key
+
+    def plain(p):
+        out = []
+        for s in p.replace("\\", "/").split("/"):
+            if s == ".." and out and out[-1] != "..":
+                out.pop()
+            elif s == ".." and not p.replace("\\", "/").startswith("/"):
+                out.append(s)
+            elif s not in ("", ".", ".."):
+                out.append(s)
+        return ("/" if p.replace("\\", "/").startswith("/") else "") + "/".join(out) or "."
+
+    r = random.Random(1)
+    given = ["", "/", ".", "..", "/..", "a//b", "C:\\x\\..\\y"] + ["".join(r.choice(["a", "bb", ".", "..", "/", "/", "\\"]) for _ in range(r.randint(1, 9))) for _ in range(200)]
+    rows = spark.createDataFrame([(p,) for p in given], "p string").select("p", canonical_path("p").alias("c")).collect()
+    assert {(x["p"], x["c"]) for x in rows} == {(p, plain(p)) for p in given}
+    keys = {"a/../b#L3-9": ("b", "lines", 3, 9, None), "b#L3-L9": ("b", "lines", 3, 9, None), "./b#L4": ("b", "lines", 4, 4, None), "b": ("b", "file", None, None, None), "b#Load": ("b", "symbol", None, None, "Load"), "b#": ("b", "symbol", None, None, ""), "b#x#y": ("b", "symbol", None, None, "x#y")}
+    got = spark.createDataFrame([(k,) for k in keys], "k string").select("k", read_key("k").alias("s")).select("k", "s.*").collect()
+    assert {x["k"]: tuple(x)[1:] for x in got} == keys
+
+
+def test_large_budgets_equal_the_running_sum(spark):
+    from pyspark.sql import functions as F
+
+    from siftwork.operators import repomap
+
+    files = spark.range(3000).select(F.col("id").alias("file_path"), (F.col("id") * 7 % 50).cast("double").alias("score"), (F.col("id") % 9 + 1).alias("tokens"))
+    for budget in (1, 500, 9000, 10**6):
+        few, many = (sorted(map(tuple, repomap.within_budget(files, budget, 3, one_task=n).collect())) for n in (10**9, 0))
+        assert few == many
+    assert repomap.within_budget(files.limit(0), 100, 1, one_task=0).count() == 0
