@@ -66,13 +66,24 @@ def _files(spark: SparkSession, root: str) -> DataFrame:
     return rows.unionByName(empty.withColumns({"modificationTime": F.lit(None).cast("timestamp"), "length": F.lit(0).cast("long"), "content": F.lit(b"")}))
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """path, rel_path, length, mtime of all files below root (mtime is null for empty ones); contents are not read."""
+def list_files(spark: SparkSession, root: str, hidden: bool = False) -> DataFrame:
+    """path, rel_path, length, mtime of all files below root (mtime is null for empty ones); contents are not read.
+
+    hidden: names that begin with _ or . are listed, too, by the source of trees, which reads what pyarrow's file systems do.
+    """
+    if hidden:
+        from .tree import list_tree
+
+        return list_tree(spark, root).select("path", "rel_path", "length", "mtime")
     rel = F.regexp_replace(F.substring_index(F.col("path"), root.rstrip("/") + "/", -1), r"\\", "/")
     return _files(spark, root).select("path", rel.alias("rel_path"), "length", F.col("modificationTime").alias("mtime"))
 
 
-def _raw(spark: SparkSession, root: str) -> DataFrame:
+def _raw(spark: SparkSession, root: str, hidden: bool = False) -> DataFrame:
+    if hidden:
+        from .tree import list_tree
+
+        return list_tree(spark, root).withColumnRenamed("rel_path", "file_path")
     return _files(spark, root).withColumn("file_path", F.substring_index(F.col("path"), root.rstrip("/") + "/", -1)).withColumnRenamed("modificationTime", "mtime")
 
 
@@ -106,17 +117,21 @@ def listed(spark: SparkSession, root: str, config: Config = Config()) -> DataFra
     return rows.withColumn("status", F.when((F.col("status") == "read") & F.col("walk_ord").isNull(), "OVER_CAP").otherwise(F.col("status")))
 
 
-def read_sources(spark: SparkSession, root: str, config: Config = Config(max_source_files=None), project: str | None = None) -> DataFrame:
+def read_sources(spark: SparkSession, root: str, config: Config = Config(max_source_files=None), project: str | None = None, hidden: bool = False) -> DataFrame:
     """project_root, file_path, lang, mtime, length, text, file_hash, walk_ord of the sources that listed() says are read.
 
-    There is no cap unless config sets one. Sizes are tested before contents are read; contents are not shuffled.
+    There is no cap unless config sets one. Sizes are tested before contents are read; contents are not shuffled. hidden: as in list_files().
     """
-    good = _raw(spark, root).filter(F.col("length") <= config.max_cacheable_bytes).filter(_left_out(config).isNull())
+    good = _raw(spark, root, hidden).filter(F.col("length") <= config.max_cacheable_bytes).filter(_left_out(config).isNull())
     if config.max_source_files is None:
         good = good.withColumn("walk_ord", F.lit(None).cast("int"))
     else:
         # the cap is over paths alone
         good = good.join(F.broadcast(_first(good, config.max_source_files)), "file_path")
+    if hidden:
+        from .tree import with_contents
+
+        good = with_contents(good)
     text = decoded("content")
     return good.select(
         F.lit(project or root).alias("project_root"), "file_path", language_of("file_path").alias("lang"), "mtime", "length", text.alias("text"), short_hash(text).alias("file_hash"), "walk_ord"
