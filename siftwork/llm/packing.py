@@ -23,6 +23,7 @@ import collections
 import functools
 import itertools
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ class Encoder(PrefixCounter):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.fixed = {SPECIAL + s: np.array([self.library.token_to_id(s)], "<u4").tobytes() for s in self.special} | {SPECIAL: np.array([END], "<u4").tobytes()}
+        self.fixed = {SPECIAL + s: array("I", [self.library.token_to_id(s)]).tobytes() for s in self.special} | {SPECIAL: array("I", [END]).tobytes()}
         self.known: dict[str, bytes] = dict(self.fixed)
         self.held = 0
 
@@ -63,15 +64,15 @@ class Encoder(PrefixCounter):
         """The ids of all texts, one after the other, and where each begins, and the last ends."""
         units = list(map(self._units, texts))
         met = pa.array(list(itertools.chain.from_iterable(units)), pa.large_string()).dictionary_encode()
-        names, at = met.dictionary.to_pylist(), met.indices.to_numpy()
+        names, at = met.dictionary.to_numpy(zero_copy_only=False).tolist(), met.indices.to_numpy()
         if len(self.known) > CACHE_WORDS or self.held > CACHE_BYTES:
             self.known, self.held = dict(self.fixed), 0
-        new = [w for w in names if w not in self.known]
-        for word, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[word] = ids = np.array(found.ids, "<u4").tobytes()
+        each = list(map(self.known.get, names))
+        new = [i for i, ids in enumerate(each) if ids is None]
+        for i, found in zip(new, self.library.encode_batch_fast([names[i] for i in new], add_special_tokens=False)):
+            self.known[names[i]] = each[i] = ids = array("I", found.ids).tobytes()  # of this machine's order; checksums are taken over little-endian ones
             self.held += len(ids)
-        each = list(map(self.known.__getitem__, names))
-        flat = np.frombuffer(b"".join(each), "<u4")
+        flat = np.frombuffer(b"".join(each), np.uint32).astype("<u4", copy=False)
         size = np.fromiter(map(len, each), np.int64, len(each)) // 4
         first = np.cumsum(size) - size
         sizes = size[at]
