@@ -21,6 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import gather, gathered, gathering
 from .common import text_of
 
 #: Kind, pattern, the group whose length counts, its least length.
@@ -64,10 +65,11 @@ def _spans(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column
     def step(acc, x):
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["all"])
-        here = F.array(F.struct(start.alias("start"), end.alias("end"), x["all"].alias("value")))
-        return F.struct(end.alias("at"), F.when(F.length(x["part"]) >= least, F.concat(acc["out"], here)).otherwise(acc["out"]).alias("out"))
+        here = F.struct(start.alias("start"), end.alias("end"), x["all"].alias("value"))
+        return F.struct(end.alias("at"), *gather(acc, here, F.length(x["part"]) >= least))
 
-    found = F.aggregate(F.filter(zipped, lambda x: x["all"].isNotNull()), F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    first = F.struct(F.lit(0).alias("at"), *(x.alias(n) for n, x in gathering("struct<start:int,end:int,value:string>").items()))
+    found = F.aggregate(F.filter(zipped, lambda x: x["all"].isNotNull()), first, step, gathered)
     return F.when(text.rlike(pattern), found).otherwise(empty)
 
 

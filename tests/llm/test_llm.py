@@ -695,3 +695,11 @@ def test_pipeline(spark, docs, tmp_path, none):
         assert stage(spark, none, d).count() == 0, name
 
 
+
+
+def test_many_secrets_in_one_text(spark):
+    """More spans than are gathered at once, of which some fail."""
+    text = " ".join(f"token={'a' * (4 + i % 4)}{i:04d}" if i % 3 else "token=abc" for i in range(700))
+    found = spark.createDataFrame([(text,)], "text string").select(secrets._spans(F.col("text"), r"token=([a-z0-9]+)", 1, 6).alias("s")).first()["s"]
+    want = [(m.start(), m.end(), m[0]) for m in re.finditer(r"token=([a-z0-9]+)", text) if len(m[1]) >= 6]
+    assert [tuple(s) for s in found] == want and len(want) > 400
