@@ -136,6 +136,31 @@ def read_key(key: str | Column) -> Column:
     )
 
 
+#: Elements that a growing array gathers before they are put away.
+GATHERED = 64
+
+
+def gathering(kind: str) -> dict[str, Column]:
+    """Fields of an aggregate's state that gather elements of a type: into a short array, which is put away when it is full.
+
+    An array that grows by one element at a time is copied as often; so each element is copied GATHERED times at most, and
+    once for each GATHERED * GATHERED elements after it.
+    """
+    return {"_some": F.expr(f"cast(array() as array<{kind}>)"), "_away": F.expr(f"cast(array() as array<array<{kind}>>)")}
+
+
+def gather(acc: Column, element: Column, wanted: Column) -> list[Column]:
+    """The fields after an element, if it is wanted."""
+    some = F.when(wanted, F.concat(acc["_some"], F.array(element))).otherwise(acc["_some"])
+    full = F.size(acc["_some"]) >= GATHERED
+    # what is full is put away before the next element comes
+    return [F.when(full, F.when(wanted, F.array(element)).otherwise(F.slice(acc["_some"], 1, 0))).otherwise(some).alias("_some"), F.when(full, F.concat(acc["_away"], F.array(acc["_some"]))).otherwise(acc["_away"]).alias("_away")]
+
+
+def gathered(acc: Column) -> Column:
+    return F.concat(F.flatten(acc["_away"]), acc["_some"])
+
+
 def version_parts(version: str | Column) -> Column:
     """The numbers of a version such as v1.2.3; parts that are none (or of more than 32 bits) are passed over."""
     parts = F.split(F.regexp_replace(col(version), "^v+", ""), r"\.", -1)

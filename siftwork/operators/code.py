@@ -9,6 +9,7 @@ from pyspark.sql.types import IntegerType, StringType
 
 from ..functions import parsing
 from ..functions.scalars import est_chars4, saved_pct
+from ..shipping import bounded_batches
 
 SYMBOLS = "file_path string, ord int, name string, kind string, line int, end_line int, signature string, full_signature string, depth int, parent_ord int, ext boolean, content_hash string"
 OCCURRENCES = "file_path string, ord int, name string, line int, kind string, snippet string, is_def boolean"
@@ -22,6 +23,7 @@ def _rows(files: DataFrame, of, schema: str) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame([(p, *row) for p, t, lang in zip(pdf["file_path"], pdf["text"], pdf["lang"]) for row in of(t or "", lang)], columns=names)
 
+    bounded_batches(files.sparkSession)
     return files.select("file_path", "text", "lang").mapInPandas(run, schema)
 
 
@@ -43,17 +45,20 @@ def with_imports(files: DataFrame) -> DataFrame:
     def count(text: pd.Series, lang: pd.Series) -> pd.Series:
         return pd.Series([parsing.imports(t or "", g) for t, g in zip(text, lang)], dtype="int32")
 
+    bounded_batches(files.sparkSession)
     return files.withColumn("n_imports", count("text", "lang"))
 
 
-def skeletons(files: DataFrame) -> DataFrame:
-    """file_path, status (`ok` or `unsupported`, then the text as it is), skeleton, orig_tokens, opt_tokens, saved_pct."""
+def skeletons(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """file_path, status (`ok` or `unsupported`, then the text as it is), skeleton, orig_tokens, opt_tokens, saved_pct, and the columns of files to keep."""
+
     @F.pandas_udf(StringType())
     def build(text: pd.Series, lang: pd.Series) -> pd.Series:
         return pd.Series([parsing.skeleton(t or "", g) for t, g in zip(text, lang)], dtype=object)
 
-    rows = files.select("file_path", "text", build("text", "lang").alias("_skeleton"))
-    rows = rows.select("file_path", F.when(F.col("_skeleton").isNull(), "unsupported").otherwise("ok").alias("status"), F.coalesce("_skeleton", "text").alias("skeleton"), est_chars4("text").alias("orig_tokens"))
+    bounded_batches(files.sparkSession)
+    rows = files.select("file_path", *keep, "text", build("text", "lang").alias("_skeleton"))
+    rows = rows.select("file_path", *keep, F.when(F.col("_skeleton").isNull(), "unsupported").otherwise("ok").alias("status"), F.coalesce("_skeleton", "text").alias("skeleton"), est_chars4("text").alias("orig_tokens"))
     return rows.withColumn("opt_tokens", est_chars4("skeleton")).withColumn("saved_pct", F.round(saved_pct("orig_tokens", "opt_tokens"), 6))
 
 

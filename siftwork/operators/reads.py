@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.scalars import content_hash, est_chars4
+from ..shipping import bounded_batches
 
 #: Lines of context of a diff; longer contents are kept as a hash only, so they cannot be diffed.
 CONTEXT_LINES, MOST_KEPT = 3, 5 * 1024 * 1024
@@ -43,6 +44,7 @@ def smallest_text(status, content, diff):
 
 def read_results(reads: DataFrame, key: str = "key", order: str = "read_ord", content: str = "content") -> DataFrame:
     """reads with read_no, status, text, orig_tokens, opt_tokens. Only changed rows reach the diff."""
+    bounded_batches(reads.sparkSession)
     by = Window.partitionBy(key).orderBy(order)
     rows = statuses(reads, key, order, content).withColumn("_before", F.lag(content).over(by))
     kept = lambda c: F.when(F.length(c) <= MOST_KEPT, F.col(c))

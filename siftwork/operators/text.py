@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import col, est_chars4
+from ..functions.scalars import col, est_chars4, gather, gathered, gathering
 
 #: The most lines and characters of a page, and the lines that a fallback shows after its first.
 PAGE_LINES, PAGE_CHARS, FALLBACK_LINES = 40, 2500, 40
@@ -69,7 +69,7 @@ def next_page(last: Column, end: Column, most_lines: int = PAGE_LINES) -> tuple[
 
 def page_starts(lines: Column, most_lines: int = PAGE_LINES, most_chars: int = PAGE_CHARS) -> Column:
     """The first line of every page, in order."""
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("chars"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("chars"), F.lit(0).alias("at"), *(x.alias(n) for n, x in gathering("int").items()))
 
     def step(acc, x):
         fits = (acc["n"] > 0) & (acc["n"] < most_lines) & (acc["chars"] + F.length(x) <= most_chars)
@@ -77,10 +77,10 @@ def page_starts(lines: Column, most_lines: int = PAGE_LINES, most_chars: int = P
             F.when(fits, acc["n"] + 1).otherwise(1).alias("n"),
             F.when(fits, acc["chars"] + F.length(x) + 1).otherwise(F.length(x) + 1).alias("chars"),
             (acc["at"] + 1).alias("at"),
-            F.when(fits, acc["starts"]).otherwise(F.concat(acc["starts"], F.array(acc["at"] + 1))).alias("starts"),
+            *gather(acc, acc["at"] + 1, ~fits),
         )
 
-    return F.aggregate(lines, start, step, lambda acc: acc["starts"])
+    return F.aggregate(lines, start, step, gathered)
 
 
 def first_page(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -311,9 +311,8 @@ def _symbols_sql(language: str) -> str:
 
 def _register(language: str) -> None:
     def skeletons(spark, sf_dir):
-        files = modules(spark, sf_dir, language)
-        found = code.skeletons(files).select("file_path", "status", "skeleton", "orig_tokens", "opt_tokens")
-        return found.join(code.with_imports(files).select("file_path", "n_imports"), "file_path")
+        files = code.with_imports(modules(spark, sf_dir, language))
+        return code.skeletons(files, ("n_imports",)).select("file_path", "status", "skeleton", "orig_tokens", "opt_tokens", "n_imports")
 
     def symbols(spark, sf_dir):
         return code.symbols(modules(spark, sf_dir, language)).select("file_path", "name", "kind", "line", "end_line")

@@ -41,3 +41,11 @@ def ship(spark: SparkSession) -> None:
         return
     context.addPyFile(_zipped(place))
     _SENT.add(context.applicationId)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
+    """Bounds the Arrow batches of the session's Python workers by rows and bytes, as texts may be long; bounds that are lower already are left."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)):
+        now = str(spark.conf.get(key, None) or "").rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))

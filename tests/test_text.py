@@ -105,3 +105,23 @@ def test_exact_counts(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tokens.count("t", path=path).alias("n"), tokens.count("t", "claude").alias("e")).orderBy("i").collect()
     assert [r["n"] for r in rows] == [None if t is None else len(by.encode(t, add_special_tokens=False).ids) for t in texts]
     assert [r["e"] for r in rows] == [None if t is None else 0 if not t else max(1, int(len(t) / 3.3)) for t in texts]
+
+
+def test_many_pages_start_where_a_plain_pass_says(spark):
+    """More pages than are gathered at once."""
+    from pyspark.sql import functions as F
+
+    from siftwork.functions import scalars
+    from siftwork.operators import text
+
+    n = scalars.GATHERED * 9 + 5
+    lines = ["x" * (i % 7) for i in range(n * 3)]
+    starts, held, chars = [], 0, 0
+    for i, x in enumerate(lines):
+        if held and held < 3 and chars + len(x) <= 9:
+            held, chars = held + 1, chars + len(x) + 1
+        else:
+            starts.append(i + 1)
+            held, chars = 1, len(x) + 1
+    got = spark.createDataFrame([(lines,), ([],)], "lines array<string>").select(text.page_starts(F.col("lines"), 3, 9).alias("s")).collect()
+    assert got[0]["s"] == starts and len(starts) > n and got[1]["s"] == []
