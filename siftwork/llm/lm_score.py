@@ -364,20 +364,21 @@ def _stepped(step: float):
                 which, rows = block // BLOCKS, _rows(block)
                 shape = (rows.stop - rows.start, SHAPES[which][1])
                 size = shape[0] * shape[1]
-                both = sums.setdefault(block, np.zeros((1 + (which < 2), *shape)))
+                # counts stay whole numbers, as they grow with the corpus
+                both = sums.setdefault(block, np.zeros((2, *shape)) if which < 2 else np.zeros((1, *shape), np.int64))
                 both[0] += np.frombuffer(payload, np.int32, size).reshape(shape)
                 if which < 2:
                     both[1] += np.frombuffer(payload, np.float32, size, 4 * size).reshape(shape)
         for block, both in sums.items():
-            out = change(*both, step) if len(both) > 1 else both[0]
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([out.astype(np.float32).tobytes()], pa.binary())], ["block", "payload"])
+            out = change(*both, step).astype(np.float32) if len(both) > 1 else both[0]
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["block", "payload"])
 
     return run
 
 
 def train(texts: DataFrame, vocabulary) -> tuple[Model, np.ndarray]:
     """The weights, and the counts of words before tail classes. texts: slice (0 to SLICES - 1), text. vocabulary: broadcast."""
-    context, model, contexts, done = texts.sparkSession.sparkContext, Model(), np.zeros(SHAPES[2], np.float32), 0
+    context, model, contexts, done = texts.sparkSession.sparkContext, Model(), np.zeros(SHAPES[2], np.int64), 0
     for r, share in enumerate(ROUNDS):
         sent = context.broadcast((model.classes, model.words)) if r else None
         tasks = min(TRAIN_TASKS, math.ceil(vocabulary.value.tokens * share / SLICES / TRAIN_TOKENS) or 1)
@@ -386,7 +387,7 @@ def train(texts: DataFrame, vocabulary) -> tuple[Model, np.ndarray]:
         steps = summed.repartition(min(BLOCKS, 4 * tasks), "block").mapInArrow(_stepped(STEP if r else FIRST), "block int, payload binary")
         for block, payload in steps.collect():  # of fixed size: the weights and the counts
             table, rows = (model.classes, model.words, contexts)[block // BLOCKS], _rows(block)
-            table[rows] += np.frombuffer(payload, np.float32).reshape(-1, table.shape[1])
+            table[rows] += np.frombuffer(payload, table.dtype).reshape(-1, table.shape[1])
         for table in (model.classes, model.words):
             np.clip(table, -MOST, MOST, out=table)
         done += share
