@@ -523,7 +523,7 @@ def _written_stream(spark, stream: DataFrame, **how) -> DataFrame:
     """The rows that a stream writes to the shared folder while it takes what there is."""
     import uuid
 
-    place = f"{sources.shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    place = f"{sources.own_folder(spark)}/streams/{uuid.uuid4().hex}"
     run = stream.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{place}/rows")
@@ -549,7 +549,7 @@ def savings_stream(spark, sf_dir):
 
     from ..streaming.reads import running_savings
 
-    place = f"{sources.shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    place = f"{sources.own_folder(spark)}/streams/{uuid.uuid4().hex}"
     sums = running_savings(_event_stream(spark, sf_dir).selectExpr(*SAVINGS.split(", CAST")[:1], *("CAST" + x for x in SAVINGS.split(", CAST")[1:])))
     write = lambda rows, _: rows.write.mode("overwrite").parquet(f"{place}/totals")
     sums.writeStream.foreachBatch(write).option("checkpointLocation", f"{place}/state").outputMode("complete").trigger(availableNow=True).start().awaitTermination()

@@ -123,7 +123,7 @@ def symbol_suggest_many(spark, sf_dir):
 
 
 def _index(spark, sf_dir) -> symbol_join.NameIndex:
-    path = f"{sources.shared_folder(spark)}/names/{uuid.uuid4().hex}"
+    path = f"{sources.own_folder(spark)}/names/{uuid.uuid4().hex}"
     symbol_join.write_index(c.part_symbols(spark, sf_dir), path)
     return symbol_join.NameIndex(spark, path)
 
@@ -152,7 +152,7 @@ def search_cascade_indexed(spark, sf_dir):
 def _order_store(spark, sf_dir) -> store.Store:
     """The index of orders as a stored table: one row a file."""
     rows = c.order_index(spark, sf_dir)
-    table_ = store.Store(spark, f"{sources.shared_folder(spark)}/stores/{uuid.uuid4().hex}", rows.schema, ["project_root", "file_path"])
+    table_ = store.Store(spark, f"{sources.own_folder(spark)}/stores/{uuid.uuid4().hex}", rows.schema, ["project_root", "file_path"])
     table_.upsert(rows, F.struct("mtime", "id"))
     return table_
 
@@ -193,7 +193,7 @@ def index_stream_search(spark, sf_dir):
     """Walk, index and search as one: documents arrive as a stream, each batch replaces its files' occurrences in the store, and a search reads the store."""
     from ..streaming.index import keep_indexed
 
-    place = f"{sources.shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    place = f"{sources.own_folder(spark)}/streams/{uuid.uuid4().hex}"
     docs = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/document[s].parquet")
     docs = docs.select(F.col("doc_id").cast("string").alias("file_path"), "text")
     rows = keep_indexed(docs, f"{place}/index", f"{place}/state")
@@ -206,7 +206,7 @@ def savings_store(spark, sf_dir):
     """Sums of a stream of savings in a store that takes each batch once."""
     from ..streaming.index import keep_savings
 
-    place = f"{sources.shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    place = f"{sources.own_folder(spark)}/streams/{uuid.uuid4().hex}"
     rows = c._event_stream(spark, sf_dir).selectExpr(*c.SAVINGS.split(", CAST")[:1], *("CAST" + x for x in c.SAVINGS.split(", CAST")[1:]))
     return keep_savings(rows, f"{place}/sums", f"{place}/state").read()
 
@@ -232,7 +232,7 @@ def read_cache_expiry(spark, sf_dir):
     """Statuses of a stream of reads whose entries expire six hours after a key's last read."""
     from ..streaming import cache
 
-    place = f"{sources.shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    place = f"{sources.own_folder(spark)}/streams/{uuid.uuid4().hex}"
     with cache.rocksdb(spark):
         return _run_cached(spark, cache.cached_reads(_timed_reads(c._event_stream(spark, sf_dir)), "6 hours"), place)
 
@@ -244,7 +244,7 @@ def read_cache_restart(spark, sf_dir):
     """A stream whose entries are published to a store, and a new stream, of the same reads once more, that starts from that store."""
     from ..streaming import cache
 
-    place = f"{sources.shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    place = f"{sources.own_folder(spark)}/streams/{uuid.uuid4().hex}"
     with cache.rocksdb(spark):
         reads = _timed_reads(c._event_stream(spark, sf_dir))
         _run_cached(spark, cache.cached_reads(reads), f"{place}/first")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import json
 import tomllib
 import uuid
@@ -163,10 +165,33 @@ def shared_folder(spark: SparkSession) -> str:
     return place.rstrip("/") + "/siftwork"
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder, which is deleted when the driver ends, or by clean()."""
+    place = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-core"
+    if place not in _OWN:
+        _OWN.add(place)
+        atexit.register(_deleted, spark, place)
+    return place
+
+
+_OWN: set[str] = set()
+
+
+def _deleted(spark: SparkSession, place: str) -> None:
+    with contextlib.suppress(Exception):  # at the end the JVM may be gone
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes what this application's core operators and queries have written; call it when the results are used up."""
+    _deleted(spark, own_folder(spark))
+
+
 def written(table: DataFrame) -> DataFrame:
     """The table, written to the shared folder and read again: what follows reads it instead of computing it anew, and no executor's loss costs it."""
     spark = table.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-core/{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{uuid.uuid4().hex}"
     table.write.parquet(path)
     return spark.read.schema(table.schema).parquet(path)
 
