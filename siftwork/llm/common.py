@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import contextvars
 import ctypes
@@ -32,7 +33,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _tables(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/siftwork/{spark.sparkContext.applicationId}"
+    """This application's tables, which are deleted when the driver ends, or by clean()."""
+    place = f"{shared_dir(spark)}/siftwork/{spark.sparkContext.applicationId}"
+    if place not in _PLACES:
+        _PLACES.add(place)
+        atexit.register(_delete_at_exit, spark, place)
+    return place
+
+
+_PLACES: set[str] = set()
+
+
+def _delete_at_exit(spark: SparkSession, place: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        _delete(spark, place)
 
 
 #: Folders inside which this thread writes tables now, the innermost last.
