@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import base_name, in_skipped_folder, is_binary, is_secret
 from ..functions.scalars import est_chars4
+from ..sources.files import written
 
 #: Weights of the score; names that tell nothing.
 PER_SYMBOL, PER_IMPORT, FOCUS, PER_LINE, PER_INBOUND = 10, 5, 100, -0.001, 12
@@ -57,7 +58,9 @@ def inbound(files: DataFrame, named: DataFrame) -> DataFrame:
     begun = places.join(keyed.groupBy("key").agg(F.collect_set(F.length("part")).alias("_ends")), "key")
     parts = begun.select("word", "_at", F.explode("_ends").alias("_n")).filter(F.col("_at") + F.col("_n") <= F.length("word") + 1)
     parts = parts.select("word", F.substring("word", F.col("_at"), F.col("_n")).alias("part"))
-    match = parts.join(keyed, "part").select("word", "name", "def_file", "plain").distinct()
+    # written, so its size is known: if it is small it is broadcast, and the words of files, of which a common one is in most, are not
+    # dealt by word; if it is not, Spark splits the words that many files share
+    match = written(parts.join(keyed, "part").select("word", "name", "def_file", "plain").distinct())
     held = words.join(match, "word").filter(F.col("file_path") != F.col("def_file")).select("file_path", "name", "def_file", "plain").distinct()
     odd = held.filter("NOT plain").join(files.select("file_path", "text"), "file_path").filter(F.col("text").contains(F.col("name")))
     every = held.filter("plain").select("name", "def_file").unionByName(odd.select("name", "def_file"))
@@ -85,8 +88,6 @@ def within_budget(files: DataFrame, budget: int, header: int, order: str = "file
         top = files.orderBy(*best).limit(max(0, budget))
         placed = top.withColumn("place", F.row_number().over(by)).withColumn("spent", F.lit(header) + F.sum("tokens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
         return placed.filter(F.col("spent") <= budget)
-    from ..sources.files import written
-
     # a range's number and a file's place in it, in one number
     rows = written(written(files).repartitionByRange(*best).sortWithinPartitions(*best).withColumn("_at", F.monotonically_increasing_id()))
     rows = rows.withColumn("_range", F.shiftright("_at", 33))

@@ -91,9 +91,9 @@ def ansi_strip(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", scalars.content_hash(scalars.strip_ansi(F.expr(ESCAPED))).alias("clean_hash"))
 
 
-@query("SELECT doc_id, sha256(text) AS content_hash, substr(sha256(text), 1, 16) AS short_hash, regexp_replace(text[1:40], '^\\s+|\\s+$', '', 'g') AS snippet FROM documents")
+@query("SELECT doc_id, sha256(text) AS content_hash, substr(sha256(text), 1, 16) AS short_hash, md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS trimmed_hash FROM documents")
 def content_hashes(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", scalars.content_hash("text").alias("content_hash"), scalars.short_hash("text").alias("short_hash"), scalars.trim_ws(F.substring("text", 1, 40)).alias("snippet"))
+    return documents(spark, sf_dir).select("doc_id", scalars.content_hash("text").alias("content_hash"), scalars.short_hash("text").alias("short_hash"), F.md5(scalars.trim_ws("text")).alias("trimmed_hash"))
 
 
 # --- paths --------------------------------------------------------------------------------------------------------
