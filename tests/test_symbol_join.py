@@ -13,8 +13,8 @@ from siftwork.operators import search, symbol_join
 def names(spark):
     r = random.Random(2)
     parts = ["get", "set", "User", "name", "HTTP", "server", "parse", "_", "-", "x", "id", "Ü", "tok", "en"]
-    out = {"".join(r.choice(parts) for _ in range(r.randint(1, 6))) for _ in range(500)}
-    out |= {"".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(1, 14))) for _ in range(400)}
+    out = {"".join(r.choice(parts) for _ in range(r.randint(1, 6))) for _ in range(300)}
+    out |= {"".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(1, 14))) for _ in range(250)}
     out |= {"a", "b", "ab", "ba", "aa", "abc", "_", "__", "A_b", "aaaa", "aaaab", "a" * 70, "ab" * 45, "ab" * 30, "abc" * 20, "z" * 33 + "ab" * 16, "100%", "a\\b", "per%cent", "under_score"}
     return spark.createDataFrame([(n, f"f{i % 9}", i) for i, n in enumerate(sorted(out))] + [(None, "f", 1), ("", "f", 2), ("ab", "f0", 3)], "name string, file_path string, line int")
 
@@ -26,18 +26,18 @@ def queries(spark, names):
     return spark.createDataFrame([(q,) for q in [*known[:40], *typos, "a", "ab", "zz", "a" * 66, "ab" * 40, "z" * 30, "GETUSERNAME", "", None]], "name string")
 
 
-@pytest.mark.parametrize("least", [0.4, 0.5, 0.8])
+@pytest.mark.parametrize("least", [0.4, 0.5])
 def test_join_equals_all_pairs(spark, names, queries, least):
     q, n = queries.filter("name <> ''").distinct().withColumnRenamed("name", "query"), names.select("name").filter("name <> ''").distinct()
     every = q.crossJoin(n)
     want = {(r["query"], r["name"], r["score"]) for r in every.withColumn("score", F.round(similarity("query", "name"), 6)).filter(F.col("score") >= least).collect()}
     got = [tuple(r) for r in symbol_join.similar_pairs(queries, names, least).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
-    assert symbol_join.candidates(queries, names, least).count() < [0.7, 0.5, 0.2][[0.4, 0.5, 0.8].index(least)] * every.count()
+    assert symbol_join.candidates(queries, names, least).count() < {0.4: 0.7, 0.5: 0.5}[least] * every.count()
 
 
 def test_many_queries_equal_one_by_one(names, queries):
-    some = [r["name"] for r in queries.filter("length(name) > 3").orderBy("name").limit(4).collect()]
+    some = [r["name"] for r in queries.filter("length(name) > 3").orderBy("name").limit(2).collect()]
     many = symbol_join.fuzzy_many(names, queries).collect()
     told = symbol_join.suggest_many(names, queries).collect()
     for q in some:
