@@ -70,11 +70,14 @@ CONTRACT = {
     "op8": {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"},
     "op9": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
     "op10": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"},
+    "op11": {"doc_id": "bigint", **dict.fromkeys(("leaf", "subroot", "root", "proof_sha256", "folded_root"), "string"), "verified": "boolean"},
+    "op12": {"part": "string", "filter_order": "string", "step": "int", **dict.fromkeys(("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"), "bigint")},
+    "op13": dict.fromkeys(("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"), "bigint"),
 }
 
 
 def test_all_are_registered():
-    assert [sum(n.startswith(f"op{i}_") for n in NAMES) for i in range(1, 11)] == [1] * 10 and "pipeline" in NAMES
+    assert [sum(n.startswith(f"op{i}_") for n in NAMES) for i in range(1, 14)] == [1] * 13 and "pipeline" in NAMES
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -223,6 +226,32 @@ def test_op10(spark, folder):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == plain_groups(rows, 3, 90, 100)
 
 
+def test_op11(spark, folder):
+    from test_manifests import plain_manifest
+
+    rows = [(i, s, g, len(t or ""), t) for i, t, g, s in all_rows()]
+    got = run(spark, "op11_merkle_manifest", folder).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified").collect()
+    assert sorted(map(tuple, got), key=str) == plain_manifest(rows)
+
+
+def test_op12(spark, folder):
+    from test_manifests import plain_audit
+
+    names = ("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+    got = run(spark, "op12_filter_audit", folder).select(*names).collect()
+    assert sorted(map(tuple, got)) == plain_audit([(i, s, t) for i, t, _, s in all_rows()], {i: (i % 2, 0) for i in range(90)})
+
+
+def test_op13(spark, folder):
+    from test_manifests import check_packing
+
+    texts = collections.defaultdict(list)
+    for i, t, *_ in all_rows():
+        texts[i].append(t)
+    got = run(spark, "op13_packing", folder).collect()
+    assert check_packing(got, texts) < 2048 + 0.01 * sum(r["length"] for r in got)
+
+
 def test_package_reaches_workers_of_a_session_started_elsewhere(folder, tmp_path):
     """A process in another folder, which finds the entry by its path only."""
     import os
