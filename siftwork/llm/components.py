@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import hot_join, materialize
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -14,6 +14,12 @@ def _stars(edges: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.sum("n").alias("n"), F.min("n").alias("least")).filter("n > 1 OR n = 1 AND least = 0").isEmpty()
 
 
+def _with_least(links: DataFrame) -> DataFrame:
+    """links (a, b), read from written tables, with m: the least of a and all b of the same a. A hub of many links does not meet in one task."""
+    least = links.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("a", "m"))
+    return hot_join(links, least, "a", "n", links.count()).drop("n")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) for the nodes of edges (a: long, b: long).
 
@@ -24,11 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = materialize(large)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        met = large.join(least, "a")
-        small = met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+        large = _with_least(both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        met = _with_least(materialize(large))
+        small = met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(met.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         edges = materialize(small)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -634,6 +634,34 @@ def test_components(spark):
         assert got[x] == min(seen)
 
 
+def test_a_hub_of_links_is_spread_over_tasks(spark, monkeypatch):
+    """Stars about their least and about their greatest node, the latter linked to each other."""
+    from siftwork.llm import components as c, common
+
+    n, seen = 20_000, []
+    low = spark.range(1, n).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+    high = spark.range(n, 2 * n).select(F.lit(3 * n).cast("long").alias("a"), F.col("id").alias("b"))
+    joined = c._with_least
+
+    def watched(links):
+        out = joined(links)
+        of_hubs = out.filter(F.col("a").isin(0, 3 * n)).groupBy("a", F.spark_partition_id().alias("task")).count()
+        seen.extend(of_hubs.groupBy("a").agg(F.sum("count"), F.max("count")).filter("sum(count) > 1000").collect())
+        return out
+
+    monkeypatch.setattr(c, "_with_least", watched)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+            spark.conf.set(k, v)
+        got = c.components(common.materialize(low.unionByName(high).unionByName(spark.createDataFrame([(n + 5, 7)], "a long, b long")).repartition(6)))
+        assert got.agg(F.count("*"), F.max("root")).first()[:] == (2 * n + 1, 0)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r[0] for r in seen} == {0, 3 * n} and all(r[2] <= 0.5 * r[1] for r in seen)
+
+
 # --- queries and pipeline ---
 
 
