@@ -375,6 +375,30 @@ def test_decontaminate_keeps_clean_rows_without_or_with_repeated_ids(spark):
 # --- 5, 6 ---
 
 
+def plain_quality(model, text):
+    """The score of one text by the network's formulas, a passage and a word at a time."""
+    found = [w for w in re.split(r"[\t-\r ]+", text or "") if w]
+    if not found:
+        return model.prior
+    low, passages = [w.lower() for w in found], []
+    for at in range(0, len(found), quality.PASSAGE):
+        end, rows = min(at + quality.PASSAGE, len(found)), []
+        for w in found[at:end]:
+            h, signs = int(pd.util.hash_array(np.array([w.lower()], object), categorize=False)[0]), [0] * quality.HASHED
+            signs[h % quality.HASHED] = 1 if h >> 63 else -1
+            shares = [len(re.findall(c, w)) / len(w) for c in ("[A-Z\xc0-\xde]", "[0-9]", r"[|#$%&*!<>{}=+~^@_\\/]", "[.,;:?]", r"[^\x00-\x7F]")]
+            rows.append([min(len(w), 40) / 10, len(w) <= 3, *shares, *signs])
+        again = sum(i > 0 and low[i] == low[i - 1] for i in range(at, end))
+        passages.append([*np.mean(rows, 0), np.std([r[0] for r in rows]), again / (end - at), len(set(low[at:end])) / (end - at), math.log1p(end - at) / 4])
+    p, weights, encoded = model.p, [], []
+    for x in np.clip((np.array(passages) - model.mean) / model.scale, -5, 5):
+        h = np.tanh(x @ p["W"] + p["b"])
+        weights.append(math.exp((np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"])))) @ p["w"]))
+        encoded.append(h)
+    z = sum(w * h for w, h in zip(weights, encoded)) / sum(weights)
+    return 1 / (1 + math.exp(-float(z @ p["c"] + p["c0"][0])))
+
+
 def test_quality(spark, sf, docs, none):
     d = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
     labels = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/labels.parquet")
@@ -384,6 +408,8 @@ def test_quality(spark, sf, docs, none):
     out = quality.scored(docs, model)
     assert out.count() == docs.count() and out.filter("score < 0 OR score > 1 OR score IS NULL").count() == 0
     assert out.select("doc.*").columns == docs.columns
+    for text, score in out.select("doc.text", "score").collect():
+        assert abs(score - plain_quality(model, text)) < 2e-3
     none_learned = quality.fit(docs, spark.createDataFrame([(1, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int"), F.lit(True))
     assert {r[0] for r in quality.scored(docs, none_learned).select("score").collect()} == {0.5}
     assert quality.scored(none, model).count() == 0
@@ -472,6 +498,31 @@ def test_sharding(docs, pdf, none, monkeypatch):
     assert sharding.with_shards(none, 4).count() == 0
 
 
+def plain_shards(sizes, parts):
+    """The part of each item of {item: size}: the two partial partitions of largest spread are combined, oppositely ordered; ties go by age."""
+    partial = [(size, -i, [(size, [item])] + [(0, [])] * (parts - 1)) for i, (item, size) in enumerate(sorted(sizes.items(), key=lambda g: (-g[1], g[0])))]
+    age = len(partial)
+    while len(partial) > 1:
+        partial.sort(key=lambda p: p[:2])
+        one, other = partial.pop()[2], partial.pop()[2]
+        both = sorted(((s + t, a + b) for (s, a), (t, b) in zip(one, reversed(other))), key=lambda x: -x[0])
+        both = [(s - both[-1][0], items) for s, items in both]
+        partial.append((both[0][0], -age, both))
+        age += 1
+    return {item: part for part, (_, items) in enumerate(partial[0][2]) for item in items}
+
+
+@pytest.mark.parametrize("parts", [2, 8])
+def test_shards_equal_plain_differencing(docs, pdf, parts):
+    digest = lambda t: hashlib.sha256((t or "").encode()).digest()
+    sizes = collections.Counter()
+    for t in pdf["text"]:
+        sizes[digest(t)] += len((t or "").encode()) + 1
+    want = plain_shards(sizes, parts)
+    got = sharding.with_shards(docs, parts).select("text", "shard").collect()
+    assert len(got) == len(pdf) and all(r["shard"] == want[digest(r["text"])] for r in got)
+
+
 # --- 9 ---
 
 
