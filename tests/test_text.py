@@ -125,3 +125,18 @@ def test_many_pages_start_where_a_plain_pass_says(spark):
             held, chars = 1, len(x) + 1
     got = spark.createDataFrame([(lines,), ([],)], "lines array<string>").select(text.page_starts(F.col("lines"), 3, 9).alias("s")).collect()
     assert got[0]["s"] == starts and len(starts) > n and got[1]["s"] == []
+
+
+def test_words_of_a_long_line_cost_no_search_each(spark):
+    """A line of many words, one of them called; its text is kept once a line."""
+    import time
+
+    from siftwork.operators import search
+
+    line = " ".join(f"w{i}" for i in range(40_000)) + " xrun(1) run2 ("
+    rows = spark.createDataFrame([(1, line), (2, "run from here"), (3, "import a\nrun (x) orun(y) ÿrun(z)")], "doc_id int, text string")
+    began = time.time()
+    got = search.words_as_occurrences(rows).groupBy("file_path", "line", "kind").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.when(F.col("kind") == "CALL", F.col("name")))).alias("called")).collect()
+    assert time.time() - began < 30
+    assert {(r["file_path"], r["line"], r["kind"]): r["n"] for r in got} == {(1, 1, "USAGE"): 40_002, (1, 1, "CALL"): 1, (2, 1, "IMPORT"): 3, (3, 1, "IMPORT"): 2, (3, 2, "USAGE"): 3, (3, 2, "CALL"): 3}
+    assert search.word_lines(rows).count() == 4
