@@ -178,3 +178,9 @@ def test_smart_read(spark):
     assert [got[i]["status"] for i in (6, 7, 8, 9, 11, 12)] == ["DIRECTORY", "SECRET", "FULL", "BINARY", "TOO_LARGE", "MISSING"]
     assert (got[10]["status"], got[10]["detail"], got[10]["body"]) == ("LOCKFILE", "found", "a@1:\n  v")
     assert got[13]["detail"] == "NOT_FOUND"
+
+
+def test_context_of_one_line_by_lines(spark):
+    df = spark.createDataFrame([("go.sum", "a" * 500 + " Needle " + "b" * 500, "needle"), ("go.sum", "1\nneedle\n3", "needle")], "file_name string, content string, query string")
+    got = [r["context"] for r in lockfile.ask(df, whole_lines=True).orderBy(F.desc(F.length("content"))).collect()]
+    assert [(r["first"], r["last"]) for r in got] == [(1, 1), (1, 3)] and len(got[0]["body"]) == 1008
