@@ -15,6 +15,11 @@ SYMBOLS = "file_path string, ord int, name string, kind string, line int, end_li
 OCCURRENCES = "file_path string, ord int, name string, line int, kind string, snippet string, is_def boolean"
 
 
+def _spread(files: DataFrame) -> DataFrame:
+    """The files dealt to as many tasks as a shuffle has: parsing costs far more than reading, and a table that is small on disk is read by a few tasks."""
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _rows(files: DataFrame, of, schema: str) -> DataFrame:
     """of(text, lang) -> tuples, each given its file_path in front."""
     names = [c.split()[0] for c in schema.split(", ")]
@@ -24,7 +29,7 @@ def _rows(files: DataFrame, of, schema: str) -> DataFrame:
             yield pd.DataFrame([(p, *row) for p, t, lang in zip(pdf["file_path"], pdf["text"], pdf["lang"]) for row in of(t or "", lang)], columns=names)
 
     bounded_batches(files.sparkSession)
-    return files.select("file_path", "text", "lang").mapInPandas(run, schema)
+    return _spread(files.select("file_path", "text", "lang")).mapInPandas(run, schema)
 
 
 def symbols(files: DataFrame) -> DataFrame:
@@ -57,7 +62,7 @@ def skeletons(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         return pd.Series([parsing.skeleton(t or "", g) for t, g in zip(text, lang)], dtype=object)
 
     bounded_batches(files.sparkSession)
-    rows = files.select("file_path", *keep, "text", build("text", "lang").alias("_skeleton"))
+    rows = _spread(files.select("file_path", *keep, "text", "lang")).select("file_path", *keep, "text", build("text", "lang").alias("_skeleton"))
     rows = rows.select("file_path", *keep, F.when(F.col("_skeleton").isNull(), "unsupported").otherwise("ok").alias("status"), F.coalesce("_skeleton", "text").alias("skeleton"), est_chars4("text").alias("orig_tokens"))
     return rows.withColumn("opt_tokens", est_chars4("skeleton")).withColumn("saved_pct", F.round(saved_pct("orig_tokens", "opt_tokens"), 6))
 
@@ -68,7 +73,8 @@ def symbol_ranges(files: DataFrame, name: str) -> DataFrame:
 
     found = symbols(files.filter(F.col("text").contains(name))).filter(F.col("name") == name)
     first = found.groupBy("file_path").agg(F.min_by(F.struct("line", "end_line", "kind"), "ord").alias("_d")).select("file_path", "_d.*")
-    met = files.select("file_path", "text").join(first, "file_path")
+    # texts may be far larger than Spark expects of columns that are made, so neither side is broadcast
+    met = files.select("file_path", "text").join(first.hint("merge"), "file_path")
     body = F.array_join(F.slice(lines_of("text"), F.col("line"), F.col("end_line") - F.col("line") + 1), "\n")
     return met.select("file_path", "line", "end_line", "kind", body.alias("implementation"))
 
@@ -78,6 +84,6 @@ def get_symbol(files: DataFrame, name: str) -> DataFrame:
     from .search import suggest
 
     near = suggest(symbols(files), name).groupBy("file_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]).alias("_near"))
-    rows = files.select("file_path").join(symbol_ranges(files, name), "file_path", "left").join(near, "file_path", "left")
+    rows = files.select("file_path").join(symbol_ranges(files, name).hint("merge"), "file_path", "left").join(near.hint("merge"), "file_path", "left")
     missing = F.col("line").isNull()
     return rows.withColumn("status", F.when(missing, "missing").otherwise("found")).withColumn("suggestions", F.when(missing, F.coalesce("_near", F.expr("cast(array() as array<string>)")))).drop("_near")

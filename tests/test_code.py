@@ -1,5 +1,7 @@
 """Parsing: symbols, skeletons, references."""
 
+import re
+
 import pytest
 
 from siftwork.functions import parsing
@@ -65,3 +67,21 @@ def test_references_and_blast(spark):
     files = spark.createDataFrame(rows, "file_path string, text string, lang string")
     out = search.blast_radius(code.occurrences(files, "f"), code.symbols(files), "f").collect()
     assert [(r["file_path"], r["line"], r["kind"], r["total_refs"], r["total_files"]) for r in out] == [("b.py", 1, "IMPORT", 2, 1), ("b.py", 3, "CALL", 2, 1)]
+
+
+def test_parsing_is_dealt_to_many_tasks_and_no_text_is_broadcast(spark):
+    """Of a small table that a few tasks read, whose columns are made, so Spark expects little of them."""
+    from pyspark.sql import functions as F
+
+    from siftwork.operators import code, repomap
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = spark.range(0, 40, 1, 1).select(F.concat(F.lit("m"), "id", F.lit(".py")).alias("file_path"), F.concat(F.lit("import os\ndef run"), "id", F.lit("():\n    pass\n")).alias("text"), F.lit("python").alias("lang"))
+    for rows in (code.symbols(made), code.skeletons(made)):
+        assert rows.select(F.spark_partition_id().alias("p")).distinct().count() == tasks
+    kept = repomap.repo_map(made.withColumn("n_imports", F.lit(1)), code.symbols(made))
+    for rows in (kept, code.get_symbol(made, "rum7"), code.symbol_ranges(made, "run7")):
+        assert rows.count() > 0
+        # what is broadcast is a name's file or a word's match, never a file's body, text or suggestions
+        for sent in rows._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[1:]:
+            assert not {"_body", "text", "implementation", "_near"} & set(re.findall(r"[_a-z]+", sent.split("\n", 2)[1]))
