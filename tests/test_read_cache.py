@@ -62,3 +62,26 @@ def test_a_stream_starts_from_stored_entries(spark, stream, tmp_path):
     assert {r["key"]: r["read_no"] for r in stored.read().collect()} == {"a": 3, "b": 4, "c": 1}
     expired, _ = run("three", start=stored.read().withColumn("last_us", F.lit(0).cast("long")), keep="2 hours")
     assert expired[0] == ("a", 1, 1, FIRST)
+
+
+def test_keys_of_a_bucket_share_a_group(spark, stream, tmp_path, monkeypatch):
+    put, run = stream
+    monkeypatch.setattr(cache, "BUCKETS", 2)
+    name, was = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(name, "7")  # a bucket's reads and entries come in several batches
+    try:
+        put([(f"k{i % 20}", i, at(i / 10), f"{i // 40}") for i in range(100)])
+        first, entries = run("one")
+        held = spark.read.format("statestore").option("path", str(tmp_path / "one" / "state")).option("stateVarName", cache.STATE).load()
+        assert held.select("key").distinct().count() == 2 and entries.count() == 20
+        again, _ = run("two", start=entries)
+        put([("k3", 200, at(30), "x")])
+        put([("k3", 201, at(31), "x"), ("k4", 202, at(31), None)])
+        _, after = run("three", keep="3 hours")
+    finally:
+        spark.conf.set(name, was)
+    status = lambda i: FIRST if i < 20 else CHANGED if i // 40 != (i - 20) // 40 else UNCHANGED
+    assert first == sorted((f"k{i % 20}", i, i // 20 + 1, status(i)) for i in range(100))
+    assert again == sorted((f"k{i % 20}", i, i // 20 + 6, CHANGED if i < 20 else status(i)) for i in range(100))
+    # a bucket's timer leaves the entries whose time has not come
+    assert {(r["key"], r["read_no"]) for r in after.collect()} == {("k3", 2), ("k4", 1)}
