@@ -94,3 +94,30 @@ def test_a_file_of_many_splits(spark, tmp_path):
 def test_no_lines(given):
     out, told = logscan.prune_lines(lines_of(given, 3).limit(0), given)
     assert out.count() == 0 and told.count() == 0 and logscan.guarded(lines_of(given, 3).limit(0)).count() == 0
+
+
+def test_a_task_sorts_a_bounded_part_and_lines_move_once(given, monkeypatch):
+    lines = lines_of(given, 3)
+    monkeypatch.setattr(logscan, "TASK_LINES", 100)
+    assert logscan._dealt(lines).rdd.getNumPartitions() == -(-lines.count() // 100) > 4
+    placed = logscan._placed(lines)
+    known = logscan._chunks(placed).select("log_id", "chunk", "first")
+    plan = lambda: logscan._with_chunks(placed, known)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan() and "BroadcastHashJoin" in plan()
+    few = logscan._with_chunks(placed, known).count()
+    monkeypatch.setattr(logscan, "SENT_CHUNKS", 10)  # more chunks than are sent: the lines are dealt as before
+    assert "BroadcastHashJoin" not in plan() and logscan._with_chunks(placed, known).count() == few == lines.count()
+    test_scan_equals_the_row_form(given, 3)
+
+
+def test_totals_are_taken_without_a_sort_of_lines(spark, given):
+    placed = logscan._placed(lines_of(given, 3))
+    chunks = logscan._chunks(placed)
+    kinds = logscan._kinds(placed, chunks, given)
+    totals, plans = logscan.written, []
+    try:
+        logscan.written = lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), totals(df))[1]
+        logscan._totals(logscan._scanned(placed, chunks.select("log_id", "chunk", "first", *(f"start_{k}" for k in logscan.EVENTS)).join(kinds.select("log_id", "kind"), "log_id"))).collect()
+    finally:
+        logscan.written = totals
+    assert len(plans) == 1 and "SortAggregate" not in plans[0] and "HashAggregate" in plans[0]
