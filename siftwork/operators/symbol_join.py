@@ -1,7 +1,12 @@
 """Similar names for many queries at once, and a persisted index of trigrams for searches inside names.
 
-similar_pairs() joins queries with names by scalars.similarity() without comparing all of them. A pair that reaches the
-threshold t does so by one of four measures, and each has signatures of which such a pair shares one:
+similar_pairs() joins queries with names by scalars.similarity(). A name carries 64 bits of its characters, with and without
+separators, and of its trigrams: each element sets one, so the bits that one text has and another has not bound from above what
+they share. Pairs that pass by lengths and bits are verified by the measure itself.
+
+Up to FEW queries (counted) are sent to the tasks, and every name meets all of them by its bits, where it is. More are joined
+with names without comparing all of them. A pair that reaches the threshold t does so by one of five ways, and each has
+signatures of which such a pair shares one:
 
 * edit distance, over the texts in lower case and over these without separators: texts of m characters at most that differ
   by d edits share m - d of their characters, counted with repeats; so a pair at t shares t * m of them. Of each text's
@@ -12,9 +17,9 @@ threshold t does so by one of four measures, and each has signatures of which su
   a shorter text of one or two characters is itself the signature.
 * the Dice measure of trigrams: sets of a and b trigrams share t * (a + b) / 2, so of each set the rarest
   a - ceil(t / (2 - t) * a) + 1 make its prefix, and two prefixes share a trigram.
+* nothing but separators: texts of such equal each other but for these, and share one signature.
 
-Elements are ordered by their counts in names. Candidates whose characters overlap too little, and whose trigrams and
-containment do not tell otherwise, are dropped by counts; the others are verified by the measure itself, once a pair.
+Elements are ordered by their counts in names. A pair is verified once.
 
 Defined results: a null name or query, and an empty one, is similar to nothing; repeated ones count once; very long ones are
 compared whole; empty tables give empty results.
@@ -28,21 +33,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import like_contains, similarity
+from ..functions.scalars import best_similarity, edit_similarity, like_contains
 from ..sources.files import written
 from .search import LEAST_SIMILARITY, RESULTS, SUGGESTIONS
 
 #: The least share of lengths at which containment counts; what does not count in a bare name.
 CONTAINED, SEPARATORS = 0.4, r"(?U)[_\-\s]"
 EPS = 1e-9
+#: Scores are rounded to six places, so a pair may lie so much below the threshold.
+ROUNDED = 6e-7
+#: Queries, and their bytes in all, that are sent to the tasks.
+FEW, FEW_BYTES = 2000, 4_000_000
 
 
 def _elements(x: Column) -> Column:
     """The characters of a text, each with how many equal ones come before it."""
     chars = F.filter(F.split(x, ""), lambda c: c != "")
-    sorted_ = F.array_sort(chars)
-    # the place of a character in the sorted array, less the place of the first equal one
-    return F.transform(sorted_, lambda c, i: F.concat(c, (i + 1 - F.array_position(sorted_, c)).cast("string")))
+    # the place of a character in the sorted array, less the place of the first equal one; as the only element of an array it is sorted once
+    placed = lambda s: F.transform(s, lambda c, i: F.concat(c, (i + 1 - F.array_position(s, c)).cast("string")))
+    return F.flatten(F.transform(F.array(F.sort_array(chars)), placed))
 
 
 def _grams(x: Column, n: int = 3) -> Column:
@@ -50,10 +59,29 @@ def _grams(x: Column, n: int = 3) -> Column:
 
 
 def _forms(rows: DataFrame) -> DataFrame:
-    """name, low, bare of the distinct names. Written."""
+    """name, low, bare of the distinct names."""
     low = F.lower("name")
     rows = rows.select("name").filter(F.col("name") != "").distinct()
-    return written(rows.select("name", low.alias("low"), F.regexp_replace(low, SEPARATORS, "").alias("bare")))
+    return rows.select("name", low.alias("low"), F.regexp_replace(low, SEPARATORS, "").alias("bare"))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Few bytes, but long work on each: dealt to all tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _bits(xs: Column) -> Column:
+    """64 bits, of which each element sets one."""
+    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))
+    return F.aggregate(xs, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(one(x)))
+
+
+def _marked(forms: DataFrame, as_: str) -> DataFrame:
+    """as_ (the name), and as_low, as_bare, as_grams with their bits and sizes."""
+    rows = forms.select("name", "low", "bare", _grams(F.col("low")).alias("grams"))
+    bits = [_bits(_elements(F.col(x))).alias(f"{as_}_{x}_bits") for x in ("low", "bare")] + [_bits(F.col("grams")).alias(f"{as_}_grams_bits")]
+    sizes = [F.length(x).alias(f"{as_}_{x}_size") for x in ("low", "bare")] + [F.size("grams").alias(f"{as_}_grams_size")]
+    return rows.select(F.col("name").alias(as_), *(F.col(x).alias(f"{as_}_{x}") for x in ("low", "bare", "grams")), *bits, *sizes)
 
 
 def _ordered(forms: DataFrame, of: Column, counts: DataFrame) -> DataFrame:
@@ -112,45 +140,65 @@ def _inside_signatures(forms: DataFrame, counts: DataFrame, shorter: str, longer
     return short.select("name", F.xxhash64(F.lit(shorter), "x").alias("sig")).unionByName(long.select("name", F.xxhash64(F.lit(longer), "x").alias("sig")))
 
 
-def candidates(queries: DataFrame, names: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
-    """Distinct query, name (of both: name) that may be similar by least, which is above 1/3: all that are, and others."""
-    if not 1 / 3 < least <= 1:
+def _pairs(queries: DataFrame, names: DataFrame, least: float, few: int) -> DataFrame:
+    """Distinct pairs of marked queries and names: all that are similar by least, and others."""
+    t = least - ROUNDED
+    if not (1 / 3 < t and least <= 1):
         raise ValueError("signatures need a threshold above 1/3")
-    asked, known = _forms(queries), _forms(names)
+    asked, known = written(_forms(queries)), _dealt(_forms(names))
+    n, size = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("name")), F.lit(0))).first()
+    if n <= few and size <= FEW_BYTES:
+        return _marked(known, "name").crossJoin(F.broadcast(_marked(asked, "query")))
+    known = written(known)
+    return _sharing(asked, known, t).join(_marked(asked, "query"), "query").join(_marked(known, "name"), "name")
+
+
+def _sharing(asked: DataFrame, known: DataFrame, t: float) -> DataFrame:
+    """Distinct query, name that share a signature: all pairs at t, and others."""
     counts = {form: _counts(known, _elements(F.col(form))) for form in ("low", "bare")}
     grams = {form: _counts(known, _grams(F.col(form))) for form in ("low", "bare")}
 
     def signatures(forms: DataFrame, is_query: bool, *roles: str) -> DataFrame:
-        parts = [_edit_signatures(forms, form, counts[form], least, is_query) for form in ("low", "bare")]
-        parts += [_dice_signatures(forms, grams["low"], least), _inside_signatures(forms, grams["bare"], *roles)]
+        parts = [_edit_signatures(forms, form, counts[form], t, is_query) for form in ("low", "bare")]
+        parts += [_dice_signatures(forms, grams["low"], t), _inside_signatures(forms, grams["bare"], *roles)]
+        parts.append(_hashed(forms.filter("bare = ''").select("name", F.array(F.lit("")).alias("s")), "none"))
         return reduce(DataFrame.unionByName, parts).distinct()
 
     left = signatures(asked, True, "in name", "in query").withColumnRenamed("name", "query")
     right = signatures(known, False, "in query", "in name")
-    pairs = left.join(right, "sig").select("query", "name").distinct()
-    q, n = (f.select(F.col("name").alias(as_), F.col("low").alias(f"{as_}_low"), F.col("bare").alias(f"{as_}_bare")) for f, as_ in ((asked, "query"), (known, "name")))
-    rows = pairs.join(q, "query").join(n, "name")
-    return rows.filter(_counted(least)).select("query", "name")
+    return left.join(right, "sig").select("query", "name").distinct()
+
+
+def _score(least: float) -> Column:
+    """similarity() of a pair of _pairs() if it is least or more, else at most that: a measure is taken only if sizes and bits leave it possible."""
+    t = least - ROUNDED
+
+    def sides(form: str) -> tuple[Column, ...]:
+        a, b, x, y = (F.col(f"{side}_{form}_{what}") for what in ("size", "bits") for side in ("query", "name"))
+        # an element that sets a bit which the other text has not is not shared
+        alone = lambda m, n: F.bit_count(m.bitwiseAND(F.bitwise_not(n)))
+        return F.col(f"query_{form}"), F.col(f"name_{form}"), a, b, F.least(a - alone(x, y), b - alone(y, x))
 
+    def near(form: str) -> Column:
+        x, y, a, b, shared = sides(form)
+        # none shares more than the shorter text has
+        return F.when(shared >= F.greatest(a, b) * t - EPS, edit_similarity(x, y)).otherwise(F.lit(0.0))
 
-def _counted(t: float) -> Column:
-    """Whether the counts of characters or trigrams, or containment, leave a pair possible; no measure is taken yet."""
+    x, y, a, b, shared = sides("grams")
+    alike = F.when((a > 0) & (b > 0) & (2.0 * shared >= t * (a + b) - EPS), 2.0 * F.size(F.array_intersect(x, y)) / (a + b)).otherwise(F.lit(0.0))
+    forms = (F.col(f"{side}_{form}") for form in ("low", "bare") for side in ("query", "name"))
+    return best_similarity(*forms, near("low"), near("bare"), alike)
 
-    def enough(form: str) -> Column:
-        a, b = F.col(f"query_{form}"), F.col(f"name_{form}")
-        shared = F.size(F.array_intersect(_elements(a), _elements(b)))
-        longest = F.greatest(F.length(a), F.length(b))
-        return (F.least(F.length(a), F.length(b)) >= longest * t - EPS) & (shared >= longest * t - EPS)
 
-    x, y = _grams(F.col("query_low")), _grams(F.col("name_low"))
-    alike = 2.0 * F.size(F.array_intersect(x, y)) >= t * (F.size(x) + F.size(y)) - EPS
-    a, b = F.col("query_bare"), F.col("name_bare")
-    return (a.contains(b) | b.contains(a)) | enough("low") | enough("bare") | ((F.size(x) > 0) & (F.size(y) > 0) & alike)
+def candidates(queries: DataFrame, names: DataFrame, least: float = LEAST_SIMILARITY, few: int = FEW) -> DataFrame:
+    """Distinct query, name (of both: name) of which a measure is taken: all that are similar by least, which is above 1/3, and others."""
+    return _pairs(queries, names, least, few).filter(_score(least) > 0).select("query", "name")
 
 
-def similar_pairs(queries: DataFrame, names: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
+def similar_pairs(queries: DataFrame, names: DataFrame, least: float = LEAST_SIMILARITY, few: int = FEW) -> DataFrame:
     """query, name, score of all pairs of distinct queries and names whose similarity, to six places, is least or more."""
-    scored = candidates(queries, names, least).withColumn("score", F.round(similarity("query", "name"), 6))
+    # exploded, a score is told once a pair; a filter would be moved into the join with a copy of it, and methods of two copies are too long for the JVM to compile
+    scored = _pairs(queries, names, least, few).select("query", "name", F.explode(F.array(F.round(_score(least), 6))).alias("score"))
     return scored.filter(F.col("score") >= least)
 
 

@@ -36,6 +36,25 @@ def test_join_equals_all_pairs(spark, names, queries, least):
     assert symbol_join.candidates(queries, names, least).count() < {0.4: 0.7, 0.5: 0.5}[least] * every.count()
 
 
+@pytest.mark.parametrize("least, few", [(0.4, 0), (0.5, 0), (0.666667, 0), (0.666667, symbol_join.FEW)])
+def test_joins_by_signatures_and_by_bits_equal_all_pairs(spark, names, queries, least, few):
+    # names of separators alone are equal but for these; 2 of 3 characters are 0.666667 when rounded
+    more = spark.createDataFrame([(x,) for x in ("-", "_-_", "____", " ", "qbc", "qbd")], "name string")
+    queries, names = queries.unionByName(more), names.select("name").unionByName(more)
+    q, n = queries.filter("name <> ''").distinct().withColumnRenamed("name", "query"), names.filter("name <> ''").distinct()
+    want = {tuple(r) for r in q.crossJoin(n).withColumn("score", F.round(similarity("query", "name"), 6)).filter(F.col("score") >= least).collect()}
+    assert {("-", "____", 0.98), ("qbc", "qbd", 0.666667)} <= want
+    got = symbol_join.similar_pairs(queries, names, least, few).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_few_queries_are_sent_to_the_names(names, queries):
+    plan = symbol_join.similar_pairs(queries, names)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    # no signatures are shuffled, and no join takes a measure of all its pairs
+    assert len(joins) == 1 and "BroadcastNestedLoopJoin" in joins[0] and "levenshtein" not in joins[0] and "regexp_replace" not in joins[0]
+
+
 def test_many_queries_equal_one_by_one(names, queries):
     some = [r["name"] for r in queries.filter("length(name) > 3").orderBy("name").limit(2).collect()]
     many = symbol_join.fuzzy_many(names, queries).collect()
