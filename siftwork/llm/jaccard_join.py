@@ -16,9 +16,16 @@ Sets of a band that share a signature are put in one family, so a family holds w
 copies share most signatures; so sets that agree on the whole content of their first part are one node from the start,
 and sign once a batch. A task pairs PARTS parts of the signatures one after the other and returns one forest of links,
 so a node has a link a task at most, and never more of them than signatures.
-A family is verified exactly by counting common shingles through an inverted index, in blocks of BLOCK shingles at
-most; a family of more is dealt, in order of size, as pairs of blocks whose sizes allow links. Signatures travel packed,
-and equal sets travel once a task. The links found in all bands give the components.
+Signatures travel packed, and equal sets travel once a task.
+
+A family also holds sets that are not linked, and it grows faster than the corpus; so texts are not compared all with all.
+A set has a sketch: a bit for each of at least SKETCH_BITS buckets a shingle, set if an odd number of its shingles fall
+there. No more bits of two sketches differ than shingles of the sets, so pairs whose sketches differ more than the
+threshold allows are not linked. Of the pairs that are left, a forest is verified exactly over texts, each lead's links
+as a star, so a text travels about twice however large its family is. Pairs that are left between the components of what
+was verified, few as sketches are sharp, make smaller families. These are verified by counting common shingles through an
+inverted index, in blocks of BLOCK shingles at most; a family of more is dealt, in order of size, as pairs of blocks
+whose sizes allow links. The links found in all bands give the components.
 
 Defined results: null texts and texts without words have an empty set and are linked with nothing; texts of fewer
 words than a shingle are one shingle of all words; very long texts are sets like others; a similarity just at the
@@ -30,7 +37,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_bucket, hot_join, materialize, small_batches, text_of, trim
@@ -41,6 +48,9 @@ N2, LIGHT, SLACK = 3, 1, 8
 #: Signatures in a part, parts in a task, and shingles in a block, about.
 PART, PARTS, BLOCK = 1_000_000, 8, 400_000
 SEEN = 500_000
+#: Bits of a sketch a shingle, at least, and in all, at most; shingles whose sketches are in a block, a set counting for so many at least; links of a lead that are verified together.
+SKETCH_BITS, MOST_BITS = 2, 1 << 17
+SKETCHED, LEAST_OF_SET, STAR = 12_000_000, 400, 256
 NODE = np.uint64((1 << 48) - 1)
 BAND_RATIO = 1.25
 TURNS = 5
@@ -301,6 +311,106 @@ def links_in_block(sets: list[np.ndarray], side: np.ndarray, num: int, den: int)
     return np.array([find(x) for x in range(m)])
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """Which of a power of two buckets hold an odd number of a set's elements."""
+    bits = min(MOST_BITS, max(64, 1 << (SKETCH_BITS * len(hashes) - 1).bit_length()))
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def near_in_block(sizes: np.ndarray, sketches: list[bytes], side: np.ndarray, known: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """A forest (pairs of indices) of the pairs of different known that by their sketches may have similarity num / den; side as in links_in_block()."""
+    m, words = len(sketches), min(map(len, sketches)) // 8
+    table = np.empty((m, words), np.uint64)
+    for k, x in enumerate(sketches):
+        row = np.frombuffer(x, np.uint64)
+        while len(row) > words:  # half as many buckets
+            row = row[: len(row) // 2] ^ row[len(row) // 2 :]
+        table[k] = row
+    # what differs in some words already tells most pairs apart
+    some, others = np.ascontiguousarray(table[:, : -(-words // 3)]), np.ascontiguousarray(table[:, -(-words // 3) :])
+    most = lambda x, ys: (sizes[x] + sizes[ys]) * (den - num) // (den + num)
+    two, root, out = bool((side != side[0]).any()), np.arange(m), []
+    for x in range(m - 1):
+        open_ = (root[x + 1 :] != root[x]) & (known[x + 1 :] != known[x])
+        if two:
+            open_ &= side[x + 1 :] != side[x]
+        ys = np.flatnonzero(open_) + x + 1
+        if not len(ys):
+            continue
+        apart = np.bitwise_count((some[x + 1 :] if len(ys) == m - x - 1 else some[ys]) ^ some[x]).sum(1, dtype=np.int64)
+        left = apart <= most(x, ys)
+        ys, apart = ys[left], apart[left]
+        apart = apart + np.bitwise_count(others[ys] ^ others[x]).sum(1, dtype=np.int64)
+        left = apart <= most(x, ys)
+        ys, apart = ys[left], apart[left]
+        if len(ys):
+            ys = ys[np.argsort(apart, kind="stable")]
+            roots, first = np.unique(root[ys], return_index=True)
+            out += [(x, y) for y in ys[np.sort(first)].tolist()]
+            root[np.isin(root, roots)] = root[x]
+    return out
+
+
+def _near(num: int, den: int):
+    """Rows (family, i, j, chunk, node, known, n_shingles, sketch), sorted by (family, i, j, node) -> (lead, part, node): a forest of pairs of each block that may be linked; of a lead, STAR have one part."""
+
+    def found(rows):
+        chunk, node, known, sizes, sketches = zip(*rows)
+        pairs = near_in_block(np.array(sizes), list(sketches), np.array(chunk), np.array(known), num, den)
+        stars: dict[int, int] = {}
+        for x, y in pairs:
+            stars[x] = stars.get(x, 0) + 1
+            yield node[x], (stars[x] - 1) // STAR, node[y]
+
+    def links(out):
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64()))], ["lead", "part", "node"])
+
+    def run(batches):
+        now, rows = None, []
+        for b in batches:
+            out = []
+            cols = [b.column(c).to_pylist() for c in ("family", "i", "j", "chunk", "node", "known", "n_shingles", "sketch")]
+            for r in zip(*cols):
+                if r[:3] != now:
+                    if len(rows) > 1:
+                        out += found(rows)
+                    now, rows = r[:3], []
+                if not rows or rows[-1][1] != r[4]:
+                    rows.append(r[3:])
+            if out:
+                yield links(out)
+        if len(rows) > 1 and (out := list(found(rows))):
+            yield links(out)
+        trim()
+
+    return run
+
+
+def _verify_stars(width: int, num: int, den: int):
+    """Rows (lead, part, own, node, key, text), sorted by (lead, part) with the lead's own first -> (node, root): links to the lead that hold."""
+
+    def run(batches):
+        now, mine = None, None
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in ("lead", "part", "own", "node", "key")]
+            some, out = shingle_sets(b.column("text"), width), []
+            for lead, part, own, node, want, s, key in zip(*cols, some, set_keys(some)):
+                if key.tobytes() != want:
+                    continue  # another text under the same id
+                if own:
+                    now, mine = (lead, part), s
+                elif now == (lead, part):
+                    common = len(np.intersect1d(mine, s, assume_unique=True))
+                    if den * common >= num * (len(mine) + len(s) - common):
+                        out.append((node, lead))
+            if out:
+                yield _links(out)
+        trim()
+
+    return run
+
+
 def _verify(width: int, num: int, den: int):
     """Rows (family, i, j, chunk, node, key, text), sorted by (family, i, j, node) -> (node, root): links that hold."""
 
@@ -365,8 +475,9 @@ def _sized(width: int, num: int, den: int):
                     pa.array([k.tobytes() for k in keys], pa.binary()),
                     pa.array(keys[:, 0].astype(np.int64)),
                     pa.array(shorts, pa.list_(pa.int64())),
+                    pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()),
                 ],
-                ["doc_id", "tag", "n_shingles", "key", "node", "shorts"],
+                ["doc_id", "tag", "n_shingles", "key", "node", "shorts", "sketch"],
             )
         seen.clear()
         trim()
@@ -383,41 +494,81 @@ def links_of(texts: DataFrame, signatures: int, width: int, num: int, den: int)
     return dealt.mapInArrow(_pair_up, "a long, b long")
 
 
+def _in_blocks(members: DataFrame, weight: Column, block: int, num: int, den: int) -> DataFrame:
+    """members (written: family, node, n_shingles, ...) of families of two or more, with chunk, i and j: a row for each pair (i, j) of blocks that a set's chunk is in.
+
+    Blocks of a family follow its sizes: sums of the weights of smaller sizes tell a set's block, of block or about.
+    """
+    by_size = members.groupBy("family", "n_shingles").agg(F.sum(weight).alias("_sum"), F.count(F.lit(1)).alias("_sets"))
+    of_family = Window.partitionBy("family")
+    before = F.coalesce(F.sum("_sum").over(of_family.orderBy("n_shingles").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by_size = by_size.withColumn("_before", before).withColumn("_last", F.sum("_sum").over(of_family)).withColumn("_of", F.sum("_sets").over(of_family)).filter("_of > 1")
+    # the sets of one size are spread over the blocks that their sum reaches into
+    first, spread = F.floor(F.col("_before") / block).cast("int"), F.greatest(F.lit(1), F.ceil(F.col("_sum") / block)).cast("int")
+    by_size = by_size.select("family", "n_shingles", first.alias("_first"), spread.alias("_spread"), (F.col("_last") <= block).alias("_whole"))
+    chunk = F.when(F.col("_whole"), 0).otherwise(F.col("_first") + F.pmod(F.hash("node"), F.col("_spread"))).alias("chunk")
+    dealt = members.join(by_size, ["family", "n_shingles"]).select(*members.columns, chunk)
+    ranges = dealt.groupBy("family", "chunk").agg(F.min("n_shingles").alias("_low"), F.max("n_shingles").alias("_high"))
+    other = ranges.select("family", F.col("chunk").alias("other"), F.col("_low").alias("_low2"), F.col("_high").alias("_high2"))
+    reach = (F.col("other") >= F.col("chunk")) & (F.col("_high") * den >= F.col("_low2") * num) & (F.col("_high2") * den >= F.col("_low") * num)
+    blocks = ranges.join(other, "family").filter(reach).select("family", F.col("chunk").alias("i"), F.col("other").alias("j"))
+    mine = blocks.select("family", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("chunk"))
+    return dealt.join(mine, ["family", "chunk"])
+
+
+def _may_link(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """lead, part, node: a forest of the pairs of one family, but of different known, that sketches leave; written."""
+    dealt = _in_blocks(members, F.greatest("n_shingles", F.lit(LEAST_OF_SET)), SKETCHED, num, den).select("family", "i", "j", "chunk", "node", "known", "n_shingles")
+    # what is made of a written table may be far larger than Spark expects of it, so none is broadcast
+    rows = dealt.hint("merge").join(sets.select("node", "sketch"), "node")
+    rows = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
+    return materialize(rows.mapInArrow(_near(num, den), "lead long, part int, node long"))
+
+
+def _with_texts(wanted: DataFrame, tagged: DataFrame) -> DataFrame:
+    """wanted (written: rep, rep_tag, ...), each with its text instead."""
+    wanted = wanted.withColumnRenamed("rep", "_rep")
+    near = by_bucket(tagged, F.col("tag"), wanted, F.col("rep_tag"))
+    return wanted.hint("merge").join(near, (F.col("rep_tag") == F.col("tag")) & F.col("_rep").eqNullSafe(F.col("doc_id"))).drop("_rep", "doc_id", "tag", "rep_tag")
+
+
+def _verified(members: DataFrame, sets: DataFrame, tagged: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links (node, root) that hold, and whose components are those of all that hold, of the sets (rows of sets) that share a family (members: node, n_shingles, family)."""
+    of_set = sets.select("node", "key", "n_shingles", "rep", "rep_tag")
+    stars = _may_link(members.withColumn("known", F.col("node")), sets, num, den)
+    ends = stars.select("lead", "part", F.lit(True).alias("own"), F.col("lead").alias("node")).distinct().unionByName(stars.select("lead", "part", F.lit(False).alias("own"), "node"))
+    rows = _with_texts(materialize(ends.hint("merge").join(of_set.drop("n_shingles"), "node")), tagged)
+    rows = rows.repartition("lead", "part").sortWithinPartitions("lead", "part", F.desc("own"))
+    links = materialize(rows.mapInArrow(_verify_stars(width, num, den), "node long, root long"))
+    # what is left between components of these links: of the sets that may have a link at all
+    known = components(links.select(F.col("node").alias("a"), F.col("root").alias("b"))).select("node", F.col("root").alias("known"))
+    some = materialize(ends.select("node").distinct().hint("merge").join(known, "node", "left").select("node", F.coalesce("known", "node").alias("known")))
+    left = _may_link(materialize(members.join(some.hint("merge"), "node")), sets, num, den)
+    if left.isEmpty():
+        return links
+    family = components(left.select(F.col("lead").alias("a"), F.col("node").alias("b"))).select("node", F.col("root").alias("family"))
+    dealt = _in_blocks(materialize(of_set.join(family.hint("merge"), "node")), F.col("n_shingles"), BLOCK, num, den)
+    rows = _with_texts(materialize(dealt.select("family", "i", "j", "chunk", "node", "key", "rep", "rep_tag")), tagged)
+    rows = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
+    return materialize(links.unionByName(rows.mapInArrow(_verify(width, num, den), "node long, root long")))
+
+
 def jaccard_groups(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """doc_id, tag (a hash of the text), n_shingles, component_id, group (the component's own number) for each row of docs (doc_id, text); empty sets are in no group."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     tagged = texts.select("doc_id", F.xxhash64("text").alias("tag"), "text")
-    sized = materialize(tagged.mapInArrow(_sized(width, num, den), "doc_id long, tag long, n_shingles long, key binary, node long, shorts array<long>"))
+    sized = materialize(tagged.mapInArrow(_sized(width, num, den), "doc_id long, tag long, n_shingles long, key binary, node long, shorts array<long>, sketch binary"))
     total, shingles = sized.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     edges = links_of(texts, 5 * shingles * (den - num) // den, width, num, den)
     family = components(edges).select(F.col("node").alias("short"), F.col("root").alias("family"))
     sets = sized.filter("n_shingles > 0").groupBy("key", "node", "n_shingles").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("_least"), F.first("shorts").alias("shorts"), F.count(F.lit(1)).alias("rows")
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("_least"), F.first("shorts").alias("shorts"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("rows")
     )
     sets = materialize(sets.withColumn("rep", F.col("_least.doc_id")).withColumn("rep_tag", F.col("_least.tag")).drop("_least"))
-    members = sets.select("key", "node", "n_shingles", "rep", "rep_tag", F.explode("shorts").alias("short")).join(family, "short", "left")
-    members = members.withColumn("family", F.coalesce("family", "short")).drop("short")
-    members = materialize(members)
-    # blocks of a family follow its sizes: sums of shingles of the smaller sizes tell a set's block
-    by_size = members.groupBy("family", "n_shingles").agg(F.sum("n_shingles").alias("_sum"), F.count(F.lit(1)).alias("_sets"))
-    of_family = Window.partitionBy("family")
-    before = F.coalesce(F.sum("_sum").over(of_family.orderBy("n_shingles").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    by_size = by_size.withColumn("_before", before).withColumn("_last", F.sum("_sum").over(of_family)).withColumn("_of", F.sum("_sets").over(of_family)).filter("_of > 1")
-    # the sets of one size are spread over the blocks that their sum reaches into
-    first, spread = F.floor(F.col("_before") / BLOCK).cast("int"), F.greatest(F.lit(1), F.ceil(F.col("_sum") / BLOCK)).cast("int")
-    by_size = by_size.select("family", "n_shingles", first.alias("_first"), spread.alias("_spread"), (F.col("_last") <= BLOCK).alias("whole"))
-    dealt = members.join(by_size, ["family", "n_shingles"]).withColumn("chunk", F.when(F.col("whole"), 0).otherwise(F.col("_first") + F.pmod(F.hash("node"), F.col("_spread"))))
-    ranges = dealt.groupBy("family", "chunk").agg(F.min("n_shingles").alias("_low"), F.max("n_shingles").alias("_high"))
-    other = ranges.select("family", F.col("chunk").alias("other"), F.col("_low").alias("_low2"), F.col("_high").alias("_high2"))
-    reach = (F.col("other") >= F.col("chunk")) & (F.col("_high") * den >= F.col("_low2") * num) & (F.col("_high2") * den >= F.col("_low") * num)
-    blocks = ranges.join(other, "family").filter(reach).select("family", F.col("chunk").alias("i"), F.col("other").alias("j"))
-    mine = blocks.select("family", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("chunk"))
-    dealt = materialize(dealt.select("family", "whole", "chunk", "node", "key", F.col("rep").alias("_rep"), "rep_tag").join(mine, ["family", "chunk"]))
-    near = by_bucket(tagged, F.col("tag"), dealt, F.col("rep_tag"))
-    rows = dealt.hint("merge").join(near, (F.col("rep_tag") == F.col("tag")) & F.col("_rep").eqNullSafe(F.col("doc_id"))).drop("_rep", "doc_id", "tag", "rep_tag")
-    rows = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
-    links = materialize(rows.mapInArrow(_verify(width, num, den), "node long, root long"))
+    members = sets.select("node", "n_shingles", F.explode("shorts").alias("short")).join(family, "short", "left")
+    members = materialize(members.withColumn("family", F.coalesce("family", "short")).drop("short"))
+    links = _verified(members, sets, tagged, width, num, den)
     roots = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     rooted = materialize(sets.select("node", "rep").join(roots, "node"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("least"))

@@ -615,6 +615,52 @@ def test_signatures_lose_no_pair():
                 assert len(np.intersect1d(sa, sb))
 
 
+def test_sketches_lose_no_pair():
+    r = np.random.default_rng(5)
+    make = lambda n: np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+    for num, den in ((9, 10), (8, 10)):
+        for n in (1, 4, 30, 33, 200, 1000):
+            sets = []
+            for _ in range(12):
+                a = make(n)
+                for k in range(1, 6):  # some at the threshold, some on either side of it, of other sizes
+                    cut = int(r.integers(0, n // k + 1)) if k < 5 else 0
+                    sets.append(np.unique(np.concatenate([a[cut:], make(int(r.integers(0, n // 4 + 1)))])))
+            sets = [s for s in sets if len(s)]
+            similar = lambda a, b: den * len(np.intersect1d(a, b)) >= num * len(np.union1d(a, b))
+            sizes, sketches, every = np.array([len(s) for s in sets]), [jaccard_join.sketch(s) for s in sets], np.arange(len(sets))
+            for side in (np.zeros(len(sets), int), every % 2):
+                root = every.copy()
+                for x, y in jaccard_join.near_in_block(sizes, sketches, side, every, num, den):
+                    assert side[0] == side[1] or side[x] != side[y]
+                    root[root == root[y]] = root[x]
+                assert all(root[x] == root[y] for x in every for y in every[:x] if similar(sets[x], sets[y]) and (side[0] == side[1] or side[x] != side[y]))
+
+
+def test_texts_of_a_family_do_not_travel_once_a_block(spark, monkeypatch):
+    """Sets that share much, of which few are linked, in many blocks."""
+    r, rows, fetched = random.Random(4), [], []
+    base = [f"w{i}" for i in range(200)]
+    for i in range(300):
+        w = list(base)
+        for k in r.sample(range(0, 200, 5), r.choice([3, 12, 14])):  # each changes five shingles: similarities from under 0.4 to over 0.8
+            w[k] = f"c{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    written = jaccard_join.materialize
+
+    def counted(df, *how, **more):
+        out = written(df, *how, **more)
+        if "rep_tag" in out.columns and {"i", "lead"} & set(out.columns):
+            fetched.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", counted)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4000)  # about 20 sets
+    got = jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 8, 10).collect()
+    assert sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got), key=str) == plain_groups(rows, 5, 8, 10)
+    assert 0 < sum(fetched) <= 4 * len(rows)
+
+
 def test_links_of_near_copies_do_not_grow_with_the_parts(spark, monkeypatch):
     r, links = random.Random(9), []
     base = [f"w{i}" for i in range(150)]
