@@ -65,14 +65,14 @@ def blast_radius(occurrences: DataFrame, symbols: DataFrame, name: str, most: in
     return refs.orderBy("file_path", "line").limit(most).crossJoin(F.broadcast(totals))
 
 
-def word_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """file_path, line, snippet and words (ord, name, kind): every identifier-like run of each line, without a parser; comment lines are passed over.
+def word_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", *others: str) -> DataFrame:
+    """file_path, line, snippet and words (ord, name, kind): every identifier-like run of each line, without a parser, and others of docs; comment lines are passed over.
 
     A row a line, so that a long line's text is not repeated for each of its words.
     """
     from .text import explode_lines
 
-    rows = explode_lines(docs, key, text).withColumn("snippet", F.regexp_replace("line", r"(?U)^\s+|\s+$", ""))
+    rows = explode_lines(docs, key, text, *others).withColumn("snippet", F.regexp_replace("line", r"(?U)^\s+|\s+$", ""))
     rows = rows.filter(~F.col("snippet").rlike(r"^(#|//|/\*|\*)"))
     # what a line tells of all its words is found once a line: whether it imports, and the runs that a bracket follows, of which a called name is the end
     told = F.struct(
@@ -83,7 +83,7 @@ def word_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     kind = lambda t, name: F.when(t["imports"], "IMPORT").when(F.exists(t["called"], lambda c: c.endswith(name)), "CALL").otherwise("USAGE")
     words = lambda t: F.transform(t["names"], lambda x, i: F.struct(i.alias("ord"), x.alias("name"), kind(t, x).alias("kind")))
     # an array of one, so that Spark does not put the line's patterns into what is done for a word
-    return rows.select(F.col(key).alias("file_path"), F.col("line_no").alias("line"), "snippet", F.get(F.transform(F.array(told), words), F.lit(0)).alias("words"))
+    return rows.select(*others, F.col(key).alias("file_path"), F.col("line_no").alias("line"), "snippet", F.get(F.transform(F.array(told), words), F.lit(0)).alias("words"))
 
 
 def words_as_occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -19,6 +19,7 @@ number; a table of no sets is empty, with its schema.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import threading
 import uuid
@@ -29,12 +30,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 BUCKETS = 32
+#: Tasks a bucket that buckets are dealt to by hash, so that few have two.
+SPREAD = 8
 #: Sets of a bucket from which compact() rewrites it.
 GATHERED = 4
 GONE, BUCKET, ORDER = "_gone", "_bucket", "_order"
 _PUBLISHING = threading.Lock()
 
 
+#: Of sessions whose writers are side by side now: how many writes, and the setting before.
+_WRITING: dict[int, list] = {}
+_SETTING = threading.Lock()
+
+
+@contextlib.contextmanager
+def _side_by_side(spark: SparkSession, files: int):
+    """A task writes up to so many files at once, without sorting its rows by them; the setting goes back when the session's last such write ends."""
+    conf, key = spark.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    with _SETTING:
+        now = _WRITING.setdefault(id(spark), [0, conf.get(key)])
+        now[0] += 1
+        conf.set(key, str(max(files, int(conf.get(key)))))
+    try:
+        yield
+    finally:
+        with _SETTING:
+            now[0] -= 1
+            if not now[0]:
+                conf.set(key, _WRITING.pop(id(spark))[1])
+
+
 class Conflict(Exception):
     """Another writer has published this version."""
 
@@ -99,11 +124,18 @@ class Store:
     def bucket(self, of: int | None = None) -> Column:
         return F.pmod(F.xxhash64(*self.keys), F.lit(of or self.buckets)).cast("int")
 
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """rows by tasks of a bucket or few; with BUCKET, by which Spark knows that they need no other shuffle to be grouped by it and a key."""
+        return rows.withColumn(BUCKET, self.bucket()).repartition(SPREAD * self.buckets, BUCKET)
+
     def _write(self, rows: DataFrame) -> tuple[str, list[int]]:
-        """A set of rows (with GONE), in a file a bucket; its name and the buckets it has."""
+        """A set of rows (with GONE; with BUCKET if they are dealt), in a file a bucket and task; its name and the buckets it has."""
         name = uuid.uuid4().hex
         place = f"{self.path}/data/{name}"
-        rows.withColumn(BUCKET, self.bucket()).repartition(self.buckets, BUCKET).write.partitionBy(BUCKET).parquet(place)
+        rows = rows if BUCKET in rows.columns else self.dealt(rows)
+        # a task has few buckets: it writes them side by side instead of sorting its rows by them, which may be far larger than what they are made of
+        with _side_by_side(rows.sparkSession, self.buckets):
+            rows.write.partitionBy(BUCKET).option("compression", "zstd").parquet(place)
         found = [f.getPath().getName() for f in self._fs.listStatus(self._at("data", name))]
         return name, sorted(int(n.split("=")[1]) for n in found if n.startswith(f"{BUCKET}="))
 
@@ -125,11 +157,15 @@ class Store:
 
     def _tombstones(self, keys: DataFrame) -> DataFrame:
         rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields if f.name not in self.keys]
-        return keys.select(*self.keys).distinct().select(*self.keys, *rest).select(*self.schema.names).withColumn(GONE, F.lit(True))
+        by = [BUCKET, *self.keys] if BUCKET in keys.columns else self.keys
+        return keys.select(*by).distinct().select(*by, *rest).select(*by[: -len(self.keys)], *self.schema.names).withColumn(GONE, F.lit(True))
 
     def replace(self, rows: DataFrame, stream: str | None = None, batch: int | None = None, emptied: DataFrame | None = None) -> int:
-        """Gives every key of rows these rows instead of those it has; keys of emptied that have no rows here have none from now on. The version that holds them is returned."""
-        rows = rows.select(*self.schema.names).withColumn(GONE, F.lit(False))
+        """Gives every key of rows these rows instead of those it has; keys of emptied that have no rows here have none from now on. The version that holds them is returned.
+
+        Rows, and those of emptied, that have BUCKET lie as dealt() has dealt them, and are not moved.
+        """
+        rows = rows.select(*([BUCKET] if BUCKET in rows.columns else []), *self.schema.names).withColumn(GONE, F.lit(False))
         # a tombstone beside rows of its key in one set says nothing
         return self._add(rows if emptied is None else rows.unionByName(self._tombstones(emptied)), stream, batch)
 

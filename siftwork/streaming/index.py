@@ -8,7 +8,7 @@ from pyspark.sql.types import ArrayType, StructType
 
 from ..operators.savings import valid
 from ..operators.search import word_lines
-from ..operators.store import GATHERED, Store
+from ..operators.store import BUCKET, GATHERED, Store
 
 WORDS = ArrayType(StructType().add("ord", "integer").add("name", "string").add("kind", "string"))
 #: What is stored: a row a line, whose text is not repeated for each of its words.
@@ -47,9 +47,12 @@ def keep_indexed(files: DataFrame, path: str, state: str, parse=None, gathered:
     store = Index(files.sparkSession, path, INDEX, ["file_path"])
 
     def take(batch: DataFrame, number: int) -> None:
-        rows = batch.groupBy("file_path").agg(F.max("text").alias("text"))
-        given = rows.filter("text IS NOT NULL")
-        found = word_lines(given, "file_path", "text") if parse is None else _lines(parse(given, "file_path", "text"))
+        if parse is None:  # texts move once, to where their lines are written, as lines with their words are far larger
+            rows = store.dealt(batch.select("file_path", "text")).groupBy(BUCKET, "file_path").agg(F.max("text").alias("text"))
+            found = word_lines(rows.filter("text IS NOT NULL"), "file_path", "text", BUCKET)
+        else:
+            rows = batch.groupBy("file_path").agg(F.max("text").alias("text"))
+            found = _lines(parse(rows.filter("text IS NOT NULL"), "file_path", "text"))
         store.replace(found, "files", number, emptied=rows)
         store.compact(gathered)
 

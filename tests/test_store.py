@@ -123,6 +123,28 @@ def test_continuous_index_is_idempotent(spark, tmp_path):
     assert keep_indexed(stream(), place, str(tmp_path / "other state")).version() == version and found() == [("a.py", 1, "washing")]
 
 
+def test_lines_are_made_where_they_are_written(spark, tmp_path, monkeypatch):
+    """Of an index, texts are shuffled once, not their lines and words; nor are these sorted by bucket."""
+    from siftwork.operators import store as stores
+    from siftwork.streaming.index import keep_indexed
+
+    plans, write = [], stores.Store._write
+
+    def seen(self, rows):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return write(self, rows)
+
+    monkeypatch.setattr(stores.Store, "_write", seen)
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    frame = spark.createDataFrame([("a", "one two\n# no\nthree"), ("a", "one"), ("b", None), (None, "four")], "file_path string, text string")
+    frame.write.parquet(f"{tmp_path}/in")
+    kept = keep_indexed(spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/kept", f"{tmp_path}/state")
+    assert sorted(map(str, ((r["file_path"], r["line"], r["name"]) for r in kept.read().collect()))) == sorted(map(str, [("a", 1, "one"), ("a", 1, "two"), ("a", 3, "three"), (None, 1, "four")]))
+    (plan,) = plans
+    assert 0 <= plan.index("Generate posexplode") < plan.index("Repartition") and plan.count("Generate posexplode") == 1
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+
+
 def test_savings_are_summed_once(spark, tmp_path):
     source, place = str(tmp_path / "in"), str(tmp_path / "sums")
     for k in range(3):
